@@ -2,26 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEYS = 1000  # bound on the broadcast side of `lookup`
+from corpusgauge.session import materialise
+
+HOT_KEYS = 1000  # bound on the rows broadcast for hot keys
 HOT_SLICES = 1 << 16
+SMALL_ROWS = 200_000  # a lookup table this short and this light is broadcast whole
+SMALL_BYTES = 16 << 20
+
+
+def measured(df: DataFrame, weight: str) -> tuple[int, int, bool]:
+    """Rows, total weight and whether the table is small enough to broadcast, by counting."""
+    rows, total = df.agg(F.count("*"), F.coalesce(F.sum(weight), F.lit(0))).first()
+    if rows > SMALL_ROWS:
+        return rows, total, False
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0]
+    return rows, total, (size or 0) <= SMALL_BYTES
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], weight: str, salt: list[str]) -> DataFrame:
+def lookup(
+    left: DataFrame, right: DataFrame, keys: list[str], weight: str, salt: list[str], stored: bool = False
+) -> DataFrame:
     """Left-join a table unique on `keys` where some keys may own a third of `left`.
 
-    `weight` is the number of left rows per key. Keys above 1/HOT_KEYS of the total
-    weight number fewer than HOT_KEYS, so they are broadcast; the others are too small
-    to skew a shuffle. Left rows already served, and rows with a null key, are spread over the
-    shuffle by `salt`.
+    `weight` is the number of left rows per key. The table is written out first unless
+    `stored`, then measured. A small one is broadcast. In a large one, keys above
+    1/HOT_KEYS of the total weight number fewer than HOT_KEYS, so they are broadcast;
+    the others are too small to skew a shuffle. Left rows already served, and rows with
+    a null key, are spread over the shuffle by `salt`.
     """
     payload = [c for c in right.columns if c not in keys and c != weight]
-    total = right.agg(F.sum(weight)).scalar()
-    is_hot = F.col(weight) * HOT_KEYS > total
-    hot = right.where(is_hot).select(*keys, F.struct(*payload).alias("_hot"))
-    cold = right.where(~is_hot).select(*keys, F.lit(0).alias("_slice"), F.struct(*payload).alias("_cold"))
+    table = right if stored else materialise(right)
+    _, total, small = measured(table, weight)
+    if small:
+        return left.join(F.broadcast(table.drop(weight)), keys, "left").select(*left.columns, *payload)
+    is_hot = F.col(weight) > F.lit(total / HOT_KEYS)
+    hot = table.where(is_hot).select(*keys, F.struct(*payload).alias("_hot"))
+    cold = table.where(~is_hot).select(*keys, F.lit(0).alias("_slice"), F.struct(*payload).alias("_cold"))
     spread = F.pmod(F.xxhash64(*salt), F.lit(HOT_SLICES)).cast("int") + 1
     settled = F.col("_hot").isNotNull()
     for k in keys:

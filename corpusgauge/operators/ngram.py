@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from corpusgauge.functions import arrays as A
 from corpusgauge.functions import text as X
-from corpusgauge.operators.joins import key_weights, lookup
-from corpusgauge.operators.ordering import KEY_BITS, running_offset
+from corpusgauge.operators.joins import lookup
+from corpusgauge.operators.ordering import KEY_BITS, key_range, running_offset
 from corpusgauge.operators.rows import corpus_tokens
+from corpusgauge.session import materialise
 
 
 def explode_tokens(df: DataFrame, tokens: str = "tokens", order: int = 2, start: Column | None = None) -> DataFrame:
@@ -47,63 +48,92 @@ def corpus_stream(
     A row after the first is always preceded by the separator, so no token has to look
     into another row.
     """
-    tokens = corpus_tokens(df, key, col, separator, bos)
     if not separator.strip(" "):
         raise ValueError("a separator of spaces leaves no token to stand before a row")
+    tokens = corpus_tokens(df, key, col, separator, bos)
     placed = running_offset(tokens, key, F.size("tokens"), "_off", bits)
-    first = df.agg(F.min(key)).scalar()
-    start = F.when(F.col(key) > first, F.lit(separator))
-    exploded = explode_tokens(placed, start=start)
+    exploded = explode_tokens(placed, start=_opening(df, key, separator))
     return exploded.withColumn("pos", F.col("_off") + F.col("pos")).drop("_off")
 
 
-def fit_ngram(stream: DataFrame, context: Sequence[str] = ("prev",)) -> DataFrame:
-    """`(context.., token, n, ctx_n, vocab)`: n-gram and context counts, vocabulary size."""
-    context = list(context)
-    known = stream
-    for c in context:
-        known = known.where(F.col(c).isNotNull())
-    counts = known.groupBy(*context, "token").agg(F.count("*").alias("n"))
-    vocab = stream.agg(F.count_distinct("token")).scalar()
+def _opening(df: DataFrame, key: str, separator: str) -> Column:
+    """What stands before a row's first token: the separator, nothing for the first row."""
+    first, _ = key_range(df, key)
+    return F.when(F.col(key) > F.lit(first), F.lit(separator))
+
+
+def corpus_bag(
+    df: DataFrame, key: str, col: str = "text", separator: str = "\n\n", bos: str | None = None
+) -> DataFrame:
+    """The joined corpus without global positions, enough for counting n-grams."""
+    tokens = corpus_tokens(df, key, col, separator, bos)
+    return explode_tokens(tokens, start=_opening(df, key, separator))
+
+
+def count_ngrams(stream: DataFrame, context: Sequence[str] = ("prev",)) -> DataFrame:
+    """`(context.., token, n)`, unknown (null) contexts included, written out once.
+
+    The one pass over the text; models of this and lower orders are read off it.
+    """
+    return materialise(stream.groupBy(*context, "token").agg(F.count("*").alias("n")))
+
+
+def marginal(counts: DataFrame, context: Sequence[str]) -> DataFrame:
+    """Counts of a shorter context."""
+    return counts.groupBy(*context, "token").agg(F.sum("n").alias("n"))
+
+
+def model_from_counts(counts: DataFrame, context: Sequence[str] = ("prev",)) -> DataFrame:
+    """`(context.., token, n, ctx_n, vocab)` with the vocabulary size of everything counted."""
+    vocab = F.lit(counts.agg(F.count_distinct("token")).first()[0])
+    known = counts.dropna(subset=list(context)) if context else counts
     if not context:
-        return counts.withColumn("ctx_n", counts.agg(F.sum("n")).scalar()).withColumn("vocab", vocab)
-    totals = counts.groupBy(*context).agg(F.sum("n").alias("ctx_n"), F.count("*").alias("_types"))
-    return lookup(counts, totals, context, "_types", ["token"]).withColumn("vocab", vocab)
+        total = known.agg(F.sum("n")).first()[0] or 0
+        return known.select("token", "n", F.lit(total).alias("ctx_n"), vocab.alias("vocab"))
+    # Contexts meet their n-grams on a table of distinct n-grams; adaptive execution
+    # splits a context that owns very many of them.
+    totals = known.groupBy(*context).agg(F.sum("n").alias("ctx_n"))
+    return known.join(totals, list(context)).select(*context, "token", "n", "ctx_n", vocab.alias("vocab"))
+
+
+def fit_ngram(stream: DataFrame, context: Sequence[str] = ("prev",)) -> DataFrame:
+    return model_from_counts(count_ngrams(stream, context), context)
 
 
 def smoothed_nll(n: Column, ctx_n: Column, vocab: Column, alpha: float) -> Column:
     return -F.ln((n + alpha) / (ctx_n + alpha * vocab))
 
 
+def _context(model: DataFrame) -> list[str]:
+    return [c for c in model.columns if c.startswith("prev")]
+
+
 def seen_nll(model: DataFrame, alpha: float = 1.0) -> DataFrame:
     """`(context.., token, n, nll)` for the model's own n-grams."""
-    context = [c for c in model.columns if c not in ("token", "n", "ctx_n", "vocab")]
     nll = smoothed_nll(F.col("n"), F.col("ctx_n"), F.col("vocab"), alpha)
-    return model.select(*context, "token", "n", nll.alias("nll"))
+    return model.select(*_context(model), "token", "n", nll.alias("nll"))
 
 
 def score_types(types: DataFrame, model: DataFrame, alpha: float = 1.0) -> DataFrame:
     """`(context.., token, n, nll)` for n-grams counted in any text, seen by the model or not."""
-    context = [c for c in model.columns if c not in ("token", "n", "ctx_n", "vocab")]
-    grams = model.select(*context, "token", F.col("n").alias("_n"))
-    vocab = model.agg(F.max("vocab")).scalar()
+    context = _context(model)
+    known = materialise(model)
+    grams = known.select(*context, "token", F.col("n").alias("_n"))
+    size, total = known.agg(F.max("vocab"), F.max("ctx_n")).first()
     found = types.join(grams, [*context, "token"], "left")
     if context:
-        totals = model.groupBy(*context).agg(F.max("ctx_n").alias("ctx_n"))
-        weights = key_weights(types, context, "_types")
-        per_context = totals.join(weights, context)
-        found = lookup(found, per_context, context, "_types", ["token"])
+        totals = known.groupBy(*context).agg(F.max("ctx_n").alias("ctx_n"))
+        found = found.join(totals, context, "left")
     else:
-        found = found.withColumn("ctx_n", model.agg(F.max("ctx_n")).scalar())
+        found = found.withColumn("ctx_n", F.lit(total))
     zero = F.lit(0)
-    nll = smoothed_nll(F.coalesce("_n", zero), F.coalesce("ctx_n", zero), vocab, alpha)
+    nll = smoothed_nll(F.coalesce("_n", zero), F.coalesce("ctx_n", zero), F.lit(size), alpha)
     return found.select(*context, "token", "n", nll.alias("nll"))
 
 
 def attach_nll(stream: DataFrame, scored: DataFrame, salt: Sequence[str]) -> DataFrame:
     """The stream with its `nll`; null where the context is unknown."""
-    context = [c for c in scored.columns if c not in ("token", "n", "nll")]
-    return lookup(stream, scored, [*context, "token"], "n", list(salt))
+    return lookup(stream, scored, [*_context(scored), "token"], "n", list(salt))
 
 
 def score_ngram(stream: DataFrame, model: DataFrame, salt: Sequence[str], alpha: float = 1.0) -> DataFrame:
@@ -111,19 +141,18 @@ def score_ngram(stream: DataFrame, model: DataFrame, salt: Sequence[str], alpha:
 
     Losses are worked out once per distinct n-gram and then joined to the positions.
     """
-    context = [c for c in model.columns if c not in ("token", "n", "ctx_n", "vocab")]
-    known = stream
-    for c in context:
-        known = known.where(F.col(c).isNotNull())
+    context = _context(model)
+    known = stream.dropna(subset=context) if context else stream
     types = known.groupBy(*context, "token").agg(F.count("*").alias("n"))
     return attach_nll(stream, score_types(types, model, alpha), salt)
 
 
 def best_next(model: DataFrame, name: str = "best") -> DataFrame:
     """`(context.., best)`: the most frequent successor; the smaller token wins a tie."""
-    context = [c for c in model.columns if c not in ("token", "n", "ctx_n", "vocab")]
+    context = _context(model)
+    known = model.dropna(subset=context)
     first = F.min(F.struct((-F.col("n")).alias("neg"), F.col("token").alias("token")))
-    return model.groupBy(*context).agg(first.alias("_first")).select(*context, F.col("_first.token").alias(name))
+    return known.groupBy(*context).agg(first.alias("_first")).select(*context, F.col("_first.token").alias(name))
 
 
 def greedy_completion(prompts: DataFrame, best: DataFrame, key: str, last: str, max_tokens: int = 1) -> DataFrame:
@@ -131,21 +160,17 @@ def greedy_completion(prompts: DataFrame, best: DataFrame, key: str, last: str,
 
     Chains grow per distinct last token, not per prompt, and stop where nothing follows.
     """
+    steps = materialise(best.select(F.col("prev").alias("_at"), F.col("best").alias("_next")))
     starts = prompts.where(F.col(last).isNotNull()).groupBy(F.col(last).alias("_start")).agg(
         F.count("*").alias("_rows")
     )
-    chains = starts.withColumn("_at", F.col("_start")).withColumn("_out", F.array().cast("array<string>"))
+    chains = starts.select("_start", "_rows", F.col("_start").alias("_at"), F.array().cast("array<string>").alias("_out"))
     for _ in range(max_tokens):
-        weights = key_weights(chains.where(F.col("_at").isNotNull()), ["_at"], "_w")
-        step = best.select(F.col("prev").alias("_at"), F.col("best").alias("_next")).join(weights, "_at")
-        grown = lookup(chains, step, ["_at"], "_w", ["_start"])
-        chains = grown.select(
+        chains = chains.join(steps, "_at", "left").select(
             "_start",
             "_rows",
             F.col("_next").alias("_at"),
-            F.when(F.col("_next").isNull(), F.col("_out"))
-            .otherwise(F.concat("_out", F.array("_next")))
-            .alias("_out"),
+            F.when(F.col("_next").isNull(), F.col("_out")).otherwise(F.concat("_out", F.array("_next"))).alias("_out"),
         )
     done = chains.select(
         F.col("_start").alias(last), "_rows", F.col("_out").alias("_words")

@@ -18,9 +18,15 @@ TOTAL_BITS = 17  # upper levels hold one narrow total per bucket
 KEY_BITS = 63
 
 
-def key_bits(df: DataFrame, key: str) -> int:
-    """Bits the key's values take, from one narrow scan; spares empty levels below."""
+def key_range(df: DataFrame, key: str) -> tuple[int | None, int | None]:
+    """Smallest and greatest key: one scan of the key column."""
     low, high = df.agg(F.min(key), F.max(key)).first()
+    return low, high
+
+
+def key_bits(df: DataFrame, key: str) -> int:
+    """Bits the key's values take; spares levels that would be empty."""
+    low, high = key_range(df, key)
     if low is None or low < 0:
         return KEY_BITS
     return max(int(high).bit_length(), 1)

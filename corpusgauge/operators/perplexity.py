@@ -13,49 +13,45 @@ from pyspark.sql import functions as F
 from corpusgauge.functions.text import as_column
 
 
-def sequence_length(nll: DataFrame) -> Column:
-    """Tokens in the sequence, as a scalar subquery."""
-    return nll.agg(F.max("pos") + 1).scalar()
+def _window_means(placed: DataFrame, first: Column) -> DataFrame:
+    """Mean loss per window over what it scores; NaN where it scores nothing.
 
-
-def _window_means(placed: DataFrame) -> DataFrame:
-    """Mean loss per window over the positions marked `_labelled`; NaN where none is."""
-    nll = F.when(F.col("_labelled"), F.col("nll"))
-    return placed.groupBy("window", "begin", "end", "trg").agg(
-        F.count(nll).alias("labelled"), F.coalesce(F.avg(nll), F.lit(float("nan"))).alias("mean_nll")
+    Positions are contiguous, so a window ends after its last position and the length of
+    the whole sequence is not needed. A window's own first token has nothing before it
+    to be predicted from.
+    """
+    nll = F.when(F.col("pos") > F.col("begin"), F.col("nll"))
+    return (
+        placed.groupBy("window", "begin")
+        .agg(
+            (F.max("pos") + 1).cast("bigint").alias("end"),
+            F.count(nll).alias("labelled"),
+            F.coalesce(F.avg(nll), F.lit(float("nan"))).alias("mean_nll"),
+        )
+        .withColumn("trg", F.col("end") - first)
     )
 
 
 def windows_left(nll: DataFrame, stride: int = 512, max_len: int = 2048) -> DataFrame:
     """One row per stride of targets, whose context reaches back to fill `max_len`."""
-    n = sequence_length(nll)
-    window = F.floor(F.col("pos") / stride)
-    placed = nll.select("pos", "nll", window.alias("window"), n.alias("_n")).select(
-        "pos",
-        "nll",
-        "window",
-        F.greatest(F.col("window") * stride + stride - max_len, F.lit(0)).cast("bigint").alias("begin"),
-        F.least(F.col("window") * stride + stride, F.col("_n")).alias("end"),
-    )
-    placed = placed.withColumn("trg", F.col("end") - F.col("window") * stride)
-    # A window's own first token has nothing before it to be predicted from.
-    return _window_means(placed.withColumn("_labelled", F.col("pos") > F.col("begin")))
+    window = F.floor(F.col("pos") / stride).cast("bigint")
+    begin = F.greatest(F.col("window") * stride + stride - max_len, F.lit(0)).cast("bigint")
+    placed = nll.select("pos", "nll", window.alias("window")).withColumn("begin", begin)
+    return _window_means(placed, F.col("window") * stride)
 
 
 def windows_right(nll: DataFrame, stride: int = 512, max_len: int = 2048) -> DataFrame:
     """One row per window reaching right; it scores what the window before did not."""
-    n = sequence_length(nll)
     if stride <= max_len:
         window = F.when(F.col("pos") < max_len, F.lit(0)).otherwise(F.floor((F.col("pos") - max_len) / stride) + 1)
     else:
         window = F.floor(F.col("pos") / stride)
-    placed = nll.select("pos", "nll", window.cast("bigint").alias("window"), n.alias("_n"))
+    placed = nll.select("pos", "nll", window.cast("bigint").alias("window"))
     placed = placed.withColumn("begin", F.col("window") * stride)
-    placed = placed.withColumn("end", F.least(F.col("begin") + max_len, F.col("_n")))
-    prev = F.when(F.col("window") > 0, (F.col("window") - 1) * stride + max_len).otherwise(F.lit(0))
     # Positions between two windows that do not touch belong to neither.
-    placed = placed.withColumn("trg", (F.col("end") - prev).cast("bigint")).where(F.col("pos") < F.col("end"))
-    return _window_means(placed.withColumn("_labelled", F.col("pos") > F.col("begin")))
+    placed = placed.where(F.col("pos") < F.col("begin") + max_len)
+    prev_end = F.when(F.col("window") > 0, (F.col("window") - 1) * stride + max_len).otherwise(F.lit(0))
+    return _window_means(placed, prev_end)
 
 
 def ppl_strided_left(nll: DataFrame, stride: int = 512, max_len: int = 2048) -> DataFrame:

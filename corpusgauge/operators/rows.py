@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusgauge.functions import text as X
 from corpusgauge.functions.numbers import nan_to_null
-from corpusgauge.operators.ordering import running_offset
+from corpusgauge.operators.ordering import key_range, running_offset
 
 
 def strip_nonblank(df: DataFrame, col: str = "text") -> DataFrame:
@@ -57,12 +57,11 @@ def corpus_tokens(
     its own; the last row is followed by none. `bos` opens the first row unless there.
     """
     tokens = X.words(col)
+    first, last = key_range(df, key)
     if separator is not None and separator.strip(" "):
-        last = df.agg(F.max(key)).scalar()
-        tokens = F.when(F.col(key) < last, F.concat(tokens, F.array(F.lit(separator)))).otherwise(tokens)
+        tokens = F.when(F.col(key) < F.lit(last), F.concat(tokens, F.array(F.lit(separator)))).otherwise(tokens)
     if bos is not None:
-        first = df.agg(F.min(key)).scalar()
-        opens = (F.col(key) == first) & ~F.startswith(F.col(col), F.lit(bos))
+        opens = (F.col(key) == F.lit(first)) & ~F.startswith(F.col(col), F.lit(bos))
         tokens = F.when(opens, F.concat(F.array(F.lit(bos)), tokens)).otherwise(tokens)
     return df.select(key, tokens.alias("tokens"))
 

@@ -8,24 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgauge.functions.numbers import accept_rate
-from corpusgauge.operators.joins import key_weights, lookup
+from corpusgauge.operators.joins import lookup
+from corpusgauge.operators.ngram import best_next, marginal
 
 
-def draft_tokens(stream: DataFrame, draft: DataFrame, target: DataFrame, sample: str, k: int) -> DataFrame:
-    """`(sample, step, pos, draft, target)`: what two n-gram models of orders 2 and 3 say next.
+def draft_tokens(stream: DataFrame, counts: DataFrame, sample: str, k: int) -> DataFrame:
+    """`(sample, step, pos, draft, target)`: what n-gram models of orders 2 and 3 say next.
 
-    A step proposes k tokens from the second position on, where both contexts exist.
-    Both predictions hang on the two tokens before a position only, so they are joined
-    once per distinct pair of tokens and then to the positions.
+    `counts` holds the (prev2, prev, token) counts both models are read off. A step
+    proposes k tokens from the third position on, where both contexts exist. Both
+    predictions hang on the two tokens before a position only, so they are joined once
+    per distinct pair of tokens and then to the positions.
     """
-    known = stream.where(F.col("prev").isNotNull() & F.col("prev2").isNotNull())
-    pairs = known.groupBy("prev2", "prev").agg(F.count("*").alias("_rows"))
-    weights = key_weights(pairs, ["prev"], "_pairs")
-    drafted = lookup(
-        pairs, draft.select("prev", F.col("best").alias("draft")).join(weights, "prev"), ["prev"], "_pairs", ["prev2"]
-    )
-    both = drafted.join(target.select("prev2", "prev", F.col("best").alias("target")), ["prev2", "prev"], "left")
-    placed = known.select(
+    draft = best_next(marginal(counts, ["prev"]), "draft")
+    target = best_next(counts, "target")
+    known = counts.dropna(subset=["prev2", "prev"])
+    pairs = known.groupBy("prev2", "prev").agg(F.sum("n").alias("_rows"))
+    both = pairs.join(target, ["prev2", "prev"]).join(draft, "prev")
+    placed = stream.where(F.col("prev").isNotNull() & F.col("prev2").isNotNull()).select(
         sample,
         F.floor((F.col("pos") - 2) / k).cast("bigint").alias("step"),
         F.pmod(F.col("pos") - 2, F.lit(k)).cast("bigint").alias("pos"),

@@ -31,7 +31,7 @@ def tokenize(df: DataFrame, vocab: DataFrame, key: str = "row_id", col: str = "t
     gathered again from that one row's words.
     """
     tokens = df.select(key, F.posexplode_outer(X.words(col)).alias("pos", "word"))
-    coded = lookup(tokens, vocab.select("word", "n", "id"), ["word"], "n", [key, "pos"])
+    coded = lookup(tokens, vocab.select("word", "n", "id"), ["word"], "n", [key, "pos"], stored=True)
     item = F.when(
         F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(UNKNOWN_ID)).alias("id"))
     )

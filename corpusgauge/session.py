@@ -59,9 +59,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Checkpoint reliably, so later stages and retried tasks all see the same rows."""
-    work_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a derived table to the shared folder and read it back.
+
+    Cuts lineage, gives every later reader and retried task the same rows, and lets
+    readers prune columns and see the true size.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def estimated_bytes(df: DataFrame) -> int:
