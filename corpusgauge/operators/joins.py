@@ -96,11 +96,15 @@ def reindex(df: DataFrame, key: str, order: list[str], position: str = "ord") ->
 
 
 def diff_profiles(a: DataFrame, b: DataFrame, suffixes: tuple[str, str] = ("_a", "_b")) -> DataFrame:
-    """Two profiler tables side by side by (report, name), with the change in total."""
+    """Two profiler tables side by side by (report, name), with the change in total.
+
+    A name that one report lacks took no time and no calls there.
+    """
+    left, right = suffixes
+
     def side(df: DataFrame, tail: str) -> DataFrame:
         return df.select("report", "name", F.col("total").alias(f"total{tail}"), F.col("n").alias(f"n{tail}"))
 
-    left, right = suffixes
-    both = side(a, left).join(side(b, right), ["report", "name"], "full_outer")
-    change = F.coalesce(F.col(f"total{right}"), F.lit(0.0)) - F.coalesce(F.col(f"total{left}"), F.lit(0.0))
-    return both.withColumn("total_change", change)
+    numbers = [f"total{left}", f"n{left}", f"total{right}", f"n{right}"]
+    both = side(a, left).join(side(b, right), ["report", "name"], "full_outer").fillna(0, numbers)
+    return both.withColumn("total_change", F.col(f"total{right}") - F.col(f"total{left}"))

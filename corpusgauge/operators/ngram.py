@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusgauge.functions import arrays as A
 from corpusgauge.functions import text as X
 from corpusgauge.operators.joins import lookup
-from corpusgauge.operators.ordering import KEY_BITS, key_range, running_offset
+from corpusgauge.operators.ordering import key_range, range_bits, running_offset
 from corpusgauge.operators.rows import corpus_tokens
 from corpusgauge.session import materialise
 
@@ -41,7 +41,7 @@ def corpus_stream(
     col: str = "text",
     separator: str = "\n\n",
     bos: str | None = None,
-    bits: int = KEY_BITS,
+    bounds: tuple[int, int] | None = None,
 ) -> DataFrame:
     """`(key, pos, token, prev)` over the joined corpus; `pos` counts from its start.
 
@@ -50,24 +50,30 @@ def corpus_stream(
     """
     if not separator.strip(" "):
         raise ValueError("a separator of spaces leaves no token to stand before a row")
-    tokens = corpus_tokens(df, key, col, separator, bos)
-    placed = running_offset(tokens, key, F.size("tokens"), "_off", bits)
-    exploded = explode_tokens(placed, start=_opening(df, key, separator))
+    bounds = bounds or key_range(df, key)
+    tokens = corpus_tokens(df, key, col, separator, bos, bounds)
+    placed = running_offset(tokens, key, F.size("tokens"), "_off", range_bits(*bounds))
+    exploded = explode_tokens(placed, start=_opening(key, separator, bounds))
     return exploded.withColumn("pos", F.col("_off") + F.col("pos")).drop("_off")
 
 
-def _opening(df: DataFrame, key: str, separator: str) -> Column:
+def _opening(key: str, separator: str, bounds: tuple[int, int]) -> Column:
     """What stands before a row's first token: the separator, nothing for the first row."""
-    first, _ = key_range(df, key)
-    return F.when(F.col(key) > F.lit(first), F.lit(separator))
+    return F.when(F.col(key) > F.lit(bounds[0]), F.lit(separator))
 
 
 def corpus_bag(
-    df: DataFrame, key: str, col: str = "text", separator: str = "\n\n", bos: str | None = None
+    df: DataFrame,
+    key: str,
+    col: str = "text",
+    separator: str = "\n\n",
+    bos: str | None = None,
+    bounds: tuple[int, int] | None = None,
 ) -> DataFrame:
     """The joined corpus without global positions, enough for counting n-grams."""
-    tokens = corpus_tokens(df, key, col, separator, bos)
-    return explode_tokens(tokens, start=_opening(df, key, separator))
+    bounds = bounds or key_range(df, key)
+    tokens = corpus_tokens(df, key, col, separator, bos, bounds)
+    return explode_tokens(tokens, start=_opening(key, separator, bounds))
 
 
 def count_ngrams(stream: DataFrame, context: Sequence[str] = ("prev",)) -> DataFrame:

@@ -24,14 +24,17 @@ def key_range(df: DataFrame, key: str) -> tuple[int | None, int | None]:
     return low, high
 
 
-def key_bits(df: DataFrame, key: str) -> int:
-    """Bits the key's values take; spares levels that would be empty."""
-    low, high = key_range(df, key)
+def range_bits(low: int | None, high: int | None) -> int:
+    """Bits that keys from low to high take; spares levels that would be empty."""
     if low is None or low < 0:
         return KEY_BITS
     return max(int(high).bit_length(), 1)
 
 
+def key_bits(df: DataFrame, key: str) -> int:
+    return range_bits(*key_range(df, key))
+
+
 def _bucket_starts(totals: DataFrame, bits: int) -> DataFrame:
     """Sum of `_t` over all lower buckets `_b`, which span `bits` bits."""
     if bits <= TOTAL_BITS + 1:

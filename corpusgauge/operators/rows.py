@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusgauge.functions import text as X
 from corpusgauge.functions.numbers import nan_to_null
-from corpusgauge.operators.ordering import key_range, running_offset
+from corpusgauge.operators.ordering import key_range, range_bits, running_offset
 
 
 def strip_nonblank(df: DataFrame, col: str = "text") -> DataFrame:
@@ -49,15 +49,21 @@ def strip_prompt(df: DataFrame, generated: str, prompt: str, out: str = "complet
 
 
 def corpus_tokens(
-    df: DataFrame, key: str, col: str = "text", separator: str | None = "\n\n", bos: str | None = None
+    df: DataFrame,
+    key: str,
+    col: str = "text",
+    separator: str | None = "\n\n",
+    bos: str | None = None,
+    bounds: tuple[int, int] | None = None,
 ) -> DataFrame:
     """`(key, tokens)`: each row's words plus the separator that follows it in the joined text.
 
     The joined text is never built. A separator made only of spaces yields no token of
     its own; the last row is followed by none. `bos` opens the first row unless there.
+    `bounds` are the first and last key, if known.
     """
     tokens = X.words(col)
-    first, last = key_range(df, key)
+    first, last = bounds or key_range(df, key)
     if separator is not None and separator.strip(" "):
         tokens = F.when(F.col(key) < F.lit(last), F.concat(tokens, F.array(F.lit(separator)))).otherwise(tokens)
     if bos is not None:
@@ -67,11 +73,13 @@ def corpus_tokens(
 
 
 def corpus_offsets(
-    df: DataFrame, key: str = "row_id", col: str = "text", separator: str = "\n\n", bits: int = 63
+    df: DataFrame, key: str = "row_id", col: str = "text", separator: str = "\n\n", bounds: tuple[int, int] | None = None
 ) -> DataFrame:
     """`(key, offset, n)`: where each row's tokens start in the joined corpus."""
-    sized = corpus_tokens(df, key, col, separator).select(key, F.size("tokens").cast("bigint").alias("n"))
-    return running_offset(sized, key, "n", "offset", bits).select(key, "offset", "n")
+    bounds = bounds or key_range(df, key)
+    tokens = corpus_tokens(df, key, col, separator, bounds=bounds)
+    sized = tokens.select(key, F.size("tokens").cast("bigint").alias("n"))
+    return running_offset(sized, key, "n", "offset", range_bits(*bounds)).select(key, "offset", "n")
 
 
 def project(df: DataFrame, *cols: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgauge.functions import text as X
-from corpusgauge.operators.ordering import key_bits
+from corpusgauge.operators.ordering import key_range, range_bits
 from corpusgauge.session import spread
 
 SEPARATOR = "\n\n"
@@ -22,8 +22,12 @@ def documents(spark: SparkSession, sf: str, *more: str) -> DataFrame:
     return spread(table(spark, sf, "documents").select("doc_id", "text", *more), "doc_id")
 
 
+def document_bounds(spark: SparkSession, sf: str) -> tuple[int, int]:
+    return key_range(table(spark, sf, "documents"), "doc_id")
+
+
 def document_bits(spark: SparkSession, sf: str) -> int:
-    return key_bits(table(spark, sf, "documents"), "doc_id")
+    return range_bits(*document_bounds(spark, sf))
 
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:

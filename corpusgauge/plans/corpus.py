@@ -10,6 +10,7 @@ from corpusgauge.operators import blocks, corpus_stats, ordering, rows, vocabula
 from corpusgauge.plans.common import (
     SQL_SAMPLES,
     document_bits,
+    document_bounds,
     documents,
     joined,
     samples,
@@ -169,7 +170,7 @@ def row_index(spark, sf):
     SELECT doc_id, CAST(coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset, n FROM n""",
 )
 def corpus_offsets(spark, sf):
-    return rows.corpus_offsets(documents(spark, sf), "doc_id", bits=document_bits(spark, sf))
+    return rows.corpus_offsets(documents(spark, sf), "doc_id", bounds=document_bounds(spark, sf))
 
 
 @query(

@@ -11,7 +11,7 @@ from corpusgauge.operators import accuracy, blocks, ngram, perplexity, quantize,
 from corpusgauge.plans.common import (
     SEPARATOR,
     SQL_SAMPLES,
-    document_bits,
+    document_bounds,
     documents,
     joined,
     samples,
@@ -51,8 +51,9 @@ def document_model(spark, sf):
 def corpus_nll(spark, sf):
     """`(pos, nll)` of the documents joined into one text, under their own bigram model."""
     docs = documents(spark, sf)
-    stream = ngram.corpus_stream(docs, "doc_id", separator=SEPARATOR, bits=document_bits(spark, sf))
-    scored = ngram.seen_nll(ngram.fit_ngram(ngram.corpus_bag(docs, "doc_id", separator=SEPARATOR)))
+    bounds = document_bounds(spark, sf)
+    stream = ngram.corpus_stream(docs, "doc_id", separator=SEPARATOR, bounds=bounds)
+    scored = ngram.seen_nll(ngram.fit_ngram(ngram.corpus_bag(docs, "doc_id", separator=SEPARATOR, bounds=bounds)))
     return ngram.attach_nll(stream.select("pos", "token", "prev"), scored, ["pos"]).select("pos", "nll")
 
 
@@ -149,10 +150,11 @@ w AS (SELECT "window", count(*) AS trg, sum(nll) AS nll_sum FROM win JOIN nll ON
 
 def unshifted_nll(spark, sf):
     docs = documents(spark, sf)
-    counts = ngram.count_ngrams(ngram.corpus_bag(docs, "doc_id", separator=SEPARATOR, bos="<s>"))
+    bounds = document_bounds(spark, sf)
+    counts = ngram.count_ngrams(ngram.corpus_bag(docs, "doc_id", separator=SEPARATOR, bos="<s>", bounds=bounds))
     own = counts.groupBy("token").agg(F.sum("n").alias("n")).select(F.col("token").alias("prev"), "token", "n")
     own = ngram.score_types(own, ngram.model_from_counts(counts)).drop("prev")
-    stream = ngram.corpus_stream(docs, "doc_id", separator=SEPARATOR, bos="<s>", bits=document_bits(spark, sf))
+    stream = ngram.corpus_stream(docs, "doc_id", separator=SEPARATOR, bos="<s>", bounds=bounds)
     return ngram.attach_nll(stream.select("pos", "token"), own, ["pos"]).select("pos", "nll")
 
 
@@ -187,7 +189,7 @@ SQL_SINGLE = f"WITH {SQL_CORPUS_NLL} SELECT count(nll) AS n_tokens, round(exp(av
 @query("ppl_single", SQL_SINGLE)
 def ppl_single(spark, sf):
     """The whole text needs no positions, so losses are summed per distinct bigram."""
-    model = ngram.fit_ngram(ngram.corpus_bag(documents(spark, sf), "doc_id", separator=SEPARATOR))
+    model = ngram.fit_ngram(ngram.corpus_bag(documents(spark, sf), "doc_id", separator=SEPARATOR, bounds=document_bounds(spark, sf)))
     return rounded_ppl(perplexity.ppl_types(ngram.seen_nll(model)))
 
 
