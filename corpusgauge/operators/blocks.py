@@ -84,23 +84,31 @@ def split_point(n, pct: float):
     return F.rint(n * pct / 100.0).cast("bigint")
 
 
+def _validation_end(df: DataFrame, pct: float, key: str, bits: int) -> int | None:
+    """Key of the first training row; None when every row validates."""
+    cut = df.agg(split_point(F.count("*"), pct)).first()[0]
+    found = with_row_index(df.select(key), key, "_idx", bits).where(F.col("_idx") == cut).first()
+    return found[key] if found else None
+
+
 def split_validation(
     df: DataFrame, pct: float = 5, key: str = "row_id", bits: int = KEY_BITS, existing: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(train, validation): the first pct% of rows validate, only if no validation set exists."""
+    """(train, validation): the first pct% of rows validate, only if no validation set exists.
+
+    Only the keys are numbered. The boundary key then splits the rows where they lie,
+    as a filter pushed to the scan.
+    """
     if existing is not None:
         return df, existing
-    # The boundary key decides both sides, so neither needs the index of every row.
-    cut = df.agg(split_point(F.count("*"), pct)).scalar()
-    marked = with_row_index(df, key, "_idx", bits).withColumn("_val", F.col("_idx") < cut)
-    validation = marked.where("_val").drop("_idx", "_val")
-    train = marked.where(~F.col("_val")).drop("_idx", "_val")
-    return train, validation
+    end = _validation_end(df, pct, key, bits)
+    if end is None:
+        return df.limit(0), df
+    return df.where(F.col(key) >= F.lit(end)), df.where(F.col(key) < F.lit(end))
 
 
 def mark_split(df: DataFrame, pct: float = 5, key: str = "row_id", bits: int = KEY_BITS) -> DataFrame:
     """The same split as a column, for a write partitioned by it."""
-    cut = df.agg(split_point(F.count("*"), pct)).scalar()
-    return with_row_index(df, key, "_idx", bits).withColumn(
-        "split", F.when(F.col("_idx") < cut, "validation").otherwise("train")
-    ).drop("_idx")
+    end = _validation_end(df, pct, key, bits)
+    inside = F.lit(True) if end is None else F.col(key) < F.lit(end)
+    return df.withColumn("split", F.when(inside, "validation").otherwise("train"))

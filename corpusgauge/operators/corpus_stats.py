@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgauge.functions import text as X
+from corpusgauge.session import materialise
 
 
 def text_lengths(df: DataFrame, key: str = "row_id", col: str = "text") -> DataFrame:
@@ -103,7 +104,7 @@ def histogram(df: DataFrame, col: str, bins: int = 50, weight: Column | None = N
 
 def length_histogram(df: DataFrame, bins: int = 50, key: str = "row_id", col: str = "text") -> DataFrame:
     """Histogram of token counts, from the table of length counts."""
-    counts = length_counts(text_lengths(df, key, col))
+    counts = materialise(length_counts(text_lengths(df, key, col)))
     return histogram(counts, "tokens", bins, F.col("rows"))
 
 

@@ -124,30 +124,54 @@ def take_first(
     if order == "select_then_filter":
         return limit_n(df, n, key).where(passing)
     if order == "filter_then_select":
-        return limit_n(df.where(passing), n, key)
+        if n is None or n <= 0:
+            return df.where(passing)
+        return limit_n(_first_hits(df, n, passing, key).where(passing), n, key)
     if order == "early_stop":
         # The count is checked after each row, so a count below 1 still looks at one row.
         if n is None or n <= 0:
             return limit_n(df, 1, key).where(passing)
-        return limit_n(df.where(passing), n, key)
+        return limit_n(_first_hits(df, n, passing, key).where(passing), n, key)
     raise ValueError(f"unknown selection order {order!r}")
 
 
+def _first_hits(df: DataFrame, n: int, passing: Column, key: str) -> DataFrame:
+    """Rows up to a key below which n rows are sure to pass; all rows if there is none.
+
+    A costly predicate then runs over the start of the corpus only. The range grows
+    eightfold until it holds enough hits, and the key bound is pushed to the scan.
+    """
+    total, low, high = df.agg(F.count("*"), F.min(key), F.max(key)).first()
+    if not total:
+        return df
+    span = high - low + 1
+    width = max(span * 8 * n // total, 1)
+    while width < span:
+        start = df.where(F.col(key) < F.lit(low + width))
+        if start.where(passing).limit(n).count() >= n:
+            return start
+        width *= 8
+    return df
+
+
 def stride_windows(n: Column | str, stride: int, context: int) -> Column:
-    """Array of right-extending windows (window, begin, end) over positions 0..n-1."""
+    """Array of right-extending windows (window, begin, end, prev_end) over positions 0..n-1."""
     total = as_column(n)
-    return F.transform(
-        F.sequence(F.lit(0), F.greatest(F.ceil(total / stride) - 1, F.lit(0))),
-        lambda w: F.struct(
+
+    def window(w: Column) -> Column:
+        before = F.when(w > 0, F.least((w - 1) * stride + context, total)).otherwise(F.lit(0))
+        return F.struct(
             w.cast("bigint").alias("window"),
             (w * stride).cast("bigint").alias("begin"),
             F.least(w * stride + context, total).cast("bigint").alias("end"),
-        ),
-    )
+            before.cast("bigint").alias("prev_end"),
+        )
+
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(total / stride) - 1, F.lit(0))), window)
 
 
 def prev_end(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Add the previous window's end, 0 for the first, per sequence in `by`.
+    """Add the previous window's end, 0 for the first, to any table of numbered windows.
 
     Windows stand at equal steps, so the end is looked up by window number with an
     equi-join rather than a lag over one long partition.

@@ -285,7 +285,10 @@ def document_blocks(spark, sf):
 )
 def train_validation_split(spark, sf):
     keys = table(spark, sf, "documents").select("doc_id")
-    return blocks.mark_split(keys, 5, "doc_id", document_bits(spark, sf))
+    train, validation = blocks.split_validation(keys, 5, "doc_id", document_bits(spark, sf))
+    return rows.append_rows(
+        train.withColumn("split", F.lit("train")), validation.withColumn("split", F.lit("validation"))
+    )
 
 
 SQL_SAMPLE_IDS = f"""{SQL_SAMPLES}, texts AS (SELECT sample_id, prompt || ' ' || completion AS text, len({sql_words('prompt')}) AS p FROM samples),

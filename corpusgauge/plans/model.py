@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusgauge.functions import arrays as A
 from corpusgauge.functions import numbers as N
 from corpusgauge.functions import text as X
-from corpusgauge.operators import accuracy, blocks, ngram, perplexity, quantize, rows, speculation, vocabulary
+from corpusgauge.operators import accuracy, blocks, generation, ngram, ordering, perplexity, quantize, rows, speculation
 from corpusgauge.plans.common import (
     SEPARATOR,
     SQL_SAMPLES,
@@ -176,11 +176,8 @@ def overlap_windows(spark, sf):
     SELECT *, lag("end", 1, 0) OVER (PARTITION BY doc_id ORDER BY "window") AS prev_end FROM w""",
 )
 def window_bounds(spark, sf):
-    from corpusgauge.operators import ordering
-
     sized = documents(spark, sf).select("doc_id", X.word_count("text").alias("n")).where("n > 0")
-    windows = sized.select("doc_id", F.inline(ordering.stride_windows("n", 64, 256)))
-    return ordering.prev_end(windows, ["doc_id"])
+    return sized.select("doc_id", F.inline(ordering.stride_windows("n", 64, 256)))
 
 
 SQL_SINGLE = f"WITH {SQL_CORPUS_NLL} SELECT count(nll) AS n_tokens, round(exp(avg(nll)), 6) AS ppl FROM nll"
@@ -381,9 +378,7 @@ def document_acceptance(spark, sf):
 def acceptance_per_run(spark, sf):
     per_doc = document_acceptance(spark, sf).drop("steps", "accept_rate")
     runs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("run_id"))
-    from corpusgauge.operators.generation import rollup_runs
-
-    totals = rollup_runs(per_doc.join(runs, "doc_id"), "run_id", ["accepted", "rejected", "rollbacks"])
+    totals = generation.rollup_runs(per_doc.join(runs, "doc_id"), "run_id", ["accepted", "rejected", "rollbacks"])
     return totals.select(
         "*",
         F.round(N.accept_rate("accepted", "rejected", "max1"), 9).alias("rate_max1"),

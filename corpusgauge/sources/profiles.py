@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 SECTION_MARK = r"(?m)^ \*\* "
 SECTION_NAME = r"\((\w+)\):"
 NUMBER = r"(-?[\d.]+)"
-TIMED_ROW = r"^\s+" + r"\s+".join([NUMBER] * 8) + r"\s{2}(\S.*)$"
-SIZED_ROW = r"^\s+" + r"\s+".join([NUMBER] * 7) + r"\s{2}(\S.*)$"
+TIMED_ROW = r"^\s+" + r"\s+".join([NUMBER] * 8) + r"\s+(\S.*)$"
+SIZED_ROW = r"^\s+" + r"\s+".join([NUMBER] * 7) + r"\s+(\S.*)$"
 TIMED_FIELDS = ("time_pct", "total", "n", "avg", "med", "min", "max", "stddev")
 SIZED_FIELDS = ("total", "n", "avg", "med", "min", "max", "stddev")
 

@@ -49,8 +49,12 @@ def wide_to_long(df: DataFrame, ids: list[str]) -> DataFrame:
 
 
 def log_rows(df: DataFrame, path: str, ids: tuple[str, ...] = ("run_id", "step")) -> None:
-    """Append per-sample metrics in long form; a run's steps share a folder."""
-    wide_to_long(df, list(ids)).write.mode("append").partitionBy("run_id").parquet(path)
+    """Append per-sample metrics in long form; a run's steps share a folder.
+
+    Rebalancing gathers a run's rows into few files and splits a run that is very long.
+    """
+    long = wide_to_long(df, list(ids)).hint("rebalance", F.col("run_id"))
+    long.write.mode("append").partitionBy("run_id").parquet(path)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
