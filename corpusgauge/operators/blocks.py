@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgauge.functions import arrays as A
+from corpusgauge.operators.joins import attach_narrow
 from corpusgauge.operators.ordering import KEY_BITS, with_row_index
+from corpusgauge.session import materialise
 
 BATCH_ROWS = 1000  # fixed value: rows concatenated together before chunking
 
@@ -21,20 +23,20 @@ def group_texts(
 ) -> DataFrame:
     """`(batch, block, input_ids, labels)`: each batch's ids laid end to end and cut.
 
-    A batch is `batch_rows` rows in key order; its last partial block is dropped. Rows
-    are cut into pieces at block edges, so whole arrays travel and a block gathers at
-    most `block_size` pieces. The grouping reuses the batch partitioning.
+    A batch is `batch_rows` rows in key order; its last partial block is dropped. Only
+    sizes are ordered and numbered. Rows are cut into pieces at block edges, so whole
+    arrays travel once and a block gathers at most `block_size` pieces.
     """
-    indexed = with_row_index(df.select(key, ids), key, "_idx", bits)
-    batched = indexed.select(
-        F.floor(F.col("_idx") / batch_rows).cast("bigint").alias("batch"), key, ids, F.size(ids).alias("_n")
-    )
+    sizes = materialise(df.select(key, F.size(ids).cast("bigint").alias("_len")))
+    indexed = with_row_index(sizes, key, "_idx", bits)
+    batched = indexed.select(F.floor(F.col("_idx") / batch_rows).cast("bigint").alias("batch"), key, "_len")
     before = Window.partitionBy("batch").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    placed = batched.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).where(F.col("_n") > 0)
+    offsets = batched.withColumn("_off", F.coalesce(F.sum("_len").over(before), F.lit(0))).where(F.col("_len") > 0)
+    placed = attach_narrow(df.select(key, ids), offsets, key, sizes.count())
 
     def piece(b):
         start = F.greatest(b * block_size - F.col("_off"), F.lit(0))
-        stop = F.least((b + 1) * block_size - F.col("_off"), F.col("_n"))
+        stop = F.least((b + 1) * block_size - F.col("_off"), F.col("_len"))
         return F.struct(
             b.alias("block"),
             (F.col("_off") + start).alias("at"),
@@ -42,11 +44,11 @@ def group_texts(
         )
 
     first = F.floor(F.col("_off") / block_size)
-    last = F.floor((F.col("_off") + F.col("_n") - 1) / block_size)
+    last = F.floor((F.col("_off") + F.col("_len") - 1) / block_size)
     pieces = placed.select("batch", F.inline(F.transform(F.sequence(first, last), piece)))
     return (
         pieces.groupBy("batch", "block")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("_p"))
+        .agg(F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("_p"))
         .select("batch", "block", F.flatten(F.col("_p.piece")).alias("input_ids"))
         .where(F.size("input_ids") == block_size)
         .withColumn("labels", F.col("input_ids"))

@@ -9,8 +9,8 @@ from corpusgauge.session import materialise
 
 HOT_KEYS = 1000  # bound on the rows broadcast for hot keys
 HOT_SLICES = 1 << 16
-SMALL_ROWS = 200_000  # a lookup table this short and this light is broadcast whole
-SMALL_BYTES = 16 << 20
+SMALL_ROWS = 1_000_000  # a lookup table this short and this light is broadcast whole
+SMALL_BYTES = 32 << 20
 
 
 def measured(df: DataFrame, weight: str) -> tuple[int, int, bool]:
@@ -53,9 +53,15 @@ def lookup(
     return joined.select(*left.columns, *[found[c].alias(c) for c in payload])
 
 
-def key_weights(left: DataFrame, keys: list[str], name: str = "_rows") -> DataFrame:
-    """Rows per key, with map-side combining; the weights `lookup` asks for."""
-    return left.groupBy(*keys).agg(F.count("*").alias(name))
+def attach_narrow(wide: DataFrame, narrow: DataFrame, key: str, rows: int) -> DataFrame:
+    """Join a few fixed-width columns per key onto wide rows, on a key unique in both.
+
+    A narrow side of known, small row count is broadcast, so the wide rows stay put.
+    Otherwise both are shuffled by the key. Left alone, the planner may take arrays for
+    small and broadcast the wide side.
+    """
+    side = F.broadcast(narrow) if rows <= SMALL_ROWS else narrow.hint("shuffle_hash")
+    return wide.join(side, key)
 
 
 def expand_samples(df: DataFrame, n: int) -> DataFrame:

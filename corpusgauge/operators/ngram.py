@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusgauge.functions import arrays as A
 from corpusgauge.functions import text as X
-from corpusgauge.operators.joins import lookup
+from corpusgauge.operators.joins import attach_narrow, lookup
 from corpusgauge.operators.ordering import key_range, range_bits, running_offset
 from corpusgauge.operators.rows import corpus_tokens
 from corpusgauge.session import materialise
@@ -42,8 +42,8 @@ def corpus_stream(
     separator: str = "\n\n",
     bos: str | None = None,
     bounds: tuple[int, int] | None = None,
-) -> DataFrame:
-    """`(key, pos, token, prev)` over the joined corpus; `pos` counts from its start.
+) -> tuple[DataFrame, int]:
+    """`(key, pos, token, prev)` over the joined corpus, and its length; `pos` counts from its start.
 
     A row after the first is always preceded by the separator, so no token has to look
     into another row.
@@ -52,9 +52,13 @@ def corpus_stream(
         raise ValueError("a separator of spaces leaves no token to stand before a row")
     bounds = bounds or key_range(df, key)
     tokens = corpus_tokens(df, key, col, separator, bos, bounds)
-    placed = running_offset(tokens, key, F.size("tokens"), "_off", range_bits(*bounds))
+    # Only the sizes are ordered and added up, not the tokens.
+    sizes = materialise(tokens.select(key, F.size("tokens").cast("bigint").alias("n")))
+    rows, length = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    offsets = running_offset(sizes, key, "n", "offset", range_bits(*bounds)).select(key, "offset")
+    placed = attach_narrow(tokens, offsets, key, rows)
     exploded = explode_tokens(placed, start=_opening(key, separator, bounds))
-    return exploded.withColumn("pos", F.col("_off") + F.col("pos")).drop("_off")
+    return exploded.withColumn("pos", F.col("offset") + F.col("pos")).drop("offset"), length
 
 
 def _opening(key: str, separator: str, bounds: tuple[int, int]) -> Column:

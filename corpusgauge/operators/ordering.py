@@ -55,17 +55,18 @@ def running_offset(
     df: DataFrame, key: str, size: Column | str, name: str = "offset", bits: int = KEY_BITS
 ) -> DataFrame:
     """Add the sum of `size` over all rows with a smaller key."""
+    # Working columns stay clear of the caller's: _b, _size, _before, _start.
     sized = df.withColumn("_b", F.shiftright(F.col(key).cast("bigint"), ROW_BITS)).withColumn(
-        "_n", as_column(size).cast("bigint")
+        "_size", as_column(size).cast("bigint")
     )
-    totals = sized.groupBy("_b").agg(F.sum("_n").alias("_t"))
+    totals = sized.groupBy("_b").agg(F.sum("_size").alias("_t"))
     starts = _bucket_starts(totals, max(bits - ROW_BITS, 1))
     before = Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    local = sized.withColumn("_local", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    local = sized.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
     return (
         local.join(starts, "_b")
-        .withColumn(name, F.col("_start") + F.col("_local"))
-        .drop("_b", "_n", "_local", "_start")
+        .withColumn(name, F.col("_start") + F.col("_before"))
+        .drop("_b", "_size", "_before", "_start")
     )
 
 

@@ -3,6 +3,10 @@
 The variants differ only in which window scores a position and how windows are
 weighted. A position's window is arithmetic on `pos`, so no range join is needed; only
 overlapping windows repeat a position, and their total needs just its repeat count.
+
+The `windows_*` and `ppl_*` functions take any loss table, gaps included. For a corpus
+under its own bigram counts every loss is known, so a position's share of the result is
+a closed form (`weight_*`) and the whole variant is one weighted sum over bigrams.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgauge.functions.text import as_column
+from corpusgauge.session import materialise
 
 
 def _window_means(placed: DataFrame, first: Column) -> DataFrame:
@@ -111,10 +116,100 @@ def ppl_single(nll: DataFrame) -> DataFrame:
     return nll.agg(F.count("nll").alias("n_tokens"), F.exp(F.avg("nll")).alias("ppl"))
 
 
-def ppl_types(scored: DataFrame) -> DataFrame:
-    """The same from n-gram counts: losses weighted by how often each n-gram occurs."""
-    return scored.agg(
-        F.sum("n").alias("n_tokens"), F.exp(F.sum(F.col("nll") * F.col("n")) / F.sum("n")).alias("ppl")
+def weight_left(n: int, stride: int = 512, max_len: int = 2048) -> Column:
+    """What a position counts for in `ppl_strided_left` of n tokens: targets over scored targets."""
+    start = F.floor(F.col("pos") / stride) * stride
+    begin = F.greatest(start + stride - max_len, F.lit(0))
+    end = F.least(start + stride, F.lit(n))
+    return _weight(end - start, end - F.greatest(start, begin + 1), begin)
+
+
+def weight_right(n: int, stride: int = 512, max_len: int = 2048) -> Column:
+    """The same for `ppl_strided_right`: valid labels less one over scored targets."""
+    if stride <= max_len:
+        window = F.when(F.col("pos") < max_len, F.lit(0)).otherwise(F.floor((F.col("pos") - max_len) / stride) + 1)
+    else:
+        window = F.floor(F.col("pos") / stride)
+    begin = window * stride
+    end = F.least(begin + max_len, F.lit(n))
+    prev_end = F.when(window > 0, (window - 1) * stride + max_len).otherwise(F.lit(0))
+    first = F.greatest(prev_end, begin)
+    outside = F.col("pos") >= end
+    return F.when(outside, F.lit(0.0)).otherwise(
+        _weight(end - first - 1, end - F.greatest(first, begin + 1), begin)
+    )
+
+
+def _weight(counted: Column, scored: Column, begin: Column) -> Column:
+    """NaN for a window that scores nothing, 0 for a window's own first token."""
+    ratio = counted.cast("double") / F.greatest(scored, F.lit(1))
+    return F.when(scored <= 0, F.lit(float("nan"))).when(F.col("pos") <= begin, F.lit(0.0)).otherwise(ratio)
+
+
+def weight_overlap(stride: int = 512, ctx: int = 2048) -> Column:
+    """The same for `ppl_overlap`: how many windows hold the position."""
+    first, last = _first_last(F.col("pos"), stride, ctx)
+    return F.greatest(last - first + 1, F.lit(0)).cast("double")
+
+
+def weigh_bigrams(stream: DataFrame, weight: Column) -> DataFrame:
+    """`(prev, token, n, w)`: occurrences and total weight per bigram, in one pass over the text.
+
+    A loss hangs on its bigram alone, so positions need no join with the model and only
+    bigram totals, combined map-side, are shuffled. Written out, as three readers follow.
+    """
+    types = stream.groupBy("prev", "token").agg(F.count("*").alias("n"), F.sum(weight).alias("w"))
+    return materialise(types)
+
+
+def ppl_bigrams(types: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """Perplexity of a text under the add-alpha bigram model of its own counts.
+
+    The loss is ln(context total) - ln(count), so its weighted sum splits into one sum
+    over bigrams and one over contexts, and the two never have to be joined.
+    """
+    vocab = types.agg(F.count_distinct("token")).first()[0]
+    known = types.where(F.col("prev").isNotNull())
+    pairs = _log_sum(known, F.lit(alpha))
+    contexts = known.groupBy("prev").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+    total = _log_sum(contexts, F.lit(alpha * vocab))
+    return _ppl(types.agg(F.sum("w").alias("w")).select("w", (total - pairs).alias("loss")))
+
+
+def _log_sum(df: DataFrame, add: Column) -> Column:
+    """Sum of w * ln(n + add). Weights of equal counts are added first: few terms, little rounding."""
+    by_count = df.groupBy("n").agg(F.sum("w").alias("w"))
+    return by_count.agg(F.sum(F.col("w") * F.ln(F.col("n") + add))).scalar()
+
+
+def ppl_own_token(types: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """Unshifted scoring: each position is asked for its own token, given that token.
+
+    Every bigram adds its weight to its token, and its count to its context; both meet in
+    one grouping by word.
+    """
+    vocab = types.agg(F.count_distinct("token")).first()[0]
+    same = F.when(F.col("prev") == F.col("token"), F.col("n")).otherwise(0)
+    parts = F.array(
+        F.struct(F.col("token").alias("word"), F.col("w"), F.lit(0).cast("bigint").alias("ctx"), F.lit(0).cast("bigint").alias("own")),
+        F.struct(F.col("prev").alias("word"), F.lit(0.0).alias("w"), F.col("n").alias("ctx"), same.cast("bigint").alias("own")),
+    )
+    words = (
+        types.select(F.inline(parts))
+        .where(F.col("word").isNotNull())
+        .groupBy("word")
+        .agg(F.sum("w").alias("w"), F.sum("ctx").alias("ctx"), F.sum("own").alias("own"))
+    )
+    loss = F.ln(F.col("ctx") + alpha * vocab) - F.ln(F.col("own") + alpha)
+    # Words with equal counts lose equally; adding their weights first also keeps rounding down.
+    alike = words.groupBy("ctx", "own").agg(F.sum("w").alias("w"))
+    return _ppl(alike.agg(F.sum("w").alias("w"), F.sum(F.col("w") * loss).alias("loss")))
+
+
+def _ppl(sums: DataFrame) -> DataFrame:
+    return sums.select(
+        F.when(~F.isnan("w"), F.round("w").cast("bigint")).alias("n_tokens"),
+        F.exp(F.try_divide("loss", "w")).alias("ppl"),
     )
 
 

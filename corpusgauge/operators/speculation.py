@@ -21,10 +21,13 @@ def draft_tokens(stream: DataFrame, counts: DataFrame, sample: str, k: int) -> D
     per distinct pair of tokens and then to the positions.
     """
     draft = best_next(marginal(counts, ["prev"]), "draft")
-    target = best_next(counts, "target")
     known = counts.dropna(subset=["prev2", "prev"])
-    pairs = known.groupBy("prev2", "prev").agg(F.sum("n").alias("_rows"))
-    both = pairs.join(target, ["prev2", "prev"]).join(draft, "prev")
+    likeliest = F.min(F.struct((-F.col("n")).alias("neg"), F.col("token").alias("token")))
+    # One grouping gives both the target's choice and how many positions ask for it.
+    pairs = known.groupBy("prev2", "prev").agg(likeliest.alias("_first"), F.sum("n").alias("_rows"))
+    both = pairs.join(draft, "prev").select(
+        "prev2", "prev", "draft", F.col("_first.token").alias("target"), "_rows"
+    )
     placed = stream.where(F.col("prev").isNotNull() & F.col("prev2").isNotNull()).select(
         sample,
         F.floor((F.col("pos") - 2) / k).cast("bigint").alias("step"),

@@ -37,7 +37,7 @@ def tokenize(df: DataFrame, vocab: DataFrame, key: str = "row_id", col: str = "t
     )
     return (
         coded.groupBy(key)
-        .agg(F.array_sort(F.collect_list(item)).alias("_t"))
+        .agg(F.sort_array(F.collect_list(item)).alias("_t"))
         .select(key, F.col("_t.id").alias("input_ids"))
     )
 

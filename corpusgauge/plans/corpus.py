@@ -20,6 +20,7 @@ from corpusgauge.plans.common import (
     sql_words,
     table,
 )
+from corpusgauge.session import materialise
 
 BLOCK = 128
 W = sql_words("text")
@@ -275,7 +276,9 @@ def group_texts(spark, sf):
 
 
 def document_blocks(spark, sf):
-    return blocks.group_texts(encoded_documents(spark, sf), BLOCK, key="doc_id", bits=document_bits(spark, sf))
+    """Blocks of the encoded documents, which are written out once as several steps read them."""
+    encoded = materialise(encoded_documents(spark, sf))
+    return blocks.group_texts(encoded, BLOCK, key="doc_id", bits=document_bits(spark, sf))
 
 
 @query(

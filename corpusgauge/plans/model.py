@@ -48,12 +48,17 @@ def document_model(spark, sf):
     return ngram.fit_ngram(ngram.row_tokens(documents(spark, sf), "doc_id"))
 
 
+def corpus_stream(spark, sf, bos=None):
+    return ngram.corpus_stream(
+        documents(spark, sf), "doc_id", separator=SEPARATOR, bos=bos, bounds=document_bounds(spark, sf)
+    )
+
+
 def corpus_nll(spark, sf):
     """`(pos, nll)` of the documents joined into one text, under their own bigram model."""
-    docs = documents(spark, sf)
-    bounds = document_bounds(spark, sf)
-    stream = ngram.corpus_stream(docs, "doc_id", separator=SEPARATOR, bounds=bounds)
-    scored = ngram.seen_nll(ngram.fit_ngram(ngram.corpus_bag(docs, "doc_id", separator=SEPARATOR, bounds=bounds)))
+    stream, _ = corpus_stream(spark, sf)
+    bag = ngram.corpus_bag(documents(spark, sf), "doc_id", separator=SEPARATOR, bounds=document_bounds(spark, sf))
+    scored = ngram.seen_nll(ngram.fit_ngram(bag))
     return ngram.attach_nll(stream.select("pos", "token", "prev"), scored, ["pos"]).select("pos", "nll")
 
 
@@ -107,7 +112,9 @@ w AS (SELECT "window", "begin", "end", trg, count(nll) AS labelled, coalesce(avg
 
 @query("ppl_strided_left", f"WITH {SQL_LEFT} SELECT CAST(sum(trg) AS BIGINT) AS n_tokens, round(exp(sum(mean_nll * trg) / sum(trg)), 6) AS ppl FROM w")
 def ppl_strided_left(spark, sf):
-    return rounded_ppl(perplexity.ppl_strided_left(corpus_nll(spark, sf), STRIDE, CONTEXT))
+    stream, n = corpus_stream(spark, sf)
+    types = perplexity.weigh_bigrams(stream, perplexity.weight_left(n, STRIDE, CONTEXT))
+    return rounded_ppl(perplexity.ppl_bigrams(types))
 
 
 @query("windows_left", f'WITH {SQL_LEFT} SELECT "window", "begin", "end", trg, labelled, round(mean_nll, 9) AS mean_nll FROM w')
@@ -127,7 +134,9 @@ w AS (SELECT "window", "begin", "end", "end" - prev_end AS trg, count(nll) AS la
 
 @query("ppl_strided_right", f"WITH {SQL_RIGHT} SELECT CAST(sum(trg - 1) AS BIGINT) AS n_tokens, round(exp(sum(mean_nll * (trg - 1)) / sum(trg - 1)), 6) AS ppl FROM w")
 def ppl_strided_right(spark, sf):
-    return rounded_ppl(perplexity.ppl_strided_right(corpus_nll(spark, sf), STRIDE, CONTEXT))
+    stream, n = corpus_stream(spark, sf)
+    types = perplexity.weigh_bigrams(stream, perplexity.weight_right(n, STRIDE, CONTEXT))
+    return rounded_ppl(perplexity.ppl_bigrams(types))
 
 
 @query("windows_right", f'WITH {SQL_RIGHT} SELECT "window", "begin", "end", trg, labelled, round(mean_nll, 9) AS mean_nll FROM w')
@@ -149,18 +158,20 @@ w AS (SELECT "window", count(*) AS trg, sum(nll) AS nll_sum FROM win JOIN nll ON
 
 
 def unshifted_nll(spark, sf):
-    docs = documents(spark, sf)
     bounds = document_bounds(spark, sf)
-    counts = ngram.count_ngrams(ngram.corpus_bag(docs, "doc_id", separator=SEPARATOR, bos="<s>", bounds=bounds))
+    bag = ngram.corpus_bag(documents(spark, sf), "doc_id", separator=SEPARATOR, bos="<s>", bounds=bounds)
+    counts = ngram.count_ngrams(bag)
     own = counts.groupBy("token").agg(F.sum("n").alias("n")).select(F.col("token").alias("prev"), "token", "n")
     own = ngram.score_types(own, ngram.model_from_counts(counts)).drop("prev")
-    stream = ngram.corpus_stream(docs, "doc_id", separator=SEPARATOR, bos="<s>", bounds=bounds)
+    stream, _ = corpus_stream(spark, sf, bos="<s>")
     return ngram.attach_nll(stream.select("pos", "token"), own, ["pos"]).select("pos", "nll")
 
 
 @query("ppl_overlap", f"WITH {SQL_UNSHIFTED} SELECT CAST(sum(trg) AS BIGINT) AS n_tokens, round(exp(sum(nll_sum) / sum(trg)), 6) AS ppl FROM w")
 def ppl_overlap(spark, sf):
-    return rounded_ppl(perplexity.ppl_overlap(unshifted_nll(spark, sf), STRIDE, CONTEXT))
+    stream, _ = corpus_stream(spark, sf, bos="<s>")
+    types = perplexity.weigh_bigrams(stream, perplexity.weight_overlap(STRIDE, CONTEXT))
+    return rounded_ppl(perplexity.ppl_own_token(types))
 
 
 @query("overlap_windows", f'WITH {SQL_UNSHIFTED} SELECT "window", trg, round(nll_sum, 6) AS nll_sum FROM w')
@@ -185,9 +196,10 @@ SQL_SINGLE = f"WITH {SQL_CORPUS_NLL} SELECT count(nll) AS n_tokens, round(exp(av
 
 @query("ppl_single", SQL_SINGLE)
 def ppl_single(spark, sf):
-    """The whole text needs no positions, so losses are summed per distinct bigram."""
-    model = ngram.fit_ngram(ngram.corpus_bag(documents(spark, sf), "doc_id", separator=SEPARATOR, bounds=document_bounds(spark, sf)))
-    return rounded_ppl(perplexity.ppl_types(ngram.seen_nll(model)))
+    """The whole text needs no positions."""
+    bag = ngram.corpus_bag(documents(spark, sf), "doc_id", separator=SEPARATOR, bounds=document_bounds(spark, sf))
+    weight = F.when(F.col("prev").isNotNull(), 1.0).otherwise(0.0)
+    return rounded_ppl(perplexity.ppl_bigrams(perplexity.weigh_bigrams(bag, weight)))
 
 
 @query("ppl_single_by_position", SQL_SINGLE)

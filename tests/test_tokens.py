@@ -185,7 +185,9 @@ def corpus_case(spark, texts, bos=None):
     if bos:
         seq = [bos] + seq
     df = frame(spark, texts).withColumn("row_id", F.col("row_id") * 5)
-    return seq, ngram.corpus_stream(df, "row_id", bos=bos)
+    stream, n = ngram.corpus_stream(df, "row_id", bos=bos)
+    assert n == len(seq)
+    return seq, stream
 
 
 def test_corpus_stream(spark):
@@ -272,12 +274,47 @@ def test_single_conditional_continuation(spark):
     assert cont[1] == pytest.approx(math.exp(7 / 3)) and cont[2] == pytest.approx(math.exp(3.0))
 
 
-def test_types_equal_positions(spark):
+@pytest.mark.parametrize("stride,limit", [(8, 32), (8, 8), (5, 12), (8, 3), (1000, 2000)])
+def test_bigram_sums_equal_windows_over_positions(spark, stride, limit):
     texts = make_texts(30)
     df = frame(spark, texts)
+    stream, n = ngram.corpus_stream(df, "row_id")
     scored = ngram.seen_nll(ngram.fit_ngram(ngram.corpus_bag(df, "row_id")))
-    by_pos = perplexity.ppl_single(ngram.attach_nll(ngram.corpus_stream(df, "row_id"), scored, ["pos"])).first()
-    by_type = perplexity.ppl_types(scored).first()
+    nll = ngram.attach_nll(stream, scored, ["pos"]).select("pos", "nll")
+    for weight, by_window in (
+        (perplexity.weight_left(n, stride, limit), perplexity.ppl_strided_left),
+        (perplexity.weight_right(n, stride, limit), perplexity.ppl_strided_right),
+    ):
+        got = perplexity.ppl_bigrams(perplexity.weigh_bigrams(stream, weight)).first()
+        want = by_window(nll, stride, limit).first()
+        assert (got.n_tokens, got.ppl) == (want.n_tokens, pytest.approx(want.ppl)) or math.isnan(want.ppl) and math.isnan(got.ppl)
+
+
+def test_window_without_labels_gives_nan(spark):
+    # 9 tokens in windows of 8 with no carried context: the last window scores nothing.
+    df = frame(spark, ["a b c d e f g h i"])
+    stream, n = ngram.corpus_stream(df, "row_id")
+    types = perplexity.weigh_bigrams(stream, perplexity.weight_left(n, 8, 8))
+    assert math.isnan(perplexity.ppl_bigrams(types).first().ppl)
+
+
+@pytest.mark.parametrize("stride,ctx", [(4, 8), (8, 8), (8, 3)])
+def test_own_token_sums_equal_overlaps(spark, stride, ctx):
+    texts = make_texts(20)
+    seq, stream = corpus_case(spark, texts, "<s>")
+    nll, _ = bigrams([seq])
+    want = overlap([nll(t, t) for t in seq], stride, ctx)
+    types = perplexity.weigh_bigrams(stream, perplexity.weight_overlap(stride, ctx))
+    assert perplexity.ppl_own_token(types).first().ppl == pytest.approx(want)
+
+
+def test_single_sums(spark):
+    df = frame(spark, make_texts(30))
+    scored = ngram.seen_nll(ngram.fit_ngram(ngram.corpus_bag(df, "row_id")))
+    stream, _ = ngram.corpus_stream(df, "row_id")
+    by_pos = perplexity.ppl_single(ngram.attach_nll(stream, scored, ["pos"])).first()
+    weight = F.when(F.col("prev").isNotNull(), 1.0).otherwise(0.0)
+    by_type = perplexity.ppl_bigrams(perplexity.weigh_bigrams(ngram.corpus_bag(df, "row_id"), weight)).first()
     assert by_pos.n_tokens == by_type.n_tokens
     assert by_pos.ppl == pytest.approx(by_type.ppl)
 
