@@ -11,33 +11,45 @@ HOT_KEYS = 1000  # bound on the rows broadcast for hot keys
 HOT_SLICES = 1 << 16
 SMALL_ROWS = 1_000_000  # a lookup table this short and this light is broadcast whole
 SMALL_BYTES = 32 << 20
+HASH_ROWS = 1_000_000  # lookup rows a task may hold in memory
 
 
-def measured(df: DataFrame, weight: str) -> tuple[int, int, bool]:
+def is_small(rows: int, size: int) -> bool:
+    """Whether a table of so many rows and bytes may be broadcast."""
+    return rows <= SMALL_ROWS and size <= SMALL_BYTES
+
+
+def measured(df: DataFrame, weight: str | None = None) -> tuple[int, int, bool]:
     """Rows, total weight and whether the table is small enough to broadcast, by counting."""
-    rows, total = df.agg(F.count("*"), F.coalesce(F.sum(weight), F.lit(0))).first()
+    weights = F.coalesce(F.sum(weight), F.lit(0)) if weight else F.lit(0)
+    rows, total = df.agg(F.count("*"), weights).first()
     if rows > SMALL_ROWS:
         return rows, total, False
     size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0]
-    return rows, total, (size or 0) <= SMALL_BYTES
+    return rows, total, is_small(rows, size or 0)
 
 
 def lookup(
-    left: DataFrame, right: DataFrame, keys: list[str], weight: str, salt: list[str], stored: bool = False
+    left: DataFrame, right: DataFrame, keys: list[str], weight: str | None, salt: list[str], stored: bool = False
 ) -> DataFrame:
     """Left-join a table unique on `keys` where some keys may own a third of `left`.
 
-    `weight` is the number of left rows per key. The table is written out first unless
-    `stored`, then measured. A small one is broadcast. In a large one, keys above
+    `weight` is the number of left rows per key; if None, a large table is first met with
+    the keys counted in `left`, those it lacks included. The table is written out first
+    unless `stored`, then measured. A small one is broadcast. In a large one, keys above
     1/HOT_KEYS of the total weight number fewer than HOT_KEYS, so they are broadcast;
     the others are too small to skew a shuffle. Left rows already served, and rows with
     a null key, are spread over the shuffle by `salt`.
     """
     payload = [c for c in right.columns if c not in keys and c != weight]
     table = right if stored else materialise(right)
-    _, total, small = measured(table, weight)
+    rows, total, small = measured(table, weight)
     if small:
-        return left.join(F.broadcast(table.drop(weight)), keys, "left").select(*left.columns, *payload)
+        return left.join(F.broadcast(table.select(*keys, *payload)), keys, "left").select(*left.columns, *payload)
+    if weight is None:
+        weight = "_rows"
+        table = materialise(key_weights(left, keys, weight).join(table, keys, "left"))
+        rows, total, _ = measured(table, weight)
     is_hot = F.col(weight) > F.lit(total / HOT_KEYS)
     hot = table.where(is_hot).select(*keys, F.struct(*payload).alias("_hot"))
     cold = table.where(~is_hot).select(*keys, F.lit(0).alias("_slice"), F.struct(*payload).alias("_cold"))
@@ -48,11 +60,19 @@ def lookup(
     served = left.join(F.broadcast(hot), keys, "left").withColumn(
         "_slice", F.when(settled, spread).otherwise(F.lit(0))
     )
-    joined = served.join(cold, [*keys, "_slice"], "left")
+    # Unique keys hash evenly, so a partition's share is known; within bounds it is hashed
+    # in memory, which spares sorting the many left rows.
+    share = rows / int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = served.join(cold.hint("shuffle_hash" if share <= HASH_ROWS else "merge"), [*keys, "_slice"], "left")
     found = F.coalesce("_hot", "_cold")
     return joined.select(*left.columns, *[found[c].alias(c) for c in payload])
 
 
+def key_weights(left: DataFrame, keys: list[str], name: str = "_rows") -> DataFrame:
+    """Rows per key, combined map-side."""
+    return left.groupBy(*keys).agg(F.count("*").alias(name))
+
+
 def attach_narrow(wide: DataFrame, narrow: DataFrame, key: str, rows: int) -> DataFrame:
     """Join a few fixed-width columns per key onto wide rows, on a key unique in both.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusgauge.functions import arrays as A
 from corpusgauge.functions import text as X
-from corpusgauge.operators.joins import attach_narrow, lookup
+from corpusgauge.operators.joins import attach_narrow, is_small, lookup
 from corpusgauge.operators.ordering import key_range, range_bits, running_offset
 from corpusgauge.operators.rows import corpus_tokens
 from corpusgauge.session import materialise
@@ -95,14 +95,19 @@ def marginal(counts: DataFrame, context: Sequence[str]) -> DataFrame:
 
 def model_from_counts(counts: DataFrame, context: Sequence[str] = ("prev",)) -> DataFrame:
     """`(context.., token, n, ctx_n, vocab)` with the vocabulary size of everything counted."""
-    vocab = F.lit(counts.agg(F.count_distinct("token")).first()[0])
+    words = counts.groupBy("token").agg(F.octet_length("token").alias("size"))
+    size, weight = words.agg(F.count("token"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    vocab = F.lit(size)
     known = counts.dropna(subset=list(context)) if context else counts
     if not context:
         total = known.agg(F.sum("n")).first()[0] or 0
         return known.select("token", "n", F.lit(total).alias("ctx_n"), vocab.alias("vocab"))
-    # Contexts meet their n-grams on a table of distinct n-grams; adaptive execution
-    # splits a context that owns very many of them.
     totals = known.groupBy(*context).agg(F.sum("n").alias("ctx_n"))
+    # A one-word context is a word of the vocabulary, whose size was just measured. A big
+    # one meets its n-grams in a shuffle of distinct n-grams, where adaptive execution
+    # splits a context that owns very many of them.
+    if len(context) == 1 and is_small(size, weight):
+        totals = F.broadcast(totals)
     return known.join(totals, list(context)).select(*context, "token", "n", "ctx_n", vocab.alias("vocab"))
 
 

@@ -24,14 +24,18 @@ def fit_vocab(df: DataFrame, col: str = "text") -> DataFrame:
     return ids.select("word", "n", (F.col("rank") + 1).cast("int").alias("id"))
 
 
-def tokenize(df: DataFrame, vocab: DataFrame, key: str = "row_id", col: str = "text") -> DataFrame:
+def tokenize(
+    df: DataFrame, vocab: DataFrame, key: str = "row_id", col: str = "text", own: bool = False
+) -> DataFrame:
     """`(key, input_ids)`; source columns drop out, a blank text gives an empty array.
 
-    Words meet the vocabulary by a join balanced on word frequency. Each row's ids are
+    Words meet the vocabulary by a join balanced on word frequency: the vocabulary's
+    counts if it is the corpus' `own`, else counts taken here. Each row's ids are
     gathered again from that one row's words.
     """
     tokens = df.select(key, F.posexplode_outer(X.words(col)).alias("pos", "word"))
-    coded = lookup(tokens, vocab.select("word", "n", "id"), ["word"], "n", [key, "pos"], stored=True)
+    words = vocab.select("word", "n", "id") if own else vocab.select("word", "id")
+    coded = lookup(tokens, words, ["word"], "n" if own else None, [key, "pos"], stored=True)
     item = F.when(
         F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(UNKNOWN_ID)).alias("id"))
     )

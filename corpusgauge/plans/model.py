@@ -7,7 +7,17 @@ from pyspark.sql import functions as F
 from corpusgauge.functions import arrays as A
 from corpusgauge.functions import numbers as N
 from corpusgauge.functions import text as X
-from corpusgauge.operators import accuracy, blocks, generation, ngram, ordering, perplexity, quantize, rows, speculation
+from corpusgauge.operators import (
+    accuracy,
+    blocks,
+    generation,
+    ngram,
+    ordering,
+    perplexity,
+    quantize,
+    rows,
+    speculation,
+)
 from corpusgauge.plans.common import (
     SEPARATOR,
     SQL_SAMPLES,
@@ -22,6 +32,7 @@ from corpusgauge.plans.common import (
     table,
 )
 from corpusgauge.plans.corpus import SQL_BLOCKS, document_blocks
+from corpusgauge.session import materialise
 
 STRIDE, CONTEXT = 512, 2048
 ASSIST = 3
@@ -44,8 +55,12 @@ SQL_DOC_STREAM = f"""{sql_doc_tokens()}, stream AS (
 SQL_CORPUS_NLL = f"{sql_stream()}, {sql_nll()}"
 
 
+def document_counts(spark, sf):
+    return ngram.count_ngrams(ngram.row_tokens(documents(spark, sf), "doc_id"))
+
+
 def document_model(spark, sf):
-    return ngram.fit_ngram(ngram.row_tokens(documents(spark, sf), "doc_id"))
+    return ngram.model_from_counts(document_counts(spark, sf))
 
 
 def corpus_stream(spark, sf, bos=None):
@@ -304,7 +319,7 @@ def shift_labels(spark, sf):
 def next_token_accuracy(spark, sf):
     pairs = blocks.shift_labels(document_blocks(spark, sf))
     # A prediction depends on its token alone, so distinct pairs with counts are enough.
-    counts = pairs.groupBy("token", "label").agg(F.count("*").alias("n"))
+    counts = materialise(pairs.groupBy("token", "label").agg(F.count("*").alias("n")))
     model = counts.select(F.col("token").alias("prev"), F.col("label").alias("token"), "n")
     best = ngram.best_next(model, "pred").withColumnRenamed("prev", "token")
     out = accuracy.token_accuracy(counts.join(best, "token"), weight="n")
@@ -329,7 +344,7 @@ def benchmark_prompts(spark, sf):
     avg(CASE WHEN best = target THEN 1.0::DOUBLE ELSE 0 END) AS accuracy FROM lw LEFT JOIN best ON prev = last_seen""",
 )
 def last_word_accuracy(spark, sf):
-    best = ngram.best_next(document_model(spark, sf))
+    best = ngram.best_next(document_counts(spark, sf))
     prompts = benchmark_prompts(spark, sf)
     made = ngram.greedy_completion(prompts, best, "item_id", "last_seen", 1)
     return accuracy.last_word_accuracy(made, "target", "completion")
@@ -343,7 +358,7 @@ def last_word_accuracy(spark, sf):
     FROM lw LEFT JOIN best b1 ON b1.prev = last_seen LEFT JOIN best b2 ON b2.prev = b1.best LEFT JOIN best b3 ON b3.prev = b2.best""",
 )
 def greedy_completion(spark, sf):
-    best = ngram.best_next(document_model(spark, sf))
+    best = ngram.best_next(document_counts(spark, sf))
     out = ngram.greedy_completion(benchmark_prompts(spark, sf), best, "item_id", "last_seen", 3)
     return out.select("item_id", "completion", "n_tokens")
 

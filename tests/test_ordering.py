@@ -87,6 +87,22 @@ def test_lookup_on_hot_and_null_keys(spark, monkeypatch, small):
     assert got == [(i, known.get(w)) for i, w in enumerate(words)]
 
 
+@pytest.mark.parametrize("rows", [3, joins.SMALL_ROWS + 1])
+def test_attach_narrow(spark, rows):
+    wide = spark.createDataFrame([(1, ["a"]), (2, ["b", "c"]), (3, [])], "k long, tokens array<string>")
+    narrow = spark.createDataFrame([(1, 0), (2, 1), (3, 3)], "k long, offset long")
+    assert rows_of(joins.attach_narrow(wide, narrow, "k", rows)) == [(1, ["a"], 0), (2, ["b", "c"], 1), (3, [], 3)]
+
+
+def test_lookup_sorts_when_a_task_cannot_hold_the_table(spark, monkeypatch):
+    monkeypatch.setattr(joins, "SMALL_ROWS", 0)
+    monkeypatch.setattr(joins, "HASH_ROWS", 0)
+    left = spark.range(300).select(F.col("id").alias("pos"), F.concat(F.lit("w"), F.col("id") % 50).alias("word"))
+    right = spark.range(50).select(F.concat(F.lit("w"), "id").alias("word"), F.col("id"), F.lit(6).alias("n"))
+    out = joins.lookup(left, right, ["word"], "n", ["pos"])
+    assert out.where(F.col("word") == F.concat(F.lit("w"), "id")).count() == 300
+
+
 def test_hot_side_stays_bounded(spark, monkeypatch):
     monkeypatch.setattr(joins, "SMALL_ROWS", 0)
     left = spark.range(1000).select(F.col("id").alias("pos"), F.lit("the").alias("word"))

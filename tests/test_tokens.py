@@ -39,15 +39,24 @@ def test_vocab_and_tokenize(spark):
     assert rows_of(other) == [(0, [ids["cat"], 0]), (1, [])]
 
 
-def test_tokenize_on_the_large_path(spark, monkeypatch):
+@pytest.mark.parametrize("own", [True, False])
+def test_tokenize_on_the_large_path(spark, monkeypatch, own):
     monkeypatch.setattr(joins, "SMALL_ROWS", 0)
     texts = make_texts(40)
     df = frame(spark, texts)
     ids = vocab_of(texts)
-    got = dict(rows_of(vocabulary.tokenize(df, vocabulary.fit_vocab(df))))
+    got = dict(rows_of(vocabulary.tokenize(df, vocabulary.fit_vocab(df), own=own)))
     assert got == {i: [ids[w] for w in t.split()] for i, t in enumerate(texts)}
 
 
+def test_a_hot_unknown_word_is_balanced(spark, monkeypatch):
+    monkeypatch.setattr(joins, "SMALL_ROWS", 0)
+    monkeypatch.setattr(joins, "HOT_KEYS", 3)
+    vocab = vocabulary.fit_vocab(frame(spark, ["a b", "a"]))
+    got = rows_of(vocabulary.tokenize(frame(spark, ["zzz " * 50 + "b", "", "a zzz"]), vocab))
+    assert got == [(0, [0] * 50 + [2]), (1, []), (2, [1, 0])]
+
+
 def test_tokenize_with(spark):
     df = frame(spark, ["a bb", ""])
     out = vocabulary.tokenize_with(df, lambda ts: [[len(w) for w in t.split()] for t in ts])
