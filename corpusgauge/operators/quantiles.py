@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgauge.operators.joins import lookup
+from corpusgauge.session import materialise
 
 ACCURACY = 10_000  # the sketch's rank error is at most 1/ACCURACY of the group
 
@@ -17,35 +18,50 @@ def exact_percentiles(
 ) -> DataFrame:
     """`(by.., mark..)`: linearly interpolated percentiles of the non-null values.
 
-    A sketch first gives a bracket sure to hold the wanted ranks. Everything outside it
-    collapses to counts before the shuffle, and only the bracket's distinct values are
-    ranked: about 6/ACCURACY of a group, or all of it up to ACCURACY values.
+    Groups of up to ACCURACY values are small enough for the built-in aggregate, which
+    holds a group's values. Larger ones are first narrowed to a bracket of values.
     """
     keys = list(by) or ["_all"]
     rows = df if by else df.withColumn("_all", F.lit(0))
     rows = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    sizes = materialise(rows.groupBy(*keys).agg(F.count("*").alias("_n")))
+    biggest = sizes.agg(F.max("_n")).first()[0] or 0
+    if biggest <= ACCURACY:
+        out = _small_groups(rows, keys, marks)
+    else:
+        tagged = lookup(rows, sizes.withColumn("n", F.col("_n")), keys, "_n", ["_v"], stored=True)
+        small = _small_groups(tagged.where(F.col("n") <= ACCURACY), keys, marks)
+        out = small.unionByName(_large_groups(tagged.where(F.col("n") > ACCURACY), keys, marks))
+    return out if by else out.drop("_all")
+
+
+def _small_groups(rows: DataFrame, keys: list[str], marks: Mapping[str, float]) -> DataFrame:
+    return rows.groupBy(*keys).agg(*[F.percentile("_v", float(q)).alias(name) for name, q in marks.items()])
+
+
+def _large_groups(rows: DataFrame, keys: list[str], marks: Mapping[str, float]) -> DataFrame:
+    """Percentiles of big groups, none of which is gathered.
+
+    A sketch gives a bracket sure to hold the wanted ranks. Everything outside it
+    collapses to counts before the shuffle, and only the bracket's distinct values, about
+    6/ACCURACY of a group, are ranked.
+    """
     margin = 3.0 / ACCURACY
     points = [p for q in marks.values() for p in (max(q - margin, 0.0), min(q + margin, 1.0))]
     sketch = F.percentile_approx("_v", [float(p) for p in points], ACCURACY)
     groups = rows.groupBy(*keys).agg(F.count("*").alias("_n"), sketch.alias("_s"))
-    brackets = groups.select(
-        *keys,
-        F.col("_n"),
-        F.array(
-            *[
-                F.struct(
-                    F.lit(name).alias("mark"),
-                    F.lit(float(q)).alias("q"),
-                    F.col("_n").alias("n"),
-                    F.when(F.col("_n") > ACCURACY, F.col("_s")[2 * i]).alias("lo"),
-                    F.when(F.col("_n") > ACCURACY, F.col("_s")[2 * i + 1]).alias("hi"),
-                )
-                for i, (name, q) in enumerate(marks.items())
-            ]
-        ).alias("_b"),
-    )
-    marked = lookup(rows, brackets, keys, "_n", ["_v"]).select(*keys, "_v", F.inline("_b"))
-    # 0 below the bracket, 1 inside, 2 above; an open side has no bound.
+    bounds = [
+        F.struct(
+            F.lit(name).alias("mark"),
+            F.lit(float(q)).alias("q"),
+            F.col("_s")[2 * i].alias("lo"),
+            F.col("_s")[2 * i + 1].alias("hi"),
+        )
+        for i, (name, q) in enumerate(marks.items())
+    ]
+    brackets = groups.select(*keys, "_n", F.array(*bounds).alias("_b"))
+    marked = lookup(rows, brackets, keys, "_n", ["_v"]).select(*keys, "_v", "n", F.inline("_b"))
+    # 0 below the bracket, 1 inside, 2 above.
     zone = F.when(F.col("_v") < F.col("lo"), 0).when(F.col("_v") > F.col("hi"), 2).otherwise(1)
     counts = (
         marked.withColumn("_z", zone)
@@ -66,5 +82,4 @@ def exact_percentiles(
     exact = F.when(bad, F.raise_error(F.lit("percentile bracket missed its rank")).cast("double")).otherwise(
         (1 - part) * F.col("_lo._k") + part * F.col("_hi._k")
     )
-    wide = found.groupBy(*keys).pivot("mark", list(marks)).agg(F.first(exact))
-    return wide if by else wide.drop("_all")
+    return found.groupBy(*keys).pivot("mark", list(marks)).agg(F.first(exact))

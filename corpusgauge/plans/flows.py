@@ -37,13 +37,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-@query("load_corpus_split", "SELECT doc_id, text FROM documents WHERE lang = 'en'")
+@query("load_corpus_split", "SELECT doc_id AS row_id, text FROM documents WHERE lang = 'en'")
 def load_corpus_split(spark, sf):
     """Languages play the splits: written to split folders, one of them read back."""
     path = scratch_path(spark, "corpus")
     docs = table(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("split"))
     docs.write.partitionBy("split").parquet(path)
-    return source.load_corpus(spark, path, "en").select("doc_id", "text")
+    return source.load_corpus(spark, path, "en", "doc_id").select("row_id", "text")
 
 
 @query(
@@ -59,6 +59,19 @@ def load_text_files(spark, sf):
     return lines.groupBy(F.col(column).alias("text")).agg(F.count("*").alias("n"))
 
 
+@query(
+    "numbered_text_lines",
+    """WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+    f AS (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS text FROM d)
+    SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS row_id, text FROM f""",
+)
+def numbered_text_lines(spark, sf):
+    """Documents written in order to text files, whose lines are numbered as they are read."""
+    path = scratch_path(spark, "corpus") + ".txt"
+    documents(spark, sf).orderBy("doc_id").select("text").write.text(path)
+    return source.load_file(spark, path, keep_linebreaks=False, numbered=True)
+
+
 @query("load_json_files", "SELECT doc_id, text FROM documents")
 def load_json_files(spark, sf):
     path = scratch_path(spark, "corpus") + ".json"

@@ -2,19 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TEXT_FORMATS = {"csv": "csv", "json": "json", "txt": "text"}
 
 
-def load_corpus(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    """A Parquet corpus; `split` filters on the split column and prunes its folders."""
-    df = spark.read.parquet(path)
+def load_corpus(spark: SparkSession, path: str, split: str | None = None, key: str = "row_id") -> DataFrame:
+    """A Parquet corpus; `split` filters on the split column and prunes its folders.
+
+    `key` names the unique integer column that orders the rows; it becomes `row_id`.
+    """
+    df = spark.read.parquet(path).withColumnRenamed(key, "row_id")
     return df.where(F.col("split") == split) if split is not None else df
 
 
+def number_rows(scan: DataFrame, name: str = "row_id") -> DataFrame:
+    """Number the rows of a file scan 0, 1, 2.. by file path and position in the file.
+
+    A split's rows are read in order, so only the splits are sorted and counted: one
+    small row each, and the texts are not shuffled.
+    """
+    placed = scan.select(
+        *scan.columns,
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_seq"),
+    )
+    before = Window.orderBy("_file", "_split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        placed.groupBy("_file", "_split")
+        .agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
+        .select("_file", "_split", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    )
+    return placed.join(F.broadcast(starts), ["_file", "_split"]).select(
+        (F.col("_seq") + F.col("_shift")).alias(name), *scan.columns
+    )
+
+
 def file_kind(path: str) -> str:
     extension = path.rsplit(".", 1)[-1]
     if extension not in TEXT_FORMATS:
@@ -27,21 +53,27 @@ def load_file(
     path: str,
     schema: T.StructType | None = None,
     keep_linebreaks: bool = True,
+    numbered: bool = False,
 ) -> DataFrame:
     """Read a csv, json-lines or txt file, chosen by extension.
 
     Text files give one `text` row per line; the terminator Spark drops is put back
-    when `keep_linebreaks` is set.
+    when `keep_linebreaks` is set. `numbered` adds the `row_id` other operators order by.
     """
     kind = file_kind(path)
-    if kind == "text":
-        lines = spark.read.text(path)
-        value = F.concat("value", F.lit("\n")) if keep_linebreaks else F.col("value")
-        return lines.select(value.alias("text"))
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    if kind == "csv":
-        return reader.csv(path, header=True, multiLine=True, escape='"')
-    return reader.json(path)
+    if kind == "text":
+        df = spark.read.text(path)
+    elif kind == "csv":
+        df = reader.csv(path, header=True, multiLine=True, escape='"')
+    else:
+        df = reader.json(path)
+    if numbered:
+        df = number_rows(df)
+    if kind != "text":
+        return df
+    value = F.concat("value", F.lit("\n")) if keep_linebreaks else F.col("value")
+    return df.select(*[c for c in df.columns if c != "value"], value.alias("text"))
 
 
 def load_files(
@@ -50,6 +82,7 @@ def load_files(
     validation: str | None = None,
     schema: T.StructType | None = None,
     keep_linebreaks: bool = True,
+    numbered: bool = False,
 ) -> dict[str, DataFrame]:
     """Train and validation files by split name; both must have allowed extensions."""
     paths = {k: v for k, v in (("train", train), ("validation", validation)) if v is not None}
@@ -57,11 +90,10 @@ def load_files(
         raise ValueError("need a train or a validation file")
     for path in paths.values():
         file_kind(path)
-    # The first file's extension decides the format for both.
     kinds = {file_kind(p) for p in paths.values()}
     if len(kinds) > 1:
         raise ValueError("train and validation files must have the same extension")
-    return {k: load_file(spark, p, schema, keep_linebreaks) for k, p in paths.items()}
+    return {k: load_file(spark, p, schema, keep_linebreaks, numbered) for k, p in paths.items()}
 
 
 def text_column(df: DataFrame) -> str:

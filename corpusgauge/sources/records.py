@@ -9,19 +9,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusgauge.operators.ordering import limit_n
+from corpusgauge.sources.corpus import number_rows
+
 PROBLEM_SCHEMA = T.StructType(
     [T.StructField(name, T.StringType()) for name in ("task_id", "prompt", "test", "entry_point")]
 )
 
 
 def read_problems(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Problem records from JSON lines; `limit` keeps the first tasks in file order.
-
-    File order is the order of Spark's own limit over a single scan, so the limit is
-    taken before any shuffle.
-    """
+    """Problem records from JSON lines; `limit` keeps the first tasks in file order."""
     df = spark.read.schema(PROBLEM_SCHEMA).json(path)
-    return df.limit(limit) if limit is not None else df
+    if limit is None:
+        return df
+    return limit_n(number_rows(df, "_at"), limit, "_at").drop("_at") if limit > 0 else df.limit(0)
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -65,6 +65,22 @@ def test_text_files(spark, tmp_path):
             corpus.load_files(spark, **bad)
 
 
+def test_rows_are_numbered_in_file_order(spark, tmp_path):
+    folder = tmp_path / "c.txt"
+    folder.mkdir()
+    want = []
+    for name, count in (("a", 3), ("b", 400), ("c", 0), ("d", 25)):
+        lines = [f"{name}{i:04d}" for i in range(count)]
+        want += lines
+        (folder / name).write_text("".join(x + "\n" for x in lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        got = rows_of(corpus.load_file(spark, str(folder), keep_linebreaks=False, numbered=True))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == list(enumerate(want))
+
+
 def test_load_corpus_split(spark, tmp_path):
     path = str(tmp_path / "c")
     spark.createDataFrame([(1, "train", "a"), (2, "test", "b")], "row_id long, split string, text string").write.partitionBy("split").parquet(path)
@@ -79,6 +95,7 @@ def test_problems_and_completions(spark, tmp_path):
     records.write_jsonl(problems, path)
     assert rows_of(records.read_problems(spark, path)) == data
     assert [r.task_id for r in records.read_problems(spark, path, 2).collect()] == ["t/0", "t/1"]
+    assert records.read_problems(spark, path, 0).count() == 0
 
 
 def test_logs_and_config(spark, tmp_path):
