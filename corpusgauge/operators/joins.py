@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusgauge.session import materialise
 
@@ -12,6 +13,7 @@ HOT_SLICES = 1 << 16
 SMALL_ROWS = 1_000_000  # a lookup table this short and this light is broadcast whole
 SMALL_BYTES = 32 << 20
 HASH_ROWS = 1_000_000  # lookup rows a task may hold in memory
+SERVED_SHARE = 0.6  # rows the broadcast must serve to make a second read of the left worth it
 
 
 def is_small(rows: int, size: int) -> bool:
@@ -19,16 +21,49 @@ def is_small(rows: int, size: int) -> bool:
     return rows <= SMALL_ROWS and size <= SMALL_BYTES
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """Rough bytes of a row: strings by length, numbers flat, nested values as text."""
+    total = F.lit(0)
+    for field in df.schema.fields:
+        kind = field.dataType
+        if isinstance(kind, T.StringType):
+            total = total + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            total = total + F.octet_length(F.to_json(F.struct(field.name)))
+        total = total + F.lit(16)
+    return total
+
+
 def measured(df: DataFrame, weight: str | None = None) -> tuple[int, int, bool]:
     """Rows, total weight and whether the table is small enough to broadcast, by counting."""
     weights = F.coalesce(F.sum(weight), F.lit(0)) if weight else F.lit(0)
     rows, total = df.agg(F.count("*"), weights).first()
     if rows > SMALL_ROWS:
         return rows, total, False
-    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0]
+    size = df.agg(F.sum(row_bytes(df))).first()[0]
     return rows, total, is_small(rows, size or 0)
 
 
+def heaviest(table: DataFrame, weight: str, total: int) -> tuple[int, float]:
+    """Least weight of the keys to broadcast, and the share of rows they own.
+
+    As many of the heaviest keys as fit the broadcast bounds, and in any case those above
+    1/HOT_KEYS of the total, of which there are fewer than HOT_KEYS.
+    """
+    steps = table.groupBy(F.col(weight).alias("w")).agg(
+        F.count("*").alias("rows"), F.sum(row_bytes(table)).alias("bytes")
+    )
+    # One row per distinct weight, which is few even for a very large table.
+    heavier = Window.orderBy(F.desc("w")).rowsBetween(Window.unboundedPreceding, 0)
+    steps = steps.select("w", (F.col("w") * F.col("rows")).alias("owned"), *[
+        F.sum(c).over(heavier).alias(c) for c in ("rows", "bytes")
+    ])
+    fits = (F.col("rows") <= SMALL_ROWS) & (F.col("bytes") <= SMALL_BYTES)
+    chosen = steps.where(fits | (F.col("w") * HOT_KEYS > F.lit(total)))
+    least, owned = chosen.agg(F.min("w"), F.sum("owned")).first()
+    return (total + 1, 0.0) if least is None else (least, owned / max(total, 1))
+
+
 def lookup(
     left: DataFrame, right: DataFrame, keys: list[str], weight: str | None, salt: list[str], stored: bool = False
 ) -> DataFrame:
@@ -36,10 +71,12 @@ def lookup(
 
     `weight` is the number of left rows per key; if None, a large table is first met with
     the keys counted in `left`, those it lacks included. The table is written out first
-    unless `stored`, then measured. A small one is broadcast. In a large one, keys above
-    1/HOT_KEYS of the total weight number fewer than HOT_KEYS, so they are broadcast;
-    the others are too small to skew a shuffle. Left rows already served, and rows with
-    a null key, are spread over the shuffle by `salt`.
+    unless `stored`, then measured.
+
+    A small table is broadcast. Of a large one the heaviest keys are broadcast, and the
+    others are too light to skew a shuffle. If the heaviest own most rows, the rows they
+    serve are not shuffled at all, at the price of reading `left` twice. Otherwise `left`
+    is read once, and rows already served or without a key are spread by `salt`.
     """
     payload = [c for c in right.columns if c not in keys and c != weight]
     table = right if stored else materialise(right)
@@ -50,20 +87,26 @@ def lookup(
         weight = "_rows"
         table = materialise(key_weights(left, keys, weight).join(table, keys, "left"))
         rows, total, _ = measured(table, weight)
-    is_hot = F.col(weight) > F.lit(total / HOT_KEYS)
+    least, share = heaviest(table, weight, total)
+    twice = share >= SERVED_SHARE
+    is_hot = F.col(weight) >= F.lit(least) if twice else F.col(weight) * HOT_KEYS > F.lit(total)
     hot = table.where(is_hot).select(*keys, F.struct(*payload).alias("_hot"))
-    cold = table.where(~is_hot).select(*keys, F.lit(0).alias("_slice"), F.struct(*payload).alias("_cold"))
-    spread = F.pmod(F.xxhash64(*salt), F.lit(HOT_SLICES)).cast("int") + 1
+    cold = table.where(~is_hot).select(*keys, F.struct(*payload).alias("_cold"))
+    # Unique keys hash evenly, so a task's part of the table is known; within bounds it is
+    # hashed in memory, which spares sorting the many left rows.
+    part = rows / int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cold = cold.hint("shuffle_hash" if part <= HASH_ROWS else "merge")
     settled = F.col("_hot").isNotNull()
     for k in keys:
         settled = settled | F.col(k).isNull()
-    served = left.join(F.broadcast(hot), keys, "left").withColumn(
-        "_slice", F.when(settled, spread).otherwise(F.lit(0))
-    )
-    # Unique keys hash evenly, so a partition's share is known; within bounds it is hashed
-    # in memory, which spares sorting the many left rows.
-    share = rows / int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    joined = served.join(cold.hint("shuffle_hash" if share <= HASH_ROWS else "merge"), [*keys, "_slice"], "left")
+    served = left.join(F.broadcast(hot), keys, "left")
+    if twice:
+        done = served.where(settled).select(*left.columns, *[F.col("_hot")[c].alias(c) for c in payload])
+        rest = served.where(~settled).select(*left.columns).join(cold, keys, "left")
+        return done.union(rest.select(*left.columns, *[F.col("_cold")[c].alias(c) for c in payload]))
+    spread = F.pmod(F.xxhash64(*salt), F.lit(HOT_SLICES)).cast("int") + 1
+    sliced = served.withColumn("_slice", F.when(settled, spread).otherwise(F.lit(0)))
+    joined = sliced.join(cold.withColumn("_slice", F.lit(0)), [*keys, "_slice"], "left")
     found = F.coalesce("_hot", "_cold")
     return joined.select(*left.columns, *[found[c].alias(c) for c in payload])
 

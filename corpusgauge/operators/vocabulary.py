@@ -36,14 +36,13 @@ def tokenize(
     tokens = df.select(key, F.posexplode_outer(X.words(col)).alias("pos", "word"))
     words = vocab.select("word", "n", "id") if own else vocab.select("word", "id")
     coded = lookup(tokens, words, ["word"], "n" if own else None, [key, "pos"], stored=True)
+    # Position in the high half, id in the low one: plain numbers gather and sort fast.
     item = F.when(
-        F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(UNKNOWN_ID)).alias("id"))
-    )
-    return (
-        coded.groupBy(key)
-        .agg(F.sort_array(F.collect_list(item)).alias("_t"))
-        .select(key, F.col("_t.id").alias("input_ids"))
+        F.col("pos").isNotNull(),
+        F.shiftleft(F.col("pos").cast("bigint"), 32) + F.coalesce("id", F.lit(UNKNOWN_ID)),
     )
+    ids = F.transform(F.sort_array(F.collect_list(item)), lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+    return coded.groupBy(key).agg(ids.alias("input_ids"))
 
 
 def tokenize_with(

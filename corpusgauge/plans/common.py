@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,23 @@ from corpusgauge.session import spread
 SEPARATOR = "\n\n"
 
 
+def collection() -> tuple[dict, dict, Callable]:
+    """A module's queries, their SQL, and the decorator that enters both under one name."""
+    queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+    sql_by_name: dict[str, str] = {}
+
+    def query(name: str, sql: str | None = None):
+        def register(fn):
+            queries[name] = fn
+            if sql is not None:
+                sql_by_name[name] = sql
+            return fn
+
+        return register
+
+    return queries, sql_by_name, query
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

@@ -8,6 +8,7 @@ from corpusgauge.functions import arrays as A
 from corpusgauge.functions import text as X
 from corpusgauge.operators import blocks, corpus_stats, ordering, rows, vocabulary
 from corpusgauge.plans.common import (
+    collection,
     SQL_SAMPLES,
     document_bits,
     document_bounds,
@@ -27,18 +28,7 @@ W = sql_words("text")
 STRIPPED = f"s AS (SELECT doc_id, {sql_strip('text')} AS text FROM documents)"
 LENGTHS = f"{STRIPPED}, l AS (SELECT doc_id, text, length(text) AS chars, len({W}) AS tokens FROM s WHERE text <> '')"
 
-QUERIES = {}
-ORACLE = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-
-    return register
+QUERIES, ORACLE, query = collection()
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusgauge.functions import text as X
 from corpusgauge.operators import callbacks, history, rows, vocabulary
 from corpusgauge.plans.common import (
+    collection,
     SQL_GENERATIONS,
     SQL_SAMPLES,
     documents,
@@ -23,18 +24,7 @@ from corpusgauge.sources import corpus as source
 from corpusgauge.sources import profiles, records
 from corpusgauge.streaming import jobs
 
-QUERIES = {}
-ORACLE = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-
-    return register
+QUERIES, ORACLE, query = collection()
 
 
 @query("load_corpus_split", "SELECT doc_id AS row_id, text FROM documents WHERE lang = 'en'")
@@ -215,7 +205,7 @@ def stream_words(spark, sf):
     sink, checkpoint = scratch_path(spark, "words"), scratch_path(spark, "state")
     schema = table(spark, sf, "documents").select("doc_id", "text").schema
     sdf = source.stream_corpus(spark, f"{sf}/documents*.parquet", schema)
-    done = jobs._start(
+    done = jobs.start(
         jobs.stream_words(sdf, "doc_id").writeStream.format("parquet").outputMode("append").option("path", sink), checkpoint
     )
     done.awaitTermination()

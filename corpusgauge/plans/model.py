@@ -19,6 +19,7 @@ from corpusgauge.operators import (
     speculation,
 )
 from corpusgauge.plans.common import (
+    collection,
     SEPARATOR,
     SQL_SAMPLES,
     document_bounds,
@@ -36,18 +37,7 @@ from corpusgauge.session import materialise
 
 STRIDE, CONTEXT = 512, 2048
 ASSIST = 3
-QUERIES = {}
-ORACLE = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-
-    return register
+QUERIES, ORACLE, query = collection()
 
 
 SQL_DOC_STREAM = f"""{sql_doc_tokens()}, stream AS (

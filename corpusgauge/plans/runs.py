@@ -6,20 +6,9 @@ from pyspark.sql import functions as F
 
 from corpusgauge.functions import numbers as N
 from corpusgauge.operators import accuracy, generation, history, joins, report, rows
-from corpusgauge.plans.common import SQL_GENERATIONS, generations, table
+from corpusgauge.plans.common import SQL_GENERATIONS, collection, generations, table
 
-QUERIES = {}
-ORACLE = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-
-    return register
+QUERIES, ORACLE, query = collection()
 
 
 def rounded(df, *cols, places=9):

@@ -12,7 +12,8 @@ from corpusgauge.operators.vocabulary import tokenize
 from corpusgauge.sources.records import wide_to_long
 
 
-def _start(writer: DataStreamWriter, checkpoint: str) -> StreamingQuery:
+def start(writer: DataStreamWriter, checkpoint: str) -> StreamingQuery:
+    """Run over what has arrived, from where the checkpoint left off."""
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -33,7 +34,7 @@ def stream_tokenise(
     def encode(batch: DataFrame, epoch: int) -> None:
         tokenize(batch, vocab, key, col).write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
 
-    return _start(sdf.select(key, col).writeStream.foreachBatch(encode), checkpoint)
+    return start(sdf.select(key, col).writeStream.foreachBatch(encode), checkpoint)
 
 
 def stream_group_texts(
@@ -55,10 +56,10 @@ def stream_group_texts(
         blocks = group_texts(batch, block_size, batch_rows, key, ids)
         blocks.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
 
-    return _start(sdf.select(key, ids).writeStream.foreachBatch(build), checkpoint)
+    return start(sdf.select(key, ids).writeStream.foreachBatch(build), checkpoint)
 
 
 def stream_metrics(sdf: DataFrame, sink: str, checkpoint: str, ids: tuple[str, ...] = ("run_id", "step")) -> StreamingQuery:
     """Append per-step metrics in long form while runs go on."""
     long = wide_to_long(sdf, list(ids))
-    return _start(long.writeStream.format("parquet").partitionBy("run_id").outputMode("append").option("path", sink), checkpoint)
+    return start(long.writeStream.format("parquet").partitionBy("run_id").outputMode("append").option("path", sink), checkpoint)

@@ -74,11 +74,12 @@ def test_stride_windows_and_prev_end(spark, n, stride, ctx):
     assert rows_of(again, "window", "begin", "end", "prev_end") == want
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_lookup_on_hot_and_null_keys(spark, monkeypatch, small):
-    if not small:
-        monkeypatch.setattr(joins, "SMALL_ROWS", 0)
+@pytest.mark.parametrize("way", ["small", "once", "twice", "twice with few"])
+def test_lookup_on_hot_and_null_keys(spark, monkeypatch, way):
+    if way != "small":
+        monkeypatch.setattr(joins, "SMALL_ROWS", 100 if way == "twice with few" else 0)
         monkeypatch.setattr(joins, "HOT_KEYS", 4)
+        monkeypatch.setattr(joins, "SERVED_SHARE", 2.0 if way == "once" else 0.0)
     words = ["the"] * 400 + ["of"] * 150 + [f"w{i}" for i in range(300)] + [None] * 40 + ["absent"]
     left = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "pos long, word string")
     known = {w: i for i, w in enumerate(sorted({w for w in words if w and w != "absent"}))}
@@ -103,6 +104,19 @@ def test_lookup_sorts_when_a_task_cannot_hold_the_table(spark, monkeypatch):
     assert out.where(F.col("word") == F.concat(F.lit("w"), "id")).count() == 300
 
 
+def test_heaviest_keys_fit_the_bounds(spark, monkeypatch):
+    table = spark.createDataFrame([(f"w{i}", 100 // (i + 1)) for i in range(50)], "word string, n long")
+    total = sum(100 // (i + 1) for i in range(50))
+    monkeypatch.setattr(joins, "HOT_KEYS", 2)
+    monkeypatch.setattr(joins, "SMALL_ROWS", 5)
+    least, share = joins.heaviest(table, "n", total)
+    assert least == 20 and share == pytest.approx((100 + 50 + 33 + 25 + 20) / total)
+    monkeypatch.setattr(joins, "SMALL_BYTES", 0)
+    assert joins.heaviest(table, "n", total) == (total + 1, 0.0)
+    monkeypatch.setattr(joins, "HOT_KEYS", 6)
+    assert joins.heaviest(table, "n", total)[0] == 100
+
+
 def test_hot_side_stays_bounded(spark, monkeypatch):
     monkeypatch.setattr(joins, "SMALL_ROWS", 0)
     left = spark.range(1000).select(F.col("id").alias("pos"), F.lit("the").alias("word"))
