@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusgauge.llm import packing
+from corpusgauge.llm import packing, simhash
 from corpusgauge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +35,11 @@ def public_vocabulary(name: str = "word_bpe_49k.json") -> str:
 def op8_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Every document in as few 4096-token sequences as the search finds; one row per piece."""
     return packing.pack_documents(table(spark, sf, "documents"), public_vocabulary())
+
+
+@query
+def op4_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every document."""
+    found = simhash.near_duplicates(table(spark, sf, "documents"))
+    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return found.select("doc_id", hexed.alias("fingerprint"), "component_id")
