@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgauge.llm import packing, simhash
-from corpusgauge.llm.common import table
+from corpusgauge.llm import langid, packing, simhash
+from corpusgauge.llm.common import crc_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -43,3 +43,13 @@ def op4_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf, "documents"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return found.select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+@query
+def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """Predicted language of every document, learned from three quarters of the labelled ones."""
+    held_out = F.coalesce(crc_remainder("doc_id", 4) == 2, F.lit(False))
+    docs = table(spark, sf, "documents")
+    filters = langid.fit(docs.where(~held_out))
+    found = langid.predict(docs.select("doc_id", "text"), filters)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
