@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 BATCH_BYTES = 8 << 20  # text handed to a Python task at a time
 BATCH_ROWS = 4096
@@ -63,3 +64,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 def crc_remainder(column: str, divisor: int):
     """crc32 of the id written as text, modulo `divisor`; null for a null id."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(divisor))
+
+
+def extended(df: DataFrame, ddl: str) -> StructType:
+    """The frame's schema with more columns behind."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])

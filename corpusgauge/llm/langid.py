@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgauge.llm.common import bounded_batches, mix
+from corpusgauge.llm.common import bounded_batches, extended, mix
 
 GRAM = 4  # characters of an n-gram, blanks between words included
 SLOTS = 1 << 20
@@ -254,7 +254,7 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     sent = spark.sparkContext.broadcast((filters.langs, filters.masks, filters.fill))
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     at = kept.index("text")
-    kind = docs.select(kept).schema.add("lang_pred", "string").add("score", "double")
+    kind = extended(docs.select(kept), "lang_pred string, score double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Filters(*sent.value)

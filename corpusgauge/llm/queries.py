@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgauge.llm import langid, packing, simhash
+from corpusgauge.llm import langid, lines, packing, sentences, simhash
 from corpusgauge.llm.common import crc_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,55 @@ def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
     filters = langid.fit(docs.where(~held_out))
     found = langid.predict(docs.select("doc_id", "text"), filters)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def _cut_digest(found: DataFrame, units: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return found.select(
+        "doc_id", F.col("n_units").alias(units), "n_removed",
+        F.length(text).cast("bigint").alias("n_kept_chars"), F.sha2(text, 256).alias("kept_sha256"),
+    )
+
+
+def _cut_sql(pieces: str, blanks: str, units: str, width: int = 3) -> str:
+    """SQL of the repeated-run cut: pieces of each text, windows over those that are not blank."""
+    key = " || chr(0) || ".join(f"lead(c, {k}) OVER w" if k else "c" for k in range(width))
+    return f"""WITH doc AS (SELECT doc_id, coalesce(text, '') AS text, {pieces} AS p FROM documents),
+piece AS (SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS body FROM doc),
+unit AS (SELECT doc_id, i, trim(body, {blanks}) AS c, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS spot
+  FROM piece WHERE trim(body, {blanks}) <> ''),
+win AS (SELECT doc_id, spot, {key} AS k FROM unit WINDOW w AS (PARTITION BY doc_id ORDER BY spot)),
+ranked AS (SELECT doc_id, spot, row_number() OVER (PARTITION BY k ORDER BY doc_id, spot) AS r FROM win WHERE k IS NOT NULL),
+gone AS (SELECT DISTINCT u.doc_id, u.i FROM unit u JOIN ranked r ON r.doc_id = u.doc_id
+  AND u.spot BETWEEN r.spot AND r.spot + {width - 1} WHERE r.r > 1),
+n AS (SELECT doc_id, count(*) AS n FROM unit GROUP BY 1),
+rest AS (SELECT doc_id, coalesce(string_agg(body, '' ORDER BY i) FILTER (g IS NULL), '') AS t, count(g) AS lost
+  FROM (SELECT p.doc_id, p.i, p.body, g.i AS g FROM piece p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i)
+  GROUP BY 1)
+SELECT doc_id, coalesce(n.n, 0) AS {units}, coalesce(lost, 0) AS n_removed, length(coalesce(t, '')) AS n_kept_chars,
+  sha256(coalesce(t, '')) AS kept_sha256
+FROM doc LEFT JOIN n USING (doc_id) LEFT JOIN rest USING (doc_id)"""
+
+
+@query
+def op6_sentence_span_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document without the sentences of repeated three-sentence spans."""
+    return _cut_digest(sentences.dedup_sentences(table(spark, sf, "documents").select("doc_id", "text")), "n_sentences")
+
+
+ORACLE_SQL["op6_sentence_span_dedup"] = _cut_sql(
+    r"string_split(regexp_replace(coalesce(text, ''), '([.!?][ \t\r\n]|\n)', '\1' || chr(30), 'g'), chr(30))",
+    "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)", "n_sentences",
+)
+
+
+@query
+def op9_three_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document without the lines of repeated three-line windows."""
+    return _cut_digest(lines.dedup_lines(table(spark, sf, "documents").select("doc_id", "text")), "n_lines")
+
+
+ORACLE_SQL["op9_three_line_dedup"] = _cut_sql(
+    "string_split(replace(coalesce(text, ''), chr(10), chr(10) || chr(30)), chr(30))",
+    "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)", "n_lines",
+)
