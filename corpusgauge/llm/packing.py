@@ -12,6 +12,8 @@ an empty result; columns other than the id and the text are ignored.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,9 +30,11 @@ CAPACITY = 4096
 END = 1
 SHARD = 16_384  # pieces that a task packs at a time
 OPEN_SHARE = 0.02  # a bin with more room than this goes to the next round
-CACHED_WORDS = 200_000
+CACHED_WORDS = 250_000
 BATCH_TEXTS = 512
-RECEIVERS = 512  # underfull bins looked at for one donor
+FINAL = re.compile(rb"(?<=[a-z])([.,]+)(?=[ \t\n\r]|$)")
+RECEIVERS = 128  # underfull bins looked at for one donor
+PATIENCE = 8  # donors tried in a row that no exchange helps to empty
 
 PIECES = pa.schema([
     ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
@@ -38,32 +42,54 @@ PIECES = pa.schema([
 ])
 
 
-class WordIds(dict):
+class WordIds:
     """Token ids of each word as little-endian 32-bit numbers, kept for the next texts.
 
-    The vocabulary never joins characters across blanks, so a text's ids are its words' ids.
+    The vocabulary never joins characters across blanks, so a text's ids are its words' ids. When
+    full, the words move to an older generation and come back as they are used, so common words stay.
     """
 
     def __init__(self, tokenizer):
-        super().__init__()
-        self.encode = tokenizer.encode_batch
+        self.encode = tokenizer.encode
+        self.ids: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def learn(self, texts: list[list[bytes]]) -> None:
-        new = set().union(*texts) - self.keys()
-        if len(self) + len(new) > CACHED_WORDS:
-            self.clear()
+        new = set().union(*texts).difference(self.ids)
+        if len(self.ids) + len(new) > CACHED_WORDS:
+            self.older, self.ids = self.ids, {}
             new = set().union(*texts)
-        if new:
-            new = list(new)
-            found = self.encode([w.decode() for w in new], add_special_tokens=False)
-            self.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found, strict=True))
+        known = new.intersection(self.older)
+        if known:
+            self.ids.update((w, self.older[w]) for w in known)
+            new -= known
+        marked = [w for w in new if b"<|" in w]  # may spell a token of its own
+        plain = list(new.difference(marked))
+        for w in marked:
+            self.ids[w] = np.array(self.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        if plain:
+            found = self.encode([w.decode() for w in plain], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, "<u4").tobytes()
+            ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(plain) + 1)) * 4
+            ends = ends.tolist()
+            self.ids.update((w, ids[i:j]) for w, i, j in zip(plain, ends, ends[1:], strict=False))
+
+
+def spelled(text: bytes) -> list[bytes]:
+    """A text's words as the vocabulary sees them: in lower case, final stops and commas apart.
+
+    A run of them after a letter is a piece of its own for the vocabulary. Where its special tokens
+    might be spelled, nothing is changed.
+    """
+    return words(text if b"<|" in text else FINAL.sub(rb" \1", text.lower()))
 
 
 def document_ids(texts: list[bytes], cache: WordIds, end: int = END) -> list[bytes]:
-    split = [words(t) for t in texts]
+    split = [spelled(t) for t in texts]
     cache.learn(split)
+    known = cache.ids.__getitem__
     tail = np.array([end], "<u4").tobytes()
-    return [b"".join(map(cache.__getitem__, ws)) + tail for ws in split]
+    return [b"".join(map(known, ws)) + tail for ws in split]
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
@@ -76,6 +102,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int
     sent = spark.sparkContext.broadcast(vocabulary)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
         cache = WordIds(Tokenizer.from_str(sent.value))
@@ -162,15 +189,16 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[l
     least = -(-sum(fill) // capacity)
     used = sum(1 for b in bins if b)
     tried: set[int] = set()
-    while used > least:
-        donors = [k for k in range(len(bins)) if bins[k] and fill[k] < capacity and k not in tried]
-        if not donors:
+    while used > least and len(tried) < PATIENCE:
+        under = [k for k in range(len(bins)) if bins[k] and fill[k] < capacity]
+        donor = min((k for k in under if k not in tried), key=lambda k: (fill[k], k), default=None)
+        if donor is None:
             break
-        donor = min(donors, key=lambda k: (fill[k], k))
-        moved = False
-        receivers = sorted((k for k in range(len(bins)) if bins[k] and k != donor and fill[donor] <= fill[k] < capacity), key=lambda k: (fill[k], k))
+        tried.add(donor)
+        before = used
+        receivers = sorted((k for k in under if k != donor and fill[donor] <= fill[k]), key=lambda k: (fill[k], k))
         for k in receivers[:RECEIVERS]:
-            while bins[donor] and fill[k] < capacity and fill[k] >= fill[donor]:
+            while bins[donor] and fill[donor] <= fill[k] < capacity:
                 swap = _exchange(lengths[bins[donor]], lengths[bins[k]], capacity - fill[k])
                 if swap is None:
                     break
@@ -178,14 +206,12 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[l
                 gain = int(lengths[out].sum() - lengths[back].sum())
                 bins[donor] = [x for i, x in enumerate(bins[donor]) if i not in swap[0]] + back
                 bins[k] = [x for j, x in enumerate(bins[k]) if j not in swap[1]] + out
-                fill[donor], fill[k], moved = fill[donor] - gain, fill[k] + gain, True
+                fill[donor], fill[k] = fill[donor] - gain, fill[k] + gain
             if not bins[donor]:
                 used -= 1
                 break
-        if moved:
+        if used < before:
             tried.clear()
-        if bins[donor]:
-            tried.add(donor)
     return [b for b in bins if b]
 
 
