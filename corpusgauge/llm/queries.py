@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgauge.llm import langid, lines, packing, sentences, simhash
+from corpusgauge.llm import langid, lines, packing, quality, sentences, simhash
 from corpusgauge.llm.common import crc_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,14 @@ ORACLE_SQL["op9_three_line_dedup"] = _cut_sql(
     "string_split(replace(coalesce(text, ''), chr(10), chr(10) || chr(30)), chr(30))",
     "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)", "n_lines",
 )
+
+
+@query
+def op10_ngram_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Rule counts and verdict of every document; documents labelled good are the trusted target."""
+    good = table(spark, sf, "labels").where(F.col("quality") == 1)
+    found = quality.judge(table(spark, sf, "documents"), good)
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.round("score", 9).alias("score"),
+    )
