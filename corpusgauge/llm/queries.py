@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgauge.llm import langid, lines, packing, quality, sentences, simhash
+from corpusgauge.llm import decontaminate, langid, lines, packing, quality, sentences, simhash
 from corpusgauge.llm.common import crc_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,15 @@ def op10_ngram_quality(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.round("score", 9).alias("score"),
     )
+
+
+@query
+def op5_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each document leaks a benchmark item; the item it covers most of, and how many it leaks."""
+    found = decontaminate.find_leaks(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))
+    share = F.transform("leaks", lambda x: F.struct((x["n_covered"] / x["n_words"]).alias("share"), (-x["item_id"]).alias("item")))
+    best = F.array_max(share)
+    return found.select(
+        "doc_id", (F.size("leaks") > 0).alias("contaminated"), F.size("leaks").cast("bigint").alias("n_items"),
+        (-best["item"]).alias("item_id"), best["share"].alias("coverage"),
+    )
