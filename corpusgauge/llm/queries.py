@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgauge.llm import decontaminate, langid, lines, packing, quality, sentences, simhash
+from corpusgauge.llm import decontaminate, langid, lines, maxent, packing, quality, sentences, simhash
 from corpusgauge.llm.common import crc_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,12 @@ def op5_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", (F.size("leaks") > 0).alias("contaminated"), F.size("leaks").cast("bigint").alias("n_items"),
         (-best["item"]).alias("item_id"), best["share"].alias("coverage"),
     )
+
+
+@query
+def op3_maxent_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Log10 probability of every document under the model and under the unigram base."""
+    held_out = F.coalesce(crc_remainder("doc_id", 5) == 1, F.lit(False))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = maxent.fit_and_score(docs, docs.where(~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
