@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgauge.llm import decontaminate, langid, lines, maxent, packing, quality, sentences, simhash
+from corpusgauge.llm import chat, decontaminate, langid, lines, maxent, packing, quality, sentences, simhash
 from corpusgauge.llm.common import crc_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,13 @@ def op3_maxent_scores(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     found = maxent.fit_and_score(docs, docs.where(~held_out))
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op7_chat_prefix_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Every conversation, and one whose texts hold control strings, read back from the tree's tokens."""
+    vocabulary = public_vocabulary("byte_bpe_50k.json")
+    told = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    odd = [(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))]
+    stream, ways = chat.format_conversations(told.union(spark.createDataFrame(odd, told.schema)), vocabulary)
+    return chat.read_back(stream, ways, vocabulary)
