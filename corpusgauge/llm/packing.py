@@ -13,7 +13,6 @@ an empty result; columns other than the id and the text are ignored.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,9 +29,9 @@ CAPACITY = 4096
 END = 1
 SHARD = 16_384  # pieces that a task packs at a time
 OPEN_SHARE = 0.02  # a bin with more room than this goes to the next round
-CACHED_WORDS = 250_000
-BATCH_TEXTS = 512
-FINAL = re.compile(rb"(?<=[a-z])([.,]+)(?=[ \t\n\r]|$)")
+CACHED_WORDS = 800_000
+BATCH_TEXTS = 1024
+SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 RECEIVERS = 128  # underfull bins looked at for one donor
 PATIENCE = 8  # donors tried in a row that no exchange helps to empty
 
@@ -45,49 +44,81 @@ PIECES = pa.schema([
 class WordIds:
     """Token ids of each word as little-endian 32-bit numbers, kept for the next texts.
 
-    The vocabulary never joins characters across blanks, so a text's ids are its words' ids. When
-    full, the words move to an older generation and come back as they are used, so common words stay.
+    The vocabulary never joins characters across blanks, so a text's ids are its words' ids. A
+    full cache starts anew.
     """
 
     def __init__(self, tokenizer):
-        self.encode = tokenizer.encode
+        self.tokenizer = tokenizer
         self.ids: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        new = set().union(*texts).difference(self.ids)
-        if len(self.ids) + len(new) > CACHED_WORDS:
-            self.older, self.ids = self.ids, {}
-            new = set().union(*texts)
-        known = new.intersection(self.older)
-        if known:
-            self.ids.update((w, self.older[w]) for w in known)
-            new -= known
-        marked = [w for w in new if b"<|" in w]  # may spell a token of its own
-        plain = list(new.difference(marked))
-        for w in marked:
-            self.ids[w] = np.array(self.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if plain:
-            found = self.encode([w.decode() for w in plain], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, "<u4").tobytes()
-            ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(plain) + 1)) * 4
-            ends = ends.tolist()
-            self.ids.update((w, ids[i:j]) for w, i, j in zip(plain, ends, ends[1:], strict=False))
+        vocabulary = tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[k for w, k in vocabulary.items() if w.endswith("</w>")]] = True
+
+    def of(self, found: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of these words."""
+        if len(self.ids) > CACHED_WORDS:
+            self.ids = {}
+        get = self.ids.get
+        own = {w: get(w) for w in found}
+        new = [w for w, ids in own.items() if ids is None]
+        if new:
+            self.learn(new)
+            own.update((w, self.ids[w]) for w in new)
+        return own
+
+    def learn(self, new: list[bytes]) -> None:
+        """Add words. Signs that end a word after a letter are a piece of their own for the vocabulary."""
+        pairs, plain = [], set()
+        for w in new:
+            base = w.rstrip(SIGNS)
+            if b"<|" in w:  # may spell a token of its own
+                self.ids[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            elif base and len(base) < len(w) and 97 <= base[-1] <= 122:
+                pairs.append((w, base))
+                plain.add(base)
+                plain.add(w[len(base) :])
+            else:
+                plain.add(w)
+        letters, others = [], []
+        for w in plain:
+            if w not in self.ids:
+                text = w.decode()
+                (letters if text.isalpha() else others).append((w, text))
+        if letters:
+            self.add_letters(letters)
+        if others:
+            self.add_any(others)
+        self.ids.update((w, self.ids[base] + self.ids[w[len(base) :]]) for w, base in pairs)
+
+
+    def add_letters(self, pairs: list[tuple[bytes, str]]) -> None:
+        """Words that should be one piece each: encoded together and cut behind each piece's last token."""
+        found = self.tokenizer.encode_batch_fast([" ".join([text for _, text in pairs])], add_special_tokens=False)[0]
+        ids = np.array(found.ids, "<u4")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(pairs):  # some letter is spelled by signs of another kind
+            self.add_any(pairs)
+            return
+        self._cut(pairs, ids.tobytes(), [0, *(ends * 4).tolist()])
+
+    def add_any(self, pairs: list[tuple[bytes, str]]) -> None:
+        found = self.tokenizer.encode([text for _, text in pairs], is_pretokenized=True, add_special_tokens=False)
+        ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(pairs) + 1)) * 4
+        self._cut(pairs, np.array(found.ids, "<u4").tobytes(), ends.tolist())
+
+    def _cut(self, pairs: list[tuple[bytes, str]], ids: bytes, ends: list[int]) -> None:
+        self.ids.update((w, ids[i:j]) for (w, _), i, j in zip(pairs, ends, ends[1:]))
 
 
 def spelled(text: bytes) -> list[bytes]:
-    """A text's words as the vocabulary sees them: in lower case, final stops and commas apart.
-
-    A run of them after a letter is a piece of its own for the vocabulary. Where its special tokens
-    might be spelled, nothing is changed.
-    """
-    return words(text if b"<|" in text else FINAL.sub(rb" \1", text.lower()))
+    """A text's words in lower case, as the vocabulary sees them; unchanged where its special tokens may be spelled."""
+    return words(text if b"<|" in text else text.lower())
 
 
 def document_ids(texts: list[bytes], cache: WordIds, end: int = END) -> list[bytes]:
     split = [spelled(t) for t in texts]
-    cache.learn(split)
-    known = cache.ids.__getitem__
+    known = cache.of(set().union(*split)).__getitem__
     tail = np.array([end], "<u4").tobytes()
     return [b"".join(map(known, ws)) + tail for ws in split]
 
