@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgauge.llm import chat, decontaminate, langid, lines, maxent, packing, quality, sentences, simhash
+from corpusgauge.llm import chat, decontaminate, langid, lines, maxent, packing, quality, sentences, simhash, substrings
 from corpusgauge.llm.common import crc_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,10 @@ def op7_chat_prefix_tree(spark: SparkSession, sf: str) -> DataFrame:
     odd = [(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))]
     stream, ways = chat.format_conversations(told.union(spark.createDataFrame(odd, told.schema)), vocabulary)
     return chat.read_back(stream, ways, vocabulary)
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of every document without its repeated 200-byte strings."""
+    found = substrings.remove_repeats(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
