@@ -238,8 +238,8 @@ def count_languages(texts: list[str | None], filters: Filters) -> tuple[np.ndarr
     return counts, n, lettered
 
 
-def predict(docs: DataFrame, filters: Filters) -> DataFrame:
-    """Add `lang_pred` and `score` to `docs`, from its `text` alone.
+def predict(docs: DataFrame, filters: Filters, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Add the predicted language and its score to `docs`, from its `text` alone.
 
     The score is the winner's corrected count over the document's n-grams, at most 1. Ties go to
     the language that sorts first.
@@ -252,9 +252,9 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     sent = spark.sparkContext.broadcast((filters.langs, filters.masks, filters.fill))
-    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c.lower() not in (pred, score)]
     at = kept.index("text")
-    kind = extended(docs.select(kept), "lang_pred string, score double")
+    kind = extended(docs.select(kept), f"{pred} string, {score} double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Filters(*sent.value)
@@ -267,7 +267,7 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
                 scores = np.where(lettered, np.clip(best[np.arange(len(top)), top] / np.maximum(n, 1), 0, 1), 0.0)
                 names = [own.langs[k] if ok else UNDETERMINED for k, ok in zip(top.tolist(), lettered.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(names, pa.string()), pa.array(scores)], names=[*kept, "lang_pred", "score"]
+                [*b.columns, pa.array(names, pa.string()), pa.array(scores)], names=[*kept, pred, score]
             )
 
     return docs.select(kept).mapInArrow(run, kind)

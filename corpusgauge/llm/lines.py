@@ -22,6 +22,6 @@ def line_units(text: str) -> tuple[list[str], list[str]]:
     return pieces, [line.strip(BLANKS) for line in lines]
 
 
-def dedup_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """`docs` without the lines covered by a repeated window; adds `n_units` and `n_removed`."""
-    return cut_repeats(docs, line_units, width)
+def dedup_lines(docs: DataFrame, width: int = WIDTH, counts: tuple[str, str] = ("n_units", "n_removed")) -> DataFrame:
+    """`docs` without the lines covered by a repeated window; adds the counts of lines compared and removed."""
+    return cut_repeats(docs, line_units, width, counts)

@@ -80,10 +80,10 @@ def later_windows(docs: DataFrame, units: Units, width: int) -> DataFrame:
     return found.join(shared, ["h1", "h2"]).where(F.col("doc") > F.col("first")).select("doc", "version", "at")
 
 
-def cut_repeats(docs: DataFrame, units: Units, width: int) -> DataFrame:
-    """`docs` with the repeated units taken out of `text`, and `n_units`, `n_removed` added.
+def cut_repeats(docs: DataFrame, units: Units, width: int, counts: tuple[str, str] = ("n_units", "n_removed")) -> DataFrame:
+    """`docs` with the repeated units taken out of `text`, and two counts added.
 
-    `n_units` counts the units compared. A text that loses nothing is returned as it was.
+    `n_units` counts the units compared, `n_removed` those taken out. A text that loses nothing is returned as it was.
 
     Cases: a null text stays null, with no units; units that are blank take no part and stay; a
     document of fewer than `width` units has no window and stays whole; rows that share an id are
@@ -93,7 +93,7 @@ def cut_repeats(docs: DataFrame, units: Units, width: int) -> DataFrame:
     replaced.
     """
     bounded_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c.lower() not in ("n_units", "n_removed")]
+    kept = [c for c in docs.columns if c.lower() not in counts]
     docs = docs.select(kept)
     doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))
     version = F.hash("text")
@@ -103,19 +103,19 @@ def cut_repeats(docs: DataFrame, units: Units, width: int) -> DataFrame:
     flags = later.select(F.col("doc").alias("_doc"), F.col("version").alias("_version"), F.col("at").alias("_later"))
     joined = docs.withColumns({"_doc": doc, "_version": version}).join(flags, ["_doc", "_version"], "left")
     at = kept.index("text")
-    kind = extended(docs, "n_units bigint, n_removed bigint")
+    kind = extended(docs, f"{counts[0]} bigint, {counts[1]} bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, counts, gone = [], [], []
+            texts, compared, gone = [], [], []
             for body, flags in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
                 text, n, lost = cut(body, flags or [], units, width)
                 texts.append(text)
-                counts.append(n)
+                compared.append(n)
                 gone.append(lost)
             columns = [*b.columns[:at], pa.array(texts, pa.string()), *b.columns[at + 1 : -1]]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], names=[*kept, "n_units", "n_removed"]
+                [*columns, pa.array(compared, pa.int64()), pa.array(gone, pa.int64())], names=[*kept, *counts]
             )
 
     return joined.select(*kept, "_later").mapInArrow(run, kind)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgauge.llm.common import batch, bounded_batches, mix, utf8, words
+from corpusgauge.llm.common import batch, bounded_batches, extended, mix, utf8, words
 from corpusgauge.llm.graph import components
 from corpusgauge.operators.joins import lookup
 from corpusgauge.session import materialise
@@ -284,6 +284,14 @@ def find_links(distinct: DataFrame, chosen: list[tuple[list[int], int]], radius:
     return together.mapInArrow(verify, "a bigint, b bigint")
 
 
+def classes(own: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """`(fp, n, root)`: every distinct fingerprint of a stored table, its rows, and its group's root."""
+    distinct = materialise(own.groupBy("fp").agg(F.count("*").alias("n")))
+    links = materialise(find_links(distinct, plan(distinct, radius), radius))
+    nodes = components(links).withColumnRenamed("node", "fp")
+    return distinct.join(nodes, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = RADIUS) -> DataFrame:
     """`(doc_id, fp, component_id)` per document: the smallest id reachable over linked fingerprints.
 
@@ -293,11 +301,34 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = RADIUS) -> Da
     empty result; columns other than the id and the text are ignored.
     """
     own = materialise(fingerprints(docs, width))
-    distinct = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
-    links = materialise(find_links(distinct, plan(distinct, radius), radius))
-    nodes = components(links)
-    rooted = distinct.join(nodes.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    rooted = rooted.select("fp", "n", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = classes(own, radius)
+    first = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    rooted = materialise(rooted.join(first, "fp"))
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(names, "root").select("fp", "n", "component_id")
-    return lookup(own, classes, ["fp"], "n", ["doc_id"])
+    return lookup(own, rooted.join(names, "root").select("fp", "n", "component_id"), ["fp"], "n", ["doc_id"])
+
+
+def keep_one(docs: DataFrame, width: int = 5, radius: int = RADIUS) -> DataFrame:
+    """The rows of `docs`, one of each near-duplicate group: that of the smallest id, nulls last.
+
+    Cases as for `near_duplicates`; among rows of one id in one group any one stays, so a repeated
+    row stays once. Texts without a word are one group.
+    """
+    bounded_batches(docs.sparkSession)
+    columns = docs.columns
+    at = columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [fingerprint(shingle_hashes(t.lower(), width)) for t in utf8(b.column(at))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.array(found, np.uint64).view(np.int64))], names=[*columns, FP])
+
+    marked = docs.mapInArrow(run, extended(docs, f"{FP} bigint")).withColumn(ROW, F.monotonically_increasing_id())
+    marked = materialise(marked)
+    own = marked.select(F.col(FP).alias("fp"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col(ROW).alias("row"))
+    first = own.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first"))
+    firsts = classes(own, radius).join(first, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    return marked.join(firsts.select(F.col("first.row").alias(ROW)), ROW, "left_semi").select(columns)
+
+
+FP, ROW = "_simhash", "_simhash_row"
