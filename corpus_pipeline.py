@@ -5,13 +5,40 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusgauge.llm import packing
+from corpusgauge.llm import decontaminate, langid, lines, packing, simhash
 from corpusgauge.llm.queries import public_vocabulary
 from corpusgauge.session import scratch_path
 
 ORACLE_SQL: str | None = None  # hashing, tokenising and packing are beyond SQL; see tests/llm
 
+LEAST_SCORE = 0.3  # share of a text's n-grams that its language must explain
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents in no language that the labelled ones teach: without a letter, or scored too low."""
+    found = langid.predict(docs, langid.fit(docs), pred="_lang_pred", score="_lang_score")
+    known = (F.col("_lang_pred") != langid.UNDETERMINED) & (F.col("_lang_score") >= LEAST_SCORE)
+    return found.where(known).select(docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take repeated three-line windows out of the texts; `n_chars` follows the text."""
+    found = lines.dedup_lines(docs, counts=("_n_lines", "_n_lines_removed"))
+    length = F.length("text").cast("bigint")
+    return found.select([F.when(F.col("_n_lines_removed") > 0, length).otherwise(F.col(c)).alias(c) if c == "n_chars" else c for c in docs.columns])
+
+
+def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near-duplicates."""
+    return simhash.keep_one(docs)
+
+
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that leak a benchmark item."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing: one row per piece of a document, with its sequence and place."""
@@ -19,6 +46,10 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("simhash_near_dedup", dedup_near_copies),
+    ("benchmark_decontamination", remove_benchmark),
     ("best_fit_packing", pack),
 ]
 
@@ -26,8 +57,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written as Parquet and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         path = scratch_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
