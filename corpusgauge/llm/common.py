@@ -69,3 +69,13 @@ def crc_remainder(column: str, divisor: int):
 def extended(df: DataFrame, ddl: str) -> StructType:
     """The frame's schema with more columns behind."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names close to those given that the frame does not have."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        out.append(name)
+    return out

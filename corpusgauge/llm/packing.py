@@ -228,7 +228,7 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[l
         tried.add(donor)
         before = used
         receivers = sorted((k for k in under if k != donor and fill[donor] <= fill[k]), key=lambda k: (fill[k], k))
-        for k in receivers[:RECEIVERS]:
+        for k in reversed(receivers[:RECEIVERS]):  # the roomiest, fullest first
             while bins[donor] and fill[donor] <= fill[k] < capacity:
                 swap = _exchange(lengths[bins[donor]], lengths[bins[k]], capacity - fill[k])
                 if swap is None:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgauge.llm.common import bounded_batches, extended
+from corpusgauge.llm.common import bounded_batches, extended, fresh
 from corpusgauge.session import materialise
 
 Units = Callable[[str], tuple[list[str], list[str]]]  # text -> pieces, and what of each is compared ("": nothing)
@@ -100,8 +100,9 @@ def cut_repeats(docs: DataFrame, units: Units, width: int, counts: tuple[str, st
     narrow = docs.select(doc.alias("doc"), version.alias("version"), "text")
     # A document's flags are bounded by its own units.
     later = later_windows(narrow, units, width).groupBy("doc", "version").agg(F.collect_set("at").alias("at"))
-    flags = later.select(F.col("doc").alias("_doc"), F.col("version").alias("_version"), F.col("at").alias("_later"))
-    joined = docs.withColumns({"_doc": doc, "_version": version}).join(flags, ["_doc", "_version"], "left")
+    own_doc, own_version, own_later = fresh(docs, "_doc", "_version", "_later")
+    flags = later.select(F.col("doc").alias(own_doc), F.col("version").alias(own_version), F.col("at").alias(own_later))
+    joined = docs.withColumns({own_doc: doc, own_version: version}).join(flags, [own_doc, own_version], "left")
     at = kept.index("text")
     kind = extended(docs, f"{counts[0]} bigint, {counts[1]} bigint")
 
@@ -118,7 +119,7 @@ def cut_repeats(docs: DataFrame, units: Units, width: int, counts: tuple[str, st
                 [*columns, pa.array(compared, pa.int64()), pa.array(gone, pa.int64())], names=[*kept, *counts]
             )
 
-    return joined.select(*kept, "_later").mapInArrow(run, kind)
+    return joined.select(*kept, own_later).mapInArrow(run, kind)
 
 
 def cut(body: str | None, later: list[int], units: Units, width: int) -> tuple[str | None, int, int]:

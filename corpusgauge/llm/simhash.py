@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgauge.llm.common import batch, bounded_batches, extended, mix, utf8, words
+from corpusgauge.llm.common import batch, bounded_batches, extended, fresh, mix, utf8, words
 from corpusgauge.llm.graph import components
 from corpusgauge.operators.joins import lookup
 from corpusgauge.session import materialise
@@ -317,18 +317,16 @@ def keep_one(docs: DataFrame, width: int = 5, radius: int = RADIUS) -> DataFrame
     bounded_batches(docs.sparkSession)
     columns = docs.columns
     at = columns.index("text")
+    fp, row = fresh(docs, "_simhash", "_row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [fingerprint(shingle_hashes(t.lower(), width)) for t in utf8(b.column(at))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.array(found, np.uint64).view(np.int64))], names=[*columns, FP])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.array(found, np.uint64).view(np.int64))], names=[*columns, fp])
 
-    marked = docs.mapInArrow(run, extended(docs, f"{FP} bigint")).withColumn(ROW, F.monotonically_increasing_id())
+    marked = docs.mapInArrow(run, extended(docs, f"{fp} bigint")).withColumn(row, F.monotonically_increasing_id())
     marked = materialise(marked)
-    own = marked.select(F.col(FP).alias("fp"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col(ROW).alias("row"))
+    own = marked.select(F.col(fp).alias("fp"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col(row).alias("row"))
     first = own.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first"))
     firsts = classes(own, radius).join(first, "fp").groupBy("root").agg(F.min("first").alias("first"))
-    return marked.join(firsts.select(F.col("first.row").alias(ROW)), ROW, "left_semi").select(columns)
-
-
-FP, ROW = "_simhash", "_simhash_row"
+    return marked.join(firsts.select(F.col("first.row").alias(row)), row, "left_semi").select(columns)
