@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-BATCH_BYTES = 8 << 20  # text handed to a Python task at a time
+BATCH_BYTES = 2 << 20  # text handed to a Python task at a time
 BATCH_ROWS = 4096
 
 
@@ -18,13 +18,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
+def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
     """Keep Arrow batches small whatever the length of the texts.
 
     A batch ends at the first row beyond the byte bound, so one holds at most that plus one text.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def utf8(column: pa.Array) -> list[bytes]:

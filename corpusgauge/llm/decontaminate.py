@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgauge.llm.common import bounded_batches, extended, mix, utf8
+from corpusgauge.llm.common import bounded_batches, extended, fresh, mix, utf8
 
 LEAST = 5  # words of the shortest tile, and of a seed
 COVERAGE = 0.6
@@ -198,7 +198,7 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterato
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = LEAST, block_bytes: int = BLOCK_BYTES
+    docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = LEAST, block_bytes: int = BLOCK_BYTES, name: str = "leaks"
 ) -> DataFrame:
     """`docs` with `leaks`: per document, the benchmark items it covers, in order of their ids.
 
@@ -209,13 +209,13 @@ def find_leaks(
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    out = docs.select(*[c for c in docs.columns if c.lower() != "leaks"])
+    out = docs.select(*[c for c in docs.columns if c.lower() != name])
     at = out.columns.index("text")
     kept = out.columns
     first = True
     for rows in item_blocks(benchmark.select("item_id", "text"), block_bytes):
         sent = spark.sparkContext.broadcast(rows)
-        kind = extended(out, f"leaks {LEAKS}") if first else out.schema
+        kind = extended(out, f"{name} {LEAKS}") if first else out.schema
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, first=first) -> Iterator[pa.RecordBatch]:
             items = Items(sent.value, least)
@@ -223,7 +223,7 @@ def find_leaks(
                 found = items.leaks(utf8(b.column(at)), coverage)
                 if not first:
                     found = [sorted((old or []) + new, key=lambda x: x["item_id"]) for old, new in zip(b.column(len(kept)).to_pylist(), found)]
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(found, LEAK_TYPE)], names=[*kept, "leaks"])
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(found, LEAK_TYPE)], names=[*kept, name])
 
         out = out.mapInArrow(run, kind)
         first = False
@@ -232,5 +232,5 @@ def find_leaks(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The documents that leak no benchmark item, with their own columns."""
-    marked = find_leaks(docs, benchmark, coverage)
-    return marked.where(F.size("leaks") == 0).select(*[c for c in docs.columns if c.lower() != "leaks"])
+    (name,) = fresh(docs, "_leaks")
+    return find_leaks(docs, benchmark, coverage, name=name).where(F.size(name) == 0).select(docs.columns)

@@ -30,7 +30,7 @@ from corpusgauge.llm.common import bounded_batches, mix, utf8, words
 from corpusgauge.session import materialise
 
 CLASSES, SIZE = 32, 32  # the last class holds all other words
-KNOWN = 200_000  # words whose counts the tasks hold
+KNOWN = 100_000  # words whose counts the tasks hold
 LONGEST = 64  # bytes; longer words are never among those
 CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 15
 FEATURES = 3
@@ -38,7 +38,7 @@ BLOCK = 256  # weight rows shuffled together
 ROUNDS = 2
 RATE = 0.3
 BATCH = 4096  # tokens of a gradient step
-FLUSH = 300_000  # distinct words a task counts before it emits them
+FLUSH = 200_000  # distinct words a task counts before it emits them
 LANES = 32  # partial averages of a block
 END = b"\n"  # can be no word
 
@@ -166,19 +166,30 @@ def rows_of(hashes: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray
     )
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-
 def logits(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    out = weights[rows[0]]
+    out = np.take(weights, rows[0], axis=0)
     for r in rows[1:]:
-        out += weights[r]
+        out += np.take(weights, r, axis=0)
     out += bias
     return out
 
 
+def softmax(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
+def log_chance(x: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log of the softmax at each row's target; `x` is used up."""
+    x -= x.max(axis=1, keepdims=True)
+    own = x[np.arange(len(target)), target].astype(np.float64)
+    np.exp(x, out=x)
+    return own - np.log(x.sum(axis=1, dtype=np.float64))
+
+
 def split_places(places: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Class of each token, which have a place in one, and that place."""
     headed = (places >= 0) & (places < v.heads)
@@ -203,13 +214,16 @@ class Trainer:
             self._update(m.word_rows, 1, m.word_bias[cls[headed]], word_rows[:, headed], slot[headed])
 
     def _update(self, weights: np.ndarray, kind: int, bias: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
-        grad = np.exp(log_softmax(logits(bias, weights, rows)))
+        grad = softmax(logits(bias, weights, rows))
         grad[np.arange(len(target)), target] -= 1
         for r in rows:
-            order = np.argsort(r, kind="stable")
-            own, starts, n = np.unique(r[order], return_index=True, return_counts=True)
-            total = np.add.reduceat(grad[order], starts, axis=0)
-            weights[own] -= (RATE / np.sqrt(n * (1.0 + n)))[:, None].astype(np.float32) * total
+            order = np.argsort(r.astype(np.uint16), kind="stable")  # there are fewer than 2^16 rows
+            in_order = r[order]
+            starts = np.flatnonzero(np.concatenate([[True], in_order[1:] != in_order[:-1]]))
+            own, n = in_order[starts], np.diff(np.append(starts, len(r))).astype(np.float32)
+            total = np.add.reduceat(np.take(grad, order, axis=0), starts, axis=0)
+            total *= (RATE / np.sqrt(n * (1 + n)))[:, None]
+            weights[own] -= total
             self.met[kind][own] += n
 
     def changes(self, start: Model) -> Iterator[tuple[int, bytes, bytes]]:
@@ -292,10 +306,9 @@ def token_scores(places: np.ndarray, lengths: np.ndarray, v: Vocabulary, model:
         own = places[k : k + BATCH]
         cls, headed, slot = split_places(own, v)
         class_rows, word_rows = rows_of(hashes[:, k : k + BATCH], cls)
-        score = log_softmax(logits(model.class_bias, model.class_rows, class_rows))[np.arange(len(own)), cls].astype(np.float64)
+        score = log_chance(logits(model.class_bias, model.class_rows, class_rows), cls)
         if headed.any():
-            inner = log_softmax(logits(model.word_bias[cls[headed]], model.word_rows, word_rows[:, headed]))
-            score[headed] += inner[np.arange(len(inner)), slot[headed]]
+            score[headed] += log_chance(logits(model.word_bias[cls[headed]], model.word_rows, word_rows[:, headed]), slot[headed])
         rare = (own >= 0) & ~headed
         score[rare] += np.log((v.counts[own[rare]] + 0.5) / (tokens + 0.5 * (distinct + 1)))
         out[k : k + BATCH] = score

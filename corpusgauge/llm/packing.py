@@ -31,6 +31,7 @@ SHARD = 16_384  # pieces that a task packs at a time
 OPEN_SHARE = 0.02  # a bin with more room than this goes to the next round
 CACHED_WORDS = 800_000
 BATCH_TEXTS = 1024
+TEXT_BYTES = 6 << 20  # more texts at a time share more words
 SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 RECEIVERS = 128  # underfull bins looked at for one donor
 PATIENCE = 8  # donors tried in a row that no exchange helps to empty
@@ -129,7 +130,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int
     `vocabulary` is the tokenizer file's text, which the driver reads and sends along.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, TEXT_BYTES)
     sent = spark.sparkContext.broadcast(vocabulary)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
