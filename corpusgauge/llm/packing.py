@@ -19,10 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgauge.llm.common import batch, bounded_batches, utf8, words
+from corpusgauge.llm.common import batch, bounded_batches
 from corpusgauge.session import materialise
 
 CAPACITY = 4096
@@ -30,8 +31,8 @@ END = 1
 SHARD = 16_384  # pieces that a task packs at a time
 OPEN_SHARE = 0.02  # a bin with more room than this goes to the next round
 CACHED_WORDS = 800_000
-BATCH_TEXTS = 1024
-TEXT_BYTES = 6 << 20  # more texts at a time share more words
+BATCH_TEXTS = 4096
+TEXT_BYTES = 16 << 20  # more texts at a time share more words
 SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 RECEIVERS = 128  # underfull bins looked at for one donor
 PATIENCE = 8  # donors tried in a row that no exchange helps to empty
@@ -51,21 +52,21 @@ class WordIds:
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
-        self.ids: dict[bytes, bytes] = {}
+        self.ids: dict[bytes, bytes] = {b"": b""}
         vocabulary = tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[k for w, k in vocabulary.items() if w.endswith("</w>")]] = True
 
-    def of(self, found: set[bytes]) -> dict[bytes, bytes]:
+    def of(self, found: list[bytes]) -> list[bytes]:
         """Ids of these words."""
         if len(self.ids) > CACHED_WORDS:
-            self.ids = {}
-        get = self.ids.get
-        own = {w: get(w) for w in found}
-        new = [w for w, ids in own.items() if ids is None]
+            self.ids = {b"": b""}
+        own = list(map(self.ids.get, found))
+        new = [k for k, ids in enumerate(own) if ids is None]
         if new:
-            self.learn(new)
-            own.update((w, self.ids[w]) for w in new)
+            self.learn([found[k] for k in new])
+            for k in new:
+                own[k] = self.ids[found[k]]
         return own
 
     def learn(self, new: list[bytes]) -> None:
@@ -73,19 +74,25 @@ class WordIds:
         pairs, plain = [], set()
         for w in new:
             base = w.rstrip(SIGNS)
-            if b"<|" in w:  # may spell a token of its own
-                self.ids[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-            elif base and len(base) < len(w) and 97 <= base[-1] <= 122:
+            if base is w or base == w:
+                plain.add(w)
+            elif b"<|" in w:  # may spell a token of its own
+                self.spell(w)
+            elif base and 97 <= base[-1] <= 122:
                 pairs.append((w, base))
                 plain.add(base)
                 plain.add(w[len(base) :])
             else:
                 plain.add(w)
         letters, others = [], []
-        for w in plain:
-            if w not in self.ids:
-                text = w.decode()
-                (letters if text.isalpha() else others).append((w, text))
+        for w in plain.difference(self.ids) if pairs else plain:
+            text = w.decode()
+            if text.isalpha():
+                letters.append((w, text))
+            elif "<|" in text:
+                self.spell(w)
+            else:
+                others.append((w, text))
         if letters:
             self.add_letters(letters)
         if others:
@@ -93,6 +100,9 @@ class WordIds:
         self.ids.update((w, self.ids[base] + self.ids[w[len(base) :]]) for w, base in pairs)
 
 
+    def spell(self, word: bytes) -> None:
+        self.ids[word] = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
     def add_letters(self, pairs: list[tuple[bytes, str]]) -> None:
         """Words that should be one piece each: encoded together and cut behind each piece's last token."""
         found = self.tokenizer.encode_batch_fast([" ".join([text for _, text in pairs])], add_special_tokens=False)[0]
@@ -112,16 +122,29 @@ class WordIds:
         self.ids.update((w, ids[i:j]) for (w, _), i, j in zip(pairs, ends, ends[1:]))
 
 
-def spelled(text: bytes) -> list[bytes]:
-    """A text's words in lower case, as the vocabulary sees them; unchanged where its special tokens may be spelled."""
-    return words(text if b"<|" in text else text.lower())
+def document_ids(texts: pa.Array, cache: WordIds, end: int = END) -> list[bytes]:
+    """Each text's token ids and the end id, as little-endian 32-bit numbers.
 
-
-def document_ids(texts: list[bytes], cache: WordIds, end: int = END) -> list[bytes]:
-    split = [spelled(t) for t in texts]
-    known = cache.of(set().union(*split)).__getitem__
+    The vocabulary knows lower case only, so texts are lowered first, but not where they may spell
+    one of its special tokens. Arrow splits the texts and numbers their words, so only distinct
+    words are looked up one by one.
+    """
+    texts = texts.fill_null("")
+    split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+    numbered = split.values.dictionary_encode()
+    of_word = cache.of(numbered.dictionary.cast(pa.binary()).to_pylist())
+    size = np.fromiter(map(len, of_word), np.int64, len(of_word)) // 4
+    first = np.cumsum(size) - size
+    ids = np.frombuffer(b"".join(of_word), "<u4")
+    word = numbered.indices.to_numpy(zero_copy_only=False)
+    n = size[word]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    spot = np.repeat((first[word] - ends[:-1]).astype(np.int32), n)
+    spot += np.arange(ends[-1], dtype=np.int32)
+    flat = ids[spot]
+    edge = ends[split.offsets.to_numpy(zero_copy_only=False)].tolist()
     tail = np.array([end], "<u4").tobytes()
-    return [b"".join(map(known, ws)) + tail for ws in split]
+    return [flat[i:j].tobytes() + tail for i, j in zip(edge, edge[1:])]
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
@@ -142,7 +165,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int
             for at in range(0, b.num_rows, BATCH_TEXTS):
                 part = b.slice(at, BATCH_TEXTS)
                 keys, rows = part.column(0).to_pylist(), []
-                for key, ids in zip(keys, document_ids(utf8(part.column(1)), cache, end), strict=True):
+                for key, ids in zip(keys, document_ids(part.column(1), cache, end), strict=True):
                     for k, start in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[start : start + 4 * capacity]
                         rows.append((key, k, start // 4, len(own) // 4, zlib.crc32(own), own if with_ids else None))

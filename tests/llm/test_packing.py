@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -82,6 +83,6 @@ def test_an_exchange_empties_a_bin():
 
 
 def test_words_are_encoded_like_texts(tokenizer):
-    texts = ["It's  the END, isn't it?\n", "x<|endoftext|>y <|ENDOFTEXT|>", "été dİx  z, 3.14!!! a,b. ,. '", "İstanbul's ß ẞ"]
-    found = packing.document_ids([t.encode() for t in texts], packing.WordIds(tokenizer))
+    texts = ["It's  the END, isn't it?\n", "x<|endoftext|>y <|ENDOFTEXT|>", "été dİx  z, 3.14!!! a,b. ,. '", "İstanbul's ß ẞ", "", " \x0b lead\x1c \x85 trail\r\n "]
+    found = packing.document_ids(pa.array(texts), packing.WordIds(tokenizer))
     assert [np.frombuffer(x, "<u4").tolist() for x in found] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
