@@ -9,15 +9,15 @@ the class, of the word softmax. Biases are log counts, so an untrained model is
 Training goes over all training documents once, in `ROUNDS` parts. In each, every task starts from
 the same weights, updates them by the gradient of small batches, and emits what changed; changes
 are averaged row by row, weighted by how often a task met the row. Word counts cover all training
-documents. Counts of the `KNOWN` most frequent words are sent to the tasks; rarer words are counted
-per document and joined to the count table.
+documents. Counts of the `KNOWN` most frequent words are sent to the tasks; rarer words are
+joined to the count table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pandas as pd
@@ -30,7 +30,7 @@ from corpusgauge.llm.common import bounded_batches, mix, utf8, words
 from corpusgauge.session import materialise
 
 CLASSES, SIZE = 32, 32  # the last class holds all other words
-KNOWN = 100_000  # words whose counts the tasks hold
+KNOWN = 200_000  # words whose counts the tasks hold
 LONGEST = 64  # bytes; longer words are never among those
 CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 15
 FEATURES = 3
@@ -315,8 +315,7 @@ def token_scores(places: np.ndarray, lengths: np.ndarray, v: Vocabulary, model:
     return out
 
 
-SCORED = "n_tokens bigint, n_known bigint, base double, model double, unknown array<struct<word:binary,n:int>>"
-UNKNOWN = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
+SCORED = "n_tokens bigint, n_known bigint, base double, model double, unknown array<binary>"
 
 
 def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, model: Model) -> DataFrame:
@@ -339,28 +338,21 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, model: Model) -> Da
             seen = places >= 0
             each = np.where(seen, base_of[np.maximum(places, 0)] if len(base_of) else 0.0, 0.0)
             sums = [np.add.reduceat(x, starts) for x in (seen.astype(np.int64), each, token_scores(places, lengths, known, weights) / np.log(10))]
-            unknown = []
-            for k, s in enumerate(split):
-                rare: dict[bytes, int] = {}
-                for i in np.flatnonzero(~seen[starts[k] : starts[k] + len(s)]).tolist():
-                    rare[s[i]] = rare.get(s[i], 0) + 1
-                if not seen[starts[k] + len(s)]:
-                    rare[END] = 1
-                unknown.append([{"word": w, "n": n} for w, n in rare.items()])
+            every = chain.from_iterable(chain(s, (END,)) for s in split)
+            rare = pa.array(compress(every, (~seen).tolist()), pa.binary())
+            edge = np.concatenate([[0], np.cumsum(lengths - sums[0])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(lengths), *[pa.array(s) for s in sums], pa.array(unknown, UNKNOWN)],
+                [b.column(0), pa.array(lengths), *[pa.array(s) for s in sums], pa.ListArray.from_arrays(pa.array(edge), rare)],
                 names=["doc_id", "n_tokens", "n_known", "base", "model", "unknown"],
             )
 
     rows = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, f"doc_id bigint, {SCORED}")
     rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()))
     # Words not among the known are light keys, or longer than those may be; a hot one is split by adaptive execution.
-    rare = rows.select("row", F.inline("unknown")).join(counts.select("word", F.col("n").alias("c")), "word", "left")
+    rare = rows.select("row", F.explode("unknown").alias("word")).join(counts.select("word", F.col("n").alias("c")), "word", "left")
     c = F.coalesce("c", F.lit(0))
     more = rare.groupBy("row").agg(
-        F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("known"),
-        F.sum("n").alias("n"),
-        F.sum(F.col("n") * F.log10(c + 0.5)).alias("logs"),
+        F.count_if(c > 0).alias("known"), F.count("*").alias("n"), F.sum(F.log10(c + 0.5)).alias("logs")
     )
     joined = rows.drop("unknown").join(more, "row", "left")
     n, logs = F.coalesce(F.col("n"), F.lit(0)), F.coalesce(F.col("logs"), F.lit(0.0))
