@@ -24,10 +24,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     state = _state(links)
     while True:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # Stored, so that the join is not tied to the grouping's partitions and a hub can be split.
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialise(large.where("u > v").distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")))
         moved = large.join(least, "u")
         small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             moved.select("u", F.col("m").alias("v"))

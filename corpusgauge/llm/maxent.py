@@ -17,13 +17,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain, compress, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgauge.llm.common import bounded_batches, mix, utf8, words
@@ -97,9 +97,18 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """From a stored count table."""
+    """From a stored count table: the words down to the least count of which there are `KNOWN` at most.
+
+    The end token is always known. Where a training set has fewer words, all of them are.
+    """
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    rows = counts.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(KNOWN).toPandas()
+    short = counts.where((F.octet_length("word") <= LONGEST) & (F.col("word") != F.lit(END)))
+    # One row per distinct count, of which a corpus of n tokens has at most sqrt(2 n).
+    falling = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    steps = short.groupBy("n").agg(F.count("*").alias("words")).select("n", F.sum("words").over(falling).alias("words"))
+    least = steps.where(F.col("words") <= KNOWN).agg(F.min("n")).first()[0]
+    chosen = (F.col("word") == F.lit(END)) | ((F.octet_length("word") <= LONGEST) & (F.col("n") >= (total + 1 if least is None else least)))
+    rows = counts.where(chosen).toPandas().sort_values(["n", "word"], ascending=[False, True], kind="stable")
     return Vocabulary([bytes(w) for w in rows["word"]], rows["n"].to_numpy(np.int64), int(total), int(distinct))
 
 
@@ -131,20 +140,33 @@ def untrained(v: Vocabulary) -> Model:
     )
 
 
-def token_places(texts: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Places of all tokens (-1: not known), tokens per text, and the texts' words."""
-    split = [words(t.lower()) for t in texts]
-    lengths = np.fromiter((len(s) + 1 for s in split), np.int64, len(split))
-    end = v.places.get(END, -1)
+@dataclass
+class Tokens:
+    """Texts as places of their tokens (-1: not known), tokens per text; their words, and where each text's begin."""
+
+    places: np.ndarray
+    lengths: np.ndarray
+    words: pa.Array
+    edges: np.ndarray
+    seen: np.ndarray
+
+
+def tokenize(texts: pa.Array, v: Vocabulary) -> Tokens:
+    """Words by Arrow, numbered so that only distinct ones are looked up; each text ends with the end token."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    filled = pc.greater(pc.binary_length(split.values), 0)  # blanks at a text's ends leave empty words
+    own = split.values.filter(filled)
+    edges = np.concatenate([[0], np.cumsum(filled.to_numpy(zero_copy_only=False))])[split.offsets.to_numpy(zero_copy_only=False)]
+    numbered = own.dictionary_encode()
     get = v.places.get
-    flat = np.empty(int(lengths.sum()), np.int64)
-    at = 0
-    for s in split:
-        flat[at : at + len(s)] = np.fromiter(map(get, s, repeat(-1)), np.int64, len(s))
-        at += len(s)
-        flat[at] = end
-        at += 1
-    return flat, lengths, split
+    known = np.array([get(w, -1) for w in numbered.dictionary.cast(pa.binary()).to_pylist()], np.int64)
+    found = known[numbered.indices.to_numpy(zero_copy_only=False)]
+    lengths = np.diff(edges) + 1
+    places = np.full(len(found) + len(lengths), get(END, -1))
+    inner = np.ones(len(places), bool)
+    inner[np.cumsum(lengths) - 1] = False
+    places[inner] = found
+    return Tokens(places, lengths, own, edges, found >= 0)
 
 
 def feature_hashes(places: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -268,10 +290,10 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Model:
                 known.index()
             own = Trainer(start, known)
             for b in batches:
-                places, lengths, _ = token_places(utf8(b.column(0)), known)
-                hashes = feature_hashes(places, lengths)
-                for k in range(0, len(places), BATCH):
-                    own.step(places[k : k + BATCH], hashes[:, k : k + BATCH])
+                t = tokenize(b.column(0), known)
+                hashes = feature_hashes(t.places, t.lengths)
+                for k in range(0, len(t.places), BATCH):
+                    own.step(t.places[k : k + BATCH], hashes[:, k : k + BATCH])
             task = TaskContext.get().partitionId()
             for block, met, change in own.changes(start):
                 yield pa.RecordBatch.from_pylist(
@@ -333,16 +355,16 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, model: Model) -> Da
             known.index()
         base_of = np.log10(known.counts + 0.5) - floor
         for b in batches:
-            places, lengths, split = token_places(utf8(b.column(1)), known)
-            starts = np.cumsum(lengths) - lengths
-            seen = places >= 0
-            each = np.where(seen, base_of[np.maximum(places, 0)] if len(base_of) else 0.0, 0.0)
-            sums = [np.add.reduceat(x, starts) for x in (seen.astype(np.int64), each, token_scores(places, lengths, known, weights) / np.log(10))]
-            every = chain.from_iterable(chain(s, (END,)) for s in split)
-            rare = pa.array(compress(every, (~seen).tolist()), pa.binary())
-            edge = np.concatenate([[0], np.cumsum(lengths - sums[0])]).astype(np.int32)
+            t = tokenize(b.column(1), known)
+            starts = np.cumsum(t.lengths) - t.lengths
+            seen = t.places >= 0
+            each = np.where(seen, base_of[np.maximum(t.places, 0)] if len(base_of) else 0.0, 0.0)
+            scores = token_scores(t.places, t.lengths, known, weights) / np.log(10)
+            sums = [np.add.reduceat(x, starts) for x in (seen.astype(np.int64), each, scores)]
+            rare = t.words.filter(pa.array(~t.seen)).cast(pa.binary())
+            edge = np.concatenate([[0], np.cumsum(~t.seen)])[t.edges].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(lengths), *[pa.array(s) for s in sums], pa.ListArray.from_arrays(pa.array(edge), rare)],
+                [b.column(0), pa.array(t.lengths), *[pa.array(s) for s in sums], pa.ListArray.from_arrays(pa.array(edge), rare)],
                 names=["doc_id", "n_tokens", "n_known", "base", "model", "unknown"],
             )
 

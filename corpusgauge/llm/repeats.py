@@ -76,7 +76,8 @@ def later_windows(docs: DataFrame, units: Units, width: int) -> DataFrame:
     """`(doc, version, at)`: windows that an earlier document also has."""
     found = materialise(windows(docs, units, width))
     first = found.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-    shared = first.where(F.col("last") > F.col("first")).select("h1", "h2", "first")
+    # Stored, so that the join is not tied to the grouping's partitions and a hot window can be split.
+    shared = materialise(first.where(F.col("last") > F.col("first")).select("h1", "h2", "first"))
     return found.join(shared, ["h1", "h2"]).where(F.col("doc") > F.col("first")).select("doc", "version", "at")
 
 

@@ -241,7 +241,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), doc.alias("doc"), F.xxhash64(text).alias("version"), text.alias("text"))
     found = materialise(find_segments(named.select("doc", "version", "text")))
     kinds = found.groupBy("key").agg(F.count("*").alias("times"), F.min("content").alias("low"), F.max("content").alias("high"))
-    shared = kinds.where("times > 1").select("key", (F.col("low") != F.col("high")).alias("mixed"))
+    # Stored, so that the join is not tied to the grouping's partitions and a hot anchor can be split.
+    shared = materialise(kinds.where("times > 1").select("key", (F.col("low") != F.col("high")).alias("mixed")))
     again = materialise(found.join(shared, "key"))
     alike = again.where(~F.col("mixed")).select("doc", "version", "first", F.col("n").cast("int").alias("n"))
     mixed = again.where("mixed")
