@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgauge.functions import arrays as A
 from corpusgauge.operators.joins import attach_narrow
-from corpusgauge.operators.ordering import KEY_BITS, with_row_index
+from corpusgauge.operators.ordering import KEY_BITS, key_bits, running_offset, with_row_index
 from corpusgauge.session import materialise
 
 BATCH_ROWS = 1000  # fixed value: rows concatenated together before chunking
@@ -20,8 +22,11 @@ def group_texts(
     key: str = "row_id",
     ids: str = "input_ids",
     bits: int = KEY_BITS,
+    parallel: Sequence[str] = (),
 ) -> DataFrame:
-    """`(batch, block, input_ids, labels)`: each batch's ids laid end to end and cut.
+    """`(batch, block, input_ids, parallel.., labels)`: each batch's ids laid end to end and cut.
+
+    `parallel` names arrays as long as the ids, such as `attention_mask`, that are cut alike.
 
     A batch is `batch_rows` rows in key order; its last partial block is dropped. Only
     sizes are ordered and numbered. Rows are cut into pieces at block edges, so whole
@@ -32,7 +37,9 @@ def group_texts(
     batched = indexed.select(F.floor(F.col("_idx") / batch_rows).cast("bigint").alias("batch"), key, "_len")
     before = Window.partitionBy("batch").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     offsets = batched.withColumn("_off", F.coalesce(F.sum("_len").over(before), F.lit(0))).where(F.col("_len") > 0)
-    placed = attach_narrow(df.select(key, ids), offsets, key, sizes.count())
+    placed = attach_narrow(df.select(key, ids, *parallel), offsets, key, sizes.count())
+
+    arrays = [ids, *parallel]
 
     def piece(b):
         start = F.greatest(b * block_size - F.col("_off"), F.lit(0))
@@ -40,7 +47,7 @@ def group_texts(
         return F.struct(
             b.alias("block"),
             (F.col("_off") + start).alias("at"),
-            F.slice(ids, (start + 1).cast("int"), (stop - start).cast("int")).alias("piece"),
+            *[F.slice(c, (start + 1).cast("int"), (stop - start).cast("int")).alias(f"piece{k}") for k, c in enumerate(arrays)],
         )
 
     first = F.floor(F.col("_off") / block_size)
@@ -48,13 +55,26 @@ def group_texts(
     pieces = placed.select("batch", F.inline(F.transform(F.sequence(first, last), piece)))
     return (
         pieces.groupBy("batch", "block")
-        .agg(F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("_p"))
-        .select("batch", "block", F.flatten(F.col("_p.piece")).alias("input_ids"))
+        .agg(F.sort_array(F.collect_list(F.struct("at", *[f"piece{k}" for k in range(len(arrays))]))).alias("_p"))
+        .select("batch", "block", *[F.flatten(F.col(f"_p.piece{k}")).alias(c) for k, c in enumerate(["input_ids", *parallel])])
         .where(F.size("input_ids") == block_size)
         .withColumn("labels", F.col("input_ids"))
     )
 
 
+def first_blocks(blocks: DataFrame, n: int | None) -> DataFrame:
+    """The first n blocks in (batch, block) order; none or n <= 0 keeps all.
+
+    Blocks are counted per batch, so only batches up to the nth block are kept, and of the
+    last one its first blocks; a batch numbers its blocks from 0 without gaps.
+    """
+    if n is None or n <= 0:
+        return blocks
+    sizes = materialise(blocks.groupBy("batch").agg(F.count("*").alias("_n")))
+    starts = running_offset(sizes, "batch", "_n", "_ahead", key_bits(sizes, "batch")).where(F.col("_ahead") < n)
+    return blocks.join(starts.select("batch", "_ahead"), "batch").where(F.col("_ahead") + F.col("block") < n).drop("_ahead")
+
+
 def pad(df: DataFrame, length: int, pad_id: int, ids: str = "input_ids") -> DataFrame:
     """Pad ids on the right to a length, with the mask that tells real ids from padding."""
     return df.withColumn("attention_mask", A.attention_mask(ids, length)).withColumn(

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from corpusgauge.operators.joins import expand_samples
 
 
+MOST_RESULTS = 10_000
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, workers: int | None = None
 ) -> DataFrame:
@@ -31,8 +34,14 @@ def prepare_scores(df: DataFrame, fn: Callable[[Column], Column], scores: str =
 
 
 def metric_fn(df: DataFrame, fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """A caller's metric over predictions and labels, written as an aggregation."""
-    return fn(df)
+    """A caller's metric over predictions and labels, written as an aggregation of few rows.
+
+    What it returns must be small enough to report, so more than `MOST_RESULTS` rows are refused.
+    """
+    out = fn(df)
+    if out.limit(MOST_RESULTS + 1).count() > MOST_RESULTS:
+        raise ValueError(f"a metric returned more than {MOST_RESULTS} rows; it must aggregate")
+    return out
 
 
 def complete(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusgauge.functions.numbers import per_second, per_token
 from corpusgauge.functions.text import as_column
+from corpusgauge.operators.joins import null_safe_join
 from corpusgauge.operators.quantiles import exact_percentiles
 
 
@@ -59,8 +60,8 @@ def average(
     return rows.groupBy(*by).agg(*aggregates) if by else rows.agg(*aggregates)
 
 
-def rollup_runs(df: DataFrame, by: str | Sequence[str] = "run_id", counters: Sequence[str] = ("accepted", "rejected", "rollback")) -> DataFrame:
-    """Sample counters summed up to their run."""
+def rollup_runs(df: DataFrame, by: str | Sequence[str] = "run_id", counters: Sequence[str] = ("accepted", "rejected", "rollbacks")) -> DataFrame:
+    """Sample counters, as `speculation.acceptance` names them, summed up to their run."""
     keys = [by] if isinstance(by, str) else list(by)
     return df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counters])
 
@@ -114,12 +115,12 @@ def step_latencies(df: DataFrame, by: Sequence[str] = ("run_id",), ms: str = "ms
     """Steps, mean, exact median and 95th percentile per run.
 
     The steps themselves stay rows of the table, in `step` order, rather than one list
-    per run.
+    per run. A run without any latency stays, with 0 steps; a null run is a run.
     """
     keys = list(by)
-    spread = df.groupBy(*keys).agg(F.count(ms).alias("steps"), F.avg(ms).alias("mean_ms"))
+    totals = df.groupBy(*keys).agg(F.count(ms).alias("steps"), F.avg(ms).alias("mean_ms"))
     marks = exact_percentiles(df, keys, ms, {"p50_ms": 0.5, "p95_ms": 0.95})
-    return spread.join(marks, keys)
+    return null_safe_join(totals, marks, keys, "left")
 
 
 def speed_ratio(throughput: Column | str, baseline: float) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusgauge.functions.numbers import nan_to_null, round2
+from corpusgauge.operators.joins import null_safe_join
 from corpusgauge.operators.ordering import share_of_total
 from corpusgauge.operators.quantiles import exact_percentiles
 
@@ -19,11 +20,14 @@ def mean_by_run(history: DataFrame, metric: str) -> DataFrame:
 
 
 def attach_history(runs: DataFrame, means: DataFrame) -> DataFrame:
-    """Every requested run with its mean, `N/A`, or an error row when the run is unknown."""
+    """Every requested run with its mean, `N/A`, or an error row when the run is unknown.
+
+    What else `runs` says of a run, such as its `run_name`, comes along.
+    """
     joined = runs.join(means, "run_id", "left")
     unknown = F.col("n_rows").isNull()
     return joined.select(
-        "run_id",
+        *runs.columns,
         round2("mean").alias("mean"),
         F.when(unknown, F.concat(F.lit("Error: no run "), F.col("run_id").cast("string")))
         .when(F.col("mean").isNull(), F.lit("N/A"))
@@ -35,7 +39,8 @@ def attach_history(runs: DataFrame, means: DataFrame) -> DataFrame:
 def named_summary(df: DataFrame, name: str, value: str, report: str | None = None) -> DataFrame:
     """Share, total, count, mean, median, extremes and deviation per name, biggest total first.
 
-    Shares are within a report. One row has no deviation, shown as 0.
+    Shares are within a report. One row has no deviation, shown as 0. A null name or report
+    is a group like any other; a name without values has null statistics.
     """
     keys: Sequence[str] = [report, name] if report else [name]
     totals = df.groupBy(*keys).agg(
@@ -48,6 +53,6 @@ def named_summary(df: DataFrame, name: str, value: str, report: str | None = Non
     )
     medians = exact_percentiles(df, keys, value, {"med": 0.5})
     shared = share_of_total(totals, "total", [report] if report else None)
-    return shared.join(medians, list(keys), "left").orderBy(
+    return null_safe_join(shared, medians, list(keys), "left").orderBy(
         *([F.asc(report)] if report else []), F.desc("total"), F.asc(name)
     )

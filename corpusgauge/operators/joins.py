@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusgauge.session import materialise
+from corpusgauge.session import materialise, setting
 
-HOT_KEYS = 1000  # bound on the rows broadcast for hot keys
+# Bounds; `spark.corpusgauge.smallRows`, `smallBytes`, `hashRows` and `hotKeys` change them.
+HOT_KEYS = 1000  # least bound on the rows broadcast for hot keys
 HOT_SLICES = 1 << 16
 SMALL_ROWS = 1_000_000  # a lookup table this short and this light is broadcast whole
 SMALL_BYTES = 32 << 20
@@ -16,9 +17,39 @@ HASH_ROWS = 1_000_000  # lookup rows a task may hold in memory
 SERVED_SHARE = 0.6  # rows the broadcast must serve to make a second read of the left worth it
 
 
-def is_small(rows: int, size: int) -> bool:
+def small_rows(spark: SparkSession) -> float:
+    return setting(spark, "smallRows", SMALL_ROWS)
+
+
+def shuffle_tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hot_keys(spark: SparkSession) -> float:
+    """A key is hot above 1 / this of all rows: a tenth of an average task's share, with many tasks."""
+    least = setting(spark, "hotKeys", HOT_KEYS)
+    return max(least, min(least * shuffle_tasks(spark) / 100, small_rows(spark)))
+
+
+def may_hash(spark: SparkSession, rows: float) -> bool:
+    """Whether a task's part of a shuffled table of so many evenly dealt rows fits in its memory."""
+    return rows / shuffle_tasks(spark) <= setting(spark, "hashRows", HASH_ROWS)
+
+
+def is_small(spark: SparkSession, rows: int, size: int) -> bool:
     """Whether a table of so many rows and bytes may be broadcast."""
-    return rows <= SMALL_ROWS and size <= SMALL_BYTES
+    return rows <= small_rows(spark) and size <= setting(spark, "smallBytes", SMALL_BYTES)
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a null key equals a null key; the keys come from the left."""
+    theirs = {k: f"_right_{k}" for k in keys}
+    other = right.withColumnsRenamed(theirs)
+    on = None
+    for k in keys:
+        same = F.col(k).eqNullSafe(F.col(theirs[k]))
+        on = same if on is None else on & same
+    return left.join(other, on, how).drop(*theirs.values())
 
 
 def row_bytes(df: DataFrame) -> Column:
@@ -38,40 +69,47 @@ def measured(df: DataFrame, weight: str | None = None) -> tuple[int, int, bool]:
     """Rows, total weight and whether the table is small enough to broadcast, by counting."""
     weights = F.coalesce(F.sum(weight), F.lit(0)) if weight else F.lit(0)
     rows, total = df.agg(F.count("*"), weights).first()
-    if rows > SMALL_ROWS:
+    if rows > small_rows(df.sparkSession):
         return rows, total, False
     size = df.agg(F.sum(row_bytes(df))).first()[0]
-    return rows, total, is_small(rows, size or 0)
+    return rows, total, is_small(df.sparkSession, rows, size or 0)
 
 
 def heaviest(table: DataFrame, weight: str, total: int) -> tuple[int, float]:
     """Least weight of the keys to broadcast, and the share of rows they own.
 
-    As many of the heaviest keys as fit the broadcast bounds, and in any case those above
-    1/HOT_KEYS of the total, of which there are fewer than HOT_KEYS.
+    As many of the heaviest keys as fit the broadcast bounds, and in any case the hot ones, of
+    which there are fewer than `hot_keys`. The window is over distinct weights: w of them take at
+    least w * w / 2 rows, so 10^12 rows have at most 1.5 million.
     """
+    spark = table.sparkSession
     steps = table.groupBy(F.col(weight).alias("w")).agg(
         F.count("*").alias("rows"), F.sum(row_bytes(table)).alias("bytes")
     )
-    # One row per distinct weight, which is few even for a very large table.
     heavier = Window.orderBy(F.desc("w")).rowsBetween(Window.unboundedPreceding, 0)
     steps = steps.select("w", (F.col("w") * F.col("rows")).alias("owned"), *[
         F.sum(c).over(heavier).alias(c) for c in ("rows", "bytes")
     ])
-    fits = (F.col("rows") <= SMALL_ROWS) & (F.col("bytes") <= SMALL_BYTES)
-    chosen = steps.where(fits | (F.col("w") * HOT_KEYS > F.lit(total)))
+    fits = (F.col("rows") <= small_rows(spark)) & (F.col("bytes") <= setting(spark, "smallBytes", SMALL_BYTES))
+    chosen = steps.where(fits | (F.col("w") * hot_keys(spark) > F.lit(total)))
     least, owned = chosen.agg(F.min("w"), F.sum("owned")).first()
     return (total + 1, 0.0) if least is None else (least, owned / max(total, 1))
 
 
 def lookup(
-    left: DataFrame, right: DataFrame, keys: list[str], weight: str | None, salt: list[str], stored: bool = False
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    weight: str | None,
+    salt: list[str],
+    stored: bool = False,
+    size: tuple[int, int, bool] | None = None,
 ) -> DataFrame:
     """Left-join a table unique on `keys` where some keys may own a third of `left`.
 
     `weight` is the number of left rows per key; if None, a large table is first met with
     the keys counted in `left`, those it lacks included. The table is written out first
-    unless `stored`, then measured.
+    unless `stored`, then measured, unless its `size` is known.
 
     A small table is broadcast. Of a large one the heaviest keys are broadcast, and the
     others are too light to skew a shuffle. If the heaviest own most rows, the rows they
@@ -80,7 +118,7 @@ def lookup(
     """
     payload = [c for c in right.columns if c not in keys and c != weight]
     table = right if stored else materialise(right)
-    rows, total, small = measured(table, weight)
+    rows, total, small = size or measured(table, weight)
     if small:
         return left.join(F.broadcast(table.select(*keys, *payload)), keys, "left").select(*left.columns, *payload)
     if weight is None:
@@ -89,13 +127,12 @@ def lookup(
         rows, total, _ = measured(table, weight)
     least, share = heaviest(table, weight, total)
     twice = share >= SERVED_SHARE
-    is_hot = F.col(weight) >= F.lit(least) if twice else F.col(weight) * HOT_KEYS > F.lit(total)
+    is_hot = F.col(weight) >= F.lit(least) if twice else F.col(weight) * hot_keys(left.sparkSession) > F.lit(total)
     hot = table.where(is_hot).select(*keys, F.struct(*payload).alias("_hot"))
     cold = table.where(~is_hot).select(*keys, F.struct(*payload).alias("_cold"))
     # Unique keys hash evenly, so a task's part of the table is known; within bounds it is
     # hashed in memory, which spares sorting the many left rows.
-    part = rows / int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cold = cold.hint("shuffle_hash" if part <= HASH_ROWS else "merge")
+    cold = cold.hint("shuffle_hash" if may_hash(left.sparkSession, rows) else "merge")
     settled = F.col("_hot").isNotNull()
     for k in keys:
         settled = settled | F.col(k).isNull()
@@ -120,11 +157,14 @@ def attach_narrow(wide: DataFrame, narrow: DataFrame, key: str, rows: int) -> Da
     """Join a few fixed-width columns per key onto wide rows, on a key unique in both.
 
     A narrow side of known, small row count is broadcast, so the wide rows stay put.
-    Otherwise both are shuffled by the key. Left alone, the planner may take arrays for
+    Otherwise both are shuffled by the key, and the narrow side is hashed if a task's part
+    of it fits in memory, else both are sorted. Left alone, the planner may take arrays for
     small and broadcast the wide side.
     """
-    side = F.broadcast(narrow) if rows <= SMALL_ROWS else narrow.hint("shuffle_hash")
-    return wide.join(side, key)
+    spark = wide.sparkSession
+    if rows <= small_rows(spark):
+        return wide.join(F.broadcast(narrow), key)
+    return wide.join(narrow.hint("shuffle_hash" if may_hash(spark, rows) else "merge"), key)
 
 
 def expand_samples(df: DataFrame, n: int) -> DataFrame:

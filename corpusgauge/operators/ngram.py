@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from corpusgauge.functions import arrays as A
 from corpusgauge.functions import text as X
-from corpusgauge.operators.joins import attach_narrow, is_small, lookup
-from corpusgauge.operators.ordering import key_range, range_bits, running_offset
+from corpusgauge.operators.joins import attach_narrow, is_small, lookup, measured
+from corpusgauge.operators.ordering import key_range, last_before, range_bits, running_offset
 from corpusgauge.operators.rows import corpus_tokens
 from corpusgauge.session import materialise
 
@@ -45,20 +45,34 @@ def corpus_stream(
 ) -> tuple[DataFrame, int]:
     """`(key, pos, token, prev)` over the joined corpus, and its length; `pos` counts from its start.
 
-    A row after the first is always preceded by the separator, so no token has to look
-    into another row.
+    A row after the first is preceded by the separator. One of spaces is no token, so there
+    the last word of the nearest row that has one stands before the row.
     """
-    if not separator.strip(" "):
-        raise ValueError("a separator of spaces leaves no token to stand before a row")
     bounds = bounds or key_range(df, key)
     tokens = corpus_tokens(df, key, col, separator, bos, bounds)
     # Only the sizes are ordered and added up, not the tokens.
-    sizes = materialise(tokens.select(key, F.size("tokens").cast("bigint").alias("n")))
+    sizes = materialise(tokens.select(key, F.size("tokens").cast("bigint").alias("n"), F.get("tokens", F.size("tokens") - 1).alias("_last")))
     rows, length = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    offsets = running_offset(sizes, key, "n", "offset", range_bits(*bounds)).select(key, "offset")
+    offsets = running_offset(sizes.select(key, "n"), key, "n", "offset", range_bits(*bounds)).select(key, "offset")
     placed = attach_narrow(tokens, offsets, key, rows)
-    exploded = explode_tokens(placed, start=_opening(key, separator, bounds))
-    return exploded.withColumn("pos", F.col("offset") + F.col("pos")).drop("offset"), length
+    if _is_token(separator):
+        start = _opening(key, separator, bounds)
+    else:
+        placed, start = _after_last(placed, sizes, key, rows, bounds)
+    exploded = explode_tokens(placed, start=start)
+    return exploded.withColumn("pos", F.col("offset") + F.col("pos")).drop("offset", "_opens"), length
+
+
+def _is_token(separator: str) -> bool:
+    return bool(separator.strip(" "))
+
+
+def _after_last(
+    tokens: DataFrame, lasts: DataFrame, key: str, rows: int, bounds: tuple[int, int]
+) -> tuple[DataFrame, Column]:
+    """`tokens` with the word that stands before each row when rows are joined by spaces."""
+    before = last_before(lasts.select(key, "_last"), key, "_last", "_opens", range_bits(*bounds))
+    return attach_narrow(tokens, before.select(key, "_opens"), key, rows), F.col("_opens")
 
 
 def _opening(key: str, separator: str, bounds: tuple[int, int]) -> Column:
@@ -77,7 +91,11 @@ def corpus_bag(
     """The joined corpus without global positions, enough for counting n-grams."""
     bounds = bounds or key_range(df, key)
     tokens = corpus_tokens(df, key, col, separator, bos, bounds)
-    return explode_tokens(tokens, start=_opening(key, separator, bounds))
+    if _is_token(separator):
+        return explode_tokens(tokens, start=_opening(key, separator, bounds))
+    lasts = materialise(tokens.select(key, F.get("tokens", F.size("tokens") - 1).alias("_last")))
+    placed, start = _after_last(tokens, lasts, key, lasts.count(), bounds)
+    return explode_tokens(placed, start=start).drop("_opens")
 
 
 def count_ngrams(stream: DataFrame, context: Sequence[str] = ("prev",)) -> DataFrame:
@@ -106,7 +124,7 @@ def model_from_counts(counts: DataFrame, context: Sequence[str] = ("prev",)) ->
     # A one-word context is a word of the vocabulary, whose size was just measured. A big
     # one meets its n-grams in a shuffle of distinct n-grams, where adaptive execution
     # splits a context that owns very many of them.
-    if len(context) == 1 and is_small(size, weight):
+    if len(context) == 1 and is_small(counts.sparkSession, size, weight):
         totals = F.broadcast(totals)
     return known.join(totals, list(context)).select(*context, "token", "n", "ctx_n", vocab.alias("vocab"))
 
@@ -173,15 +191,17 @@ def best_next(model: DataFrame, name: str = "best") -> DataFrame:
 def greedy_completion(prompts: DataFrame, best: DataFrame, key: str, last: str, max_tokens: int = 1) -> DataFrame:
     """Most likely continuation of each prompt's last token, up to `max_tokens` long.
 
-    Chains grow per distinct last token, not per prompt, and stop where nothing follows.
+    Chains grow per distinct last token, not per prompt, and stop where nothing follows. They
+    soon run into the same few words; `lookup` spreads those, and each step is written out.
     """
     steps = materialise(best.select(F.col("prev").alias("_at"), F.col("best").alias("_next")))
+    size = measured(steps)
     starts = prompts.where(F.col(last).isNotNull()).groupBy(F.col(last).alias("_start")).agg(
         F.count("*").alias("_rows")
     )
     chains = starts.select("_start", "_rows", F.col("_start").alias("_at"), F.array().cast("array<string>").alias("_out"))
     for _ in range(max_tokens):
-        chains = chains.join(steps, "_at", "left").select(
+        chains = materialise(lookup(chains, steps, ["_at"], None, ["_start"], stored=True, size=size)).select(
             "_start",
             "_rows",
             F.col("_next").alias("_at"),

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgauge.functions.text import as_column
+from corpusgauge.operators.joins import null_safe_join
 from corpusgauge.session import materialise
 
 ROW_BITS = 12  # a bucket holds at most 4096 rows, which may carry whole token arrays
@@ -70,6 +71,34 @@ def running_offset(
     )
 
 
+def _bucket_lasts(lasts: DataFrame, bits: int) -> DataFrame:
+    """The nearest non-null `_l` of a lower bucket `_b`; buckets span `bits` bits."""
+    nearest = F.last("_l", ignorenulls=True)
+    if bits <= TOTAL_BITS + 1:
+        before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        return lasts.select("_b", nearest.over(before).alias("_low"))
+    parts = lasts.withColumn("_p", F.shiftright("_b", TOTAL_BITS))
+    known = F.max_by("_l", F.when(F.col("_l").isNotNull(), F.col("_b")))
+    upper = _bucket_lasts(parts.groupBy(F.col("_p").alias("_b")).agg(known.alias("_l")), bits - TOTAL_BITS)
+    before = Window.partitionBy("_p").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    local = parts.withColumn("_near", nearest.over(before))
+    joined = local.join(upper.select(F.col("_b").alias("_p"), F.col("_low").alias("_far")), "_p")
+    return joined.select("_b", F.coalesce("_near", "_far").alias("_low"))
+
+
+def last_before(df: DataFrame, key: str, value: str, name: str, bits: int = KEY_BITS) -> DataFrame:
+    """Add the nearest non-null `value` of a row with a smaller key; null if there is none.
+
+    Buckets as for `running_offset`, so a long stretch of nulls is no long window.
+    """
+    placed = df.withColumn("_b", F.shiftright(F.col(key).cast("bigint"), ROW_BITS))
+    known = F.max_by(value, F.when(F.col(value).isNotNull(), F.col(key)))
+    lows = _bucket_lasts(placed.groupBy("_b").agg(known.alias("_l")), max(bits - ROW_BITS, 1))
+    before = Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    near = placed.withColumn("_near", F.last(value, ignorenulls=True).over(before))
+    return near.join(lows, "_b").withColumn(name, F.coalesce("_near", "_low")).drop("_b", "_near", "_low")
+
+
 def with_row_index(df: DataFrame, key: str, name: str = "row_idx", bits: int = KEY_BITS) -> DataFrame:
     """Number the rows 0, 1, 2.. in key order."""
     return running_offset(df, key, F.lit(1), name, bits)
@@ -103,9 +132,21 @@ def sort_by_length(df: DataFrame, size: Column | str, key: str = "row_id") -> Da
     return df.orderBy(as_column(size), key)
 
 
+GATHERED = 100_000  # rows that one task may sort for a first-N selection
+
+
 def limit_n(df: DataFrame, n: int | None, key: str = "row_id") -> DataFrame:
-    """First n rows in key order; none or n <= 0 keeps all."""
-    return df.orderBy(key).limit(n) if n is not None and n > 0 else df
+    """First n rows in key order; none or n <= 0 keeps all. Keys are unique.
+
+    Few rows are gathered by one task. For more, only the keys are numbered, and the rows
+    below the boundary key are filtered where they lie.
+    """
+    if n is None or n <= 0:
+        return df
+    if n <= GATHERED:
+        return df.orderBy(key).limit(n)
+    end = with_row_index(df.select(key), key, "_idx", key_bits(df, key)).where(F.col("_idx") == n).first()
+    return df if end is None else df.where(F.col(key) < F.lit(end[key])).orderBy(key)
 
 
 def take_first(
@@ -183,10 +224,10 @@ def prev_end(df: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def share_of_total(df: DataFrame, value: str, by: list[str] | None = None, name: str = "time_pct") -> DataFrame:
-    """Add each row's percentage of the total of its group (or of everything)."""
+    """Add each row's percentage of the total of its group (or of everything); nulls are a group."""
     if by:
         totals = df.groupBy(*by).agg(F.sum(value).alias("_total"))
-        joined = df.join(totals, by)
+        joined = null_safe_join(df, totals, by)
     else:
         joined = df.withColumn("_total", df.agg(F.sum(value)).scalar())
     return joined.withColumn(name, F.try_divide(F.lit(100.0) * F.col(value), F.col("_total"))).drop("_total")

@@ -8,34 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgauge.functions.numbers import accept_rate
-from corpusgauge.operators.joins import lookup
-from corpusgauge.operators.ngram import best_next, marginal
-
-
-def draft_tokens(stream: DataFrame, counts: DataFrame, sample: str, k: int) -> DataFrame:
-    """`(sample, step, pos, draft, target)`: what n-gram models of orders 2 and 3 say next.
-
-    `counts` holds the (prev2, prev, token) counts both models are read off. A step
-    proposes k tokens from the third position on, where both contexts exist. Both
-    predictions hang on the two tokens before a position only, so they are joined once
-    per distinct pair of tokens and then to the positions.
-    """
-    draft = best_next(marginal(counts, ["prev"]), "draft")
-    known = counts.dropna(subset=["prev2", "prev"])
-    likeliest = F.min(F.struct((-F.col("n")).alias("neg"), F.col("token").alias("token")))
-    # One grouping gives both the target's choice and how many positions ask for it.
-    pairs = known.groupBy("prev2", "prev").agg(likeliest.alias("_first"), F.sum("n").alias("_rows"))
-    both = pairs.join(draft, "prev").select(
-        "prev2", "prev", "draft", F.col("_first.token").alias("target"), "_rows"
-    )
-    placed = stream.where(F.col("prev").isNotNull() & F.col("prev2").isNotNull()).select(
-        sample,
-        F.floor((F.col("pos") - 2) / k).cast("bigint").alias("step"),
-        F.pmod(F.col("pos") - 2, F.lit(k)).cast("bigint").alias("pos"),
-        "prev2",
-        "prev",
-    )
-    return lookup(placed, both, ["prev2", "prev"], "_rows", [sample, "step", "pos"]).drop("prev2", "prev")
 
 
 def verify_draft(df: DataFrame, by: Sequence[str] = ("sample", "step")) -> DataFrame:
@@ -48,12 +20,12 @@ def verify_draft(df: DataFrame, by: Sequence[str] = ("sample", "step")) -> DataF
 
 
 def acceptance_steps(df: DataFrame, proposed: str = "proposed", matched: str = "matched") -> DataFrame:
-    """Accepted and rejected tokens of a verify step, and 1 for a roll-back."""
+    """Accepted and rejected tokens of a verify step, and whether it rolled back, 1 or 0."""
     bad = F.col(proposed) - F.col(matched)
     return (
         df.withColumn("accepted", F.col(matched))
         .withColumn("rejected", bad)
-        .withColumn("rollback", (bad > 0).cast("int"))
+        .withColumn("rollbacks", (bad > 0).cast("int"))
     )
 
 
@@ -64,7 +36,7 @@ def acceptance(df: DataFrame, by: Sequence[str] = ("run_id",), guard: str = "max
         F.count("*").alias("steps"),
         F.sum("accepted").alias("accepted"),
         F.sum("rejected").alias("rejected"),
-        F.sum("rollback").alias("rollbacks"),
+        F.sum("rollbacks").alias("rollbacks"),
     )
     return totals.withColumn("accept_rate", accept_rate("accepted", "rejected", guard))
 
@@ -76,17 +48,17 @@ def mean_acceptance(
     rollbacks: Column | str = "rollbacks",
     ignore_missing: bool = False,
 ) -> DataFrame:
-    """Mean acceptance and roll-backs per sequence.
+    """Mean acceptance and roll-backs per sequence, in one aggregate.
 
     A sequence without details counts as NaN acceptance and no roll-backs, so it turns
-    the mean to NaN unless missing ones are ignored.
+    `mean_accept` to NaN unless missing ones are ignored; `mean_known` leaves them out always.
     """
     r = F.col(rate) if isinstance(rate, str) else rate
     b = F.col(rollbacks) if isinstance(rollbacks, str) else rollbacks
-    filled = r if ignore_missing else F.coalesce(r, F.lit(float("nan")))
     aggregates = [
         F.count("*").alias("sequences"),
-        F.avg(filled).alias("mean_accept"),
+        F.avg(r if ignore_missing else F.coalesce(r, F.lit(float("nan")))).alias("mean_accept"),
+        F.avg(r).alias("mean_known"),
         F.avg(F.coalesce(b, F.lit(0))).alias("mean_rollbacks"),
     ]
     return df.groupBy(*by).agg(*aggregates) if by else df.agg(*aggregates)

@@ -15,27 +15,39 @@ from corpusgauge.operators.ordering import ranked
 UNKNOWN_ID = 0  # fixed value: id of a word outside the vocabulary
 
 
-def fit_vocab(df: DataFrame, col: str = "text") -> DataFrame:
-    """`(word, n, id)`: ids from 1 by falling count, then by word."""
+def fit_vocab(df: DataFrame, col: str = "text", min_count: int = 1) -> DataFrame:
+    """`(word, n, id)`: ids from 1 by falling count, then by word.
+
+    Ids are 32-bit like a model's. A corpus of more than 2^31 distinct words needs a
+    `min_count`; rarer words are then unknown.
+    """
     counts = (
         df.select(F.explode(X.words(col)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     )
+    if min_count > 1:
+        counts = counts.where(F.col("n") >= min_count)
     ids = ranked(counts, F.desc("n"), F.asc("word"), name="rank")
     return ids.select("word", "n", (F.col("rank") + 1).cast("int").alias("id"))
 
 
 def tokenize(
-    df: DataFrame, vocab: DataFrame, key: str = "row_id", col: str = "text", own: bool = False
+    df: DataFrame,
+    vocab: DataFrame,
+    key: str = "row_id",
+    col: str = "text",
+    own: bool = False,
+    size: tuple[int, int, bool] | None = None,
 ) -> DataFrame:
     """`(key, input_ids)`; source columns drop out, a blank text gives an empty array.
 
     Words meet the vocabulary by a join balanced on word frequency: the vocabulary's
     counts if it is the corpus' `own`, else counts taken here. Each row's ids are
-    gathered again from that one row's words.
+    gathered again from that one row's words. `size` is the vocabulary's `joins.measured`,
+    for a caller that encodes many tables with it.
     """
     tokens = df.select(key, F.posexplode_outer(X.words(col)).alias("pos", "word"))
     words = vocab.select("word", "n", "id") if own else vocab.select("word", "id")
-    coded = lookup(tokens, words, ["word"], "n" if own else None, [key, "pos"], stored=True)
+    coded = lookup(tokens, words, ["word"], "n" if own else None, [key, "pos"], stored=True, size=size)
     # Position in the high half, id in the low one: plain numbers gather and sort fast.
     item = F.when(
         F.col("pos").isNotNull(),

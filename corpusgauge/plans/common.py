@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from corpusgauge.functions import text as X
 from corpusgauge.operators.ordering import key_range, range_bits
-from corpusgauge.session import spread
 
 SEPARATOR = "\n\n"
 
@@ -37,7 +36,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str, *more: str) -> DataFrame:
-    return spread(table(spark, sf, "documents").select("doc_id", "text", *more), "doc_id")
+    return table(spark, sf, "documents").select("doc_id", "text", *more)
 
 
 def document_bounds(spark: SparkSession, sf: str) -> tuple[int, int]:
@@ -58,7 +57,11 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
     answered = turns.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("completion")
     )
-    sample = F.shiftleft("conv_id", 32) + F.col("turn")
+    # One number names a sample; ids that do not fit it are refused instead of wrapping.
+    fits = (F.abs("conv_id") < F.lit(1 << 31)) & F.col("turn").between(0, (1 << 32) - 1)
+    sample = F.when(fits, F.shiftleft("conv_id", 32) + F.col("turn")).otherwise(
+        F.raise_error(F.lit("conversation id or turn too large for a sample id")).cast("bigint")
+    )
     return asked.join(answered, ["conv_id", "turn"]).select(sample.alias("sample_id"), "prompt", "completion")
 
 
@@ -122,6 +125,24 @@ def sql_doc_tokens() -> str:
   FROM (SELECT doc_id, {sql_words('text')} AS w FROM documents))"""
 
 
+def gappy_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of which every seventh is blank."""
+    text = F.when(F.col("doc_id") % 7 == 0, F.lit(" \n")).otherwise(F.col("text"))
+    return documents(spark, sf).withColumn("text", text)
+
+
+SQL_GAPPY = "gappy AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE text END AS text FROM documents)"
+
+
+@cache
+def sql_space_stream(source: str = "gappy") -> str:
+    """A corpus joined by spaces: no separator is a token."""
+    return f"""flat AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS token
+  FROM (SELECT doc_id, {sql_words('text')} AS w FROM {source})), stream AS (
+  SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS pos, token,
+         lag(token) OVER (ORDER BY doc_id, i) AS prev FROM flat)"""
+
+
 @cache
 def sql_stream(bos: bool = False) -> str:
     """The joined corpus as positions, tokens and previous tokens."""

@@ -9,10 +9,12 @@ from corpusgauge.functions import text as X
 from corpusgauge.operators import blocks, corpus_stats, ordering, rows, vocabulary
 from corpusgauge.plans.common import (
     collection,
+    SQL_GAPPY,
     SQL_SAMPLES,
     document_bits,
     document_bounds,
     documents,
+    gappy_documents,
     joined,
     samples,
     sql_doc_tokens,
@@ -155,6 +157,16 @@ def row_index(spark, sf):
     return ordering.with_row_index(positive, "c_custkey")
 
 
+@query(
+    "corpus_offsets_space",
+    f"""WITH {SQL_GAPPY}, n AS (SELECT doc_id, len({sql_words('text')}) AS n FROM gappy)
+    SELECT doc_id, CAST(sum(n) OVER (ORDER BY doc_id) - n AS BIGINT) AS "offset", n FROM n""",
+)
+def corpus_offsets_space(spark, sf):
+    """Texts joined by a space, blank ones among them."""
+    return rows.corpus_offsets(gappy_documents(spark, sf), "doc_id", separator=" ", bounds=document_bounds(spark, sf))
+
+
 @query(
     "corpus_offsets",
     f"""WITH n AS (SELECT doc_id, len({W}) + CASE WHEN doc_id < (SELECT max(doc_id) FROM documents) THEN 1 ELSE 0 END AS n FROM documents)
@@ -198,13 +210,13 @@ def strip_prompt(spark, sf):
 
 @query(
     "ensure_bos",
-    """SELECT conv_id, turn, CAST(length(text) + 3 AS BIGINT) AS n_chars, '<s>' || left(text, 20) AS head FROM conversations""",
+    """SELECT conv_id, turn, CAST(length(text) + 3 AS BIGINT) AS n_chars, '<s>' || text AS text FROM conversations""",
 )
 def ensure_bos(spark, sf):
     turns = table(spark, sf, "conversations")
     marked = F.when(F.col("role") == "assistant", F.concat(F.lit("<s>"), "text")).otherwise(F.col("text"))
     out = turns.select("conv_id", "turn", X.ensure_prefix(marked, "<s>").alias("t"))
-    return out.select("conv_id", "turn", F.length("t").cast("bigint").alias("n_chars"), F.left("t", F.lit(23)).alias("head"))
+    return out.select("conv_id", "turn", F.length("t").cast("bigint").alias("n_chars"), F.col("t").alias("text"))
 
 
 @query("vocab_fit", f"WITH {sql_vocab()} SELECT word, n, CAST(id AS INT) AS id FROM vocab")
@@ -265,6 +277,29 @@ def group_texts(spark, sf):
     return out.select("batch", "block", joined("input_ids").alias("ids"), joined("labels").alias("labels"))
 
 
+@query(
+    "group_texts_masked",
+    f"""WITH {SQL_BLOCKS} SELECT batch, block, array_to_string(ids, ' ') AS ids,
+    array_to_string(list_transform(ids, lambda x: CASE WHEN x % 2 = 0 THEN 1 ELSE 0 END), ' ') AS mask FROM blocks""",
+)
+def group_texts_masked(spark, sf):
+    """A second array, cut with the ids; this mask marks even ids."""
+    mask = F.transform("input_ids", lambda x: F.when(x % 2 == 0, 1).otherwise(0))
+    encoded = materialise(encoded_documents(spark, sf).withColumn("attention_mask", mask))
+    out = blocks.group_texts(encoded, BLOCK, key="doc_id", bits=document_bits(spark, sf), parallel=["attention_mask"])
+    return out.select("batch", "block", joined("input_ids").alias("ids"), joined("attention_mask").alias("mask"))
+
+
+@query(
+    "first_blocks",
+    f"""WITH {SQL_BLOCKS} SELECT batch, block, array_to_string(ids, ' ') AS ids FROM blocks ORDER BY batch, block LIMIT 300""",
+)
+def first_blocks(spark, sf):
+    """The sample cap on the packed table."""
+    out = blocks.first_blocks(materialise(document_blocks(spark, sf)), 300)
+    return out.select("batch", "block", joined("input_ids").alias("ids"))
+
+
 def document_blocks(spark, sf):
     """Blocks of the encoded documents, which are written out once as several steps read them."""
     encoded = materialise(encoded_documents(spark, sf))

@@ -114,6 +114,23 @@ def metric_log(spark, sf):
     )
 
 
+@query(
+    "sample_log",
+    f"""WITH {SQL_SAMPLES}, r AS (SELECT sample_id, unnest(['prompt', 'generation', 'n_chars']) AS metric,
+      unnest([NULL, NULL, length(completion)::DOUBLE]) AS value, unnest([left(prompt, 200) || '...', completion, NULL]) AS text FROM samples)
+    SELECT sample_id AS step, metric, value, text FROM r WHERE value IS NOT NULL OR text IS NOT NULL""",
+)
+def sample_log(spark, sf):
+    """Text values beside numbers: a prompt's preview and what was generated."""
+    path = scratch_path(spark, "log")
+    logged = samples(spark, sf).select(
+        F.lit("run").alias("run_id"), F.col("sample_id").alias("step"), X.preview("prompt", 200).alias("prompt"),
+        F.col("completion").alias("generation"), F.length("completion").alias("n_chars"),
+    )
+    records.log_rows(logged, path)
+    return records.read_log(spark, path).select("step", "metric", "value", "text")
+
+
 @query(
     "run_summary",
     f"""WITH {SQL_GENERATIONS} SELECT run_id, CAST(sum(n_tokens) AS BIGINT) AS tokens, round(sum(elapsed_s), 6) AS seconds

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusgauge.functions import arrays as A
@@ -21,13 +22,16 @@ from corpusgauge.operators import (
 from corpusgauge.plans.common import (
     collection,
     SEPARATOR,
+    SQL_GAPPY,
     SQL_SAMPLES,
     document_bounds,
     documents,
+    gappy_documents,
     joined,
     samples,
     sql_doc_tokens,
     sql_nll,
+    sql_space_stream,
     sql_stream,
     sql_words,
     table,
@@ -207,6 +211,23 @@ def ppl_single(spark, sf):
     return rounded_ppl(perplexity.ppl_bigrams(perplexity.weigh_bigrams(bag, weight)))
 
 
+SQL_SPACE = f"""{SQL_GAPPY}, {sql_space_stream()}, {sql_nll()}"""
+
+
+@query("ppl_single_space", f"WITH {SQL_SPACE} SELECT count(nll) AS n_tokens, round(exp(avg(nll)), 6) AS ppl FROM nll")
+def ppl_single_space(spark, sf):
+    """Texts joined by a space, blank ones among them."""
+    bag = ngram.corpus_bag(gappy_documents(spark, sf), "doc_id", separator=" ", bounds=document_bounds(spark, sf))
+    weight = F.when(F.col("prev").isNotNull(), 1.0).otherwise(0.0)
+    return rounded_ppl(perplexity.ppl_bigrams(perplexity.weigh_bigrams(bag, weight)))
+
+
+@query("space_stream", f"WITH {SQL_GAPPY}, {sql_space_stream()} SELECT doc_id, pos, s.token, prev FROM stream s JOIN (SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS pos, doc_id FROM flat) USING (pos)")
+def space_stream(spark, sf):
+    stream, _ = ngram.corpus_stream(gappy_documents(spark, sf), "doc_id", separator=" ", bounds=document_bounds(spark, sf))
+    return stream.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "token", "prev")
+
+
 @query("ppl_single_by_position", SQL_SINGLE)
 def ppl_single_by_position(spark, sf):
     return rounded_ppl(perplexity.ppl_single(corpus_nll(spark, sf)))
@@ -342,7 +363,7 @@ def last_word_accuracy(spark, sf):
 
 @query(
     "greedy_completion",
-    f"""WITH {SQL_DOC_STREAM}, {SQL_BEST}, {SQL_LAST}
+    f"""WITH {SQL_DOC_STREAM}, {SQL_BEST.replace('best AS (', 'best AS MATERIALIZED (')}, {SQL_LAST}
     SELECT item_id, concat_ws(' ', b1.best, b2.best, b3.best) AS completion,
     CASE WHEN b1.best IS NULL THEN 0 WHEN b2.best IS NULL THEN 1 WHEN b3.best IS NULL THEN 2 ELSE 3 END AS n_tokens
     FROM lw LEFT JOIN best b1 ON b1.prev = last_seen LEFT JOIN best b2 ON b2.prev = b1.best LEFT JOIN best b3 ON b3.prev = b2.best""",
@@ -361,20 +382,31 @@ def score_argmax(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", A.argmax("embedding").alias("pred"))
 
 
-SQL_DRAFT = f"""{sql_doc_tokens()}, stream AS (SELECT doc_id, pos, token, lag(token) OVER d AS prev, lag(token, 2) OVER d AS prev2
-  FROM tok WINDOW d AS (PARTITION BY doc_id ORDER BY pos)), {SQL_BEST},
-c3 AS (SELECT prev2, prev, token, count(*) AS n FROM stream WHERE prev2 IS NOT NULL GROUP BY 1, 2, 3),
-best3 AS (SELECT prev2, prev, token AS best FROM c3 QUALIFY row_number() OVER (PARTITION BY prev2, prev ORDER BY n DESC, token) = 1),
-drafts AS (SELECT doc_id, (pos - 2) // {ASSIST} AS step, (pos - 2) % {ASSIST} AS pos, b.best AS draft, t.best AS target
-  FROM stream s JOIN best b ON b.prev = s.prev JOIN best3 t ON t.prev2 = s.prev2 AND t.prev = s.prev),
-steps AS (SELECT doc_id, step, count(*) AS proposed, coalesce(min(pos) FILTER (draft <> target), count(*)) AS matched FROM drafts GROUP BY 1, 2)"""
+# Order lines play a decoding log: an order is a sequence, its lines are drafted tokens, three to a step.
+DRAFTED = "l_discount >= 0.02"  # an order without such a line has no details
+SQL_DRAFT = f"""drafts AS (SELECT l_orderkey AS sample, (l_linenumber - 1) // {ASSIST} AS step, (l_linenumber - 1) % {ASSIST} AS pos,
+  l_partkey % 3 AS draft, nullif(l_suppkey % 3, 2) AS target FROM lineitem WHERE {DRAFTED}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY sample, step ORDER BY pos, draft, target NULLS FIRST) - 1 AS spot FROM drafts),
+steps AS (SELECT sample, step, count(*) AS proposed, coalesce(min(spot) FILTER (draft IS DISTINCT FROM target), count(*)) AS matched FROM ranked GROUP BY 1, 2)"""
+
+
+def draft_log(spark, sf):
+    """`(sample, step, pos, draft, target)` with positions dense in a step."""
+    lines = table(spark, sf, "lineitem").where(DRAFTED)
+    log = lines.select(
+        F.col("l_orderkey").alias("sample"),
+        F.floor((F.col("l_linenumber") - 1) / ASSIST).cast("bigint").alias("step"),
+        F.pmod(F.col("l_linenumber") - 1, F.lit(ASSIST)).alias("pos"),
+        (F.col("l_partkey") % 3).alias("draft"),
+        F.nullif(F.col("l_suppkey") % 3, F.lit(2).cast("bigint")).alias("target"),
+    )
+    # A step holds about ASSIST tokens; lines may share a number.
+    dense = F.row_number().over(Window.partitionBy("sample", "step").orderBy("pos", "draft", "target")) - 1
+    return log.withColumn("pos", dense.cast("bigint"))
 
 
 def verified_steps(spark, sf):
-    stream = ngram.row_tokens(documents(spark, sf), "doc_id", order=3)
-    counts = ngram.count_ngrams(stream, ["prev2", "prev"])
-    drafts = speculation.draft_tokens(stream, counts, "doc_id", ASSIST)
-    return speculation.verify_draft(drafts, ["doc_id", "step"])
+    return speculation.verify_draft(draft_log(spark, sf), ["sample", "step"])
 
 
 @query("verify_draft", f"WITH {SQL_DRAFT} SELECT * FROM steps")
@@ -382,20 +414,20 @@ def verify_draft(spark, sf):
     return verified_steps(spark, sf)
 
 
-def document_acceptance(spark, sf):
-    return speculation.acceptance(verified_steps(spark, sf), ["doc_id"])
+def sequence_acceptance(spark, sf):
+    return speculation.acceptance(verified_steps(spark, sf), ["sample"])
 
 
 @query(
     "acceptance_per_run",
-    f"""WITH {SQL_DRAFT} SELECT source AS run_id, CAST(sum(matched) AS BIGINT) AS accepted, CAST(sum(proposed - matched) AS BIGINT) AS rejected,
+    f"""WITH {SQL_DRAFT} SELECT o_orderpriority AS run_id, CAST(sum(matched) AS BIGINT) AS accepted, CAST(sum(proposed - matched) AS BIGINT) AS rejected,
     count(*) FILTER (proposed > matched) AS rollbacks, round(sum(matched) / greatest(sum(proposed), 1), 9) AS rate_max1,
-    round(sum(matched) / (sum(proposed) + 1e-9::DOUBLE), 9) AS rate_eps FROM steps JOIN documents USING (doc_id) GROUP BY source""",
+    round(sum(matched) / (sum(proposed) + 1e-9::DOUBLE), 9) AS rate_eps FROM steps JOIN orders ON o_orderkey = sample GROUP BY 1""",
 )
 def acceptance_per_run(spark, sf):
-    per_doc = document_acceptance(spark, sf).drop("steps", "accept_rate")
-    runs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("run_id"))
-    totals = generation.rollup_runs(per_doc.join(runs, "doc_id"), "run_id", ["accepted", "rejected", "rollbacks"])
+    per_sequence = sequence_acceptance(spark, sf).drop("steps", "accept_rate")
+    runs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("sample"), F.col("o_orderpriority").alias("run_id"))
+    totals = generation.rollup_runs(per_sequence.join(runs, "sample"), "run_id")
     return totals.select(
         "*",
         F.round(N.accept_rate("accepted", "rejected", "max1"), 9).alias("rate_max1"),
@@ -405,17 +437,17 @@ def acceptance_per_run(spark, sf):
 
 @query(
     "mean_acceptance",
-    f"""WITH {SQL_DRAFT}, per AS (SELECT doc_id, sum(matched) / sum(proposed) AS rate, count(*) FILTER (proposed > matched) AS rb FROM steps GROUP BY 1)
-    SELECT lang, count(*) AS sequences, round(avg(rate), 9) AS mean_known, bool_or(rate IS NULL) AS poisoned,
-    round(avg(coalesce(rb, 0)), 9) AS mean_rollbacks FROM documents LEFT JOIN per USING (doc_id) GROUP BY lang""",
+    f"""WITH {SQL_DRAFT}, per AS (SELECT sample, sum(matched) / sum(proposed) AS rate, count(*) FILTER (proposed > matched) AS rb FROM steps GROUP BY 1)
+    SELECT o_orderstatus AS status, count(*) AS sequences, round(avg(rate), 9) AS mean_known, bool_or(rate IS NULL) AS poisoned,
+    round(avg(coalesce(rb, 0)), 9) AS mean_rollbacks FROM orders LEFT JOIN per ON sample = o_orderkey GROUP BY 1""",
 )
 def mean_acceptance(spark, sf):
-    per_doc = document_acceptance(spark, sf).select("doc_id", F.col("accept_rate").alias("accept_ratio"), "rollbacks")
-    runs = table(spark, sf, "documents").select("doc_id", "lang").join(per_doc, "doc_id", "left")
-    known = speculation.mean_acceptance(runs, ["lang"], ignore_missing=True)
-    strict = speculation.mean_acceptance(runs, ["lang"]).select("lang", F.isnan("mean_accept").alias("poisoned"))
-    return known.join(strict, "lang").select(
-        "lang", "sequences", F.round("mean_accept", 9).alias("mean_known"), "poisoned", F.round("mean_rollbacks", 9).alias("mean_rollbacks")
+    per_sequence = sequence_acceptance(spark, sf).select("sample", F.col("accept_rate").alias("accept_ratio"), "rollbacks")
+    runs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("sample"), F.col("o_orderstatus").alias("status"))
+    out = speculation.mean_acceptance(runs.join(per_sequence, "sample", "left"), ["status"])
+    return out.select(
+        "status", "sequences", F.round("mean_known", 9).alias("mean_known"), F.isnan("mean_accept").alias("poisoned"),
+        F.round("mean_rollbacks", 9).alias("mean_rollbacks"),
     )
 
 

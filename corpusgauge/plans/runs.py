@@ -121,6 +121,22 @@ def step_latency_percentiles(spark, sf):
     return rounded(generation.step_latencies(steps), "mean_ms", "p50_ms", "p95_ms")
 
 
+@query(
+    "step_latency_nulls",
+    """SELECT CAST(nullif(l_partkey % 5, 0) AS VARCHAR) AS run_id, count(v) AS steps, round(avg(v), 6) AS mean_ms, round(quantile_cont(v, 0.5), 6) AS p50_ms,
+    round(quantile_cont(v, 0.95), 6) AS p95_ms
+    FROM (SELECT l_partkey, CASE WHEN l_partkey % 5 <> 3 AND l_linenumber <> 7 THEN l_extendedprice END AS v FROM lineitem) GROUP BY 1""",
+)
+def step_latency_nulls(spark, sf):
+    """Runs without a name or without any latency, others of many steps, some without one."""
+    part = F.col("l_partkey") % 5
+    timed = (part != 3) & (F.col("l_linenumber") != 7)
+    steps = table(spark, sf, "lineitem").select(
+        F.nullif(part, F.lit(0).cast("bigint")).cast("string").alias("run_id"), F.when(timed, F.col("l_extendedprice")).alias("ms")
+    )
+    return rounded(generation.step_latencies(steps), "mean_ms", "p50_ms", "p95_ms", places=6)
+
+
 @query(
     "unit_conversion",
     "SELECT o_orderkey, round(o_totalprice / 1e9::DOUBLE, 12) AS gb, round(o_totalprice * 1000.0::DOUBLE, 6) AS ms FROM orders",
@@ -201,6 +217,22 @@ def gpu_util_mean_by_run(spark, sf):
     return history.attach_history(wanted, history.mean_by_run(samples, "view"))
 
 
+@query(
+    "gpu_util_named_runs",
+    """WITH m AS (SELECT user_id, avg(value) FILTER (event_type = 'view') AS mean FROM events GROUP BY 1)
+    SELECT c_custkey AS run_id, c_name AS run_name, round_even(mean * 100, 0) / 100 AS mean,
+    CASE WHEN user_id IS NULL THEN 'Error: no run ' || c_custkey WHEN mean IS NULL THEN 'N/A' ELSE 'ok' END AS status
+    FROM customer LEFT JOIN m ON user_id = c_custkey""",
+)
+def gpu_util_named_runs(spark, sf):
+    """The run's name stands beside its id."""
+    samples = table(spark, sf, "events").select(
+        F.col("user_id").alias("run_id"), F.col("event_type").alias("metric"), "value"
+    )
+    wanted = table(spark, sf, "customer").select(F.col("c_custkey").alias("run_id"), F.col("c_name").alias("run_name"))
+    return history.attach_history(wanted, history.mean_by_run(samples, "view"))
+
+
 @query(
     "metric_column_mean",
     """SELECT 'system.gpu.0.gpu' AS metric, count(*) AS n, round(avg(value), 9) AS mean FROM events WHERE event_type = 'view'
@@ -262,6 +294,36 @@ def profile_summary_by_report(spark, sf):
     return summary_columns(history.named_summary(named, "name", "value", "report"))
 
 
+SQL_GAPS = "SELECT nullif(l_returnflag, 'R') AS report, CAST(nullif(l_partkey % 7, 0) AS VARCHAR) AS name, CASE WHEN l_partkey % 7 <> 5 AND l_linenumber <> 7 THEN l_extendedprice END AS v FROM lineitem"
+
+
+@query(
+    "profile_summary_nulls",
+    f"""WITH s AS (SELECT report, name, {SQL_SUMMARY} FROM ({SQL_GAPS}) GROUP BY 1, 2)
+    SELECT report, name, {SQL_SUMMARY_OUT.format(over='sum(total) OVER (PARTITION BY report)')} FROM s""",
+)
+def profile_summary_nulls(spark, sf):
+    """Reports and names may be missing, and a name may have no value."""
+    part = F.col("l_partkey") % 7
+    value = F.when((part != 5) & (F.col("l_linenumber") != 7), F.col("l_extendedprice"))
+    named = table(spark, sf, "lineitem").select(
+        F.nullif("l_returnflag", F.lit("R")).alias("report"), F.nullif(part, F.lit(0).cast("bigint")).cast("string").alias("name"), value.alias("value")
+    )
+    return summary_columns(history.named_summary(named, "name", "value", "report"))
+
+
+@query(
+    "profile_summary_named_nulls",
+    f"""WITH s AS (SELECT name, {SQL_SUMMARY} FROM ({SQL_GAPS.replace('l_partkey % 7, 0', 'l_linenumber % 3, 0')}) GROUP BY 1)
+    SELECT name, {SQL_SUMMARY_OUT.format(over='sum(total) OVER ()')} FROM s""",
+)
+def profile_summary_named_nulls(spark, sf):
+    """Few names, so that each has very many values."""
+    value = F.when((F.col("l_partkey") % 7 != 5) & (F.col("l_linenumber") != 7), F.col("l_extendedprice"))
+    named = table(spark, sf, "lineitem").select(F.nullif(F.col("l_linenumber") % 3, F.lit(0)).cast("string").alias("name"), value.alias("value"))
+    return summary_columns(history.named_summary(named, "name", "value"))
+
+
 @query(
     "profile_diff",
     """WITH s AS (SELECT l_linestatus AS st, l_returnflag AS report, l_partkey AS name, sum(l_extendedprice) AS total, count(*) AS n FROM lineitem GROUP BY 1, 2, 3),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,9 +55,47 @@ def work_dir(spark: SparkSession) -> str:
     return folder
 
 
+def setting(spark: SparkSession, name: str, default: float) -> float:
+    """A bound that `spark.corpusgauge.<name>` may change; see `operators.joins` for what they are."""
+    return float(spark.conf.get(f"spark.corpusgauge.{name}", str(default)))
+
+
+_scopes: list[list[str]] = []  # paths made inside the open scopes, innermost last
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{work_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end all derived tables made inside.
+
+    They belong to whoever opens the scope, who writes the result out before it closes; frames
+    built inside are of no use afterwards. Without a scope they stay until the shared folder is
+    cleared, because a lazy frame may still read them. Streams open one per micro-batch.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def write_and_clear(spark: SparkSession, build, path: str, mode: str = "errorifexists") -> None:
+    """Write the frame that `build` returns as Parquet, then drop the tables made on the way."""
+    with scratch_scope(spark):
+        build().write.mode(mode).parquet(path)
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -67,22 +107,3 @@ def materialise(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a frame (file bytes for a plain scan)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on a table that fits one scan split; leave bigger tables as scanned.
-
-    Word splitting is CPU-bound, and a small file with a single row group is read by
-    one task. A larger table already arrives in many splits, so it is not shuffled.
-    """
-    spark = df.sparkSession
-    split = spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728").lower().rstrip("b")
-    limit = int(split) if split.isdigit() else 128 << 20
-    if estimated_bytes(df) < limit:
-        return df.repartition(spark.sparkContext.defaultParallelism, key)
-    return df

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusgauge.operators.joins import measured
+from corpusgauge.operators.ordering import key_bits, ranked, running_offset
+
 TEXT_FORMATS = {"csv": "csv", "json": "json", "txt": "text"}
 
 
@@ -21,8 +24,9 @@ def load_corpus(spark: SparkSession, path: str, split: str | None = None, key: s
 def number_rows(scan: DataFrame, name: str = "row_id") -> DataFrame:
     """Number the rows of a file scan 0, 1, 2.. by file path and position in the file.
 
-    A split's rows are read in order, so only the splits are sorted and counted: one
-    small row each, and the texts are not shuffled.
+    Digits in a path count as numbers, so `part-99999` comes before `part-100000`. A split's
+    rows are read in order, so only the splits are sorted and counted: one small row each,
+    ranked by a distributed sort and added up in buckets, and the texts are not shuffled.
     """
     placed = scan.select(
         *scan.columns,
@@ -30,15 +34,28 @@ def number_rows(scan: DataFrame, name: str = "row_id") -> DataFrame:
         F.col("_metadata.file_block_start").alias("_split"),
         F.monotonically_increasing_id().alias("_seq"),
     )
-    before = Window.orderBy("_file", "_split").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        placed.groupBy("_file", "_split")
-        .agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
-        .select("_file", "_split", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
-    )
-    return placed.join(F.broadcast(starts), ["_file", "_split"]).select(
-        (F.col("_seq") + F.col("_shift")).alias(name), *scan.columns
+    splits = placed.groupBy("_file", "_split").agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
+    order = ranked(splits.withColumn("_name", natural_order("_file")), F.asc("_name"), F.asc("_file"), F.asc("_split"), name="_at")
+    starts = running_offset(order, "_at", "_n", "_base", key_bits(order, "_at")).select(
+        "_file", "_split", (F.col("_base") - F.col("_first")).alias("_shift")
     )
+    # `_file` and `_split` are hot by nature, a split's rows being many; ids are dense per split.
+    rows, _, small = measured(starts)
+    side = F.broadcast(starts) if small else starts
+    return placed.join(side, ["_file", "_split"]).select((F.col("_seq") + F.col("_shift")).alias(name), *scan.columns)
+
+
+def natural_order(path: Column | str) -> Column:
+    """A sort key in which runs of digits compare as numbers: each is led by its length."""
+    digits = F.regexp_extract_all(path, F.lit(r"(\d+)"), F.lit(1))
+    others = F.split(path, r"\d+")
+
+    def led(run: Column) -> Column:
+        short = F.regexp_replace(run, r"^0+(?=\d)", "")
+        return F.concat(F.lpad(F.length(short).cast("string"), 4, "0"), short)
+
+    pairs = F.zip_with(others, digits, lambda a, b: F.concat(a, F.coalesce(led(b), F.lit(""))))
+    return F.array_join(pairs, "")
 
 
 def file_kind(path: str) -> str:
@@ -54,18 +71,21 @@ def load_file(
     schema: T.StructType | None = None,
     keep_linebreaks: bool = True,
     numbered: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Read a csv, json-lines or txt file, chosen by extension.
 
     Text files give one `text` row per line; the terminator Spark drops is put back
     when `keep_linebreaks` is set. `numbered` adds the `row_id` other operators order by.
+    A csv file whose fields hold line breaks is read by one task; `multi_line=False` says
+    that there are none, and lets a big file be split.
     """
     kind = file_kind(path)
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if kind == "text":
         df = spark.read.text(path)
     elif kind == "csv":
-        df = reader.csv(path, header=True, multiLine=True, escape='"')
+        df = reader.csv(path, header=True, multiLine=multi_line, escape='"')
     else:
         df = reader.json(path)
     if numbered:
@@ -83,6 +103,7 @@ def load_files(
     schema: T.StructType | None = None,
     keep_linebreaks: bool = True,
     numbered: bool = False,
+    multi_line: bool = True,
 ) -> dict[str, DataFrame]:
     """Train and validation files by split name; both must have allowed extensions."""
     paths = {k: v for k, v in (("train", train), ("validation", validation)) if v is not None}
@@ -93,7 +114,7 @@ def load_files(
     kinds = {file_kind(p) for p in paths.values()}
     if len(kinds) > 1:
         raise ValueError("train and validation files must have the same extension")
-    return {k: load_file(spark, p, schema, keep_linebreaks, numbered) for k, p in paths.items()}
+    return {k: load_file(spark, p, schema, keep_linebreaks, numbered, multi_line) for k, p in paths.items()}
 
 
 def text_column(df: DataFrame) -> str:

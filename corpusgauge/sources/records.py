@@ -40,13 +40,18 @@ def read_history(spark: SparkSession, path: str, run_id: str | None = None) -> D
 
 
 def wide_to_long(df: DataFrame, ids: list[str]) -> DataFrame:
-    """Metric columns, dotted names included, turned into `(ids.., metric, value)` rows."""
-    metrics = [c for c in df.columns if c not in ids]
-    values = F.array(
-        *[F.struct(F.lit(m).alias("metric"), F.col(f"`{m}`").cast("double").alias("value")) for m in metrics]
-    )
-    rows = df.select(*ids, F.inline(values))
-    return rows.where(F.col("value").isNotNull())
+    """Columns, dotted names included, turned into `(ids.., metric, value, text)` rows.
+
+    Numbers and booleans go to `value`, strings (a prompt, a generation) to `text`.
+    """
+    def entry(name: str) -> Column:
+        is_text = isinstance(df.schema[name].dataType, T.StringType)
+        column, none = F.col(f"`{name}`"), F.lit(None)
+        value, text = (none.cast("double"), column) if is_text else (column.cast("double"), none.cast("string"))
+        return F.struct(F.lit(name).alias("metric"), value.alias("value"), text.alias("text"))
+
+    rows = df.select(*ids, F.inline(F.array(*[entry(c) for c in df.columns if c not in ids])))
+    return rows.where(F.col("value").isNotNull() | F.col("text").isNotNull())
 
 
 def log_rows(df: DataFrame, path: str, ids: tuple[str, ...] = ("run_id", "step")) -> None:
@@ -59,7 +64,7 @@ def log_rows(df: DataFrame, path: str, ids: tuple[str, ...] = ("run_id", "step")
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("step bigint, metric string, value double, run_id string").parquet(path)
+    return spark.read.schema("step bigint, metric string, value double, text string, run_id string").parquet(path)
 
 
 def log_summary(df: DataFrame, path: str) -> None:
@@ -81,10 +86,19 @@ def config_map(settings: Mapping[str, Column]) -> Column:
 
 
 def write_guarded(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Refuse to write over an existing non-empty output unless told to."""
+    """Refuse to write over an existing non-empty output unless told to; an empty folder is fine."""
+    if overwrite or is_empty_folder(df.sparkSession, path):
+        df.write.mode("overwrite").parquet(path)
+        return
     try:
-        df.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
+        df.write.mode("errorifexists").parquet(path)
     except AnalysisException as err:
         if err.getCondition() == "PATH_ALREADY_EXISTS":
             raise ValueError(f"output {path!r} exists and is not empty; pass overwrite=True") from err
         raise
+
+
+def is_empty_folder(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(where) and len(files.listStatus(where)) == 0

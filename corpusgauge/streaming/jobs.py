@@ -8,7 +8,9 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from corpusgauge.functions import text as X
 from corpusgauge.operators.blocks import BATCH_ROWS, group_texts
+from corpusgauge.operators.joins import measured
 from corpusgauge.operators.vocabulary import tokenize
+from corpusgauge.session import materialise, write_and_clear
 from corpusgauge.sources.records import wide_to_long
 
 
@@ -28,11 +30,16 @@ def stream_tokenise(
     """Append `(key, input_ids)` to a Parquet sink, encoding with a fitted vocabulary.
 
     Ids are gathered per row, which is complete within its micro-batch. The output
-    folder carries the batch number, so a replayed batch replaces its own files.
+    folder carries the batch number, so a replayed batch replaces its own files. The
+    vocabulary is measured once; what a batch derives is deleted with it.
     """
+    size = measured(vocab)
 
     def encode(batch: DataFrame, epoch: int) -> None:
-        tokenize(batch, vocab, key, col).write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
+        spark = batch.sparkSession
+        write_and_clear(
+            spark, lambda: tokenize(materialise(batch), vocab, key, col, size=size), f"{sink}/epoch={epoch}", "overwrite"
+        )
 
     return start(sdf.select(key, col).writeStream.foreachBatch(encode), checkpoint)
 
@@ -53,13 +60,23 @@ def stream_group_texts(
     """
 
     def build(batch: DataFrame, epoch: int) -> None:
-        blocks = group_texts(batch, block_size, batch_rows, key, ids)
-        blocks.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
+        spark = batch.sparkSession
+        write_and_clear(
+            spark, lambda: group_texts(materialise(batch), block_size, batch_rows, key, ids), f"{sink}/epoch={epoch}", "overwrite"
+        )
 
     return start(sdf.select(key, ids).writeStream.foreachBatch(build), checkpoint)
 
 
 def stream_metrics(sdf: DataFrame, sink: str, checkpoint: str, ids: tuple[str, ...] = ("run_id", "step")) -> StreamingQuery:
-    """Append per-step metrics in long form while runs go on."""
-    long = wide_to_long(sdf, list(ids))
-    return start(long.writeStream.format("parquet").partitionBy("run_id").outputMode("append").option("path", sink), checkpoint)
+    """Append per-step metrics in long form while runs go on.
+
+    A micro-batch gathers a run's rows into few files before it writes them, under its own
+    number, so that a replay replaces them.
+    """
+
+    def log(batch: DataFrame, epoch: int) -> None:
+        long = wide_to_long(batch, list(ids)).hint("rebalance", F.col("run_id"))
+        long.write.mode("overwrite").partitionBy("run_id").parquet(f"{sink}/epoch={epoch}")
+
+    return start(sdf.writeStream.foreachBatch(log), checkpoint)

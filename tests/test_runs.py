@@ -19,7 +19,7 @@ from corpusgauge.operators import (
     report,
     speculation,
 )
-from corpusgauge.sources import sweeps
+import sweeps
 from conftest import rows_of
 
 
@@ -86,31 +86,6 @@ def test_verify_and_acceptance(spark):
     assert tuple(empty) == (0.0, 0.0)
 
 
-def test_draft_tokens(spark):
-    texts = ["a b c a b d a b c", "a b", "x a b c a"]
-    df = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string")
-    stream = ngram.row_tokens(df, "row_id", order=3)
-    counts = ngram.count_ngrams(stream, ["prev2", "prev"])
-    got = speculation.draft_tokens(stream, counts, "row_id", 2)
-    from collections import Counter
-
-    two, three = Counter(), Counter()
-    for t in texts:
-        w = t.split()
-        two.update(zip(w, w[1:]))
-        three.update(zip(w, w[1:], w[2:]))
-
-    def best(counter, ctx):
-        return min(((-n, k[-1]) for k, n in counter.items() if k[:-1] == ctx))[1]
-
-    want = []
-    for i, t in enumerate(texts):
-        w = t.split()
-        for p in range(2, len(w)):
-            want.append((i, (p - 2) // 2, (p - 2) % 2, best(two, (w[p - 1],)), best(three, (w[p - 2], w[p - 1]))))
-    assert rows_of(got, "row_id", "step", "pos", "draft", "target") == sorted(want)
-
-
 def test_mean_acceptance(spark):
     df = spark.createDataFrame([(0.5, 2), (None, None), (1.0, 0)], "accept_ratio double, rollbacks int")
     r = speculation.mean_acceptance(df).first()
