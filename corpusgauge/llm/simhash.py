@@ -101,20 +101,22 @@ def bit_pairs(distinct: DataFrame) -> np.ndarray:
     return out.reshape(64, 64)
 
 
-def group_bits(together: np.ndarray, n: int, parts: int) -> list[list[int]]:
+def group_bits(together: np.ndarray, n: int, parts: int, bits: int = 64) -> list[list[int]]:
     """Partitions of near-equal width, each grown from a bit by those most correlated with it."""
     p = np.diag(together) / max(n, 1)
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-9))
     tie = np.abs(together / max(n, 1) - np.outer(p, p)) / np.outer(spread, spread)
-    left, groups = list(range(64)), []
+    free, groups = np.ones(bits, bool), []
     for k in range(parts):
-        width = len(left) // (parts - k)
-        group = [min(left, key=lambda b: (spread[b], b))]
-        left.remove(group[0])
-        while len(group) < width:
-            best = max(left, key=lambda b: (tie[b, group].sum(), -b))
-            group.append(best)
-            left.remove(best)
+        width = int(free.sum()) // (parts - k)
+        group = [int(np.argmin(np.where(free, spread, np.inf)))]
+        score = np.zeros(bits)
+        while True:
+            free[group[-1]] = False
+            if len(group) == width:
+                break
+            score += tie[group[-1]]
+            group.append(int(np.argmax(np.where(free, score, -1.0))))
         groups.append(sorted(group))
     return groups
 

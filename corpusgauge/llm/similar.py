@@ -1,0 +1,281 @@
+"""Near-duplicates by estimated shingle similarity, on wide SimHash fingerprints.
+
+For a similarity threshold rather than a bit threshold. A text's distinct five-word shingles vote
+on 256 bits. Two texts of similarity (Jaccard) J share an angle whose cosine is 2J / (1 + J), and
+each bit differs with that angle's share of a half turn: 0.15 at 0.8. Fingerprints link when they
+differ in at most `RADIUS` bits, a little more than is expected there, so that few pairs at the
+threshold are missed; measured on pairs of the test tables, 0.86 of those at 0.8 link, 0.98 at
+0.85, a third at 0.7, and none at 0.4 or less.
+
+Candidates come from the same generalised pigeonhole as in `simhash`: correlated bits are grouped
+into partitions, and dynamic programming gives each the threshold -1, 0 or 1. No split of so many
+differing bits leaves a selective partition sure to agree, so the thresholds are the cheapest ones
+(by candidates estimated, and probes) with which a pair at the threshold meets somewhere with
+probability `RECALL`; nearer pairs meet more surely. Keys that very many share are refined by a
+second partition. Runs of equal keys are verified as in `simhash`.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import combinations
+from math import ceil, comb, log
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpusgauge.llm.common import batch, bounded_batches, extended, fresh, mix, utf8
+from corpusgauge.llm.graph import components
+from corpusgauge.llm.simhash import HEAVY, LINKS, PAIR_COST, PROBE_COST, SAMPLE, SHORT_RUN, group_bits, shingle_hashes
+from corpusgauge.session import materialise
+
+WORDS = 4
+BITS = 64 * WORDS
+WIDTH = 5  # words of a shingle
+RADIUS = 46
+APART = 0.1515  # share of bits expected to differ at similarity 0.8
+RECALL = 0.97
+PARTITION_WIDTHS = (10, 12, 14, 16, 18, 20, 24)
+GAIN = 0.02  # step of the log probabilities that the allocation adds up
+
+
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """Bits set in more than half of the distinct hashes, and of numbers mixed from them."""
+    own = np.unique(hashes)
+    out = b""
+    for k in range(WORDS):
+        votes = np.zeros(64, np.int64)
+        for at in range(0, len(own), 4096):
+            part = own[at : at + 4096]
+            part = part if k == 0 else mix(part + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+            votes += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out += np.packbits(2 * votes > len(own), bitorder="little").tobytes()
+    return out
+
+
+def as_words(column: pa.Array) -> np.ndarray:
+    """(n, WORDS) numbers of a column of fingerprints."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, WORDS)
+
+
+def bits_of(words: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")
+
+
+def bit_pairs(distinct: DataFrame) -> np.ndarray:
+    """How often two bits are set together, over all distinct fingerprints."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((BITS, BITS))
+        for b in batches:
+            x = bits_of(as_words(b.column(0))).astype(np.float64)
+            total += x.T @ x
+        spot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(spot.astype(np.int32)), pa.array(total.ravel()[spot].astype(np.int64))], names=["spot", "n"])
+
+    rows = distinct.select("fp").mapInArrow(count, "spot int, n bigint").groupBy("spot").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(BITS * BITS)
+    out[rows["spot"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
+    return out.reshape(BITS, BITS)
+
+
+def meeting(width: int, t: int, apart: float = APART) -> float:
+    """Chance that a pair at the threshold differs in at most t bits of a partition."""
+    return sum(comb(width, k) * apart**k * (1 - apart) ** (width - k) for k in range(t + 1))
+
+
+def allocate(costs: list[list[float]], gains: list[list[float]], wanted: float) -> tuple[float, list[int]] | None:
+    """Cheapest thresholds from -1 whose gains reach `wanted`, by dynamic programming; None if none do."""
+    goal = ceil(wanted / GAIN)
+    best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
+    for cost, gain in zip(costs, gains):
+        after: dict[int, tuple[float, list[int]]] = {}
+        for have, (spent, chosen) in best.items():
+            for t, (c, g) in enumerate(zip(cost, gain), start=-1):
+                now, option = min(goal, have + int(g / GAIN)), (spent + c, [*chosen, t])
+                if now not in after or option < after[now]:
+                    after[now] = option
+        best = after
+    return best.get(goal)
+
+
+def plan(distinct: DataFrame, recall: float = RECALL) -> list[tuple[list[int], int]]:
+    """The partitions to probe, each with its threshold, 0 or 1."""
+    n = distinct.count()
+    together = bit_pairs(distinct)
+    p = np.diag(together) / max(n, 1)
+    rows = distinct.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("fp").toPandas()
+    bits = bits_of(as_words(pa.array([bytes(x) for x in rows["fp"]], pa.binary()))).astype(np.float32) if n else np.zeros((0, BITS), np.float32)
+    best = None
+    for width in PARTITION_WIDTHS:
+        groups = group_bits(together, n, BITS // width, BITS)
+        costs, gains = [], []
+        for g in groups:
+            x = bits[:, g]
+            apart = (x @ (1 - x).T + (1 - x) @ x.T)[np.triu_indices(len(x), 1)]
+            agree = 1 - 2 * p[g] * (1 - p[g])
+            none = float(np.prod(agree))
+            free = [none, none * (1 + float(np.sum((1 - agree) / np.maximum(agree, 1e-9))))]
+            cost, gain = [0.0], [0.0]
+            for t in (0, 1):
+                probes = comb(len(g), t)
+                share = max(float((apart <= t).mean()) if len(apart) else 0.0, free[t])
+                cost.append(n * probes * PROBE_COST + probes * share * n * n / 2 * PAIR_COST)
+                gain.append(-log(1 - meeting(len(g), t)))
+            costs.append(cost)
+            gains.append(gain)
+        found = allocate(costs, gains, -log(1 - recall))
+        if found and (best is None or found[0] < best[0]):
+            best = (found[0], [(g, t) for g, t in zip(groups, found[1]) if t >= 0])
+    return best[1]
+
+
+def mask_of(bits) -> np.ndarray:
+    out = np.zeros(BITS, np.uint8)
+    out[list(bits)] = 1
+    return np.packbits(out, bitorder="little").view("<u8")
+
+
+def keys(words: np.ndarray, tag: int, mask: np.ndarray) -> np.ndarray:
+    held = mix(np.full(len(words), tag + 1, np.uint64))
+    for k in range(WORDS):
+        if mask[k]:
+            held = mix(held + (words[:, k] & mask[k]) + np.uint64(k))
+    return held
+
+
+def linked_runs(key: np.ndarray, ids: np.ndarray, words: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within each run of equal keys: all pairs of a short run, a spanning forest of a long one."""
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(edge, len(key)))
+    run = np.repeat(np.arange(len(edge)), size)
+    short = size[run] <= SHORT_RUN
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lag in range(1, min(SHORT_RUN, len(key))):
+        at = np.flatnonzero((run[:-lag] == run[lag:]) & short[lag:])
+        if not len(at):
+            break
+        at = at[np.bitwise_count(words[at] ^ words[at + lag]).sum(axis=1, dtype=np.int32) <= radius]
+        a.append(ids[at])
+        b.append(ids[at + lag])
+    for k in np.flatnonzero(size > SHORT_RUN):
+        part = slice(edge[k], edge[k] + size[k])
+        left, first = np.unique(ids[part], return_index=True)
+        own = words[part][first]
+        while len(left):
+            found = [(left[0], own[0])]
+            left, own = left[1:], own[1:]
+            while found and len(left):
+                x, w = found.pop()
+                close = np.bitwise_count(own ^ w).sum(axis=1, dtype=np.int32) <= radius
+                if close.any():
+                    a.append(np.full(int(close.sum()), x))
+                    b.append(left[close])
+                    found.extend(zip(left[close], own[close]))
+                    left, own = left[~close], own[~close]
+    return np.concatenate(a), np.concatenate(b)
+
+
+def find_links(distinct: DataFrame, chosen: list[tuple[list[int], int]], radius: int = RADIUS, heavy: int = HEAVY) -> DataFrame:
+    """`(a, b)`: ids of linked fingerprints, enough of them to connect every group."""
+    spark = distinct.sparkSession
+    probes = [(k, mask_of(set(g) - set(out))) for k, (g, t) in enumerate(chosen) for out in combinations(g, t)]
+    whole = [mask_of(g) for g, _ in chosen]
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = as_words(b.column(1))
+            for k, (part, mask) in enumerate(probes):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys(own, k, mask).view(np.int64)), *b.columns, pa.array(np.full(len(own), k, np.int32))], names=["key", "id", "fp", "probe"]
+                )
+
+    probed = distinct.select("id", "fp").mapInArrow(probe, "key bigint, id bigint, fp binary, probe int")
+    counts = materialise(probed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > heavy).select("key", F.lit(True).alias("_heavy")))
+    many = counts.count()
+    marked = probed.withColumn("_heavy", F.lit(None).cast("boolean"))
+    if many:
+        # At most probes x fingerprints / heavy keys; broadcast while that is a small number.
+        marked = probed.join(F.broadcast(counts) if many <= 100_000 else counts, "key", "left")
+
+    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            is_heavy = b.column(4).fill_null(False)
+            light = b.filter(pc.invert(is_heavy))
+            if light.num_rows:
+                yield pa.RecordBatch.from_arrays([light.column(c) for c in (0, 1, 2)], names=["key", "id", "fp"])
+            dense = b.filter(is_heavy)
+            which = dense.column(3).to_numpy(zero_copy_only=False)
+            for k in np.unique(which):
+                mine = dense.filter(pa.array(which == k))
+                own = as_words(mine.column(2))
+                part, mask = probes[k]
+                for other, more in enumerate(whole):
+                    if other != part:
+                        key = keys(own, len(probes) + int(k) * len(whole) + other, mask | more)
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), mine.column(1), mine.column(2)], names=["key", "id", "fp"])
+
+    dealt = marked.select("key", "id", "fp", "probe", "_heavy").mapInArrow(refine, "key bigint, id bigint, fp binary")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    together = dealt.repartition(tasks, "key").sortWithinPartitions("key")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) > 50_000:
+                key, ids, words = columns(held)
+                cut = np.flatnonzero(key != key[-1])  # the last run may go on in the next batch
+                if len(cut):
+                    n = cut[-1] + 1
+                    yield links_of(key[:n], ids[:n], words[:n])
+                    whole_ = pa.Table.from_batches(held).combine_chunks()
+                    held = whole_.slice(n).combine_chunks().to_batches()
+        if held:
+            yield links_of(*columns(held))
+
+    def columns(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        return table.column(0).to_numpy(), table.column(1).to_numpy(), as_words(table.column(2))
+
+    def links_of(key: np.ndarray, ids: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
+        a, b = linked_runs(key, ids, words, radius)
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        return batch(LINKS, pairs[:, 0].copy(), pairs[:, 1].copy())
+
+    return together.mapInArrow(verify, "a bigint, b bigint")
+
+
+def keep_one(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, recall: float = RECALL) -> DataFrame:
+    """The rows of `docs`, one of each group of similar texts: that of the smallest id, nulls last.
+
+    Cases: texts without a word are one group; equal texts are, however many; among rows of one id
+    in one group any one stays, so a repeated row stays once; a null id never goes before another;
+    an empty table gives an empty result; all columns come along.
+    """
+    bounded_batches(docs.sparkSession)
+    columns = docs.columns
+    at = columns.index("text")
+    fp, row = fresh(docs, "_simhash", "_row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [wide_fingerprint(shingle_hashes(t.lower(), width)) for t in utf8(b.column(at))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.binary())], names=[*columns, fp])
+
+    marked = materialise(docs.mapInArrow(run, extended(docs, f"{fp} binary")).withColumn(row, F.monotonically_increasing_id()))
+    own = marked.select(
+        F.xxhash64(fp).alias("id"), F.col(fp).alias("fp"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col(row).alias("row")
+    )
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
+    distinct = materialise(own.groupBy("id").agg(F.first("fp").alias("fp"), first.alias("first")))
+    if distinct.limit(2).count() < 2:
+        nodes = distinct.select("id", F.col("id").alias("root"))
+    else:
+        nodes = components(materialise(find_links(distinct, plan(distinct, recall), radius))).withColumnRenamed("node", "id")
+    rooted = distinct.select("id", "first").join(nodes, "id", "left").select("first", F.coalesce("root", "id").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return marked.join(kept, row, "left_semi").select(columns)

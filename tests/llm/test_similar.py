@@ -1,0 +1,115 @@
+import random
+
+import numpy as np
+import pytest
+import xxhash
+
+from corpusgauge.llm import similar
+from corpusgauge.llm.common import mix
+from corpusgauge.llm.graph import components
+from corpusgauge.session import materialise
+from oddities import ascii_lower, frame, paragraph, split_words
+
+
+def brute_fingerprint(text):
+    ws = split_words(ascii_lower(text or ""))
+    runs = {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+    hashes = [xxhash.xxh64_intdigest(" ".join(r).encode(), 42) for r in runs]
+    out = 0
+    for k in range(4):
+        own = hashes if k == 0 else [int(mix(np.array([(h + k * 0x9E3779B97F4A7C15) % 2**64], np.uint64))[0]) for h in hashes]
+        out |= sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in own) > len(own)) << 64 * k
+    return out
+
+
+def brute_roots(prints, radius=similar.RADIUS):
+    parent = list(range(len(prints)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(prints):
+        for j in range(i):
+            if (a ^ prints[j]).bit_count() <= radius:
+                parent[find(i)] = find(j)
+    return [find(k) for k in range(len(prints))]
+
+
+def brute_kept(rows):
+    """Keys (id is null, id) of the first row of each group."""
+    first = {}
+    for r, root in zip(rows, brute_roots([brute_fingerprint(r["text"]) for r in rows])):
+        key = (r["doc_id"] is None, r["doc_id"] or 0)
+        first[root] = min(first.get(root, key), key)
+    return sorted(first.values())
+
+
+def test_one_of_each_group_stays(spark):
+    got = similar.keep_one(frame(spark))
+    assert got.columns == frame(spark).columns
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got.collect()) == brute_kept(frame(spark).collect())
+
+
+def test_fingerprints():
+    rng = random.Random(8)
+    for text in (None, "", "a", "a b c d e", paragraph(rng), "x y " * 50):
+        want = brute_fingerprint(text)
+        hashes = similar.shingle_hashes((text or "").lower().encode(), 5)
+        assert int.from_bytes(similar.wide_fingerprint(hashes), "little") == want
+
+
+def jaccard(a, b):
+    x, y = (set(zip(*(w[k:] for k in range(5)))) for w in (split_words(a), split_words(b)))
+    return len(x & y) / len(x | y)
+
+
+def test_similar_texts_go_and_others_stay(spark):
+    rng = random.Random(6)
+    rows, near, far = [], 0, 0
+    for k in range(150):
+        text = paragraph(rng, lines=12)
+        words = text.split(" ")
+        few, many = list(words), list(words)
+        for at in rng.sample(range(len(words)), max(1, len(words) // 120)):
+            few[at] = f"new{k}"
+        for at in rng.sample(range(len(words)), len(words) // 8):
+            many[at] = f"other{at}"
+        rows += [(3 * k, text), (3 * k + 1, " ".join(few)), (3 * k + 2, " ".join(many))]
+        assert jaccard(text, " ".join(few)) > 0.85 and jaccard(text, " ".join(many)) < 0.55
+    kept = {r["doc_id"] for r in similar.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    near = sum(3 * k + 1 in kept for k in range(150))
+    far = sum(3 * k + 2 not in kept for k in range(150))
+    assert near <= 6 and far <= 2 and all(3 * k in kept for k in range(150))
+
+
+@pytest.mark.parametrize("heavy", [4096, 5])
+def test_links_connect_near_fingerprints(spark, heavy):
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(25):
+        seed = rng.integers(0, 2, 256)
+        for _ in range(12):
+            own = seed.copy()
+            own[rng.choice(256, rng.integers(0, 14), replace=False)] ^= 1
+            rows.append(np.packbits(own.astype(np.uint8), bitorder="little").tobytes())
+    distinct = materialise(spark.createDataFrame([(k, bytearray(f)) for k, f in enumerate(rows)], "id bigint, fp binary"))
+    links = similar.find_links(distinct, similar.plan(distinct), heavy=heavy).collect()
+    numbers = [int.from_bytes(f, "little") for f in rows]
+    assert all((numbers[r["a"]] ^ numbers[r["b"]]).bit_count() <= similar.RADIUS for r in links)
+    found = {r["node"]: r["root"] for r in components(spark.createDataFrame([tuple(r) for r in links], "a bigint, b bigint")).collect()}
+    assert [found[k] for k in range(300)] == [k // 12 * 12 for k in range(300)]
+
+
+def test_allocation_reaches_the_recall_at_the_least_cost():
+    costs = [[0, 5, 40], [0, 6, 20], [0, 4, 90]]
+    gains = [[0, 0.5, 1.2], [0, 0.4, 1.0], [0, 0.3, 2.0]]
+    options = [(sum(c[t] for c, t in zip(costs, ts)), ts) for ts in np.ndindex(3, 3, 3) if sum(g[t] for g, t in zip(gains, ts)) >= 1.75 - 1e-9]
+    cost, chosen = similar.allocate(costs, gains, 1.75)
+    assert cost == min(options)[0] and similar.allocate(costs, gains, 9.0) is None
+
+
+def test_empty_and_single(spark):
+    assert similar.keep_one(frame(spark, [])).count() == 0
+    assert similar.keep_one(frame(spark, frame(spark).limit(1).collect())).count() == 1
