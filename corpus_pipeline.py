@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgauge.llm import decontaminate, langid, lines, packing, simhash
+from corpusgauge.llm import decontaminate, langid, lines, packing, similar
 from corpusgauge.llm.queries import public_vocabulary
 from corpusgauge.session import scratch_path
 
@@ -31,8 +31,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    """Keep one document of each group whose five-word shingles are about 0.8 alike or more."""
+    return similar.keep_one(docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
