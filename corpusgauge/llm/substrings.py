@@ -15,6 +15,10 @@ repeat are ever sorted, and equal strings meet in one task without any task hold
    reads intervals of suffixes that share the 24 or 25 symbols inside a window. The window's bytes
    outside whole symbols are compared last.
 4. Repeated windows go back to their documents, where the bytes they cover are removed.
+
+An anchor of more than `GROUP` distinct segments would be too much for one task. Its windows are
+hashed and counted one by one instead, combined before the shuffle, which takes more rows but no
+group at all.
 """
 
 from __future__ import annotations
@@ -38,6 +42,7 @@ BLOCK = 1 << 20  # bytes of a text that are hashed at a time
 PLACE_BITS = 24
 CHUNK = 4 << 20  # bytes of segments whose transforms are merged together
 SHARD = 1 << 16  # symbols of a shard
+GROUP = 20_000  # distinct segments of an anchor, about 6 MB, that a task may hold together
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -223,12 +228,34 @@ def merge_transforms(distinct: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, REPEATED)
 
 
+def count_windows(distinct: DataFrame) -> DataFrame:
+    """The same as `merge_transforms`, for anchors of any number of segments: windows by 128-bit hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "content", "weight", "skip", "h1", "h2"]
+        for b in batches:
+            for key, content, weight, body in zip(*(b.column(c).to_pylist() for c in range(4))):
+                n = len(body) - WINDOW + 1
+                digests = b"".join([xxhash.xxh128_digest(body[k : k + WINDOW]) for k in range(n)])
+                hashes = np.frombuffer(digests, "<i8").reshape(-1, 2)
+                same = [pa.array(np.full(n, x, np.int64)) for x in (key, content, weight)]
+                yield pa.RecordBatch.from_arrays(
+                    [*same, pa.array(np.arange(n, dtype=np.int32)), pa.array(hashes[:, 0].copy()), pa.array(hashes[:, 1].copy())], names=names
+                )
+
+    kind = "key bigint, content bigint, weight bigint, skip int, h1 bigint, h2 bigint"
+    found = materialise(distinct.select("key", "content", "weight", "body").mapInArrow(run, kind))
+    often = found.groupBy("key", "h1", "h2").agg(F.sum("weight").alias("times")).where("times > 1")
+    often = materialise(often.select("key", "h1", "h2"))  # stored, so that a hot window can be split
+    return found.join(often, ["key", "h1", "h2"]).select("key", "content", "skip", F.lit(1).alias("n"))
+
+
 # --- the operator -----------------------------------------------------------------
 
 LAST = (1 << 63) - 1
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """`(doc_id, n_bytes, n_removed, n_spans, kept)` per document; `kept` is what is left, in bytes.
 
     Cases: a null text is empty; a text shorter than the window loses nothing; a document's own
@@ -251,11 +278,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     one = mixed.groupBy("key", "content").agg(
         F.count("*").alias("weight"), F.min(F.struct("doc", "version", "first", "n", "lead")).alias("s")
     )
-    wanted = one.groupBy("s.doc", "s.version").agg(F.collect_list(F.struct("key", "content", "weight", "s.first", "s.n", "s.lead")).alias("segments"))
-    distinct = named.select("doc", "version", "text").join(wanted, ["doc", "version"]).mapInArrow(
-        fetch, "key bigint, content bigint, weight bigint, lead smallint, body binary"
-    )
-    merged = materialise(merge_transforms(distinct))
+    one = materialise(one)
+    crowded = materialise(one.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > group).select("key"))
+    merged = merge_transforms(bodies(named, one.join(crowded, "key", "left_anti")))
+    if crowded.limit(1).count():
+        rest = bodies(named, one.join(crowded, "key", "left_semi")).dropDuplicates(["key", "content"])
+        merged = merged.unionByName(count_windows(rest))
+    merged = materialise(merged)
     partly = mixed.join(merged.withColumnRenamed("n", "m"), ["key", "content"]).select(
         "doc", "version", (F.col("first") + F.col("skip")).alias("first"), F.col("m").alias("n")
     )
@@ -266,6 +295,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     )
 
 
+def bodies(named: DataFrame, one: DataFrame) -> DataFrame:
+    """`(key, content, weight, lead, body)`: the bytes of distinct segments, each from one occurrence."""
+    wanted = one.groupBy("s.doc", "s.version").agg(F.collect_list(F.struct("key", "content", "weight", "s.first", "s.n", "s.lead")).alias("segments"))
+    return named.select("doc", "version", "text").join(wanted, ["doc", "version"]).mapInArrow(
+        fetch, "key bigint, content bigint, weight bigint, lead smallint, body binary"
+    )
+
+
 def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the segments wanted of each document."""
     kind = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("weight", pa.int64()), ("lead", pa.int16()), ("body", pa.binary())])

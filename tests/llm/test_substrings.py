@@ -21,9 +21,9 @@ def brute(texts, window):
     return out
 
 
-def check(spark, rows):
+def check(spark, rows, **options):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, doc string, version int, key int")
-    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in substrings.remove_repeats(docs).collect()]
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in substrings.remove_repeats(docs, **options).collect()]
     want = [(r[0], *b) for r, b in zip(rows, brute([(r[1] or "").encode() for r in rows], 200))]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     return want
@@ -44,7 +44,9 @@ def test_edges_periods_and_near_copies(spark):
         texts.append(paragraph(rng, lines=1) + data[:at].decode() + "#" + data[at + 1 :].decode() + str(k))
     for k in range(12):  # a passage in many contexts
         texts.append(paragraph(rng, lines=2) + body[700:950] + paragraph(rng, lines=2))
-    want = check(spark, [(k, t, "", 0, 0) for k, t in enumerate(texts)])
+    rows = [(k, t, "", 0, 0) for k, t in enumerate(texts)]
+    want = check(spark, rows)
+    assert check(spark, rows, group=3) == want  # crowded anchors
     assert want[7][2] == 0 and want[8][2] == 201 and want[5][2] == 300
 
 
