@@ -135,7 +135,7 @@ def untrained(v: Vocabulary) -> Model:
     # A class without words has probability zero; its softmax is never asked for.
     word = np.where(np.isinf(word).all(axis=1, keepdims=True), 0.0, word)
     return Model(
-        bias.astype(np.float32), word.astype(np.float32),
+        (bias - bias.max()).astype(np.float32), (word - word.max(axis=1, keepdims=True)).astype(np.float32),
         np.zeros((CLASS_ROWS, CLASSES), np.float32), np.zeros((WORD_ROWS, SIZE), np.float32),
     )
 
@@ -196,9 +196,12 @@ def logits(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarra
     return out
 
 
+LARGEST = np.float32(80)  # biases are at most 0 and weights a few units, so this holds for sums of exponentials
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     """In place."""
-    x -= x.max(axis=1, keepdims=True)
+    np.minimum(x, LARGEST, out=x)
     np.exp(x, out=x)
     x /= x.sum(axis=1, keepdims=True)
     return x
@@ -206,10 +209,10 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 def log_chance(x: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log of the softmax at each row's target; `x` is used up."""
-    x -= x.max(axis=1, keepdims=True)
+    np.minimum(x, LARGEST, out=x)
     own = x[np.arange(len(target)), target].astype(np.float64)
     np.exp(x, out=x)
-    return own - np.log(x.sum(axis=1, dtype=np.float64))
+    return own - np.log(x.sum(axis=1).astype(np.float64))
 
 
 def split_places(places: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
