@@ -78,11 +78,11 @@ def duplicate_lines(text: Column) -> Column:
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
 
-def bucket_counts(docs: DataFrame, name: str, n: int = BUCKETS) -> DataFrame:
-    """`(bucket, <name>)` over all given texts."""
+def bucket_counts(docs: DataFrame, n: int = BUCKETS) -> DataFrame:
+    """`(bucket, raw, target)`: n-grams of all given texts, and of those whose `trusted` is true."""
     hashes = word_hashes(F.coalesce(F.col("text"), F.lit("")))
-    spread = docs.select(F.explode(let(hashes, lambda h: buckets(h, n))).alias("bucket"))
-    return spread.groupBy("bucket").agg(F.count("*").alias(name))
+    spread = docs.select("trusted", F.explode(let(hashes, lambda h: buckets(h, n))).alias("bucket"))
+    return spread.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("trusted").alias("target"))
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, n: int = BUCKETS, alpha: float = ALPHA) -> DataFrame:
@@ -91,10 +91,10 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, n: int = BUCKETS, alpha: flo
     `trusted` holds distinct non-null `doc_id`s.
     """
     spark = docs.sparkSession
-    ids = F.broadcast(trusted) if trusted.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else trusted
-    good = docs.join(ids, "doc_id", "left_semi")
-    both = spark.range(n).select(F.col("id").cast("int").alias("bucket"))
-    both = both.join(bucket_counts(docs, "raw", n), "bucket", "left").join(bucket_counts(good, "target", n), "bucket", "left")
+    ids = trusted.withColumn("trusted", F.lit(True))
+    ids = F.broadcast(ids) if trusted.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else ids
+    marked = docs.join(ids, "doc_id", "left")
+    both = spark.range(n).select(F.col("id").cast("int").alias("bucket")).join(bucket_counts(marked, n), "bucket", "left")
     parts = F.collect_list(F.struct("bucket", F.coalesce("target", F.lit(0)).alias("t"), F.coalesce("raw", F.lit(0)).alias("r")))
     row = both.agg(F.array_sort(parts).alias("b"), F.coalesce(F.sum("target"), F.lit(0)).alias("nt"), F.coalesce(F.sum("raw"), F.lit(0)).alias("nr"))
     ratio = F.transform("b", lambda x: F.log((x["t"] + alpha) / (x["r"] + alpha)) - F.log((F.col("nt") + alpha * n) / (F.col("nr") + alpha * n)))
