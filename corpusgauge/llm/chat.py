@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgauge.llm.common import bounded_batches
+from corpusgauge.llm.common import bounded_batches, frees
 from corpusgauge.operators.joins import lookup
 from corpusgauge.session import materialise
 
@@ -95,7 +95,7 @@ def lay_out(turns: DataFrame, vocabulary: str) -> DataFrame:
                 out.append(rows)
             yield pa.RecordBatch.from_arrays([ids, pa.array(out, TURN_TYPE)], names=["conv_id", "turns"])
 
-    return grouped.mapInArrow(run, f"conv_id bigint, turns {TURNS}")
+    return grouped.mapInArrow(frees(run), f"conv_id bigint, turns {TURNS}")
 
 
 SPANS = "array<struct<start:bigint,stop:bigint>>"
@@ -200,7 +200,7 @@ def prefix_tree(laid: DataFrame) -> DataFrame:
     paths = laid.select(path.alias("path")).distinct()
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = paths.repartitionByRange(tasks, "path").sortWithinPartitions("path")
-    placed = materialise(ordered.mapInArrow(emit_sorted, PLACED_DDL))
+    placed = materialise(ordered.mapInArrow(frees(emit_sorted), PLACED_DDL))
     edges = [(r["part"], r["edge"].asDict(recursive=True)) for r in placed.where(F.col("edge").isNotNull()).select("part", "edge").collect()]
     known = spark.sparkContext.broadcast(resolve(edges))  # one entry per partition
 
@@ -218,7 +218,7 @@ def prefix_tree(laid: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema=SETTLED)
 
     stream = placed.where(F.col("edge").isNull()).drop("edge").mapInArrow(
-        settle, f"node binary, start bigint, n bigint, position bigint, ancestors {SPANS}"
+        frees(settle), f"node binary, start bigint, n bigint, position bigint, ancestors {SPANS}"
     )
     turns = laid.select(F.inline("turns")).groupBy("node").agg(
         *[F.first(c).alias(c) for c in ("role", "header", "body", "ids")], F.count("*").alias("uses")
@@ -262,7 +262,7 @@ def read_back(stream: DataFrame, ways: DataFrame, vocabulary: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["conv_id", *DIGESTS])
 
     return grouped.mapInArrow(
-        run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+        frees(run), "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
     )
 
 

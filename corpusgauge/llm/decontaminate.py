@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgauge.llm.common import bounded_batches, extended, fresh, mix, utf8
+from corpusgauge.llm.common import bounded_batches, extended, frees, fresh, mix, utf8
 
 LEAST = 5  # words of the shortest tile, and of a seed
 COVERAGE = 0.6
@@ -225,7 +225,7 @@ def find_leaks(
                     found = [sorted((old or []) + new, key=lambda x: x["item_id"]) for old, new in zip(b.column(len(kept)).to_pylist(), found)]
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(found, LEAK_TYPE)], names=[*kept, name])
 
-        out = out.mapInArrow(run, kind)
+        out = out.mapInArrow(frees(run), kind)
         first = False
     return out
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgauge.llm.common import bounded_batches, extended, mix
+from corpusgauge.llm.common import bounded_batches, extended, frees, mix
 
 GRAM = 4  # characters of an n-gram, blanks between words included
 SLOTS = 1 << 20
@@ -163,7 +163,7 @@ def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
                         size = 0
         yield from flush()
 
-    rows = docs.select(F.col(lang), F.col(text)).mapInArrow(count, "lang string, gram bigint, n bigint")
+    rows = docs.select(F.col(lang), F.col(text)).mapInArrow(frees(count), "lang string, gram bigint, n bigint")
     return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -270,4 +270,4 @@ def predict(docs: DataFrame, filters: Filters, pred: str = "lang_pred", score: s
                 [*b.columns, pa.array(names, pa.string()), pa.array(scores)], names=[*kept, pred, score]
             )
 
-    return docs.select(kept).mapInArrow(run, kind)
+    return docs.select(kept).mapInArrow(frees(run), kind)

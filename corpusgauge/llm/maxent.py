@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusgauge.llm.common import bounded_batches, mix, utf8, words
+from corpusgauge.llm.common import bounded_batches, frees, mix, utf8, words
 from corpusgauge.session import materialise
 
 CLASSES, SIZE = 32, 32  # the last class holds all other words
@@ -68,7 +68,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                     yield flush()
         yield flush()
 
-    return docs.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(frees(run), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -304,7 +304,7 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Model:
                 )
 
         mine = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == part).select("text")
-        changed = mine.mapInArrow(run, CHANGES)
+        changed = mine.mapInArrow(frees(run), CHANGES)
         lanes = changed.groupBy("block", "lane").applyInPandas(average, CHANGES)
         averaged = lanes.groupBy("block").applyInPandas(average, CHANGES).select("block", "change").collect()
         # At most all weights once, whatever the corpus.
@@ -371,7 +371,7 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, model: Model) -> Da
                 names=["doc_id", "n_tokens", "n_known", "base", "model", "unknown"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, f"doc_id bigint, {SCORED}")
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(frees(run), f"doc_id bigint, {SCORED}")
     rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()))
     # Words not among the known are light keys, or longer than those may be; a hot one is split by adaptive execution.
     rare = rows.select("row", F.explode("unknown").alias("word")).join(counts.select("word", F.col("n").alias("c")), "word", "left")

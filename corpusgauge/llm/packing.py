@@ -23,16 +23,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgauge.llm.common import batch, bounded_batches
+from corpusgauge.llm.common import batch, bounded_batches, frees
 from corpusgauge.session import materialise
 
 CAPACITY = 4096
 END = 1
 SHARD = 16_384  # pieces that a task packs at a time
 OPEN_SHARE = 0.02  # a bin with more room than this goes to the next round
-CACHED_WORDS = 800_000
+CACHED_WORDS = 600_000
 BATCH_TEXTS = 4096
-TEXT_BYTES = 16 << 20  # more texts at a time share more words
+TEXT_BYTES = 10 << 20  # more texts at a time share more words
 SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 RECEIVERS = 128  # underfull bins looked at for one donor
 PATIENCE = 8  # donors tried in a row that no exchange helps to empty
@@ -172,7 +172,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int
                 yield batch(PIECES, *zip(*rows, strict=True))
 
     out = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
-        cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
+        frees(cut), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
     )
     return out if with_ids else out.drop("ids")
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgauge.llm.common import bounded_batches, extended, fresh
+from corpusgauge.llm.common import bounded_batches, extended, frees, fresh
 from corpusgauge.session import materialise
 
 Units = Callable[[str], tuple[list[str], list[str]]]  # text -> pieces, and what of each is compared ("": nothing)
@@ -68,7 +68,7 @@ def windows(docs: DataFrame, units: Units, width: int) -> DataFrame:
                 names=["doc", "version", "h1", "h2", "at"],
             )
 
-    listed = docs.mapInArrow(run, "doc bigint, version int, h1 array<bigint>, h2 array<bigint>, at array<int>")
+    listed = docs.mapInArrow(frees(run), "doc bigint, version int, h1 array<bigint>, h2 array<bigint>, at array<int>")
     return listed.select("doc", "version", F.inline(F.arrays_zip("h1", "h2", "at")))
 
 
@@ -120,7 +120,7 @@ def cut_repeats(docs: DataFrame, units: Units, width: int, counts: tuple[str, st
                 [*columns, pa.array(compared, pa.int64()), pa.array(gone, pa.int64())], names=[*kept, *counts]
             )
 
-    return joined.select(*kept, own_later).mapInArrow(run, kind)
+    return joined.select(*kept, own_later).mapInArrow(frees(run), kind)
 
 
 def cut(body: str | None, later: list[int], units: Units, width: int) -> tuple[str | None, int, int]:

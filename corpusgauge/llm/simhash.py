@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgauge.llm.common import batch, bounded_batches, extended, fresh, mix, utf8, words
+from corpusgauge.llm.common import batch, bounded_batches, extended, frees, fresh, mix, utf8, words
 from corpusgauge.llm.graph import components
 from corpusgauge.operators.joins import lookup
 from corpusgauge.session import materialise
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
             found = [fingerprint(shingle_hashes(t.lower(), width)) for t in utf8(b.column(1))]
             yield batch(FINGERPRINTS, b.column(0), np.array(found, np.uint64).view(np.int64))
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(frees(run), "doc_id bigint, fp bigint")
 
 
 # --- choosing partitions and thresholds ------------------------------------------
@@ -94,7 +94,7 @@ def bit_pairs(distinct: DataFrame) -> np.ndarray:
         spot = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(spot.astype(np.int32)), pa.array(total.ravel()[spot].astype(np.int64))], names=["spot", "n"])
 
-    rows = distinct.select("fp").mapInArrow(count, "spot int, n bigint").groupBy("spot").agg(F.sum("n").alias("n")).collect()
+    rows = distinct.select("fp").mapInArrow(frees(count), "spot int, n bigint").groupBy("spot").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(64 * 64)
     for r in rows:
         out[r["spot"]] = r["n"]
@@ -237,7 +237,7 @@ def find_links(distinct: DataFrame, chosen: list[tuple[list[int], int]], radius:
                     names=["key", "fp", "probe"],
                 )
 
-    probed = distinct.select("fp").mapInArrow(probe, "key bigint, fp bigint, probe int")
+    probed = distinct.select("fp").mapInArrow(frees(probe), "key bigint, fp bigint, probe int")
     counts = probed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > heavy)
     counts = materialise(counts.select("key", F.lit(True).alias("_heavy")))
     # Fewer than probes x fingerprints / heavy keys; broadcast only while that is a small number.
@@ -260,7 +260,7 @@ def find_links(distinct: DataFrame, chosen: list[tuple[list[int], int]], radius:
                 [pa.array(np.concatenate(x).view(np.int64)) for x in (new_key, new_fp)], names=["key", "fp"]
             )
 
-    dealt = marked.select("key", "fp", "probe", "_heavy").mapInArrow(refine, "key bigint, fp bigint")
+    dealt = marked.select("key", "fp", "probe", "_heavy").mapInArrow(frees(refine), "key bigint, fp bigint")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     together = dealt.repartition(tasks, "key").sortWithinPartitions("key")
 
@@ -283,7 +283,7 @@ def find_links(distinct: DataFrame, chosen: list[tuple[list[int], int]], radius:
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         return batch(LINKS, pairs[:, 0].copy().view(np.int64), pairs[:, 1].copy().view(np.int64))
 
-    return together.mapInArrow(verify, "a bigint, b bigint")
+    return together.mapInArrow(frees(verify), "a bigint, b bigint")
 
 
 def classes(own: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -326,7 +326,7 @@ def keep_one(docs: DataFrame, width: int = 5, radius: int = RADIUS) -> DataFrame
             found = [fingerprint(shingle_hashes(t.lower(), width)) for t in utf8(b.column(at))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.array(found, np.uint64).view(np.int64))], names=[*columns, fp])
 
-    marked = docs.mapInArrow(run, extended(docs, f"{fp} bigint")).withColumn(row, F.monotonically_increasing_id())
+    marked = docs.mapInArrow(frees(run), extended(docs, f"{fp} bigint")).withColumn(row, F.monotonically_increasing_id())
     marked = materialise(marked)
     own = marked.select(F.col(fp).alias("fp"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col(row).alias("row"))
     first = own.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first"))

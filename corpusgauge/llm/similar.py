@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgauge.llm.common import batch, bounded_batches, extended, fresh, mix, utf8
+from corpusgauge.llm.common import batch, bounded_batches, extended, frees, fresh, mix, utf8
 from corpusgauge.llm.graph import components
 from corpusgauge.llm.simhash import HEAVY, LINKS, PAIR_COST, PROBE_COST, SAMPLE, SHORT_RUN, group_bits, shingle_hashes
 from corpusgauge.session import materialise
@@ -76,7 +76,7 @@ def bit_pairs(distinct: DataFrame) -> np.ndarray:
         spot = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(spot.astype(np.int32)), pa.array(total.ravel()[spot].astype(np.int64))], names=["spot", "n"])
 
-    rows = distinct.select("fp").mapInArrow(count, "spot int, n bigint").groupBy("spot").agg(F.sum("n").alias("n")).toPandas()
+    rows = distinct.select("fp").mapInArrow(frees(count), "spot int, n bigint").groupBy("spot").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(BITS * BITS)
     out[rows["spot"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
     return out.reshape(BITS, BITS)
@@ -193,7 +193,7 @@ def find_links(distinct: DataFrame, chosen: list[tuple[list[int], int]], radius:
                     [pa.array(keys(own, k, mask).view(np.int64)), *b.columns, pa.array(np.full(len(own), k, np.int32))], names=["key", "id", "fp", "probe"]
                 )
 
-    probed = distinct.select("id", "fp").mapInArrow(probe, "key bigint, id bigint, fp binary, probe int")
+    probed = distinct.select("id", "fp").mapInArrow(frees(probe), "key bigint, id bigint, fp binary, probe int")
     counts = materialise(probed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > heavy).select("key", F.lit(True).alias("_heavy")))
     many = counts.count()
     marked = probed.withColumn("_heavy", F.lit(None).cast("boolean"))
@@ -218,7 +218,7 @@ def find_links(distinct: DataFrame, chosen: list[tuple[list[int], int]], radius:
                         key = keys(own, len(probes) + int(k) * len(whole) + other, mask | more)
                         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), mine.column(1), mine.column(2)], names=["key", "id", "fp"])
 
-    dealt = marked.select("key", "id", "fp", "probe", "_heavy").mapInArrow(refine, "key bigint, id bigint, fp binary")
+    dealt = marked.select("key", "id", "fp", "probe", "_heavy").mapInArrow(frees(refine), "key bigint, id bigint, fp binary")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     together = dealt.repartition(tasks, "key").sortWithinPartitions("key")
 
@@ -246,7 +246,7 @@ def find_links(distinct: DataFrame, chosen: list[tuple[list[int], int]], radius:
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         return batch(LINKS, pairs[:, 0].copy(), pairs[:, 1].copy())
 
-    return together.mapInArrow(verify, "a bigint, b bigint")
+    return together.mapInArrow(frees(verify), "a bigint, b bigint")
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, recall: float = RECALL) -> DataFrame:
@@ -266,7 +266,7 @@ def keep_one(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, recall:
             found = [wide_fingerprint(shingle_hashes(t.lower(), width)) for t in utf8(b.column(at))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.binary())], names=[*columns, fp])
 
-    marked = materialise(docs.mapInArrow(run, extended(docs, f"{fp} binary")).withColumn(row, F.monotonically_increasing_id()))
+    marked = materialise(docs.mapInArrow(frees(run), extended(docs, f"{fp} binary")).withColumn(row, F.monotonically_increasing_id()))
     own = marked.select(
         F.xxhash64(fp).alias("id"), F.col(fp).alias("fp"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col(row).alias("row")
     )

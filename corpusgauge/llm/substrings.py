@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusgauge.llm import bwt
-from corpusgauge.llm.common import batch, bounded_batches, mix, utf8
+from corpusgauge.llm.common import batch, bounded_batches, frees, mix, utf8
 from corpusgauge.session import materialise
 
 WINDOW = 200
@@ -122,7 +122,7 @@ def find_segments(docs: DataFrame) -> DataFrame:
             lists = [pa.array([r[c] for r in rows], pa.list_(t)) for c, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(keep, pa.int64())) for c in (0, 1)], *lists], names=names)
 
-    listed = docs.mapInArrow(run, SEGMENTS)
+    listed = docs.mapInArrow(frees(run), SEGMENTS)
     columns = ["key", "content", "first", "n", "lead"]
     return listed.select("doc", "version", F.inline(F.arrays_zip(*columns)))
 
@@ -225,7 +225,7 @@ def merge_transforms(distinct: DataFrame) -> DataFrame:
         return batch(REPEATED_TYPE, *(zip(*out) if out else [[]] * 4))
 
     dealt = distinct.select("key", "content", "weight", "lead", "body").repartition(tasks, "key").sortWithinPartitions("key", "content")
-    return dealt.mapInArrow(run, REPEATED)
+    return dealt.mapInArrow(frees(run), REPEATED)
 
 
 def count_windows(distinct: DataFrame) -> DataFrame:
@@ -244,7 +244,7 @@ def count_windows(distinct: DataFrame) -> DataFrame:
                 )
 
     kind = "key bigint, content bigint, weight bigint, skip int, h1 bigint, h2 bigint"
-    found = materialise(distinct.select("key", "content", "weight", "body").mapInArrow(run, kind))
+    found = materialise(distinct.select("key", "content", "weight", "body").mapInArrow(frees(run), kind))
     often = found.groupBy("key", "h1", "h2").agg(F.sum("weight").alias("times")).where("times > 1")
     often = materialise(often.select("key", "h1", "h2"))  # stored, so that a hot window can be split
     return found.join(often, ["key", "h1", "h2"]).select("key", "content", "skip", F.lit(1).alias("n"))
@@ -291,7 +291,7 @@ def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     # Bounded by the document's own bytes.
     gone = alike.union(partly).groupBy("doc", "version").agg(F.collect_set(F.struct("first", "n")).alias("gone"))
     return named.join(gone, ["doc", "version"], "left").select("doc_id", "text", "gone").mapInArrow(
-        cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
+        frees(cut), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
     )
 
 
@@ -299,7 +299,7 @@ def bodies(named: DataFrame, one: DataFrame) -> DataFrame:
     """`(key, content, weight, lead, body)`: the bytes of distinct segments, each from one occurrence."""
     wanted = one.groupBy("s.doc", "s.version").agg(F.collect_list(F.struct("key", "content", "weight", "s.first", "s.n", "s.lead")).alias("segments"))
     return named.select("doc", "version", "text").join(wanted, ["doc", "version"]).mapInArrow(
-        fetch, "key bigint, content bigint, weight bigint, lead smallint, body binary"
+        frees(fetch), "key bigint, content bigint, weight bigint, lead smallint, body binary"
     )
 
 
