@@ -32,7 +32,7 @@ SHARD = 16_384  # pieces that a task packs at a time
 OPEN_SHARE = 0.02  # a bin with more room than this goes to the next round
 CACHED_WORDS = 600_000
 BATCH_TEXTS = 4096
-TEXT_BYTES = 10 << 20  # more texts at a time share more words
+TEXT_BYTES = 4 << 20  # more texts at a time share more words
 SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 RECEIVERS = 128  # underfull bins looked at for one donor
 PATIENCE = 8  # donors tried in a row that no exchange helps to empty
@@ -133,13 +133,14 @@ def document_ids(texts: pa.Array, cache: WordIds, end: int = END) -> list[bytes]
     split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
     numbered = split.values.dictionary_encode()
     of_word = cache.of(numbered.dictionary.cast(pa.binary()).to_pylist())
-    size = np.fromiter(map(len, of_word), np.int64, len(of_word)) // 4
-    first = np.cumsum(size) - size
+    size = np.fromiter(map(len, of_word), np.int32, len(of_word)) // 4
+    first = np.cumsum(size, dtype=np.int32) - size
     ids = np.frombuffer(b"".join(of_word), "<u4")
     word = numbered.indices.to_numpy(zero_copy_only=False)
     n = size[word]
-    ends = np.concatenate([[0], np.cumsum(n)])
-    spot = np.repeat((first[word] - ends[:-1]).astype(np.int32), n)
+    ends = np.zeros(len(n) + 1, np.int32)  # a batch holds fewer than 2^31 ids
+    np.cumsum(n, out=ends[1:])
+    spot = np.repeat(first[word] - ends[:-1], n)
     spot += np.arange(ends[-1], dtype=np.int32)
     flat = ids[spot]
     edge = ends[split.offsets.to_numpy(zero_copy_only=False)].tolist()
