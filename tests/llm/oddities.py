@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import random
 import re
 
+import pytest
+
 BLANK = re.compile(r"[\x20\x09-\x0D]+")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, key bigint, score double, leaks string, fp string, _later int, row string, word string"
 
@@ -60,3 +63,12 @@ def ascii_lower(text: str) -> str:
 
 def split_words(text: str | None) -> list[str]:
     return [w for w in BLANK.split(text or "") if w]
+
+
+@pytest.fixture(scope="session")
+def sf():
+    """A folder of test tables; a module that asks for it imports this."""
+    folder = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    return folder

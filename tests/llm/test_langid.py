@@ -3,7 +3,7 @@ import pytest
 
 from corpusgauge.llm import langid
 from corpusgauge.llm import queries as Q
-from oddities import documents, frame
+from oddities import documents, frame, sf  # noqa: F401
 
 
 @pytest.fixture(scope="module")

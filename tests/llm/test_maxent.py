@@ -6,7 +6,7 @@ import numpy as np
 
 from corpusgauge.llm import maxent
 from corpusgauge.llm import queries as Q
-from oddities import ascii_lower, documents, frame, split_words
+from oddities import ascii_lower, documents, frame, sf, split_words  # noqa: F401
 
 
 def tokens(text):

@@ -4,6 +4,7 @@ import __spark_entry__ as entry
 import pytest
 from compare import connect, differences
 from corpusgauge.llm import queries as Q
+from oddities import sf  # noqa: F401
 
 COLUMNS = {
     "op1_language_id": {"doc_id", "held_out", "lang_pred", "score"},
