@@ -1,27 +1,33 @@
 """Language-model scores by a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | history) = P(class | history) P(word | class, history). The most frequent words fill
-classes of equal size; all others are one class of their own, in which a word has its smoothed
-share of the class. Features are the previous word, the previous two (an n-gram) and the word
-before the previous (a skip); each is hashed to a row of weights, of the class softmax and, with
-the class, of the word softmax. Biases are log counts, so an untrained model is the unigram model.
+P(word | history) = P(class | history) P(word | class, history). All counted words fill classes, in
+order of their counts: the most frequent ones small classes, those after them classes of `SIZE`
+times as many words, all others the last class. A class of more than `SIZE` words is divided again,
+by a softmax at each step, until one word is chosen, so steps and classes grow with the words.
+Features are the previous word, the previous two (an n-gram) and the word before the previous (a
+skip); each is hashed to a row of weights, of the class softmax and, with the node, of the softmax
+of each further step. Rows grow with the root of the distinct words. Biases are log counts, so an
+untrained model is the unigram model.
 
 Training goes over all training documents once, in `ROUNDS` parts. In each, every task starts from
 the same weights, updates them by the gradient of small batches, and emits what changed; changes
 are averaged row by row, weighted by how often a task met the row. Word counts cover all training
-documents. Counts of the `KNOWN` most frequent words are sent to the tasks; rarer words are
-joined to the count table.
+documents. Hashes and counts of the `KNOWN` most frequent words are sent to the tasks, 16 bytes
+each. Where there are more, the others are dealt by hash to buckets, whose number grows with the
+root of theirs; a bucket is chosen, and met as history, like a word, and in it a word has its
+smoothed share, for which its count is joined.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,10 +35,12 @@ from pyspark.sql import functions as F
 from corpusgauge.llm.common import bounded_batches, frees, mix, utf8, words
 from corpusgauge.session import materialise
 
-CLASSES, SIZE = 32, 32  # the last class holds all other words
-KNOWN = 200_000  # words whose counts the tasks hold
-LONGEST = 64  # bytes; longer words are never among those
-CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 15
+CLASSES, SIZE = 32, 32
+SMALL, LARGE = 28, 3  # classes of SIZE and of SIZE * SIZE words; the last class holds all other words
+KNOWN = 1 << 21  # words whose hashes and counts the tasks hold
+BUCKETS = 64  # of the other words, times the root of their number
+CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 15  # up to ROW_WORDS distinct words; doubled for every fourfold
+ROW_WORDS = 1 << 18
 FEATURES = 3
 BLOCK = 256  # weight rows shuffled together
 ROUNDS = 2
@@ -71,29 +79,72 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(frees(run), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def digest(word: bytes) -> int:
+    """What Spark's xxhash64 gives."""
+    return xxhash.xxh64_intdigest(word, 42)
+
+
 @dataclass
 class Vocabulary:
-    """Words the tasks know, most frequent first, with their counts; totals of all training tokens."""
+    """Hashes of the words the tasks know, most frequent first, with their counts; totals of all training tokens.
+
+    `shared` holds tokens and distinct words of each bucket of the other words; one bucket, if not given.
+    """
 
-    words: list[bytes]
+    words: np.ndarray  # given as words, they are hashed
     counts: np.ndarray
     total: int
     distinct: int
-    places: dict[bytes, int] = field(default_factory=dict)
+    places: tuple[np.ndarray, np.ndarray] | None = None  # hashes in order, and where each word stands
+    shared: np.ndarray | None = None
+
+    def __post_init__(self):
+        if isinstance(self.words, list):
+            self.words = np.array([digest(w) for w in self.words], np.uint64).view(np.int64)
+        if self.shared is None:
+            self.shared = np.array([self.rest], np.int64)
 
     @property
     def heads(self) -> int:
-        """Words that have a place in a class."""
-        return min(len(self.words), (CLASSES - 1) * SIZE)
+        """Words that have a place of their own in a class; buckets follow them."""
+        return len(self.words)
 
     def index(self) -> Vocabulary:
-        self.places = {w: k for k, w in enumerate(self.words)}
+        order = np.argsort(self.words, kind="stable")
+        self.places = self.words[order], order.astype(np.int32)
         return self
 
+    def find(self, some: list[bytes]) -> np.ndarray:
+        """Places of words, those of their buckets if they are not known."""
+        own = np.array([digest(w) for w in some], np.uint64).view(np.int64)
+        spread = self.heads + own % len(self.shared)
+        if not self.heads or not len(own):
+            return spread
+        hashes, order = self.places
+        spot = np.minimum(np.searchsorted(hashes, own), self.heads - 1)
+        return np.where(hashes[spot] == own, order[spot], spread).astype(np.int64)
+
     @property
     def rest(self) -> tuple[int, int]:
-        """Tokens and distinct words of the last class."""
-        return self.total - int(self.counts[: self.heads].sum()), self.distinct - self.heads
+        """Tokens and distinct words without a place of their own."""
+        return self.total - int(self.counts.sum()), self.distinct - self.heads
+
+    @property
+    def floors(self) -> np.ndarray:
+        """What the smoothed counts of each bucket's words, and of one unseen, add up to."""
+        return self.shared[:, 0] + 0.5 * (self.shared[:, 1] + 1)
+
+
+def gathered(df: DataFrame) -> list[np.ndarray]:
+    """The columns of a table of numbers as arrays; packed by the tasks, so the driver holds eight bytes a number."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for c in b.columns], names=b.schema.names)
+
+    cast = df.select([F.col(c).cast("bigint") for c in df.columns])
+    rows = cast.mapInArrow(frees(pack), ", ".join(f"{c} binary" for c in df.columns)).collect()
+    return [np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r[c], np.int64) for r in rows]]) for c in df.columns]
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -102,14 +153,22 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     The end token is always known. Where a training set has fewer words, all of them are.
     """
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    short = counts.where((F.octet_length("word") <= LONGEST) & (F.col("word") != F.lit(END)))
+    inner = counts.where(F.col("word") != F.lit(END))
     # One row per distinct count, of which a corpus of n tokens has at most sqrt(2 n).
     falling = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
-    steps = short.groupBy("n").agg(F.count("*").alias("words")).select("n", F.sum("words").over(falling).alias("words"))
+    steps = inner.groupBy("n").agg(F.count("*").alias("words")).select("n", F.sum("words").over(falling).alias("words"))
     least = steps.where(F.col("words") <= KNOWN).agg(F.min("n")).first()[0]
-    chosen = (F.col("word") == F.lit(END)) | ((F.octet_length("word") <= LONGEST) & (F.col("n") >= (total + 1 if least is None else least)))
-    rows = counts.where(chosen).toPandas().sort_values(["n", "word"], ascending=[False, True], kind="stable")
-    return Vocabulary([bytes(w) for w in rows["word"]], rows["n"].to_numpy(np.int64), int(total), int(distinct))
+    chosen = (F.col("word") == F.lit(END)) | (F.col("n") >= (total + 1 if least is None else least))
+    words, n = gathered(counts.where(chosen).select(F.xxhash64("word").alias("word"), "n"))
+    order = np.lexsort((words, -n))
+    others = distinct - len(words)
+    buckets = max(1, min(others, int(BUCKETS * others**0.5)))
+    shared = np.zeros((buckets, 2), np.int64)
+    if others:
+        bucket = F.pmod(F.xxhash64("word"), F.lit(buckets).cast("bigint")).alias("bucket")
+        own = gathered(counts.where(~chosen).groupBy(bucket).agg(F.sum("n").alias("n"), F.count("*").alias("words")))
+        shared[own[0]] = np.stack(own[1:], axis=1)
+    return Vocabulary(words[order], n[order], int(total), int(distinct), shared=shared)
 
 
 # --- model ------------------------------------------------------------------------
@@ -118,31 +177,59 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 @dataclass
 class Model:
     class_bias: np.ndarray  # CLASSES
-    word_bias: np.ndarray  # CLASSES - 1, SIZE
+    word_bias: np.ndarray  # a row of SIZE for each node below the classes
     class_rows: np.ndarray
     word_rows: np.ndarray
 
 
+def regions(places: int) -> list[tuple[int, int, int, int]]:
+    """`(first place, end, steps below the class, first class)` of the classes of each kind."""
+    small, large = SMALL * SIZE, LARGE * SIZE * SIZE
+    steps = 1
+    while SIZE**steps < places - small - large:
+        steps += 1
+    edges = [(0, small, 1, 0), (small, small + large, 2, SMALL), (small + large, places, steps, SMALL + LARGE)]
+    return [(start, min(end, places), n, first) for start, end, n, first in edges if start < places]
+
+
+def first_nodes(places: int) -> list[list[int]]:
+    """Number of the first node of each region's steps, the last step's first."""
+    out, n = [], 0
+    for start, end, steps, _ in regions(places):
+        out.append([])
+        for k in range(1, steps + 1):
+            out[-1].append(n)
+            n += -(-(end - start) // SIZE**k)
+    return out
+
+
+def grown(rows: int, distinct: int) -> int:
+    while distinct > ROW_WORDS:
+        rows, distinct = rows * 2, distinct // 4
+    return rows
+
+
 def untrained(v: Vocabulary) -> Model:
-    own = np.full((CLASSES - 1) * SIZE, -np.inf)
-    own[: v.heads] = np.log(v.counts[: v.heads] + 0.5)
-    n = np.zeros((CLASSES - 1) * SIZE)
-    n[: v.heads] = v.counts[: v.heads] + 0.5
-    mass = np.append(n.reshape(-1, SIZE).sum(axis=1), v.rest[0] + 0.5)
+    mass = np.concatenate([v.counts + 0.5, v.floors])
+    classes, nodes = np.zeros(CLASSES), []
+    for start, end, steps, first in regions(len(mass)):
+        own = mass[start:end]
+        for _ in range(steps):
+            own = np.pad(own, (0, -len(own) % SIZE)).reshape(-1, SIZE)
+            nodes.append(own)
+            own = own.sum(axis=1)
+        classes[first : first + len(own)] = own
     with np.errstate(divide="ignore"):
-        bias = np.log(mass)
-    word = own.reshape(-1, SIZE)
-    # A class without words has probability zero; its softmax is never asked for.
-    word = np.where(np.isinf(word).all(axis=1, keepdims=True), 0.0, word)
+        bias, word = np.log(classes), np.log(np.concatenate(nodes))
     return Model(
         (bias - bias.max()).astype(np.float32), (word - word.max(axis=1, keepdims=True)).astype(np.float32),
-        np.zeros((CLASS_ROWS, CLASSES), np.float32), np.zeros((WORD_ROWS, SIZE), np.float32),
+        np.zeros((grown(CLASS_ROWS, v.distinct), CLASSES), np.float32), np.zeros((grown(WORD_ROWS, v.distinct), SIZE), np.float32),
     )
 
 
 @dataclass
 class Tokens:
-    """Texts as places of their tokens (-1: not known), tokens per text; their words, and where each text's begin."""
+    """Texts as places of their tokens, tokens per text; their words, where each text's begin, which are known."""
 
     places: np.ndarray
     lengths: np.ndarray
@@ -158,15 +245,14 @@ def tokenize(texts: pa.Array, v: Vocabulary) -> Tokens:
     own = split.values.filter(filled)
     edges = np.concatenate([[0], np.cumsum(filled.to_numpy(zero_copy_only=False))])[split.offsets.to_numpy(zero_copy_only=False)]
     numbered = own.dictionary_encode()
-    get = v.places.get
-    known = np.array([get(w, -1) for w in numbered.dictionary.cast(pa.binary()).to_pylist()], np.int64)
+    known = v.find(numbered.dictionary.cast(pa.binary()).to_pylist())
     found = known[numbered.indices.to_numpy(zero_copy_only=False)]
     lengths = np.diff(edges) + 1
-    places = np.full(len(found) + len(lengths), get(END, -1))
+    places = np.full(len(found) + len(lengths), v.find([END])[0])
     inner = np.ones(len(places), bool)
     inner[np.cumsum(lengths) - 1] = False
     places[inner] = found
-    return Tokens(places, lengths, own, edges, found >= 0)
+    return Tokens(places, lengths, own, edges, found < v.heads)
 
 
 def feature_hashes(places: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -180,12 +266,14 @@ def feature_hashes(places: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.stack([mix(a * np.uint64(3)), mix((a << np.uint64(32)) + b * np.uint64(3) + np.uint64(1)), mix(b * np.uint64(3) + np.uint64(2))])
 
 
-def rows_of(hashes: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weight rows of the class softmax, and of the word softmax within the given classes."""
-    return (
-        (hashes % np.uint64(CLASS_ROWS)).astype(np.int64),
-        (mix(hashes + cls.astype(np.uint64) + np.uint64(1)) % np.uint64(WORD_ROWS)).astype(np.int64),
-    )
+def rows_of(hashes: np.ndarray, model: Model) -> np.ndarray:
+    """Weight rows of the class softmax."""
+    return (hashes % np.uint64(len(model.class_rows))).astype(np.int64)
+
+
+def node_rows(hashes: np.ndarray, node: np.ndarray, model: Model) -> np.ndarray:
+    """Weight rows of the softmax of the given nodes."""
+    return (mix(hashes + node.astype(np.uint64) + np.uint64(1)) % np.uint64(len(model.word_rows))).astype(np.int64)
 
 
 def logits(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -215,11 +303,21 @@ def log_chance(x: np.ndarray, target: np.ndarray) -> np.ndarray:
     return own - np.log(x.sum(axis=1).astype(np.float64))
 
 
-def split_places(places: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class of each token, which have a place in one, and that place."""
-    headed = (places >= 0) & (places < v.heads)
-    cls = np.where(headed, places // SIZE, CLASSES - 1)
-    return cls, headed, places % SIZE
+def split_places(places: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Class of each token; of all steps below, the token they are for, the node, and what is chosen there."""
+    leaves = v.heads + len(v.shared)
+    places = np.where(places < 0, v.heads, places)
+    cls, which, node, slot = np.zeros(len(places), np.int64), [], [], []
+    for (start, end, steps, first), nodes in zip(regions(leaves), first_nodes(leaves)):
+        at = np.flatnonzero((places >= start) & (places < end))
+        own = places[at] - start
+        for k in range(steps):
+            slot.append(own % SIZE)
+            own = own // SIZE
+            node.append(nodes[k] + own)
+            which.append(at)
+        cls[at] = first + own
+    return cls, np.concatenate(which), np.concatenate(node), np.concatenate(slot)
 
 
 class Trainer:
@@ -228,21 +326,20 @@ class Trainer:
     def __init__(self, model: Model, v: Vocabulary):
         self.v = v
         self.model = Model(model.class_bias, model.word_bias, model.class_rows.copy(), model.word_rows.copy())
-        self.met = [np.zeros(CLASS_ROWS, np.float32), np.zeros(WORD_ROWS, np.float32)]
+        self.met = [np.zeros(len(rows), np.float32) for rows in (model.class_rows, model.word_rows)]
 
     def step(self, places: np.ndarray, hashes: np.ndarray) -> None:
         m = self.model
-        cls, headed, slot = split_places(places, self.v)
-        class_rows, word_rows = rows_of(hashes, cls)
-        self._update(m.class_rows, 0, m.class_bias, class_rows, cls)
-        if headed.any():
-            self._update(m.word_rows, 1, m.word_bias[cls[headed]], word_rows[:, headed], slot[headed])
+        cls, which, node, slot = split_places(places, self.v)
+        self._update(m.class_rows, 0, m.class_bias, rows_of(hashes, m), cls)
+        self._update(m.word_rows, 1, m.word_bias[node], node_rows(hashes[:, which], node, m), slot)
 
     def _update(self, weights: np.ndarray, kind: int, bias: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
         grad = softmax(logits(bias, weights, rows))
         grad[np.arange(len(target)), target] -= 1
+        kind_of = np.uint16 if len(weights) <= 1 << 16 else np.uint32  # 16 bits are sorted by radix
         for r in rows:
-            order = np.argsort(r.astype(np.uint16), kind="stable")  # there are fewer than 2^16 rows
+            order = np.argsort(r.astype(kind_of), kind="stable")
             in_order = r[order]
             starts = np.flatnonzero(np.concatenate([[True], in_order[1:] != in_order[:-1]]))
             own, n = in_order[starts], np.diff(np.append(starts, len(r))).astype(np.float32)
@@ -289,7 +386,7 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Model:
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             known, start = sent.value
-            if not known.places:
+            if known.places is None:
                 known.index()
             own = Trainer(start, known)
             for b in batches:
@@ -308,7 +405,7 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Model:
         lanes = changed.groupBy("block", "lane").applyInPandas(average, CHANGES)
         averaged = lanes.groupBy("block").applyInPandas(average, CHANGES).select("block", "change").collect()
         # At most all weights once, whatever the corpus.
-        class_blocks = CLASS_ROWS // BLOCK
+        class_blocks = len(model.class_rows) // BLOCK
         for r in averaged:
             table, k = (model.class_rows, r["block"]) if r["block"] < class_blocks else (model.word_rows, r["block"] - class_blocks)
             table[k * BLOCK : (k + 1) * BLOCK] += np.frombuffer(r["change"], np.float16).reshape(BLOCK, -1).astype(np.float32)
@@ -323,20 +420,15 @@ CHANGE_ROWS = pa.schema([("block", pa.int32()), ("lane", pa.int32()), ("task", p
 
 
 def token_scores(places: np.ndarray, lengths: np.ndarray, v: Vocabulary, model: Model) -> np.ndarray:
-    """Natural log probability of each token; of a word not known, that of its class only."""
+    """Natural log probability of each token; of a word not known, that of its bucket only."""
     out = np.zeros(len(places))
     hashes = feature_hashes(places, lengths)
-    tokens, distinct = v.rest
     for k in range(0, len(places), BATCH):
-        own = places[k : k + BATCH]
-        cls, headed, slot = split_places(own, v)
-        class_rows, word_rows = rows_of(hashes[:, k : k + BATCH], cls)
-        score = log_chance(logits(model.class_bias, model.class_rows, class_rows), cls)
-        if headed.any():
-            score[headed] += log_chance(logits(model.word_bias[cls[headed]], model.word_rows, word_rows[:, headed]), slot[headed])
-        rare = (own >= 0) & ~headed
-        score[rare] += np.log((v.counts[own[rare]] + 0.5) / (tokens + 0.5 * (distinct + 1)))
-        out[k : k + BATCH] = score
+        mine = hashes[:, k : k + BATCH]
+        cls, which, node, slot = split_places(places[k : k + BATCH], v)
+        score = log_chance(logits(model.class_bias, model.class_rows, rows_of(mine, model)), cls)
+        steps = log_chance(logits(model.word_bias[node], model.word_rows, node_rows(mine[:, which], node, model)), slot)
+        out[k : k + BATCH] = score + np.bincount(which, steps, len(cls))
     return out
 
 
@@ -349,20 +441,23 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, model: Model) -> Da
     bounded_batches(spark)
     sent = spark.sparkContext.broadcast((v, model))
     floor = np.log10(v.total + 0.5 * (v.distinct + 1))
-    tokens, distinct = v.rest
-    class_floor = np.log10(tokens + 0.5 * (distinct + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, weights = sent.value
-        if not known.places:
+        if known.places is None:
             known.index()
-        base_of = np.log10(known.counts + 0.5) - floor
+        # Of a word not known, the base waits for its count, as its share of the bucket does.
+        base_of = np.concatenate([np.log10(known.counts + 0.5) - floor, np.zeros(len(known.shared))])
+        bucket_of = np.log10(known.floors)
         for b in batches:
             t = tokenize(b.column(1), known)
             starts = np.cumsum(t.lengths) - t.lengths
-            seen = t.places >= 0
-            each = np.where(seen, base_of[np.maximum(t.places, 0)] if len(base_of) else 0.0, 0.0)
+            seen = t.places < known.heads
+            each = base_of[t.places]
             scores = token_scores(t.places, t.lengths, known, weights) / np.log(10)
+            waits = ~seen
+            waits[starts + t.lengths - 1] = False  # without training the end is not known, and certain
+            scores[waits] -= bucket_of[t.places[waits] - known.heads]
             sums = [np.add.reduceat(x, starts) for x in (seen.astype(np.int64), each, scores)]
             rare = t.words.filter(pa.array(~t.seen)).cast(pa.binary())
             edge = np.concatenate([[0], np.cumsum(~t.seen)])[t.edges].astype(np.int32)
@@ -373,7 +468,7 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, model: Model) -> Da
 
     rows = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(frees(run), f"doc_id bigint, {SCORED}")
     rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()))
-    # Words not among the known are light keys, or longer than those may be; a hot one is split by adaptive execution.
+    # Words not among the known are light keys, or not in the training at all; a hot one is split by adaptive execution.
     rare = rows.select("row", F.explode("unknown").alias("word")).join(counts.select("word", F.col("n").alias("c")), "word", "left")
     c = F.coalesce("c", F.lit(0))
     more = rare.groupBy("row").agg(
@@ -385,7 +480,7 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, model: Model) -> Da
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(v.total).cast("bigint").alias("train_tokens"),
         (F.col("base") + logs - n * F.lit(float(floor))).alias("base_score"),
-        (F.col("model") + logs - n * F.lit(float(class_floor))).alias("score"),
+        (F.col("model") + logs).alias("score"),
     )
 
 

@@ -79,6 +79,46 @@ def test_gradient_steps_learn_a_pattern():
     assert blocks and all(len(met) == 4 * maxent.BLOCK for _, met, _ in blocks)
 
 
+def test_context_chooses_among_rare_words(monkeypatch):
+    """Beyond the most frequent words, and among buckets, a history decides which one follows."""
+    words = [f"w{k}".encode() for k in range(40_000)]
+    shared = np.full((50, 2), (16, 8))
+    v = maxent.Vocabulary(words, np.full(len(words), 3), 3 * len(words) + 800, len(words) + 400, shared=shared).index()
+    start = maxent.untrained(v)
+    for rare in ([5000, 39_000, 20_000, 9000], [40_001, 40_030, 40_010, 40_049]):
+        trainer = maxent.Trainer(start, v)
+        places = np.tile(rare, 500)
+        hashes = maxent.feature_hashes(places, np.array([len(places)]))
+        for k in range(0, len(places), 250):
+            trainer.step(places[k : k + 250], hashes[:, k : k + 250])
+        one = np.array([*rare, rare[0]]), np.array([5])
+        swapped = np.array([rare[0], rare[1], rare[2], rare[3], rare[2]]), np.array([5])
+        right, wrong = (maxent.token_scores(*x, v, trainer.model)[-1] for x in (one, swapped))
+        assert right - wrong > 1 and right > maxent.token_scores(*one, v, start)[-1] + 3
+
+
+def test_all_words_have_places_and_probabilities_add_up():
+    words = [f"w{k}".encode() for k in range(40_000)]
+    shared = np.array([(9, 3), (0, 0), (7, 7)])
+    v = maxent.Vocabulary(words, np.arange(40_000, 0, -1), 40_000 * 40_001 // 2 + 16, 40_010, shared=shared).index()
+    assert v.find(words).tolist() == list(range(40_000)) and v.heads == 40_000
+    model = maxent.untrained(v)
+    rng = np.random.default_rng(0)
+    model.class_rows += rng.normal(0, 0.5, model.class_rows.shape).astype(np.float32)
+    model.word_rows += rng.normal(0, 0.5, model.word_rows.shape).astype(np.float32)
+    places = np.array([x for w in range(40_003) for x in (5, 900, w)])
+    scores = maxent.token_scores(places, np.full(40_003, 3), v, model)[2::3]
+    assert abs(np.exp(scores).sum() - 1) < 1e-4
+    assert maxent.grown(maxent.WORD_ROWS, 1 << 22) == 4 * maxent.WORD_ROWS
+
+
+def test_buckets_hold_all_other_words(spark, monkeypatch):
+    monkeypatch.setattr(maxent, "KNOWN", 60)
+    counts = maxent.count_words(frame(spark)).cache()
+    v = maxent.vocabulary(counts)
+    assert v.heads <= 61 and len(v.shared) > 1 and tuple(v.shared.sum(axis=0)) == v.rest
+
+
 def test_empty_tables(spark):
     assert maxent.fit_and_score(frame(spark, []), frame(spark)).count() == 0
     got = maxent.fit_and_score(frame(spark), frame(spark, [])).collect()
