@@ -11,8 +11,9 @@ Candidates come from the same generalised pigeonhole as in `simhash`: correlated
 into partitions, and dynamic programming gives each the threshold -1, 0 or 1. No split of so many
 differing bits leaves a selective partition sure to agree, so the thresholds are the cheapest ones
 (by candidates estimated, and probes) with which a pair at the threshold meets somewhere with
-probability `RECALL`; nearer pairs meet more surely. Keys that very many share are refined by a
-second partition. Runs of equal keys are verified as in `simhash`.
+probability `RECALL`; nearer pairs meet more surely. The run of a key that very many share is cut
+into blocks, and every two blocks meet, over several tasks, so none of its pairs is lost. Runs of
+equal keys are verified as in `simhash`.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -182,43 +182,43 @@ def linked_runs(key: np.ndarray, ids: np.ndarray, words: np.ndarray, radius: int
 def find_links(distinct: DataFrame, chosen: list[tuple[list[int], int]], radius: int = RADIUS, heavy: int = HEAVY) -> DataFrame:
     """`(a, b)`: ids of linked fingerprints, enough of them to connect every group."""
     spark = distinct.sparkSession
-    probes = [(k, mask_of(set(g) - set(out))) for k, (g, t) in enumerate(chosen) for out in combinations(g, t)]
-    whole = [mask_of(g) for g, _ in chosen]
+    probes = [mask_of(set(g) - set(out)) for g, t in chosen for out in combinations(g, t)]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = as_words(b.column(1))
-            for k, (part, mask) in enumerate(probes):
+            for k, mask in enumerate(probes):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys(own, k, mask).view(np.int64)), *b.columns, pa.array(np.full(len(own), k, np.int32))], names=["key", "id", "fp", "probe"]
+                    [pa.array(keys(own, k, mask).view(np.int64)), *b.columns], names=["key", "id", "fp"]
                 )
 
-    probed = distinct.select("id", "fp").mapInArrow(frees(probe), "key bigint, id bigint, fp binary, probe int")
-    counts = materialise(probed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > heavy).select("key", F.lit(True).alias("_heavy")))
+    probed = distinct.select("id", "fp").mapInArrow(frees(probe), "key bigint, id bigint, fp binary")
+    counts = materialise(probed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > heavy).select("key", F.ceil(F.col("n") / heavy).alias("_blocks")))
     many = counts.count()
-    marked = probed.withColumn("_heavy", F.lit(None).cast("boolean"))
+    marked = probed.withColumn("_blocks", F.lit(None).cast("bigint"))
     if many:
         # At most probes x fingerprints / heavy keys; broadcast while that is a small number.
         marked = probed.join(F.broadcast(counts) if many <= 100_000 else counts, "key", "left")
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            is_heavy = b.column(4).fill_null(False)
-            light = b.filter(pc.invert(is_heavy))
+            blocks = b.column(3).fill_null(1).to_numpy(zero_copy_only=False)
+            light = b.filter(pa.array(blocks == 1))
             if light.num_rows:
                 yield pa.RecordBatch.from_arrays([light.column(c) for c in (0, 1, 2)], names=["key", "id", "fp"])
-            dense = b.filter(is_heavy)
-            which = dense.column(3).to_numpy(zero_copy_only=False)
-            for k in np.unique(which):
-                mine = dense.filter(pa.array(which == k))
-                own = as_words(mine.column(2))
-                part, mask = probes[k]
-                for other, more in enumerate(whole):
-                    if other != part:
-                        key = keys(own, len(probes) + int(k) * len(whole) + other, mask | more)
-                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), mine.column(1), mine.column(2)], names=["key", "id", "fp"])
-
-    dealt = marked.select("key", "id", "fp", "probe", "_heavy").mapInArrow(frees(refine), "key bigint, id bigint, fp binary")
+            dense, blocks = b.filter(pa.array(blocks > 1)), blocks[blocks > 1].astype(np.uint64)
+            if not dense.num_rows:
+                continue
+            key, ids = (dense.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in (0, 1))
+            block = mix(ids + key) % blocks
+            for other in range(int(blocks.max())):
+                to = np.uint64(other)
+                at = np.flatnonzero((blocks > to) & (block != to))
+                pair = (np.minimum(block[at], to) << np.uint64(32)) + np.maximum(block[at], to)
+                own = dense.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(mix(mix(key[at]) + pair).view(np.int64)), own.column(1), own.column(2)], names=["key", "id", "fp"])
+
+    dealt = marked.select("key", "id", "fp", "_blocks").mapInArrow(frees(refine), "key bigint, id bigint, fp binary")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     together = dealt.repartition(tasks, "key").sortWithinPartitions("key")
 

@@ -102,6 +102,22 @@ def test_links_connect_near_fingerprints(spark, heavy):
     assert [found[k] for k in range(300)] == [k // 12 * 12 for k in range(300)]
 
 
+def test_pairs_under_one_heavy_key_are_all_found(spark):
+    """Pairs 40 to 46 bits apart that agree in one partition only, which all fingerprints share."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(200):
+        one = rng.integers(0, 2, 256)
+        one[:16] = 0
+        two = one.copy()
+        two[16 + rng.choice(240, rng.integers(40, 47), replace=False)] ^= 1
+        rows += [np.packbits(x.astype(np.uint8), bitorder="little").tobytes() for x in (one, two)]
+    distinct = materialise(spark.createDataFrame([(k, bytearray(f)) for k, f in enumerate(rows)], "id bigint, fp binary"))
+    chosen = [(list(range(k, k + 16)), 0) for k in (0, 16, 32)]
+    links = similar.find_links(distinct, chosen, heavy=50).distinct().collect()
+    assert sorted(tuple(r) for r in links) == [(2 * k, 2 * k + 1) for k in range(200)]
+
+
 def test_allocation_reaches_the_recall_at_the_least_cost():
     costs = [[0, 5, 40], [0, 6, 20], [0, 4, 90]]
     gains = [[0, 0.5, 1.2], [0, 0.4, 1.0], [0, 0.3, 2.0]]
