@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgauge.llm import chat, decontaminate, langid, lines, maxent, packing, quality, sentences, simhash, substrings
+from corpusgauge.llm import chat, decontaminate, langid, lexical, lines, maxent, packing, quality, sentences, simhash, substrings
 from corpusgauge.llm.common import crc_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,26 @@ def op2_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """What is left of every document without its repeated 200-byte strings."""
     found = substrings.remove_repeats(table(spark, sf, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op11_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+_TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+ORACLE_SQL["op11_lexical_search"] = f"""WITH split AS (SELECT doc_id, {_TERMS} AS t FROM documents),
+doc AS (SELECT doc_id, len(t) AS n FROM split WHERE len(t) > 0),
+total AS (SELECT count(*) AS docs, sum(n) AS terms FROM doc),
+wanted AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY 1, 2),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM split)
+  WHERE term IN (SELECT term FROM wanted) GROUP BY 1, 2),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM tf, total GROUP BY term),
+part AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + CAST((75 * n * docs) // terms AS BIGINT)))) AS worth
+  FROM tf JOIN weight USING (term) JOIN doc USING (doc_id), total),
+scored AS (SELECT item_id, doc_id, CAST(sum(worth * times) AS BIGINT) AS score FROM part JOIN wanted USING (term) GROUP BY 1, 2)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10"""

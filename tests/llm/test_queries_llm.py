@@ -13,13 +13,14 @@ COLUMNS = {
     "op4_simhash_near_dedup": {"doc_id", "fingerprint", "component_id"},
     "op7_chat_prefix_tree": {"conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"},
     "op8_best_fit_packing": {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"},
+    "op11_lexical_search": {"item_id", "rank", "doc_id", "score"},
     "op10_ngram_quality": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"},
 }
 
 
 def test_one_query_per_operator_and_the_pipeline():
     names = entry.queries().keys()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
     assert "pipeline" in names and set(Q.ORACLE_SQL) <= set(entry.oracle_sql())
 
 
@@ -32,7 +33,7 @@ def test_query_matches_sql(spark, sf, name):
 def test_columns_and_rows(spark, sf, name):
     got = Q.QUERIES[name](spark, sf)
     assert COLUMNS[name] <= set(got.columns)
-    if name not in ("op7_chat_prefix_tree", "op8_best_fit_packing"):
+    if name not in ("op7_chat_prefix_tree", "op8_best_fit_packing", "op11_lexical_search"):
         assert got.count() == Q.table(spark, sf, "documents").count()
 
 
