@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgauge.llm import chat, decontaminate, langid, lexical, lines, maxent, packing, quality, sentences, simhash, substrings
+from corpusgauge.llm import chat, decontaminate, langid, lexical, lines, maxent, mixture, packing, quality, sentences, simhash, substrings, trie
 from corpusgauge.llm.common import crc_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,51 @@ part AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + C
 scored AS (SELECT item_id, doc_id, CAST(sum(worth * times) AS BIGINT) AS score FROM part JOIN wanted USING (term) GROUP BY 1, 2)
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
 FROM scored WHERE score > 0 QUALIFY rank <= 10"""
+
+
+def _reopened(told: DataFrame) -> DataFrame:
+    """Each conversation behind the first turns of the one its hundred starts with, as the contract has it."""
+    conv = F.col("conv_id")
+    heads = told.where(conv % 100 == 0).select(conv.alias("head"), F.slice("turns", 1, 5).alias("opening"))
+    h = (F.crc32(conv.cast("string").cast("binary")) % 6).cast("int")
+    own = told.select("conv_id", "turns", (conv - conv % 100).alias("head"), h.alias("h")).join(heads, "head", "left")
+    opening = F.coalesce("opening", F.slice("turns", 1, 0))
+    rest = F.slice("turns", F.col("h") + 1, F.size("turns") + 1)
+    return own.select("conv_id", F.concat(F.slice(opening, F.lit(1), F.col("h")), rest).alias("turns"))
+
+
+@query
+def op13_conversation_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    """Every node of the trie of conversations that open like the first of their hundred."""
+    return trie.prefix_trie(_reopened(trie.sequences(table(spark, sf, "conversations"))))
+
+
+ORACLE_SQL["op13_conversation_prefix_trie"] = """WITH RECURSIVE
+said AS (SELECT conv_id, coalesce(text, '') AS text, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS key,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS k FROM conversations WHERE conv_id IS NOT NULL),
+conv AS (SELECT DISTINCT conv_id AS c, CAST(conv_id AS VARCHAR) AS s FROM said),
+crc AS (SELECT c, s, 0 AS i, CAST(4294967295 AS BIGINT) AS v FROM conv UNION ALL
+  SELECT c, s, i + 1, CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END
+  FROM (SELECT c, s, i, CASE WHEN i % 8 = 0 THEN xor(v, ascii(s[i // 8 + 1])) ELSE v END AS x FROM crc WHERE i < 8 * length(s))),
+head AS (SELECT c, xor(v, 4294967295) % 6 AS h FROM crc WHERE i = 8 * length(s)),
+rebuilt AS (SELECT c, key, text, row_number() OVER (PARTITION BY c ORDER BY part, k) AS d FROM (
+  SELECT c, 0 AS part, k, key, text FROM head JOIN said ON conv_id = c - c % 100 AND k <= h UNION ALL
+  SELECT c, 1 AS part, k, key, text FROM head JOIN said ON conv_id = c AND k > h)),
+path AS (SELECT c, d, text, string_agg(key, '') OVER (PARTITION BY c ORDER BY d) AS p FROM rebuilt
+  UNION ALL SELECT c, 0, '', '' FROM conv),
+ended AS (SELECT p, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ends FROM (
+  SELECT c, arg_max(p, d) AS p FROM path GROUP BY c) GROUP BY p),
+node AS (SELECT p, d, min(c) AS conv_id, count(*) AS n, any_value(length(text)) AS size FROM path GROUP BY p, d),
+kids AS (SELECT left(p, length(p) - 32) AS p, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1),
+tree AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (p)),
+below AS (SELECT a.p, sum((b.n_children = 0)::INT) AS n_leaves, sum((b.n - 1) * b.size) AS saved FROM tree a JOIN tree b ON starts_with(b.p, a.p) GROUP BY a.p)
+SELECT t.conv_id, CAST(t.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, t.n AS n_convs, CAST(t.n_children AS BIGINT) AS n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM tree t JOIN below USING (p) LEFT JOIN ended USING (p)
+LEFT JOIN node up ON up.d = t.d - 1 AND up.p = left(t.p, length(t.p) - 32)"""
+
+
+@query
+def op12_mixture_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document in 2048-token sequences that hold the sources in proportion; one row per piece."""
+    return mixture.pack(table(spark, sf, "documents"), public_vocabulary()).drop("source")

@@ -13,6 +13,8 @@ COLUMNS = {
     "op4_simhash_near_dedup": {"doc_id", "fingerprint", "component_id"},
     "op7_chat_prefix_tree": {"conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"},
     "op8_best_fit_packing": {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"},
+    "op12_mixture_packing": {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"},
+    "op13_conversation_prefix_trie": {"conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"},
     "op11_lexical_search": {"item_id", "rank", "doc_id", "score"},
     "op10_ngram_quality": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"},
 }
@@ -33,7 +35,7 @@ def test_query_matches_sql(spark, sf, name):
 def test_columns_and_rows(spark, sf, name):
     got = Q.QUERIES[name](spark, sf)
     assert COLUMNS[name] <= set(got.columns)
-    if name not in ("op7_chat_prefix_tree", "op8_best_fit_packing", "op11_lexical_search"):
+    if name not in ("op7_chat_prefix_tree", "op8_best_fit_packing", "op11_lexical_search", "op12_mixture_packing", "op13_conversation_prefix_trie"):
         assert got.count() == Q.table(spark, sf, "documents").count()
 
 
