@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -192,10 +193,11 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for doc_id, queue, n, ids, cuts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            out, edges = [], np.cumsum([0, *pc.list_value_length(b.column(4)).to_pylist()]).tolist()
+            flat = list(zip(*(c.to_pylist() for c in b.column(4).flatten().flatten()), strict=True))
+            for k, (doc_id, queue, n, ids) in enumerate(zip(*(c.to_pylist() for c in b.columns[:4]), strict=True)):
                 whole = np.frombuffer(ids, f"<u{len(ids) // n}").astype("<u4").tobytes()
-                for start, length, number, offset in windows.cut([(c["start"], c["length"], c["position"]) for c in cuts]):
+                for start, length, number, offset in windows.cut(flat[edges[k] : edges[k + 1]]):
                     own = whole[4 * start : 4 * (start + length)]
                     out.append((doc_id, queue[1:] if queue else None, start, length, zlib.crc32(own), n, number, offset, own if with_ids else None))
             if out:

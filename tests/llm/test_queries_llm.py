@@ -28,7 +28,9 @@ def test_one_query_per_operator_and_the_pipeline():
 
 @pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
 def test_query_matches_sql(spark, sf, name):
-    assert differences(Q.QUERIES[name](spark, sf).toPandas(), connect(sf).execute(Q.ORACLE_SQL[name]).df()) is None
+    got = Q.QUERIES[name](spark, sf)
+    whole = {c: "Int64" for c, kind in got.dtypes if kind == "bigint"}  # a null leaves the others whole numbers
+    assert differences(got.toPandas().astype(whole), connect(sf).execute(Q.ORACLE_SQL[name]).df()) is None
 
 
 @pytest.mark.parametrize("name", sorted(COLUMNS))
