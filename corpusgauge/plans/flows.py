@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from corpusgauge.functions import text as X
-from corpusgauge.operators import callbacks, history, rows, vocabulary
+from corpusgauge.operators import callbacks, history, ordering, rows, vocabulary
 from corpusgauge.plans.common import (
     collection,
     SQL_GENERATIONS,
     SQL_SAMPLES,
+    document_bits,
     documents,
     generations,
     joined,
@@ -19,10 +23,10 @@ from corpusgauge.plans.common import (
     table,
 )
 from corpusgauge.plans.corpus import BLOCK, ORACLE as CORPUS_SQL, encoded_documents
-from corpusgauge.session import scratch_path
+from corpusgauge.session import materialise, scratch_path
+from corpusgauge.sources import cache, profiles, records, resume
 from corpusgauge.sources import corpus as source
-from corpusgauge.sources import profiles, records
-from corpusgauge.streaming import jobs
+from corpusgauge.streaming import groups, jobs
 
 QUERIES, ORACLE, query = collection()
 
@@ -253,6 +257,75 @@ def stream_group_texts(spark, sf):
     return out.select("batch", "block", joined("input_ids").alias("ids"), joined("labels").alias("labels"))
 
 
+ARRIVALS = (0, 1, 3, 4, 9, 16)  # sixteenths of the rows that have come before each of five arrivals
+
+
+@query("stream_groups", CORPUS_SQL["group_texts"])
+def stream_groups(spark, sf):
+    """Encoded documents arrive out of order, in five uneven lots, each met by a stream started anew."""
+    arrivals, sink, checkpoint = (scratch_path(spark, x) for x in ("encoded", "blocks", "state"))
+    encoded = materialise(encoded_documents(spark, sf))
+    numbered = materialise(ordering.with_row_index(encoded, "doc_id", bits=document_bits(spark, sf)).select("row_idx", "input_ids"))
+    lot = F.pmod(F.xxhash64("row_idx"), F.lit(16))
+    for low, high in pairwise(ARRIVALS):
+        numbered.where((lot >= low) & (lot < high)).write.mode("append").parquet(arrivals)
+        sdf = source.stream_corpus(spark, arrivals, numbered.schema)
+        groups.stream_groups(sdf, BLOCK, sink, checkpoint).awaitTermination()
+    out = spark.read.schema(groups.BLOCKS).parquet(sink).union(groups.rest(spark, checkpoint, BLOCK))
+    return out.select("batch", "block", joined("input_ids").alias("ids"), joined("labels").alias("labels"))
+
+
+@query("stream_row_index", "SELECT doc_id, row_number() OVER (ORDER BY (doc_id % 3), doc_id) - 1 AS row_idx FROM documents")
+def stream_row_index(spark, sf):
+    """Rows numbered in the order they arrive: three lots, and by id inside each."""
+    arrivals, sink, checkpoint = (scratch_path(spark, x) for x in ("rows", "numbered", "state"))
+    docs = documents(spark, sf).select("doc_id")
+    for lot in range(3):
+        docs.where(F.col("doc_id") % 3 == lot).write.mode("append").parquet(arrivals)
+        sdf = source.stream_corpus(spark, arrivals, docs.schema)
+        groups.number_stream(sdf, sink, checkpoint, "doc_id").awaitTermination()
+    return spark.read.schema("doc_id bigint, row_idx bigint").parquet(sink).select("doc_id", "row_idx")
+
+
+@query("resumed_output", f"SELECT lang, count(*) AS n_docs, CAST(sum(len({sql_words('text')})) AS BIGINT) AS n_words FROM documents GROUP BY 1")
+def resumed_output(spark, sf):
+    """A job of two stages that fails in the third part of the first, and is run again."""
+    folder = scratch_path(spark, "job")
+    ranges = resume.key_parts(documents(spark, sf, "lang"), "doc_id", 4)
+
+    def run(broken: str | None = None):
+        job = resume.Job(spark, folder, {"parts": 4})
+
+        def counted(name, part):
+            n = X.word_count("text")
+            if name == broken:
+                n = F.raise_error(F.lit("lost")).cast("int")
+            return part.select("lang", n.cast("bigint").alias("n_words"))
+
+        words = job.stage("words", lambda: {name: counted(name, part) for name, part in ranges.items()})
+        total = words.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("n_words").alias("n_words"))
+        return job.stage("total", lambda: {"all": total})
+
+    try:
+        run(broken=sorted(ranges)[2])
+    except PySparkException:
+        return run()
+    raise RuntimeError("the first run should have failed")
+
+
+@query("map_batches_cached", f"SELECT doc_id, len({sql_words('text')}) AS n FROM documents")
+def map_batches_cached(spark, sf):
+    """The second call finds what the first one kept, and reads no document."""
+    folder = scratch_path(spark, "cache")
+
+    def count(batch: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"doc_id": batch["doc_id"], "n": batch["text"].str.split().str.len()})
+
+    for _ in range(2):
+        out = cache.map_batches_cached(documents(spark, sf), count, "doc_id long, n long", folder)
+    return out
+
+
 @query(
     "stream_metrics",
     "SELECT event_type AS run_id, metric, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT event_type, unnest(['value', 'user']) AS metric, unnest([value, user_id::DOUBLE]) AS value FROM events) GROUP BY 1, 2",
