@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 14
 ALPHA = 1.0  # added to each bucket's count
 THRESHOLD = -0.1
-WINDOW = 8  # words of a repeated window
+WINDOW = 8  # words of a repeated window: pairs of pairs of pairs
 SMALL_ROWS = 1_000_000  # trusted ids up to this many are broadcast
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -34,22 +34,27 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(spaced, " "), lambda w: w != "")
 
 
-def buckets(hashes: Column, n: int = BUCKETS) -> Column:
-    """Buckets of the words (given by hash) and of the pairs of neighbours."""
-    pairs = F.zip_with(
-        F.slice(hashes, 1, F.greatest(F.size(hashes) - 1, F.lit(0))),
-        F.slice(hashes, 2, F.greatest(F.size(hashes) - 1, F.lit(0))),
-        lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(n)).cast("int"),
-    )
-    return F.concat(F.transform(hashes, lambda h: F.pmod(h, F.lit(n)).cast("int")), pairs)
+def paired(hashes: Column, apart: int = 1) -> Column:
+    """Hashes of the pairs of elements so far apart."""
+    n = F.greatest(F.size(hashes) - apart, F.lit(0))
+    return F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(1 + apart), n), lambda a, b: F.xxhash64(a, b))
+
+
+def buckets(hashes: Column, pairs: Column, n: int = BUCKETS) -> Column:
+    """Buckets of the words and of the pairs of neighbours, both given by hash."""
+    return F.transform(F.concat(hashes, pairs), lambda h: F.pmod(h, F.lit(n)).cast("int"))
 
 
 def word_hashes(text: Column) -> Column:
     return F.transform(word_array(text), lambda w: F.xxhash64(w))
 
 
-def repeated_words(hashes: Column, width: int = WINDOW) -> Column:
-    """Words inside a window of `width` words that occurs twice or more, the first included."""
+def repeated_words(hashes: Column, pairs: Column) -> Column:
+    """Words inside a window of `WINDOW` words that occurs twice or more, the first included.
+
+    A window's hash is one of two halves', and so on down to the pairs of neighbours.
+    """
+    width = WINDOW
 
     def covered(windows: Column) -> Column:
         order = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -69,7 +74,7 @@ def repeated_words(hashes: Column, width: int = WINDOW) -> Column:
         )
         return F.when(F.size(F.array_distinct(windows)) < F.size(windows), total).otherwise(F.lit(0))
 
-    windows = F.transform(F.sequence(F.lit(1), F.size(hashes) - width + 1), lambda i: F.xxhash64(F.slice(hashes, i, width)))
+    windows = let(let(pairs, lambda h: paired(h, 2)), lambda h: paired(h, 4))
     return F.when(F.size(hashes) <= width, F.lit(0)).otherwise(let(windows, covered))
 
 
@@ -81,7 +86,7 @@ def duplicate_lines(text: Column) -> Column:
 def bucket_counts(docs: DataFrame, n: int = BUCKETS) -> DataFrame:
     """`(bucket, raw, target)`: n-grams of all given texts, and of those whose `trusted` is true."""
     hashes = word_hashes(F.coalesce(F.col("text"), F.lit("")))
-    spread = docs.select("trusted", F.explode(let(hashes, lambda h: buckets(h, n))).alias("bucket"))
+    spread = docs.select("trusted", F.explode(let(hashes, lambda h: buckets(h, paired(h), n))).alias("bucket"))
     return spread.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("trusted").alias("target"))
 
 
@@ -115,16 +120,16 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, n:
     docs = docs.withColumn("ratios", log_ratios(docs, trusted, n).scalar())
     text = F.col("text")
 
-    def score(h: Column, table: Column) -> Column:
-        total = F.aggregate(buckets(h, n), F.lit(0.0), lambda acc, b: acc + F.get(table, b))
+    def score(h: Column, pairs: Column, table: Column) -> Column:
+        total = F.aggregate(buckets(h, pairs, n), F.lit(0.0), lambda acc, b: acc + F.get(table, b))
         grams = F.greatest(2 * F.size(h) - 1, F.lit(1))
         return F.when(F.size(h) > 0, total / grams).otherwise(F.lit(0.0))
 
-    measured = let(word_hashes(text), lambda h: F.struct(
+    measured = let(word_hashes(text), lambda h: let(paired(h), lambda pairs: F.struct(
         F.size(h).cast("bigint").alias("n_words"),
-        repeated_words(h).cast("bigint").alias("n_repeat_words"),
-        let(F.col("ratios"), lambda table: score(h, table)).alias("score"),
-    ))
+        repeated_words(h, pairs).cast("bigint").alias("n_repeat_words"),
+        let(F.col("ratios"), lambda table: score(h, pairs, table)).alias("score"),
+    )))
     rows = docs.select(
         "doc_id", measured.alias("m"),
         F.length(F.translate(text, BLANKS, "")).cast("bigint").alias("word_chars"),

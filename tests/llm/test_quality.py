@@ -30,7 +30,7 @@ def test_scores_against_brute_force(spark):
     good = set(range(0, 40, 3))
     n = 512
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    grams = {r["doc_id"]: r["b"] for r in df.select("doc_id", quality.let(quality.word_hashes(quality.F.coalesce("text", quality.F.lit(""))), lambda h: quality.buckets(h, n)).alias("b")).collect()}
+    grams = {r["doc_id"]: r["b"] for r in df.select("doc_id", quality.let(quality.word_hashes(quality.F.coalesce("text", quality.F.lit(""))), lambda h: quality.buckets(h, quality.paired(h), n)).alias("b")).collect()}
     assert all(len(grams[k]) == max(2 * len(split_words(t)) - 1, 0) for k, t in rows)
     raw, target = Counter(), Counter()
     for k, b in grams.items():
