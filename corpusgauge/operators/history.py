@@ -36,6 +36,25 @@ def attach_history(runs: DataFrame, means: DataFrame) -> DataFrame:
     )
 
 
+def mean_by_export(lines: DataFrame, metric: str) -> DataFrame:
+    """`(run_id, n_rows, mean, n_unread)` from `records.read_exports`."""
+    value = F.when(F.col("metric") == metric, nan_to_null("value"))
+    return lines.groupBy("run_id").agg(
+        F.count_if(F.col("metric").isNotNull()).alias("n_rows"), F.avg(value).alias("mean"), F.count("unread").alias("n_unread")
+    )
+
+
+def attach_exports(runs: DataFrame, means: DataFrame) -> DataFrame:
+    """`attach_history` for exports: a run whose file is damaged is an error row too, and ends nothing.
+
+    Of a damaged file no mean is given, since the lines that are gone would have changed it.
+    """
+    sound = means.withColumn("mean", F.when(F.col("n_unread") == 0, F.col("mean")))
+    told = attach_history(runs, sound).join(means.select("run_id", "n_unread"), "run_id", "left")
+    damaged = F.concat(F.lit("Error: "), F.col("n_unread").cast("string"), F.lit(" unreadable lines"))
+    return told.withColumn("status", F.when(F.col("n_unread") > 0, damaged).otherwise(F.col("status"))).select(*runs.columns, "mean", "status")
+
+
 def named_summary(df: DataFrame, name: str, value: str, report: str | None = None) -> DataFrame:
     """Share, total, count, mean, median, extremes and deviation per name, biggest total first.
 

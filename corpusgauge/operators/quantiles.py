@@ -34,7 +34,8 @@ def exact_percentiles(
     if biggest <= limit:
         out = _small_groups(rows, marks)
     else:
-        tagged = lookup(rows, sizes.select("_g", "_n", F.col("_n").alias("n")), ["_g"], "_n", ["_v"], stored=True)
+        # Stored, since every round below reads the values again.
+        tagged = materialise(lookup(rows, sizes.select("_g", "_n", F.col("_n").alias("n")), ["_g"], "_n", ["_v"], stored=True))
         small = _small_groups(tagged.where(F.col("n") <= limit), marks)
         large = _large_groups(tagged.where(F.col("n") > limit).select("_g", "_v"), sizes.where(F.col("_n") > limit), marks, limit)
         out = small.unionByName(large)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
 from itertools import pairwise
 
 import pandas as pd
@@ -82,6 +83,17 @@ def load_csv_files(spark, sf):
     return source.load_files(spark, validation=path, schema=docs.schema)["validation"]
 
 
+@query("load_csv_splits", "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id, doc_id, text FROM documents")
+def load_csv_splits(spark, sf):
+    """Texts with line breaks in quoted fields, in ordered files that are read in small splits."""
+    path = scratch_path(spark, "corpus") + ".csv"
+    docs = documents(spark, sf)
+    docs.orderBy("doc_id").write.csv(
+        path, header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+    return source.load_files(spark, validation=path, schema=docs.schema, numbered=True, multi_line="split")["validation"]
+
+
 @query(
     "problems_jsonl",
     "SELECT source || '/' || doc_id AS task_id, text AS prompt, lang AS test, source AS entry_point FROM documents",
@@ -173,6 +185,28 @@ def history_export(spark, sf):
     return means.withColumn("mean", F.round("mean", 9))
 
 
+@query(
+    "export_errors",
+    """WITH r AS (SELECT user_id % 50 AS run, event_type, value, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id DESC) AS back FROM events),
+    m AS (SELECT CAST(run AS VARCHAR) AS run_id, avg(value) FILTER (event_type = 'click') AS mean FROM r GROUP BY 1)
+    SELECT run_id, CASE WHEN run_id NOT IN ('7', '11') THEN round_even(mean, 2) END AS mean,
+    CASE run_id WHEN '7' THEN 'Error: 1 unreadable lines' WHEN '11' THEN 'Error: no run 11' ELSE CASE WHEN mean IS NULL THEN 'N/A' ELSE 'ok' END END AS status FROM m""",
+)
+def export_errors(spark, sf):
+    """Exports of fifty runs, one of which is cut short and one missing."""
+    folder = scratch_path(spark, "exports")
+    events = table(spark, sf, "events").select(
+        (F.col("user_id") % 50).cast("string").alias("run"), "event_id",
+        F.to_json(F.struct("ts", F.col("event_type").alias("metric"), "value")).alias("line"),
+    )
+    last = events.where("run = '7'").agg(F.max("event_id").alias("last"))
+    ended = F.when((F.col("run") == "7") & (F.col("event_id") == last.scalar()), F.expr("left(line, length(line) - 9)")).otherwise(F.col("line"))
+    events.where("run <> '11'").select("run", ended.alias("value")).repartition("run").write.partitionBy("run").text(folder)
+    lines = records.read_exports(spark, folder, r"run=([^/]+)/")
+    runs = events.select(F.col("run").alias("run_id")).distinct()
+    return history.attach_exports(runs, history.mean_by_export(lines, "click"))
+
+
 @query(
     "guarded_output",
     "SELECT l_returnflag AS flag, count(*) AS n FROM lineitem GROUP BY 1",
@@ -343,6 +377,26 @@ def stream_metrics(spark, sf):
     )
 
 
+@query(
+    "stream_metrics_once",
+    "SELECT event_type AS run_id, event_id AS step, 'value' AS metric, value FROM events WHERE value IS NOT NULL",
+)
+def stream_metrics_once(spark, sf):
+    """Runs that stop twice and go on a day's steps earlier, an hour after they first logged them."""
+    arrivals, sink, checkpoint = (scratch_path(spark, x) for x in ("arrivals", "metrics", "state"))
+    steps = table(spark, sf, "events").select(F.col("event_type").alias("run_id"), F.col("event_id").alias("step"), "value", "ts")
+    low, high = steps.agg(F.min("ts"), F.max("ts")).first()
+    stops = [low + (high - low) * k / 3 for k in range(3)] + [high]
+    for k, (begin, end) in enumerate(pairwise(stops)):
+        first = steps.where((F.col("ts") > begin if k else F.lit(True)) & (F.col("ts") <= end))
+        again = steps.where((F.col("ts") > begin - timedelta(days=1)) & (F.col("ts") <= begin))
+        repeated = again.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 HOUR"))
+        (first.union(repeated) if k else first).write.mode("append").parquet(arrivals)
+        sdf = source.stream_corpus(spark, arrivals, steps.schema)
+        jobs.stream_metrics_once(sdf, sink, checkpoint, delay="2 days").awaitTermination()
+    return records.read_log(spark, sink).select("run_id", "step", "metric", "value")
+
+
 @query("map_batches", f"SELECT doc_id, len({sql_words('text')}) AS n FROM documents")
 def map_batches(spark, sf):
     def count(batch: pd.DataFrame) -> pd.DataFrame:

@@ -10,6 +10,7 @@ from corpusgauge.functions import numbers as N
 from corpusgauge.functions import text as X
 from corpusgauge.operators import (
     accuracy,
+    backoff,
     blocks,
     generation,
     ngram,
@@ -107,6 +108,68 @@ def ngram_nll_other_corpus(spark, sf):
     return scored.select("item_id", F.col("pos").cast("bigint").alias("pos"), "token", F.round("nll", 9).alias("nll"))
 
 
+def sql_discount(grams: str) -> str:
+    return f"""(SELECT CASE WHEN n1 = 0 THEN 0.1::DOUBLE ELSE greatest(0.1::DOUBLE, least(0.9::DOUBLE, n1 / (n1 + 2 * n2))) END
+      FROM (SELECT count(*) FILTER (n = 1) AS n1, count(*) FILTER (n = 2) AS n2 FROM {grams}))"""
+
+
+# Bigrams by occurrences, single words by the different words before them.
+SQL_BACKOFF = f"""c2 AS (SELECT prev, token, count(*) AS n FROM stream WHERE prev IS NOT NULL GROUP BY 1, 2),
+c1 AS (SELECT token, count(*) AS n FROM c2 GROUP BY 1), v AS (SELECT count(DISTINCT token) AS v FROM stream),
+d AS (SELECT {sql_discount('c1')} AS d1, {sql_discount('c2')} AS d2),
+t1 AS (SELECT sum(n) AS total, count(*) AS kinds FROM c1), t2 AS (SELECT prev, sum(n) AS total, count(*) AS kinds FROM c2 GROUP BY 1)"""
+SQL_P1 = "greatest(coalesce(c1.n, 0) - d1, 0) / t1.total + d1 * t1.kinds / t1.total / (v + 1)"
+SQL_P2 = f"""CASE WHEN t2.total IS NULL THEN {SQL_P1}
+  ELSE greatest(coalesce(c2.n, 0) - d2, 0) / t2.total + d2 * t2.kinds / t2.total * ({SQL_P1}) END"""
+
+
+def document_backoff(spark, sf):
+    return backoff.fit_backoff(document_counts(spark, sf))
+
+
+@query(
+    "backoff_model",
+    f"""WITH {SQL_DOC_STREAM}, {SQL_BACKOFF}
+    SELECT c2.prev, c2.token, c2.n, round({SQL_P2}, 12) AS p FROM c2 JOIN c1 USING (token) JOIN t2 ON t2.prev = c2.prev, t1, d, v""",
+)
+def backoff_model(spark, sf):
+    """Every bigram of the documents with its probability."""
+    model = document_backoff(spark, sf)
+    found = backoff.probabilities(model.levels[-1].grams, model)
+    return model.levels[-1].grams.join(found, ["prev", "token"]).select("prev", "token", "n", F.round("p", 12).alias("p"))
+
+
+SQL_BENCHMARK_STREAM = f"""b AS (SELECT item_id, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS token
+  FROM (SELECT item_id, {sql_words('text')} AS w FROM benchmark)),
+s AS (SELECT *, lag(token) OVER (PARTITION BY item_id ORDER BY pos) AS prev FROM b),
+scored AS (SELECT item_id, pos, s.token, CASE WHEN s.prev IS NOT NULL THEN -ln({SQL_P2}) END AS nll
+  FROM s CROSS JOIN t1 CROSS JOIN d CROSS JOIN v LEFT JOIN c2 ON c2.prev = s.prev AND c2.token = s.token
+  LEFT JOIN t2 ON t2.prev = s.prev LEFT JOIN c1 ON c1.token = s.token)"""
+
+
+def benchmark_backoff(spark, sf):
+    stream = ngram.row_tokens(table(spark, sf, "benchmark"), "item_id")
+    return backoff.score_backoff(stream, document_backoff(spark, sf), ["item_id", "pos"])
+
+
+@query(
+    "backoff_nll",
+    f"WITH {SQL_DOC_STREAM}, {SQL_BACKOFF}, {SQL_BENCHMARK_STREAM} SELECT item_id, pos, token, round(nll, 9) AS nll FROM scored",
+)
+def backoff_nll(spark, sf):
+    """Losses of another text, with words and contexts the documents lack."""
+    scored = benchmark_backoff(spark, sf)
+    return scored.select("item_id", F.col("pos").cast("bigint").alias("pos"), "token", F.round("nll", 9).alias("nll"))
+
+
+@query(
+    "ppl_backoff",
+    f"WITH {SQL_DOC_STREAM}, {SQL_BACKOFF}, {SQL_BENCHMARK_STREAM} SELECT count(nll) AS n_tokens, round(exp(avg(nll)), 6) AS ppl FROM scored",
+)
+def ppl_backoff(spark, sf):
+    return rounded_ppl(perplexity.ppl_single(benchmark_backoff(spark, sf)))
+
+
 def rounded_ppl(df):
     return df.select(F.col("n_tokens").cast("bigint").alias("n_tokens"), F.round("ppl", 6).alias("ppl"))
 
@@ -361,12 +424,22 @@ def last_word_accuracy(spark, sf):
     return accuracy.last_word_accuracy(made, "target", "completion")
 
 
+# Each step ranks the successors of the words that the step before ended with, and of no others.
+SQL_STEPS = ",\n".join(
+    f"""s{k} AS MATERIALIZED (SELECT prev, arg_max(token, ROW(n, -r)) AS best FROM (
+  SELECT prev, token, n, row_number() OVER (PARTITION BY prev ORDER BY token) AS r FROM c2 WHERE prev IN (SELECT {wanted})) GROUP BY prev)"""
+    for k, wanted in ((1, "last_seen FROM lw"), (2, "best FROM s1"), (3, "best FROM s2"))
+)
+
+
 @query(
     "greedy_completion",
-    f"""WITH {SQL_DOC_STREAM}, {SQL_BEST.replace('best AS (', 'best AS MATERIALIZED (')}, {SQL_LAST}
-    SELECT item_id, concat_ws(' ', b1.best, b2.best, b3.best) AS completion,
-    CASE WHEN b1.best IS NULL THEN 0 WHEN b2.best IS NULL THEN 1 WHEN b3.best IS NULL THEN 2 ELSE 3 END AS n_tokens
-    FROM lw LEFT JOIN best b1 ON b1.prev = last_seen LEFT JOIN best b2 ON b2.prev = b1.best LEFT JOIN best b3 ON b3.prev = b2.best""",
+    f"""WITH {SQL_DOC_STREAM}, {SQL_LAST},
+    c2 AS MATERIALIZED (SELECT prev, token, count(*) AS n FROM stream WHERE prev IS NOT NULL GROUP BY 1, 2),
+    {SQL_STEPS}
+    SELECT item_id, concat_ws(' ', s1.best, s2.best, s3.best) AS completion,
+    CASE WHEN s1.best IS NULL THEN 0 WHEN s2.best IS NULL THEN 1 WHEN s3.best IS NULL THEN 2 ELSE 3 END AS n_tokens
+    FROM lw LEFT JOIN s1 ON s1.prev = last_seen LEFT JOIN s2 ON s2.prev = s1.best LEFT JOIN s3 ON s3.prev = s2.best""",
 )
 def greedy_completion(spark, sf):
     best = ngram.best_next(document_counts(spark, sf))
@@ -484,3 +557,50 @@ def quantized(spark, sf, bits):
 )
 def quantize_nf4(spark, sf):
     return quantized(spark, sf, 4)
+
+
+OUTLIERS = 0.45
+
+
+@query(
+    "quantize_outliers",
+    f"""WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+    o AS (SELECT i FROM e GROUP BY 1 HAVING max(abs(x)) >= {OUTLIERS}),
+    f AS (SELECT *, i IN (SELECT i FROM o) AS out FROM e),
+    s AS (SELECT vec_id, max(abs(x)) FILTER (NOT out) AS s FROM f GROUP BY 1),
+    q AS (SELECT vec_id, i, x, out, CASE WHEN NOT out THEN CAST(round_even(x * 127.0::DOUBLE / s, 0) AS INT) END AS c, s FROM f JOIN s USING (vec_id)),
+    r AS (SELECT *, coalesce(c * s / 127.0::DOUBLE, x) AS r FROM q)
+    SELECT vec_id, string_agg(coalesce(CAST(c AS VARCHAR), 'x'), ' ' ORDER BY i) AS codes, avg(out::INT) AS outlier_share,
+    round(avg((x - r) ** 2), 12) AS mse, round(sum(x * r) / (sqrt(sum(x * x)) * sqrt(sum(r * r))), 9) AS cosine,
+    (count(*) + 3 * sum(out::INT) + 4) / (count(*) * 4.0::DOUBLE) AS ratio FROM r GROUP BY vec_id""",
+)
+def quantize_outliers(spark, sf):
+    out = quantize.quantize_outliers(table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding", OUTLIERS)
+    codes = F.array_join(F.transform("codes", lambda c: c.cast("string")), " ", "x")
+    return out.select(
+        "vec_id", codes.alias("codes"), "outlier_share", F.round("mse", 12).alias("mse"), F.round("cosine", 9).alias("cosine"), "ratio"
+    )
+
+
+@query(
+    "quantize_nf4_twice",
+    f"""WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+    s AS (SELECT vec_id, (i - 1) // 64 AS b, max(abs(x)) AS s FROM e GROUP BY 1, 2),
+    m AS (SELECT avg(s) AS m FROM s),
+    n AS (SELECT vec_id, b, s, s - m AS d, m, (row_number() OVER (ORDER BY vec_id, b) - 1) // 256 AS g FROM s, m),
+    t AS (SELECT *, max(abs(d)) OVER (PARTITION BY g) AS top FROM n),
+    c2 AS (SELECT *, CAST(round_even(d * 127.0::DOUBLE / top, 0) AS INT) AS c2 FROM t),
+    z AS (SELECT *, c2 * top / 127.0::DOUBLE + m AS s2 FROM c2),
+    l AS (SELECT generate_subscripts(v, 1) - 1 AS c, unnest(v) AS level FROM (SELECT [{', '.join(str(x) + '::DOUBLE' for x in quantize.NF4_LEVELS)}] AS v)),
+    q AS (SELECT e.vec_id, i, x, c2, arg_min(c, abs(x / s - level)) AS c, arg_min(level, abs(x / s - level)) * s2 AS r
+          FROM e JOIN z ON z.vec_id = e.vec_id AND b = (i - 1) // 64 CROSS JOIN l GROUP BY e.vec_id, i, x, c2, s2)
+    SELECT vec_id, string_agg(c, ' ' ORDER BY i) AS codes, string_agg(c2, ' ' ORDER BY i) FILTER (i % 64 = 1) AS codes2, round(avg((x - r) ** 2), 12) AS mse,
+    round(sum(x * r) / (sqrt(sum(x * x)) * sqrt(sum(r * r))), 9) AS cosine,
+    (ceil(count(*) / 2) + ceil(count(*) / 64) * (1 + 4 / 256.0::DOUBLE)) / (count(*) * 4.0::DOUBLE) AS ratio FROM q GROUP BY vec_id""",
+)
+def quantize_nf4_twice(spark, sf):
+    out = quantize.quantize_twice(table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding")
+    return out.select(
+        "vec_id", joined("codes").alias("codes"), joined("codes2").alias("codes2"), F.round("mse", 12).alias("mse"),
+        F.round("cosine", 9).alias("cosine"), "ratio",
+    )

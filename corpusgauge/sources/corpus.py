@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from corpusgauge.operators.joins import measured
 from corpusgauge.operators.ordering import key_bits, ranked, running_offset
+from corpusgauge.session import materialise
 
 TEXT_FORMATS = {"csv": "csv", "json": "json", "txt": "text"}
 
@@ -21,9 +22,11 @@ def load_corpus(spark: SparkSession, path: str, split: str | None = None, key: s
     return df.where(F.col("split") == split) if split is not None else df
 
 
-def number_rows(scan: DataFrame, name: str = "row_id") -> DataFrame:
+def number_rows(scan: DataFrame, name: str = "row_id", opens: str | None = None) -> DataFrame:
     """Number the rows of a file scan 0, 1, 2.. by file path and position in the file.
 
+    `opens` names a further column, true for the first row of each file.
+
     Digits in a path count as numbers, so `part-99999` comes before `part-100000`. A split's
     rows are read in order, so only the splits are sorted and counted: one small row each,
     ranked by a distributed sort and added up in buckets, and the texts are not shuffled.
@@ -37,12 +40,13 @@ def number_rows(scan: DataFrame, name: str = "row_id") -> DataFrame:
     splits = placed.groupBy("_file", "_split").agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
     order = ranked(splits.withColumn("_name", natural_order("_file")), F.asc("_name"), F.asc("_file"), F.asc("_split"), name="_at")
     starts = running_offset(order, "_at", "_n", "_base", key_bits(order, "_at")).select(
-        "_file", "_split", (F.col("_base") - F.col("_first")).alias("_shift")
+        "_file", "_split", "_first", (F.col("_base") - F.col("_first")).alias("_shift")
     )
     # `_file` and `_split` are hot by nature, a split's rows being many; ids are dense per split.
     rows, _, small = measured(starts)
     side = F.broadcast(starts) if small else starts
-    return placed.join(side, ["_file", "_split"]).select((F.col("_seq") + F.col("_shift")).alias(name), *scan.columns)
+    first = [((F.col("_split") == 0) & (F.col("_seq") == F.col("_first"))).alias(opens)] if opens else []
+    return placed.join(side, ["_file", "_split"]).select((F.col("_seq") + F.col("_shift")).alias(name), *scan.columns, *first)
 
 
 def natural_order(path: Column | str) -> Column:
@@ -65,22 +69,61 @@ def file_kind(path: str) -> str:
     return TEXT_FORMATS[extension]
 
 
+def load_quoted_csv(spark: SparkSession, path: str, schema: T.StructType, numbered: bool = False) -> DataFrame:
+    """A csv file with a header whose quoted fields hold line breaks, read by many tasks.
+
+    A line opens a record if an even number of quotes stands before it, which a running sum over the
+    numbered lines tells; a doubled quote inside a field counts twice and changes nothing. The lines
+    of a record are joined again and parsed by Spark. Lines are what is split and shuffled, so a
+    file may be any size; a record is one row. Fields that are never closed are refused.
+    """
+    scan = spark.read.option("lineSep", "\n").text(path)
+    lines = materialise(number_rows(scan, "_row", opens="_opens"))
+    quotes = F.octet_length("value") - F.octet_length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    counted = materialise(lines.select("_row", "_opens", quotes.alias("_quotes")))
+    if (counted.agg(F.sum("_quotes")).first()[0] or 0) % 2:
+        raise ValueError(f"a quoted field in {path!r} is not closed")
+    bits = key_bits(counted, "_row")
+    begins = running_offset(counted, "_row", "_quotes", "_ahead", bits).select(
+        "_row", (F.col("_ahead") % 2 == 0).cast("int").alias("_begins"), (F.col("_opens") & (F.col("_ahead") % 2 == 0)).alias("_head")
+    )
+    placed = running_offset(begins, "_row", "_begins", "_record", bits)
+    record = (F.col("_record") + F.col("_begins") - 1).alias("_record")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_row", "value"))), lambda x: x["value"]), "\n")
+    texts = lines.select("_row", "value").join(placed.select("_row", record, "_head"), "_row").groupBy("_record").agg(
+        F.rtrim(whole, F.lit("\r")).alias("value"), F.bool_or("_head").alias("_head"), F.min("_row").alias("row_id")
+    )
+    rows = texts.where((F.col("value") != "") & ~F.col("_head"))
+    # Without these two the parser takes a line break for the record's end, and trims fields.
+    options = {"escape": '"', "multiLine": "true", "lineSep": "\x00", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    parsed = rows.select("row_id", F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), options).alias("r"))
+    if numbered:
+        index = running_offset(parsed, "row_id", F.lit(1), "_index", bits)
+        return index.select(F.col("_index").alias("row_id"), "r.*")
+    return parsed.select("r.*")
+
+
 def load_file(
     spark: SparkSession,
     path: str,
     schema: T.StructType | None = None,
     keep_linebreaks: bool = True,
     numbered: bool = False,
-    multi_line: bool = True,
+    multi_line: bool | str = True,
 ) -> DataFrame:
     """Read a csv, json-lines or txt file, chosen by extension.
 
     Text files give one `text` row per line; the terminator Spark drops is put back
     when `keep_linebreaks` is set. `numbered` adds the `row_id` other operators order by.
     A csv file whose fields hold line breaks is read by one task; `multi_line=False` says
-    that there are none, and lets a big file be split.
+    that there are none, and lets a big file be split; `multi_line="split"` reads a big file
+    that has some by many tasks, and needs a schema.
     """
     kind = file_kind(path)
+    if kind == "csv" and multi_line == "split":
+        if schema is None:
+            raise ValueError("a csv file read in splits needs a schema")
+        return load_quoted_csv(spark, path, schema, numbered)
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if kind == "text":
         df = spark.read.text(path)
@@ -103,7 +146,7 @@ def load_files(
     schema: T.StructType | None = None,
     keep_linebreaks: bool = True,
     numbered: bool = False,
-    multi_line: bool = True,
+    multi_line: bool | str = True,
 ) -> dict[str, DataFrame]:
     """Train and validation files by split name; both must have allowed extensions."""
     paths = {k: v for k, v in (("train", train), ("validation", validation)) if v is not None}

@@ -39,6 +39,27 @@ def read_history(spark: SparkSession, path: str, run_id: str | None = None) -> D
     return df.where(F.col("run_id") == run_id) if run_id is not None else df
 
 
+EXPORT = "ts timestamp, metric string, value double"
+
+
+def read_exports(spark: SparkSession, folder: str, name: str = r"([^/]+)\.jsonl$") -> DataFrame:
+    """`(run_id, ts, metric, value, unread)`: every line of every run's export, good or bad.
+
+    `name` finds the run in a file's path. Lines are parsed where they are read; one that is no
+    record, such as the last of a file cut short, is kept as text in `unread` instead of ending
+    the job. An empty file has no line, so its run is as good as absent.
+    """
+    run = F.regexp_extract(F.col("_metadata.file_path"), name, 1)
+    lines = spark.read.option("recursiveFileLookup", "true").text(folder).select(run.alias("run_id"), "value").where("run_id <> ''")
+    kind = T.StructType.fromDDL(f"{EXPORT}, _bad string")
+    record = F.from_json("value", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    parsed = lines.select("run_id", "value", record.alias("r"))
+    # A line of blanks is no record either, but says nothing; a value of another type leaves the record's text in _bad.
+    bad = F.when(F.trim("value") == "", None).when(F.col("r").isNull(), F.col("value")).otherwise(F.col("r._bad"))
+    good = bad.isNull()
+    return parsed.select("run_id", *[F.when(good, F.col(f"r.{c}")).alias(c) for c in ("ts", "metric", "value")], bad.alias("unread"))
+
+
 def wide_to_long(df: DataFrame, ids: list[str]) -> DataFrame:
     """Columns, dotted names included, turned into `(ids.., metric, value, text)` rows.
 

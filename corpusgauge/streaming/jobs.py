@@ -80,3 +80,18 @@ def stream_metrics(sdf: DataFrame, sink: str, checkpoint: str, ids: tuple[str, .
         long.write.mode("overwrite").partitionBy("run_id").parquet(f"{sink}/epoch={epoch}")
 
     return start(sdf.writeStream.foreachBatch(log), checkpoint)
+
+
+def stream_metrics_once(
+    sdf: DataFrame, sink: str, checkpoint: str, time: str = "ts", delay: str = "1 day", ids: tuple[str, ...] = ("run_id", "step")
+) -> StreamingQuery:
+    """`stream_metrics` in which each (run, step) is stored once, however often the run logs it.
+
+    A run that goes on from an earlier step logs the steps in between again. The first row of a step
+    stays in keyed state until the watermark is `delay` past it, and later ones are dropped; a step
+    that comes back later than that, by its own `time`, is taken for a new one. The state survives
+    restarts of the stream, and a replayed micro-batch writes the same folder again.
+    """
+    timed = sdf.withColumn(time, F.col(time).cast("timestamp"))  # a time without a zone has no watermark
+    once = timed.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(ids))
+    return stream_metrics(once.drop(time), sink, checkpoint, ids)
