@@ -63,17 +63,24 @@ def _cut_digest(found: DataFrame, units: str) -> DataFrame:
     )
 
 
-def _cut_sql(pieces: str, blanks: str, units: str, width: int = 3) -> str:
-    """SQL of the repeated-run cut: pieces of each text, windows over those that are not blank."""
-    key = " || chr(0) || ".join(f"lead(c, {k}) OVER w" if k else "c" for k in range(width))
+def _cut_sql(pieces: str, blanks: str, units: str, width: int, least: int = 0) -> str:
+    """SQL of the repeated-run cut: pieces of each text, windows over those that are not blank.
+
+    A unit has a word or more, so a window of `least` words ends within as many units.
+    """
     return f"""WITH doc AS (SELECT doc_id, coalesce(text, '') AS text, {pieces} AS p FROM documents),
 piece AS (SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS body FROM doc),
 unit AS (SELECT doc_id, i, trim(body, {blanks}) AS c, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS spot
   FROM piece WHERE trim(body, {blanks}) <> ''),
-win AS (SELECT doc_id, spot, {key} AS k FROM unit WINDOW w AS (PARTITION BY doc_id ORDER BY spot)),
-ranked AS (SELECT doc_id, spot, row_number() OVER (PARTITION BY k ORDER BY doc_id, spot) AS r FROM win WHERE k IS NOT NULL),
+told AS (SELECT doc_id, spot, sum(len(regexp_extract_all(c, '[^ \t-\r]+'))) OVER (PARTITION BY doc_id ORDER BY spot) AS said FROM unit),
+span AS (SELECT a.doc_id, a.spot, min(b.spot) AS stop FROM told a LEFT JOIN told z ON z.doc_id = a.doc_id AND z.spot = a.spot - 1
+  JOIN told b ON b.doc_id = a.doc_id AND b.spot BETWEEN a.spot + {width - 1} AND a.spot + {max(width, least) - 1}
+    AND b.said - coalesce(z.said, 0) >= {least} GROUP BY 1, 2),
+win AS (SELECT s.doc_id, s.spot, stop, string_agg(c, chr(0) ORDER BY u.spot) AS k
+  FROM span s JOIN unit u ON u.doc_id = s.doc_id AND u.spot BETWEEN s.spot AND stop GROUP BY 1, 2, 3),
+ranked AS (SELECT doc_id, spot, stop, row_number() OVER (PARTITION BY k ORDER BY doc_id, spot) AS r FROM win),
 gone AS (SELECT DISTINCT u.doc_id, u.i FROM unit u JOIN ranked r ON r.doc_id = u.doc_id
-  AND u.spot BETWEEN r.spot AND r.spot + {width - 1} WHERE r.r > 1),
+  AND u.spot BETWEEN r.spot AND r.stop WHERE r.r > 1),
 n AS (SELECT doc_id, count(*) AS n FROM unit GROUP BY 1),
 rest AS (SELECT doc_id, coalesce(string_agg(body, '' ORDER BY i) FILTER (g IS NULL), '') AS t, count(g) AS lost
   FROM (SELECT p.doc_id, p.i, p.body, g.i AS g FROM piece p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i)
@@ -85,13 +92,13 @@ FROM doc LEFT JOIN n USING (doc_id) LEFT JOIN rest USING (doc_id)"""
 
 @query
 def op6_sentence_span_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document without the sentences of repeated three-sentence spans."""
+    """Every document without the sentences of repeated spans of two sentences and sixteen words or more."""
     return _cut_digest(sentences.dedup_sentences(table(spark, sf, "documents").select("doc_id", "text")), "n_sentences")
 
 
 ORACLE_SQL["op6_sentence_span_dedup"] = _cut_sql(
-    r"string_split(regexp_replace(coalesce(text, ''), '([.!?][ \t\r\n]|\n)', '\1' || chr(30), 'g'), chr(30))",
-    "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)", "n_sentences",
+    r"""string_split(regexp_replace(coalesce(text, ''), '([.!?]["''”’»)\]]*[ \t\r\n]|[。！？।؟]|\n)', '\1' || chr(30), 'g'), chr(30))""",
+    "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)", "n_sentences", sentences.WIDTH, sentences.WORDS,
 )
 
 
@@ -103,7 +110,7 @@ def op9_three_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 ORACLE_SQL["op9_three_line_dedup"] = _cut_sql(
     "string_split(replace(coalesce(text, ''), chr(10), chr(10) || chr(30)), chr(30))",
-    "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)", "n_lines",
+    "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)", "n_lines", lines.WIDTH,
 )
 
 

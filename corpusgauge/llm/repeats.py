@@ -1,7 +1,8 @@
 """Repeated runs of units (lines or sentences) across documents: hash, join globally, cut.
 
 A document's units are its consecutive pieces; joined again they are the text. Units with
-something to compare are numbered, and every run of `width` of them is a window. A window counts as
+something to compare are numbered, and every run of `width` of them is a window; if a window must hold
+a least number of words, it runs on until it does. A window counts as
 repeated if an equal one stands in a document with a smaller id, or earlier in the same document;
 units that any such window covers are removed. Windows are compared by 128 bits of hash.
 
@@ -29,15 +30,30 @@ Units = Callable[[str], tuple[list[str], list[str]]]  # text -> pieces, and what
 LAST = (1 << 63) - 1  # stands for a null id, which comes after all others
 
 
-def window_hashes(compared: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the units that count, and the 128-bit hash (n, 2) of each run of `width` of them."""
+def window_ends(words: list[int], width: int, least: int) -> list[int]:
+    """Where the shortest run from each unit on ends that holds `width` units and `least` words."""
+    ends, end, held = [], 0, 0
+    for start, own in enumerate(words):
+        while end < len(words) and (end - start < width or held < least):
+            held += words[end]
+            end += 1
+        if end - start < width or held < least:
+            break
+        ends.append(end)
+        held -= own
+    return ends
+
+
+def window_hashes(compared: list[str], width: int, least: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the units that count, and each window's 128-bit hash (n, 2) and end; the kth begins at the kth unit."""
     at = [k for k, c in enumerate(compared) if c]
-    n = len(at) - width + 1
-    if n <= 0:
-        return np.array(at, np.int64), np.zeros((0, 2), np.int64)
-    own = [xxhash.xxh128_digest(compared[k].encode()) for k in at]
-    found = b"".join([xxhash.xxh128_digest(b"".join(own[k : k + width])) for k in range(n)])
-    return np.array(at, np.int64), np.frombuffer(found, "<i8").reshape(-1, 2)
+    texts = [compared[k].encode() for k in at]
+    ends = window_ends([len(t.split()) for t in texts], width, least) if least else list(range(width, len(at) + 1))
+    if not ends:
+        return np.array(at, np.int64), np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
+    own = [xxhash.xxh128_digest(t) for t in texts]
+    found = b"".join([xxhash.xxh128_digest(b"".join(own[k:end])) for k, end in enumerate(ends)])
+    return np.array(at, np.int64), np.frombuffer(found, "<i8").reshape(-1, 2), np.array(ends, np.int64)
 
 
 def first_here(hashes: np.ndarray) -> np.ndarray:
@@ -49,14 +65,14 @@ def first_here(hashes: np.ndarray) -> np.ndarray:
     return first
 
 
-def windows(docs: DataFrame, units: Units, width: int) -> DataFrame:
+def windows(docs: DataFrame, units: Units, width: int, least: int = 0) -> DataFrame:
     """`(doc, version, h1, h2, at)`: each document's distinct windows and where they begin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for body in b.column(2).to_pylist():
-                _, hashes = window_hashes(units(body or "")[1], width)
+                _, hashes, _ = window_hashes(units(body or "")[1], width, least)
                 spot = np.flatnonzero(first_here(hashes))
                 rows.append((hashes[spot, 0], hashes[spot, 1], spot.astype(np.int32)))
             keep = [k for k, r in enumerate(rows) if len(r[2])]
@@ -72,22 +88,24 @@ def windows(docs: DataFrame, units: Units, width: int) -> DataFrame:
     return listed.select("doc", "version", F.inline(F.arrays_zip("h1", "h2", "at")))
 
 
-def later_windows(docs: DataFrame, units: Units, width: int) -> DataFrame:
+def later_windows(docs: DataFrame, units: Units, width: int, least: int = 0) -> DataFrame:
     """`(doc, version, at)`: windows that an earlier document also has."""
-    found = materialise(windows(docs, units, width))
+    found = materialise(windows(docs, units, width, least))
     first = found.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
     # Stored, so that the join is not tied to the grouping's partitions and a hot window can be split.
     shared = materialise(first.where(F.col("last") > F.col("first")).select("h1", "h2", "first"))
     return found.join(shared, ["h1", "h2"]).where(F.col("doc") > F.col("first")).select("doc", "version", "at")
 
 
-def cut_repeats(docs: DataFrame, units: Units, width: int, counts: tuple[str, str] = ("n_units", "n_removed")) -> DataFrame:
+def cut_repeats(
+    docs: DataFrame, units: Units, width: int, counts: tuple[str, str] = ("n_units", "n_removed"), least: int = 0
+) -> DataFrame:
     """`docs` with the repeated units taken out of `text`, and two counts added.
 
     `n_units` counts the units compared, `n_removed` those taken out. A text that loses nothing is returned as it was.
 
     Cases: a null text stays null, with no units; units that are blank take no part and stay; a
-    document of fewer than `width` units has no window and stays whole; rows that share an id are
+    document of fewer than `width` units, or of fewer than `least` words, has no window and stays whole; rows that share an id are
     versions of one document: none comes before another, and what an earlier document makes one of
     them lose is lost by each where it has the same window; a null id comes after all others; an
     empty table gives an empty result; other columns come along, those named like the new ones are
@@ -100,7 +118,7 @@ def cut_repeats(docs: DataFrame, units: Units, width: int, counts: tuple[str, st
     version = F.hash("text")
     narrow = docs.select(doc.alias("doc"), version.alias("version"), "text")
     # A document's flags are bounded by its own units.
-    later = later_windows(narrow, units, width).groupBy("doc", "version").agg(F.collect_set("at").alias("at"))
+    later = later_windows(narrow, units, width, least).groupBy("doc", "version").agg(F.collect_set("at").alias("at"))
     own_doc, own_version, own_later = fresh(docs, "_doc", "_version", "_later")
     flags = later.select(F.col("doc").alias(own_doc), F.col("version").alias(own_version), F.col("at").alias(own_later))
     joined = docs.withColumns({own_doc: doc, own_version: version}).join(flags, [own_doc, own_version], "left")
@@ -111,7 +129,7 @@ def cut_repeats(docs: DataFrame, units: Units, width: int, counts: tuple[str, st
         for b in batches:
             texts, compared, gone = [], [], []
             for body, flags in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
-                text, n, lost = cut(body, flags or [], units, width)
+                text, n, lost = cut(body, flags or [], units, width, least)
                 texts.append(text)
                 compared.append(n)
                 gone.append(lost)
@@ -123,17 +141,17 @@ def cut_repeats(docs: DataFrame, units: Units, width: int, counts: tuple[str, st
     return joined.select(*kept, own_later).mapInArrow(frees(run), kind)
 
 
-def cut(body: str | None, later: list[int], units: Units, width: int) -> tuple[str | None, int, int]:
+def cut(body: str | None, later: list[int], units: Units, width: int, least: int = 0) -> tuple[str | None, int, int]:
     """A text without its repeated units, the units compared, and how many went."""
     pieces, compared = units(body or "")
-    at, hashes = window_hashes(compared, width)
+    at, hashes, ends = window_hashes(compared, width, least)
     starts = np.union1d(np.flatnonzero(~first_here(hashes)), np.array(later, np.int64)).astype(np.int64)
     if not len(starts):
         return body, len(at), 0
     # Merge what the windows cover: +1 where one begins, -1 behind its last unit.
     step = np.zeros(len(at) + 1, np.int64)
     np.add.at(step, starts, 1)
-    np.add.at(step, starts + width, -1)
+    np.add.at(step, ends[starts], -1)
     covered = np.cumsum(step[:-1]) > 0
     lost = set(at[covered].tolist())
     return "".join(p for k, p in enumerate(pieces) if k not in lost), len(at), len(lost)
