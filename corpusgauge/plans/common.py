@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusgauge.functions import text as X
 from corpusgauge.operators.ordering import key_range, range_bits
+from corpusgauge.session import setting
 
 SEPARATOR = "\n\n"
 
@@ -32,7 +33,14 @@ def collection() -> tuple[dict, dict, Callable]:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A table of the folder, dealt over `spark.corpusgauge.scanTasks` tasks if the caller sets that.
+
+    A file of one row group is read by one task, and so are all its texts split; a big table is read
+    by many tasks anyway, so nothing is dealt unless asked for.
+    """
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    tasks = int(setting(spark, "scanTasks", 0))
+    return df.repartition(tasks) if tasks else df
 
 
 def documents(spark: SparkSession, sf: str, *more: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from corpusgauge.functions import arrays as A
 from corpusgauge.functions import text as X
 from corpusgauge.operators import callbacks, history, ordering, rows, vocabulary
 from corpusgauge.plans.common import (
@@ -405,6 +406,28 @@ def map_batches(spark, sf):
     return callbacks.map_batches(documents(spark, sf), count, "doc_id long, n long")
 
 
+@query("prepared_scores", "SELECT vec_id, label, list_position(embedding, list_max(embedding)) - 1 AS pred FROM embeddings")
+def prepared_scores(spark, sf):
+    """Score arrays reduced by a caller's expression before anything is shuffled."""
+    scored = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    return callbacks.prepare_scores(scored, A.argmax, "embedding", "pred")
+
+
+@query(
+    "caller_metric",
+    """WITH p AS (SELECT label, list_position(embedding, list_max(embedding)) - 1 AS pred FROM embeddings)
+    SELECT label, count(*) AS n, count(DISTINCT pred) AS kinds, avg(CASE WHEN pred % 8 = label THEN 1.0::DOUBLE ELSE 0 END) AS accuracy FROM p GROUP BY 1""",
+)
+def caller_metric(spark, sf):
+    """A caller's metric over predictions and labels: accuracy per label."""
+
+    def metric(df):
+        hit = F.when(F.col("pred") % 8 == F.col("label"), 1.0).otherwise(0.0)
+        return df.groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("pred").alias("kinds"), F.avg(hit).alias("accuracy"))
+
+    return callbacks.metric_fn(prepared_scores(spark, sf), metric)
+
+
 @query("where_fn", f"SELECT doc_id FROM documents WHERE len({sql_words('text')}) >= 128")
 def where_fn(spark, sf):
     def long_enough(text: pd.Series) -> pd.Series:
