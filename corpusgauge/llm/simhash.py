@@ -310,7 +310,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = RADIUS) -> Da
     return lookup(own, rooted.join(names, "root").select("fp", "n", "component_id"), ["fp"], "n", ["doc_id"])
 
 
-def keep_one(docs: DataFrame, width: int = 5, radius: int = RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 4, radius: int = RADIUS) -> DataFrame:
     """The rows of `docs`, one of each near-duplicate group: that of the smallest id, nulls last.
 
     Cases as for `near_duplicates`; among rows of one id in one group any one stays, so a repeated

@@ -5,7 +5,7 @@ import pytest
 from corpusgauge.llm import lines
 from oddities import documents, frame
 from test_repeats import brute
-from test_similar import brute_kept
+from test_simhash import brute_kept
 
 
 @pytest.fixture(scope="module")
@@ -46,6 +46,19 @@ def test_stages(spark, folder, tmp_path):
             assert len({r["sequence_id"] for r in rows}) == -(-sum(r["length"] for r in rows) // 4096)
 
 
+def test_short_texts_stay_and_clashing_columns_survive(spark, folder):
+    rows = [(1, "A.", "en", "mine", 1), (2, "12 !", "en", "mine", 2), (3, None, "en", "mine", 3), (4, "the of and that with the other", "en", "mine", 4)]
+    rows += [(10 + k, r[1], r[2], "mine", k) for k, r in enumerate(documents()[:30])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, _lang_score string, _n_lines_removed bigint")
+    out = P.identify_language(spark, docs, folder)
+    assert out.columns == docs.columns
+    kept = {r["doc_id"]: r for r in out.collect()}
+    assert 1 in kept and 4 in kept and 2 not in kept and 3 not in kept
+    assert all(r["_lang_score"] == "mine" for r in kept.values())
+    cut = {r["doc_id"]: r["_n_lines_removed"] for r in P.dedup_lines(spark, docs, folder).collect()}
+    assert cut == {r[0]: r[4] for r in rows}
+
+
 def test_run_is_the_stages_in_order(spark, folder):
     assert [name for name, _ in P.STAGES] == ["language_id", "line_dedup", "simhash_near_dedup", "benchmark_decontamination", "best_fit_packing"]
     assert P.run(spark, folder).count() > 0
