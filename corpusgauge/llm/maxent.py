@@ -6,7 +6,8 @@ times as many words, all others the last class. A class of more than `SIZE` word
 by a softmax at each step, until one word is chosen, so steps and classes grow with the words.
 Features are the previous word, the previous two (an n-gram) and the word before the previous (a
 skip); each is hashed to a row of weights, of the class softmax and, with the node, of the softmax
-of each further step. Rows grow with the root of the distinct words. Biases are log counts, so an
+of each further step. Steps below the first of a class see the previous word alone: few histories
+reach a node there, and those of two words hardly ever twice. Rows grow with the root of the distinct words. Biases are log counts, so an
 untrained model is the unigram model.
 
 Training goes over all training documents once, in `ROUNDS` parts. In each, every task starts from
@@ -41,13 +42,15 @@ KNOWN = 1 << 21  # words whose hashes and counts the tasks hold
 BUCKETS = 64  # of the other words, times the root of their number
 CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 15  # up to ROW_WORDS distinct words; doubled for every fourfold
 ROW_WORDS = 1 << 18
-FEATURES = 3
+FEATURES, DEEP_FEATURES = 3, 1  # the latter below the first step of a class
 BLOCK = 256  # weight rows shuffled together
 ROUNDS = 2
 RATE = 0.3
 BATCH = 4096  # tokens of a gradient step
 FLUSH = 200_000  # distinct words a task counts before it emits them
-LANES = 32  # partial averages of a block
+LANES = 32  # tasks whose changes of a block are averaged at a time
+TASKS_A_CORE = 2  # each task sends a change of the whole model, so tasks follow the cores and not the corpus
+TEXT_BYTES = 6 << 20  # more texts at a time share more words
 END = b"\n"  # can be no word
 
 
@@ -116,7 +119,8 @@ class Vocabulary:
 
     def find(self, some: list[bytes]) -> np.ndarray:
         """Places of words, those of their buckets if they are not known."""
-        own = np.array([digest(w) for w in some], np.uint64).view(np.int64)
+        hashed = xxhash.xxh64_intdigest  # as `digest`, without a call in between
+        own = np.array([hashed(w, 42) for w in some], np.uint64).view(np.int64)
         spread = self.heads + own % len(self.shared)
         if not self.heads or not len(own):
             return spread
@@ -168,7 +172,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         bucket = F.pmod(F.xxhash64("word"), F.lit(buckets).cast("bigint")).alias("bucket")
         own = gathered(counts.where(~chosen).groupBy(bucket).agg(F.sum("n").alias("n"), F.count("*").alias("words")))
         shared[own[0]] = np.stack(own[1:], axis=1)
-    return Vocabulary(words[order], n[order], int(total), int(distinct), shared=shared)
+    return Vocabulary(words[order], n[order], int(total), int(distinct), shared=shared).index()  # once, not in every task
 
 
 # --- model ------------------------------------------------------------------------
@@ -287,37 +291,52 @@ def logits(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarra
 LARGEST = np.float32(80)  # biases are at most 0 and weights a few units, so this holds for sums of exponentials
 
 
+def exponentials(x: np.ndarray) -> np.ndarray:
+    """In place; returns each row's sum, which over short rows `einsum` adds up quickest."""
+    if x.size and x.max() > LARGEST:
+        np.minimum(x, LARGEST, out=x)
+    np.exp(x, out=x)
+    return np.einsum("ij->i", x)
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     """In place."""
-    np.minimum(x, LARGEST, out=x)
-    np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    total = exponentials(x)
+    x *= (1 / total)[:, None]
     return x
 
 
 def log_chance(x: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log of the softmax at each row's target; `x` is used up."""
-    np.minimum(x, LARGEST, out=x)
-    own = x[np.arange(len(target)), target].astype(np.float64)
-    np.exp(x, out=x)
-    return own - np.log(x.sum(axis=1).astype(np.float64))
+    own = np.minimum(x[np.arange(len(target)), target], LARGEST).astype(np.float64)
+    return own - np.log(exponentials(x).astype(np.float64))
 
 
-def split_places(places: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Class of each token; of all steps below, the token they are for, the node, and what is chosen there."""
+def split_places(places: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Class of each token; then of the first steps below, and of all further ones, the token, the node and what is chosen there."""
     leaves = v.heads + len(v.shared)
     places = np.where(places < 0, v.heads, places)
-    cls, which, node, slot = np.zeros(len(places), np.int64), [], [], []
+    cls, top, deep = np.zeros(len(places), np.int64), [], []
     for (start, end, steps, first), nodes in zip(regions(leaves), first_nodes(leaves)):
         at = np.flatnonzero((places >= start) & (places < end))
         own = places[at] - start
         for k in range(steps):
-            slot.append(own % SIZE)
-            own = own // SIZE
-            node.append(nodes[k] + own)
-            which.append(at)
+            slot, own = own % SIZE, own // SIZE
+            (top if k == steps - 1 else deep).append((at, nodes[k] + own, slot))
         cls[at] = first + own
-    return cls, np.concatenate(which), np.concatenate(node), np.concatenate(slot)
+    none = np.zeros(0, np.int64)
+    return cls, [tuple(map(np.concatenate, zip(*x))) if x else (none, none, none) for x in (top, deep)]
+
+
+def feature_count(kind: int) -> int:
+    return DEEP_FEATURES if kind else FEATURES
+
+
+def in_order(rows: np.ndarray) -> np.ndarray:
+    """A stable order; sixteen bits at a time are sorted by radix."""
+    order = np.argsort((rows & 0xFFFF).astype(np.uint16), kind="stable")
+    high = rows >> 16
+    return order[np.argsort(high[order].astype(np.uint16), kind="stable")] if high.any() else order
 
 
 class Trainer:
@@ -330,23 +349,33 @@ class Trainer:
 
     def step(self, places: np.ndarray, hashes: np.ndarray) -> None:
         m = self.model
-        cls, which, node, slot = split_places(places, self.v)
+        cls, steps = split_places(places, self.v)
         self._update(m.class_rows, 0, m.class_bias, rows_of(hashes, m), cls)
-        self._update(m.word_rows, 1, m.word_bias[node], node_rows(hashes[:, which], node, m), slot)
+        for kind, (which, node, slot) in enumerate(steps):
+            if len(which):
+                mine = hashes[: feature_count(kind), which]
+                self._update(m.word_rows, 1, m.word_bias[node], node_rows(mine, node, m), slot)
 
     def _update(self, weights: np.ndarray, kind: int, bias: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
         grad = softmax(logits(bias, weights, rows))
         grad[np.arange(len(target)), target] -= 1
-        kind_of = np.uint16 if len(weights) <= 1 << 16 else np.uint32  # 16 bits are sorted by radix
+        grad *= np.float32(RATE / np.sqrt(2))  # what a row met once moves by
         for r in rows:
-            order = np.argsort(r.astype(kind_of), kind="stable")
-            in_order = r[order]
-            starts = np.flatnonzero(np.concatenate([[True], in_order[1:] != in_order[:-1]]))
-            own, n = in_order[starts], np.diff(np.append(starts, len(r))).astype(np.float32)
-            total = np.add.reduceat(np.take(grad, order, axis=0), starts, axis=0)
-            total *= (RATE / np.sqrt(n * (1 + n)))[:, None]
-            weights[own] -= total
-            self.met[kind][own] += n
+            order = in_order(r)
+            own = r[order]
+            starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            n = np.diff(np.append(starts, len(r)))
+            once = n == 1
+            row, spot = own[starts[once]], order[starts[once]]
+            weights[row] = np.take(weights, row, axis=0) - np.take(grad, spot, axis=0)
+            self.met[kind][row] += 1
+            if once.all():
+                continue
+            often, row = n[~once].astype(np.float32), own[starts[~once]]
+            total = np.add.reduceat(np.take(grad, order[np.repeat(~once, n)], axis=0), np.cumsum(n[~once]) - n[~once], axis=0)
+            total *= (np.sqrt(2) / np.sqrt(often * (1 + often))).astype(np.float32)[:, None]
+            weights[row] = np.take(weights, row, axis=0) - total
+            self.met[kind][row] += often
 
     def changes(self, start: Model) -> Iterator[tuple[int, bytes, bytes]]:
         """`(block, met, change)` of the blocks that were met; word blocks follow the class blocks."""
@@ -379,8 +408,10 @@ CHANGES = "block int, lane int, task int, met binary, change binary"
 def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Model:
     """One pass over all documents, `rounds` averages on the way."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, TEXT_BYTES)
     model = untrained(v)
+    tasks = TASKS_A_CORE * spark.sparkContext.defaultParallelism
+    lanes = -(-tasks // LANES)
     for part in range(rounds):
         sent = spark.sparkContext.broadcast((v, model))
 
@@ -397,13 +428,14 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Model:
             task = TaskContext.get().partitionId()
             for block, met, change in own.changes(start):
                 yield pa.RecordBatch.from_pylist(
-                    [{"block": block, "lane": task % LANES, "task": task, "met": met, "change": change}], schema=CHANGE_ROWS
+                    [{"block": block, "lane": task % lanes, "task": task, "met": met, "change": change}], schema=CHANGE_ROWS
                 )
 
         mine = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == part).select("text")
-        changed = mine.mapInArrow(frees(run), CHANGES)
-        lanes = changed.groupBy("block", "lane").applyInPandas(average, CHANGES)
-        averaged = lanes.groupBy("block").applyInPandas(average, CHANGES).select("block", "change").collect()
+        changed = mine.coalesce(tasks).mapInArrow(frees(run), CHANGES)
+        if lanes > 1:
+            changed = changed.groupBy("block", "lane").applyInPandas(average, CHANGES)
+        averaged = changed.groupBy("block").applyInPandas(average, CHANGES).select("block", "change").collect()
         # At most all weights once, whatever the corpus.
         class_blocks = len(model.class_rows) // BLOCK
         for r in averaged:
@@ -425,10 +457,13 @@ def token_scores(places: np.ndarray, lengths: np.ndarray, v: Vocabulary, model:
     hashes = feature_hashes(places, lengths)
     for k in range(0, len(places), BATCH):
         mine = hashes[:, k : k + BATCH]
-        cls, which, node, slot = split_places(places[k : k + BATCH], v)
+        cls, steps = split_places(places[k : k + BATCH], v)
         score = log_chance(logits(model.class_bias, model.class_rows, rows_of(mine, model)), cls)
-        steps = log_chance(logits(model.word_bias[node], model.word_rows, node_rows(mine[:, which], node, model)), slot)
-        out[k : k + BATCH] = score + np.bincount(which, steps, len(cls))
+        for kind, (which, node, slot) in enumerate(steps):
+            if len(which):
+                rows = node_rows(mine[: feature_count(kind), which], node, model)
+                score += np.bincount(which, log_chance(logits(model.word_bias[node], model.word_rows, rows), slot), len(cls))
+        out[k : k + BATCH] = score
     return out
 
 
@@ -438,7 +473,7 @@ SCORED = "n_tokens bigint, n_known bigint, base double, model double, unknown ar
 def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, model: Model) -> DataFrame:
     """`(doc_id, n_tokens, n_known, train_tokens, base_score, score)` of every document, in log10."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, TEXT_BYTES)
     sent = spark.sparkContext.broadcast((v, model))
     floor = np.log10(v.total + 0.5 * (v.distinct + 1))
 

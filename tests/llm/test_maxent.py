@@ -58,6 +58,64 @@ def test_probabilities_add_up_to_one():
     assert abs(np.exp(scores[:-1]).sum() + np.exp(scores[-1]) * unlisted / floor - 1) < 1e-4
 
 
+def plain_score(places, v, model):
+    """Each token's log probability, one softmax after the other, from the weights."""
+    leaves = v.heads + len(v.shared)
+
+    def chance(bias, rows, table, chosen):
+        x = bias.astype(np.float64) + sum(table[r].astype(np.float64) for r in rows)
+        return x[chosen] - np.log(np.exp(x).sum())
+
+    out = []
+    for i, place in enumerate(places):
+        before, second = (places[i - k] + 3 if i >= k else 1 for k in (1, 2))
+        hashes = [int(maxent.mix(np.array([x % 2**64], np.uint64))[0]) for x in (before * 3, (before << 32) + second * 3 + 1, second * 3 + 2)]
+        start, _, steps, first, nodes = next((*r, n) for r, n in zip(maxent.regions(leaves), maxent.first_nodes(leaves)) if r[0] <= place < r[1])
+        own, total = int(place) - start, 0.0
+        for k in range(steps):
+            slot, own = own % maxent.SIZE, own // maxent.SIZE
+            node = nodes[k] + own
+            used = hashes if k == steps - 1 else hashes[: maxent.DEEP_FEATURES]
+            rows = [int(maxent.mix(np.array([(h + node + 1) % 2**64], np.uint64))[0]) % len(model.word_rows) for h in used]
+            total += chance(model.word_bias[node], rows, model.word_rows, slot)
+        out.append(total + chance(model.class_bias, [h % len(model.class_rows) for h in hashes], model.class_rows, first + own))
+    return np.array(out)
+
+
+def test_scores_equal_softmaxes_computed_one_by_one():
+    words = [f"w{k}".encode() for k in range(40_000)]
+    v = maxent.Vocabulary(words, np.arange(40_000, 0, -1), 40_000 * 40_001 // 2 + 16, 40_010, shared=np.array([(9, 3), (0, 0), (7, 7)])).index()
+    model = maxent.untrained(v)
+    rng = np.random.default_rng(1)
+    model.class_rows += rng.normal(0, 0.5, model.class_rows.shape).astype(np.float32)
+    model.word_rows += rng.normal(0, 0.5, model.word_rows.shape).astype(np.float32)
+    places = np.concatenate([[0, 895, 896, 3967, 3968, 39_999, 40_002], rng.integers(0, 40_003, 60)])
+    got = maxent.token_scores(places, np.array([len(places)]), v, model)
+    assert np.allclose(got, plain_score(places.tolist(), v, model), atol=2e-3)
+
+
+def test_updates_equal_the_gradient_row_by_row():
+    v = small_vocabulary()
+    model = maxent.untrained(v)
+    rng = np.random.default_rng(2)
+    model.class_rows += rng.normal(0, 0.1, model.class_rows.shape).astype(np.float32)
+    trainer = maxent.Trainer(model, v)
+    rows, target = rng.integers(0, 40, (1, 90)), rng.integers(0, maxent.CLASSES, 90)
+    want = model.class_rows.astype(np.float64)
+    x = model.class_bias + want[rows[0]]
+    grad = np.exp(x) / np.exp(x).sum(axis=1, keepdims=True)
+    grad[np.arange(90), target] -= 1
+    for r in range(40):
+        n = (rows[0] == r).sum()
+        if n:
+            want[r] -= grad[rows[0] == r].sum(axis=0) * maxent.RATE / np.sqrt(n * (1 + n))
+    trainer._update(trainer.model.class_rows, 0, model.class_bias, rows, target)
+    assert np.allclose(trainer.model.class_rows, want, atol=1e-5)
+    assert trainer.met[0][:40].tolist() == np.bincount(rows[0], minlength=40).tolist()
+    big = rng.integers(0, 1 << 18, 5000)
+    assert (maxent.in_order(big) == np.argsort(big, kind="stable")).all()
+
+
 def test_untrained_model_is_the_unigram_model():
     v = small_vocabulary()
     scores = maxent.token_scores(np.array([3, 700, 1200]), np.array([3]), v, maxent.untrained(v))
