@@ -4,6 +4,9 @@ Lengths are packed in shards of bounded size: best fit in decreasing order, then
 among underfull bins that moves a piece, exchanges one for one, or two for one, whenever this
 raises the sum of squared fills, until bins empty. The few bins a shard leaves open are packed
 again together with those of other shards, round by round, so no task ever holds more than a shard.
+A search is bounded: it looks at the `RECEIVERS` roomiest bins for a donor and ends after `PATIENCE`
+donors that cannot be emptied, at more of both in the last round, over what all shards left open.
+Rounds go on while each takes a tenth off the pieces left, so they end.
 
 Cases: a null or empty text is one piece that holds the end id alone; only a document longer than
 the capacity is cut; rows that repeat an id or a whole row are packed each; an empty table gives
@@ -30,12 +33,14 @@ CAPACITY = 4096
 END = 1
 SHARD = 16_384  # pieces that a task packs at a time
 OPEN_SHARE = 0.02  # a bin with more room than this goes to the next round
+LEAST_PROGRESS = 0.1  # share of its pieces that a round must close for another one to follow
 CACHED_WORDS = 600_000
 BATCH_TEXTS = 4096
 TEXT_BYTES = 4 << 20  # more texts at a time share more words
 SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
-RECEIVERS = 128  # underfull bins looked at for one donor
-PATIENCE = 8  # donors tried in a row that no exchange helps to empty
+# Underfull bins looked at for one donor, and donors tried in a row that no exchange helps to empty:
+# while there are several shards, and in the last round.
+RECEIVERS, PATIENCE = (128, 512), (8, 24)
 
 PIECES = pa.schema([
     ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
@@ -234,10 +239,12 @@ def _exchange(give: np.ndarray, take: np.ndarray, room: int) -> tuple[list[int],
     return found
 
 
-def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
+def improve(
+    bins: list[list[int]], lengths: np.ndarray, capacity: int, most: int | None = None, patience: int | None = None
+) -> list[list[int]]:
     """Empty the least filled bins into underfull ones, as far as exchanges lead.
 
-    Each exchange adds to the fill of a bin that is at least as full as the donor, so the sum of
+    Without the bounds `most` and `patience`, every underfull bin is a donor and a receiver. Each exchange adds to the fill of a bin that is at least as full as the donor, so the sum of
     squared fills rises with each and the search ends. It stops early at the least possible count.
     """
     bins = [list(b) for b in bins]
@@ -245,7 +252,7 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[l
     least = -(-sum(fill) // capacity)
     used = sum(1 for b in bins if b)
     tried: set[int] = set()
-    while used > least and len(tried) < PATIENCE:
+    while used > least and (patience is None or len(tried) < patience):
         under = [k for k in range(len(bins)) if bins[k] and fill[k] < capacity]
         donor = min((k for k in under if k not in tried), key=lambda k: (fill[k], k), default=None)
         if donor is None:
@@ -253,7 +260,7 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[l
         tried.add(donor)
         before = used
         receivers = sorted((k for k in under if k != donor and fill[donor] <= fill[k]), key=lambda k: (fill[k], k))
-        for k in reversed(receivers[:RECEIVERS]):  # the roomiest, fullest first
+        for k in reversed(receivers[:most]):  # the roomiest, fullest first
             while bins[donor] and fill[donor] <= fill[k] < capacity:
                 swap = _exchange(lengths[bins[donor]], lengths[bins[k]], capacity - fill[k])
                 if swap is None:
@@ -271,10 +278,11 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[l
     return [b for b in bins if b]
 
 
-def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bin number, offset and the bin's fill, for each length."""
+def pack_lengths(lengths: np.ndarray, capacity: int, last: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bin number, offset and the bin's fill, for each length; the search is bounded before the last round."""
     where, offset, fill = (np.zeros(len(lengths), np.int64) for _ in range(3))
-    for k, b in enumerate(improve(best_fit(lengths, capacity), lengths, capacity)):
+    bounds = (RECEIVERS[last], PATIENCE[last])
+    for k, b in enumerate(improve(best_fit(lengths, capacity), lengths, capacity, *bounds)):
         ends = np.cumsum(lengths[b])
         where[b], offset[b], fill[b] = k, ends - lengths[b], ends[-1]
     return where, offset, fill
@@ -283,19 +291,18 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 def place(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
     """Add `sequence_id` and `offset` to a stored table of pieces with a `length`."""
     names = items.columns
-    done, left, number = None, items, 0
+    done, left, number, rows = None, items, 0, items.count()
     while True:
-        rows = left.count()
         shards = max(1, -(-rows // shard))
         spot = F.pmod(F.xxhash64(*names, F.lit(number)), F.lit(shards))
         fields = [*left.select(names).schema.fields]
         kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
 
-        first = np.int64(number) << 56
+        first, last = np.int64(number) << 56, shards == 1
 
         def pack(part: pd.DataFrame) -> pd.DataFrame:
             part = part.sort_values(names, kind="stable", na_position="first", ignore_index=True)
-            where, offset, fill = pack_lengths(part["length"].to_numpy(np.int64), capacity)
+            where, offset, fill = pack_lengths(part["length"].to_numpy(np.int64), capacity, last)
             part["sequence_id"] = first + (part["_shard"].to_numpy(np.int64) << 16) + where
             part["offset"], part["_fill"] = offset, fill
             return part[[*names, "sequence_id", "offset", "_fill"]]
@@ -306,9 +313,10 @@ def place(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Dat
         )
         is_open = F.col("_fill") < capacity * (1 - OPEN_SHARE)
         number += 1
-        if shards == 1 or number == 100:
-            last = packed.drop("_fill")
-            return last if done is None else done.unionByName(last)
+        before, rows = rows, packed.where(is_open).count()
+        if shards == 1 or rows > before * (1 - LEAST_PROGRESS):
+            rest = packed.drop("_fill")
+            return rest if done is None else done.unionByName(rest)
         closed = packed.where(~is_open).drop("_fill")
         done = closed if done is None else done.unionByName(closed)
         left = packed.where(is_open).select(*names)

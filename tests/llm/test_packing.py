@@ -86,3 +86,17 @@ def test_words_are_encoded_like_texts(tokenizer):
     texts = ["It's  the END, isn't it?\n", "x<|endoftext|>y <|ENDOFTEXT|>", "été dİx  z, 3.14!!! a,b. ,. '", "İstanbul's ß ẞ", "", " \x0b lead\x1c \x85 trail\r\n "]
     found = packing.document_ids(pa.array(texts), packing.WordIds(tokenizer))
     assert [np.frombuffer(x, "<u4").tolist() for x in found] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
+def test_pieces_that_fill_no_bin_end_the_rounds(spark):
+    items = packing.materialise(spark.createDataFrame([(k, 40) for k in range(500)], "doc_id bigint, length bigint"))
+    got = packing.place(items, 64, shard=50).toPandas()
+    assert got["sequence_id"].nunique() == 500 and (got["offset"] == 0).all()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=60))
+def test_the_unbounded_search_needs_no_more_bins(lengths):
+    lengths = np.array(lengths, np.int64)
+    first = packing.best_fit(lengths, 30)
+    assert len(packing.improve(first, lengths, 30)) <= len(packing.improve(first, lengths, 30, 1, 1))
