@@ -67,3 +67,65 @@ def test_long_texts_lose_no_ngram(monkeypatch):
     whole = np.sort(np.concatenate(list(langid.text_grams(text))))
     monkeypatch.setattr(langid, "SLICE", 23)
     assert np.array_equal(np.sort(np.concatenate(list(langid.text_grams(text)))), whole)
+
+
+def plain_grams(text):
+    """Four characters at a time of the lower-case letters, all else one blank, blanks at the ends only."""
+    told = " "
+    for c in [*(text or ""), " "]:
+        c = (c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " "
+        if c != " " or told[-1] != " ":
+            told += c
+    out = []
+    for k in range(len(told) - 3):
+        gram = told[k : k + 4]
+        if " " not in gram[1:3]:
+            number = 0
+            for c in gram:
+                number = (number * 0x9E3779B97F4A7C15 % 2**64) ^ ord(c)
+            out.append(number)
+    return out
+
+
+def plain_predictions(rows, slots):
+    """`(language, score)` per text, by one filter after the other."""
+    counts = {}
+    for text, lang in rows:
+        if lang is not None and text is not None:
+            own = counts.setdefault(lang, {})
+            for g in plain_grams(text):
+                own[g] = own.get(g, 0) + 1
+    rates = {lang: {g: n / sum(own.values()) for g, n in own.items()} for lang, own in counts.items()}
+    most = {}
+    for own in rates.values():
+        for g, r in own.items():
+            most[g] = max(most.get(g, 0), r)
+
+    def places(g):
+        return [int(langid.mix(np.array([(g + p * 0x632BE59BD9B4E019) % 2**64], np.uint64))[0]) % slots for p in range(langid.PROBES)]
+
+    filters = {lang: {s for g, r in own.items() if r >= langid.MIN_RATE and r >= langid.MIN_SHARE * most[g] for s in places(g)} for lang, own in rates.items()}
+    out = []
+    for text, _ in rows:
+        if not any(c.isalpha() for c in text or ""):
+            out.append(("und", 0.0))
+            continue
+        found = [places(g) for g in plain_grams(text)]
+        best = []
+        for lang in sorted(filters):
+            false = (len(filters[lang]) / slots) ** langid.PROBES
+            hits = sum(all(s in filters[lang] for s in p) for p in found)
+            best.append((max(0.0, (hits - len(found) * false) / (1 - false)), lang))
+        top = max(b for b, _ in best)
+        out.append((next(lang for b, lang in best if b == top), min(1.0, top / max(len(found), 1))))
+    return out
+
+
+def test_predictions_equal_plain_ones(spark):
+    rows = documents()
+    got = langid.predict(frame(spark).select("text", "lang"), langid.fit(frame(spark), slots=1 << 13)).collect()
+    want = plain_predictions([(r[1], r[2]) for r in rows], 1 << 13)
+    told = {r[1]: w for r, w in zip(rows, want)}
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["lang_pred"] == told[r["text"]][0] and abs(r["score"] - told[r["text"]][1]) < 1e-9
