@@ -332,11 +332,11 @@ def feature_count(kind: int) -> int:
     return DEEP_FEATURES if kind else FEATURES
 
 
-def in_order(rows: np.ndarray) -> np.ndarray:
-    """A stable order; sixteen bits at a time are sorted by radix."""
-    order = np.argsort((rows & 0xFFFF).astype(np.uint16), kind="stable")
-    high = rows >> 16
-    return order[np.argsort(high[order].astype(np.uint16), kind="stable")] if high.any() else order
+def in_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sorted, and where each stood: one sort of plain numbers that hold both."""
+    bits = len(rows).bit_length()
+    packed = np.sort(rows << bits | np.arange(len(rows)))
+    return packed >> bits, packed & ((1 << bits) - 1)
 
 
 class Trainer:
@@ -361,8 +361,7 @@ class Trainer:
         grad[np.arange(len(target)), target] -= 1
         grad *= np.float32(RATE / np.sqrt(2))  # what a row met once moves by
         for r in rows:
-            order = in_order(r)
-            own = r[order]
+            own, order = in_order(r)
             starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             n = np.diff(np.append(starts, len(r)))
             once = n == 1
