@@ -116,6 +116,12 @@ def ppl_single(nll: DataFrame) -> DataFrame:
     return nll.agg(F.count("nll").alias("n_tokens"), F.exp(F.avg("nll")).alias("ppl"))
 
 
+def ppl_weighted(nll: DataFrame, weight: Column) -> DataFrame:
+    """exp of the mean loss with a weight per position, `weight_*`; one without a loss adds its weight only."""
+    weighted = nll.select("nll", weight.alias("w"))
+    return _ppl(weighted.agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("nll")).alias("loss")))
+
+
 def weight_left(n: int, stride: int = 512, max_len: int = 2048) -> Column:
     """What a position counts for in `ppl_strided_left` of n tokens: targets over scored targets."""
     start = F.floor(F.col("pos") / stride) * stride
