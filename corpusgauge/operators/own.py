@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 
 from corpusgauge.operators.joins import attach_narrow
 from corpusgauge.operators.ordering import key_range, range_bits, running_offset
+from corpusgauge.operators.rows import corpus_tokens
 from corpusgauge.session import materialise
 
 CHUNK_BYTES = 4 << 20  # text that a task counts at a time, but for a longer row
@@ -232,18 +233,29 @@ def corpus_nll(
     bos: str | None = None,
     bounds: tuple[int, int] | None = None,
     twins: bool = False,
+    place_first: bool = False,
 ) -> tuple[DataFrame, int]:
     """`(key, pos, nll)` of the joined corpus, as `ngram.corpus_stream` places its tokens, and its length.
 
-    The separator is a token, so not one of spaces.
+    The separator is a token, so not one of spaces. Counts are those of `ngram.corpus_bag`, with `place_first`
+    those of `ngram.corpus_stream`; they differ only where rows share a key, each of which the stream
+    places once per such row.
     """
     bounds = bounds or key_range(rows, key)
     after = F.when(F.col(key) > F.lit(bounds[0]), F.lit(separator))
     trail = F.when(F.col(key) < F.lit(bounds[1]), F.lit(separator))
     lead = None if bos is None else F.when((F.col(key) == F.lit(bounds[0])) & ~F.startswith(F.col(col), F.lit(bos)), F.lit(bos))
-    scored = materialise(own_nll(rows.select(key, col), col, lead, trail, after, twins=twins))
-    sizes = scored.select(key, F.size("nll").cast("bigint").alias("n"))
+    texts = rows.select(key, col)
+    if place_first:
+        sizes = materialise(corpus_tokens(texts, key, col, separator, bos, bounds).select(key, F.size("tokens").cast("bigint").alias("n")))
+    else:
+        scored = materialise(own_nll(texts, col, lead, trail, after, twins=twins))
+        sizes = scored.select(key, F.size("nll").cast("bigint").alias("n"))
     count, length = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     offsets = running_offset(sizes, key, "n", "offset", range_bits(*bounds)).select(key, "offset")
-    flat = attach_narrow(scored, offsets, key, count).select(key, "offset", F.posexplode("nll").alias("pos", "nll"))
+    if place_first:
+        placed = own_nll(attach_narrow(texts, offsets, key, count), col, lead, trail, after, twins=twins)
+    else:
+        placed = attach_narrow(scored, offsets, key, count)
+    flat = placed.select(key, "offset", F.posexplode("nll").alias("pos", "nll"))
     return flat.select(key, (F.col("offset") + F.col("pos")).alias("pos"), "nll"), length

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusgauge.operators import ngram, own
+from corpusgauge.operators import ngram, own, perplexity
 from corpusgauge.plans import model
 
 TEXTS = [
@@ -61,6 +61,20 @@ def test_tokens_scored_after_themselves(texts, bytes_):
     assert rounded(new, "pos") == rounded(old, "pos")
 
 
+def test_rows_that_share_a_key_count_as_the_stream_places_them(texts):
+    docs = texts.where("doc_id IS NULL OR doc_id <> 2")
+    stream, n = ngram.corpus_stream(docs, "doc_id")
+    old = perplexity.ppl_bigrams(perplexity.weigh_bigrams(stream, perplexity.weight_left(n, 8, 32))).first()
+    nll, length = own.corpus_nll(docs, "doc_id", place_first=True)
+    new = perplexity.ppl_weighted(nll, perplexity.weight_left(length, 8, 32)).first()
+    assert (n, old["n_tokens"], pytest.approx(old["ppl"])) == (length, new["n_tokens"], new["ppl"])
+    stream, _ = ngram.corpus_stream(docs, "doc_id", bos="<s>")
+    old = perplexity.ppl_own_token(perplexity.weigh_bigrams(stream, perplexity.weight_overlap(8, 32))).first()
+    nll, _ = own.corpus_nll(docs, "doc_id", bos="<s>", twins=True, place_first=True)
+    new = perplexity.ppl_overlap(nll, 8, 32).first()
+    assert (old["n_tokens"], pytest.approx(old["ppl"])) == (new["n_tokens"], new["ppl"])
+
+
 def test_empty(spark):
     assert own.own_nll(spark.createDataFrame([], "doc_id int, text string")).collect() == []
 
