@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusgauge.operators.joins import may_hash, measured
 from corpusgauge.operators.ngram import attach_nll
 from corpusgauge.session import materialise
 
@@ -54,7 +55,7 @@ def fit_backoff(counts: DataFrame, context: Sequence[str] = ("prev",)) -> Backof
     """
     vocab = counts.agg(F.count_distinct("token")).first()[0]
     names, levels = list(context), []
-    grams = materialise(counts.dropna(subset=names).select(*names, "token", "n")) if names else materialise(counts.select("token", "n"))
+    grams = counts.dropna(subset=names).select(*names, "token", "n") if names else counts.select("token", "n")  # stored
     while True:
         sums = [F.sum("n").alias("total"), F.count("*").alias("kinds")]
         totals = materialise(grams.groupBy(*names).agg(*sums) if names else grams.agg(*sums).where("kinds > 0"))
@@ -71,19 +72,49 @@ def probabilities(types: DataFrame, model: Backoff) -> DataFrame:
     Level by level from single words up; each level joins distinct n-grams, so no table is larger
     than the n-grams asked for, and adaptive execution splits a context that very many of them have.
     """
-    known = F.lit(1.0 / (model.vocab + 1))
+    small = measured(types)[2]
     lower = None
     for level in model.levels:
         keys = types.select(*level.context, "token").distinct()
-        found = keys.join(level.grams, [*level.context, "token"], "left")
-        found = found.join(level.totals, level.context, "left") if level.context else _with_total(found, level.totals)
-        if lower is not None:
-            found = found.join(lower.withColumnRenamed("p", "_below"), [*level.context[:-1], "token"])
-            known = F.col("_below")
-        lower = materialise(found.select(*level.context, "token", _share(level.discount, known).alias("p")))
+        grams, totals = level.grams, level.totals
+        if small:  # only the model's rows that are asked for are shuffled and sorted
+            grams = grams.join(F.broadcast(keys), [*level.context, "token"], "left_semi")
+            if level.context:
+                totals = totals.join(F.broadcast(keys.select(*level.context).distinct()), level.context, "left_semi")
+        found = keys.join(grams, [*level.context, "token"], "left")
+        lower = materialise(_level(found, level, totals, lower, model.vocab))
     return lower
 
 
+def own_probabilities(model: Backoff) -> DataFrame:
+    """`(context.., token, n, p)` for the n-grams that the model was fitted on.
+
+    Their counts are known and they are distinct, so a level meets its totals and the level below,
+    and neither itself nor what was asked for. The longest level is not written out.
+    """
+    found = None
+    for level in model.levels:
+        lower = None if found is None else materialise(found.drop("n"))
+        totals = _hashed(level.totals) if level.context else level.totals
+        found = _level(level.grams, level, totals, lower and _hashed(lower), model.vocab, "n")
+    return found
+
+
+def _level(found: DataFrame, level: Level, totals: DataFrame, lower: DataFrame | None, vocab: int, *kept: str) -> DataFrame:
+    """Probabilities of one level's n-grams, whose `n` is null for one it lacks, from those of the level below."""
+    known = F.lit(1.0 / (vocab + 1))
+    found = found.join(totals, level.context, "left") if level.context else _with_total(found, totals)
+    if lower is not None:
+        found = found.join(lower.withColumnRenamed("p", "_below"), [*level.context[:-1], "token"])
+        known = F.col("_below")
+    return found.select(*level.context, "token", *kept, _share(level.discount, known).alias("p"))
+
+
+def _hashed(stored: DataFrame) -> DataFrame:
+    """A stored table of distinct keys, hashed in memory if a task's part of it fits, which spares sorting the n-grams it meets."""
+    return stored.hint("shuffle_hash") if may_hash(stored.sparkSession, stored.count()) else stored
+
+
 def _with_total(found: DataFrame, totals: DataFrame) -> DataFrame:
     row = totals.first()  # single words have one total
     total, kinds = (row["total"], row["kinds"]) if row else (None, None)

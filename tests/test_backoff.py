@@ -145,3 +145,27 @@ def test_scales_are_quantised_in_blocks_that_cross_rows(spark):
         assert np.allclose(r["restored"], want)
         assert abs(r["ratio"] - (-(-len(v) // 2) + n * (1 + 4 / 256)) / (4 * len(v))) < 1e-12
     assert got[0]["ratio"] < once[0]["ratio"]
+
+
+def test_the_models_own_bigrams_need_no_join_with_themselves(spark):
+    rows = corpus()
+    stream = ngram.row_tokens(spark.createDataFrame(rows, "id bigint, text string"), "id", order=2)
+    model = backoff.fit_backoff(ngram.count_ngrams(stream))
+    found = backoff.own_probabilities(model)
+    asked = backoff.probabilities(model.levels[-1].grams, model)
+    assert {tuple(r)[:2]: r["p"] for r in found.drop("n").collect()} == pytest.approx({tuple(r)[:2]: r["p"] for r in asked.collect()})
+    assert found.select("prev", "token", "n").exceptAll(model.levels[-1].grams).count() == 0
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+
+
+def test_counts_score_and_complete_as_the_whole_model_does(spark):
+    counts = ngram.count_ngrams(ngram.row_tokens(spark.createDataFrame(corpus(), "id bigint, text string"), "id"))
+    other = spark.createDataFrame([(1, "a b new a"), (2, "e"), (3, None), (4, "new b b")], "id bigint, text string")
+    stream = ngram.row_tokens(other, "id")
+    old = ngram.score_ngram(stream, ngram.model_from_counts(counts), ["id", "pos"], 0.5)
+    new = ngram.score_counted(stream, counts, ["id", "pos"], 0.5)
+    assert sorted(map(repr, new.collect())) == sorted(map(repr, old.collect()))
+    prompts = spark.createDataFrame([(1, "a"), (2, "new"), (3, None), (4, "a"), (5, "d")], "id bigint, last string")
+    old = ngram.greedy_completion(prompts, ngram.best_next(counts), "id", "last", 3)
+    new = ngram.greedy_counted(prompts, counts, "id", "last", 3)
+    assert sorted(map(repr, new.collect())) == sorted(map(repr, old.collect()))
