@@ -239,8 +239,7 @@ def encode_docs(spark, sf):
 
 
 def encoded_documents(spark, sf):
-    docs = documents(spark, sf)
-    return vocabulary.tokenize(docs, vocabulary.fit_vocab(docs), "doc_id", own=True)
+    return vocabulary.tokenize_own(documents(spark, sf), "doc_id")
 
 
 @query(
@@ -330,7 +329,7 @@ def sample_ids(spark, sf):
     pairs = samples(spark, sf).select(
         "sample_id", F.concat_ws(" ", "prompt", "completion").alias("text"), X.word_count("prompt").alias("p")
     )
-    ids = vocabulary.tokenize(pairs, vocabulary.fit_vocab(pairs), "sample_id", own=True)
+    ids = vocabulary.tokenize_own(pairs, "sample_id")
     return ids.join(pairs.select("sample_id", "p"), "sample_id")
 
 
