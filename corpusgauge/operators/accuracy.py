@@ -20,6 +20,17 @@ def token_accuracy(df: DataFrame, pred: str = "pred", label: str = "label", weig
     )
 
 
+def best_accuracy(counts: DataFrame, by: str = "token", weight: str = "n") -> DataFrame:
+    """`token_accuracy` of predicting each token's most frequent label, from counted distinct pairs.
+
+    The predicted label is hit as often as its pair occurs, so predictions are not joined to the pairs.
+    """
+    best = counts.groupBy(by).agg(F.max(weight).alias("_hit"), F.sum(weight).alias("_all"))
+    return best.agg(
+        F.sum("_all").cast("bigint").alias("n_labels"), F.try_divide(F.sum("_hit").cast("double"), F.sum("_all")).alias("accuracy")
+    )
+
+
 def last_word_accuracy(df: DataFrame, target: str = "target", generated: str = "generated") -> DataFrame:
     """Share of texts whose generated text opens with the target word; 0 when there are none.
 
