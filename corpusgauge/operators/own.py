@@ -14,14 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from corpusgauge.functions.text import words
 from corpusgauge.operators.joins import attach_narrow
-from corpusgauge.operators.ordering import key_range, range_bits, running_offset
+from corpusgauge.operators.ordering import key_range, last_before, range_bits, running_offset
 from corpusgauge.operators.rows import corpus_tokens
 from corpusgauge.session import materialise
 
 CHUNK_BYTES = 4 << 20  # text that a task counts at a time, but for a longer row
 GROUP_BYTES = 4 << 20  # text whose bigrams one task adds up
 PLACES = 64
+PARTS = ("_text", "_lead", "_trail", "_opens")
 ODD = np.uint64(0x9E3779B97F4A7C15)  # any odd number without a pattern
 
 # Packed numbers: hashes of both words and count of each bigram; hash, count as a context and as a token of each word.
@@ -35,7 +37,7 @@ class Chunk:
     def __init__(self, table: pa.Table, groups: int, salt: int, twins: bool = False):
         found: list[str] = []
         self.sizes, before = [], []
-        for text, lead, trail, opens in zip(*(table[c].to_pylist() for c in ("_text", "_lead", "_trail", "_opens")), strict=True):
+        for text, lead, trail, opens in zip(*(table[c].to_pylist() for c in PARTS), strict=True):
             start = len(found)
             if text is not None:
                 if lead is not None:
@@ -138,27 +140,42 @@ def _packed(values: np.ndarray, edges: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, *sides])
 
 
-def add_up(rows: pa.Table) -> pa.Table:
-    """Totals of one group, a row for each chunk that sent it something."""
+def _summed(rows: pa.Table) -> tuple[dict, dict, int, int]:
+    """What the chunks sent one group, as numbers a chunk; totals beside each entry and which entry stands first
+    among its equals; the number of distinct tokens, and of words whose hash is another's."""
     parts = {c: [np.frombuffer(x, "<u8" if c in ("prev", "token", "hashes") else "<i8") for x in rows[c].to_pylist()]
              for c in ("prev", "token", "times", "hashes", "context", "seen")}
     prev, token, times, hashes, context, seen = (np.concatenate(x) for x in parts.values())
-    times = _totals((prev, token), times)[0]
     words = rows["words"].combine_chunks().flatten()
-    context, first = _totals((hashes,), context)
-    seen, _ = _totals((hashes,), seen)
+    sums = {"times": _totals((prev, token), times), "context": _totals((hashes,), context)}
+    first, seen = sums["context"][1], _totals((hashes,), seen)[0]
     spelled = words.dictionary_encode()  # as many words as hashes, unless two words have one hash
-    clashes = len(spelled.dictionary) - int(first.sum())
-    new = int((first & (seen > 0)).sum())
+    return parts, sums, int((first & (seen > 0)).sum()), len(spelled.dictionary) - int(first.sum())
+
+
+def add_up(rows: pa.Table) -> pa.Table:
+    """Totals of one group, a row for each chunk that sent it something."""
+    parts, sums, new, clashes = _summed(rows)
     grams, kept = (np.cumsum([0, *map(len, parts[c])]) for c in ("times", "hashes"))
     once = np.arange(len(rows)) == 0
     columns = {
-        "grp": rows["grp"], "chunk": rows["chunk"], "times": _packed(times, grams), "context": _packed(context, kept),
+        "grp": rows["grp"], "chunk": rows["chunk"], "times": _packed(sums["times"][0], grams),
+        "context": _packed(sums["context"][0], kept),
         "new": pa.array(np.where(once, new, 0)), "clashes": pa.array(np.where(once, clashes, 0)),
     }
     return pa.table(columns)
 
 
+def add_up_kinds(rows: pa.Table) -> pa.Table:
+    """How many bigrams, and how many contexts, of one group occur n times; with the same two numbers as `add_up`."""
+    _, sums, new, clashes = _summed(rows)
+    found = {kind: np.unique(total[first], return_counts=True) for kind, (total, first) in sums.items()}
+    found |= {"new": (np.zeros(1, np.int64), np.array([new])), "clashes": (np.zeros(1, np.int64), np.array([clashes]))}
+    kinds = pa.array([kind for kind, (n, _) in found.items() for _ in n], pa.string())
+    n, many = (pa.array(np.concatenate([x[k] for x in found.values()]), pa.int64()) for k in (0, 1))
+    return pa.table({"kind": kinds, "n": n, "many": many})
+
+
 def _totals(keys: tuple[np.ndarray, ...], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sum of n over each entry's equals, in the entries' order, and which entry stands first among its equals."""
     order = np.lexsort(keys)
@@ -189,16 +206,11 @@ def own_nll(
     With `twins` each token is scored as if it stood before itself, and bigrams do not travel at all.
     Rows may be equal. A chunk holds about `CHUNK_BYTES` of text and one row more.
     """
-    none = F.lit(None).cast("string")
-    parts = {"_text": F.col(text), "_lead": lead, "_trail": trail, "_opens": opens}
     keep = [c for c in rows.columns if c != text]
-    wide = rows.select(*keep, *[(none if c is None else c).alias(name) for name, c in parts.items()])
-    size = wide.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
-    groups = size // GROUP_BYTES + 1
-    wide = wide.withColumn("_chunk", F.pmod(F.xxhash64(*wide.columns), F.lit(size // CHUNK_BYTES + 1)).cast("int"))
+    wide, groups = _dealt(rows, text, lead, trail, opens)
     salt = 0
     while True:
-        totals, vocab, clashes = _corpus_totals(wide.select("_chunk", *parts), groups, salt, twins)
+        totals, vocab, clashes = _corpus_totals(wide.select("_chunk", *PARTS), groups, salt, twins)
         if not clashes:
             break
         salt += 1
@@ -214,13 +226,79 @@ def own_nll(
     return wide.groupBy("_chunk").cogroup(mine).applyInArrow(score, schema)
 
 
-def _corpus_totals(texts: DataFrame, groups: int, salt: int, twins: bool) -> tuple[DataFrame, int, int]:
-    """Stored totals for each chunk and group, the number of distinct tokens, and of words whose hash is another's."""
+def _dealt(
+    rows: DataFrame, text: str, lead: Column | None, trail: Column | None, opens: Column | None
+) -> tuple[DataFrame, int]:
+    """Rows with `PARTS` in place of their text and their `_chunk`, and the number of groups."""
+    none = F.lit(None).cast("string")
+    parts = dict(zip(PARTS, (F.col(text), lead, trail, opens), strict=True))
+    keep = [c for c in rows.columns if c != text]
+    wide = rows.select(*keep, *[(none if c is None else c).alias(name) for name, c in parts.items()])
+    size = wide.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
+    chunk = F.pmod(F.xxhash64(*wide.columns), F.lit(size // CHUNK_BYTES + 1)).cast("int")
+    return wide.withColumn("_chunk", chunk), size // GROUP_BYTES + 1
+
+
+def own_ppl(
+    rows: DataFrame,
+    text: str = "text",
+    lead: Column | None = None,
+    trail: Column | None = None,
+    opens: Column | None = None,
+    alpha: float = 1.0,
+) -> DataFrame:
+    """`(n_tokens, ppl)` over all losses that `own_nll` would give, none of which is worked out.
+
+    The loss is ln(context total) - ln(count), so its sum needs only how many bigrams and how many contexts
+    occur how often, and chunks get nothing back.
+    """
+    wide, groups = _dealt(rows, text, lead, trail, opens)
+    texts, salt = wide.select("_chunk", *PARTS), 0
+    while True:
+        kinds = materialise(_counts(texts, groups, salt, False).groupBy("grp").applyInArrow(add_up_kinds, "kind string, n bigint, many bigint"))
+        kinds = kinds.groupBy("kind", "n").agg(F.sum("many").alias("many"))
+        vocab, clashes = (kinds.agg(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("many"))), F.lit(0))).first()[0] for k in ("new", "clashes"))
+        if not clashes:
+            break
+        salt += 1
+    w, n = F.col("n").cast("double") * F.col("many"), F.col("n")
+    sums = kinds.agg(
+        F.sum(F.when(F.col("kind") == "times", w)).alias("w"),
+        F.sum(F.when(F.col("kind") == "times", w * F.ln(n + F.lit(alpha)))).alias("pairs"),
+        F.sum(F.when(F.col("kind") == "context", w * F.ln(n + F.lit(alpha * vocab)))).alias("contexts"),
+    )
+    tokens = F.when(F.lit(vocab) > 0, F.coalesce(F.round("w").cast("bigint"), F.lit(0)))  # null without any token
+    return sums.select(tokens.alias("n_tokens"), F.exp(F.try_divide(F.col("contexts") - F.col("pairs"), "w")).alias("ppl"))
+
+
+def corpus_ppl(
+    rows: DataFrame, key: str, col: str = "text", separator: str = "\n\n", bounds: tuple[int, int] | None = None
+) -> DataFrame:
+    """`own_ppl` of the joined corpus, as `ngram.corpus_bag` joins it: a separator of spaces is no token, and the
+    last word of the nearest row that has one stands before a row."""
+    bounds = bounds or key_range(rows, key)
+    texts = rows.select(key, col)
+    if separator.strip(" "):
+        after = F.when(F.col(key) > F.lit(bounds[0]), F.lit(separator))
+        return own_ppl(texts, col, None, F.when(F.col(key) < F.lit(bounds[1]), F.lit(separator)), after)
+    lasts = materialise(texts.select(key, F.try_element_at(words(col), F.lit(-1)).alias("_last")))
+    before = last_before(lasts, key, "_last", "_opens", range_bits(*bounds)).select(key, "_opens")
+    placed = attach_narrow(texts, before, key, lasts.count())
+    return own_ppl(placed.select(key, col, F.col("_opens").alias("_before")), col, opens=F.col("_before"))
+
+
+def _counts(texts: DataFrame, groups: int, salt: int, twins: bool) -> DataFrame:
+    """A row for each chunk and group."""
 
     def count(key: tuple, rows: pa.Table) -> pa.Table:
         return Chunk(rows, groups, salt, twins).counts(key[0].as_py(), groups)
 
-    totals = materialise(texts.groupBy("_chunk").applyInArrow(count, COUNTS).groupBy("grp").applyInArrow(add_up, TOTALS))
+    return texts.groupBy("_chunk").applyInArrow(count, COUNTS)
+
+
+def _corpus_totals(texts: DataFrame, groups: int, salt: int, twins: bool) -> tuple[DataFrame, int, int]:
+    """Stored totals for each chunk and group, the number of distinct tokens, and of words whose hash is another's."""
+    totals = materialise(_counts(texts, groups, salt, twins).groupBy("grp").applyInArrow(add_up, TOTALS))
     new, clashes = totals.agg(F.coalesce(F.sum("new"), F.lit(0)), F.coalesce(F.sum("clashes"), F.lit(0))).first()
     return totals, new, clashes
 

@@ -95,3 +95,12 @@ def test_positions_meet_no_model_in_a_join(spark, tmp_path, name):
     spark.createDataFrame(TEXTS, "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
     plan = model.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "CoGroup" in plan
+
+
+@pytest.mark.parametrize("separator", [" ", "\n\n"])
+def test_perplexity_needs_no_losses(texts, bytes_, separator):
+    whole = F.when(F.col("prev").isNotNull(), 1.0).otherwise(0.0)
+    for docs in (texts, texts.where("doc_id = 5"), texts.where("doc_id = 4").limit(1), texts.where("doc_id = 2"), texts.where("doc_id < 0")):
+        old = perplexity.ppl_bigrams(perplexity.weigh_bigrams(ngram.corpus_bag(docs, "doc_id", separator=separator, bounds=(1, 7)), whole)).first()
+        new = own.corpus_ppl(docs, "doc_id", separator=separator, bounds=(1, 7)).first()
+        assert (old["n_tokens"], old["ppl"] and pytest.approx(old["ppl"], rel=1e-12)) == tuple(new)
